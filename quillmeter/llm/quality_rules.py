@@ -2,7 +2,7 @@
 
 Two multinomials over ``buckets`` hashed word unigrams and bigrams are counted over all documents: one over the trusted
 documents (labelled ``quality = 1``), one over the whole corpus. A document's score is the mean over its n-grams of
-``ln p_trusted(bucket) - ln p_corpus(bucket)``, so it does not depend on length; it is kept if no base rule fails and the
+``ln p_trusted(bucket) - ln p_corpus(bucket)`` (trusted counts are smoothed towards the corpus shares), so it does not depend on length; it is kept if no base rule fails and the
 score reaches ``threshold``. The same threshold decides every document, and hashes are fixed, so runs agree.
 
 Defined cases: null text has no words and fails the base rules; the same row twice gets the same answer twice; an empty
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import save, sized, table
 
 BUCKETS = 1 << 16
-THRESHOLD = -0.1
+THRESHOLD = -0.107
 #: Words of a text up to which positions fit in the low bits of a sortable long.
 POSITION_BITS = 21
 
@@ -100,7 +100,9 @@ def gram_weights(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1
     dense = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, F.col("b") == F.col("bucket"), "left")
     pairs = F.sort_array(F.collect_list(F.struct("b", F.coalesce("trusted", F.lit(0)).alias("t"), F.coalesce("corpus", F.lit(0)).alias("c"))))
     one = dense.agg(F.coalesce(F.sum("trusted"), F.lit(0)).alias("nt"), F.coalesce(F.sum("corpus"), F.lit(0)).alias("nc"), pairs.alias("p"))
-    ratio = F.transform("p", lambda x: F.log((x["t"] + smoothing) / (F.col("nt") + smoothing * buckets)) - F.log((x["c"] + smoothing) / (F.col("nc") + smoothing * buckets)))
+    share = lambda x: x["c"] / F.col("nc")
+    prior = smoothing * buckets
+    ratio = F.transform("p", lambda x: F.when(x["c"] == 0, 0.0).otherwise(F.log((x["t"] + prior * share(x)) / (F.col("nt") + prior)) - F.log(share(x))))
     return one.select(F.when(F.col("nt") == 0, F.transform("p", lambda x: F.lit(0.0))).otherwise(ratio).alias("weights"))
 
 
