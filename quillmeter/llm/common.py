@@ -164,7 +164,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
             out.append(s[keep])
         elif b > a:
             whole = chained(h[a:b], b - a)
-            out.append(mix(whole + np.uint64(b - a) * _STEP[14]))
+            out.append(mix(whole + np.uint64(b - a) * _STEP[14:15]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

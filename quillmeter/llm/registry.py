@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup
+from .jaccard_join import op2_ngram_jaccard_join
 from .line_dedup import op6_line_dedup
 from .quality_rules import op3_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op6_line_dedup": op6_line_dedup,
 }
