@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import chat_format, line_dedup
+from .chat_format import op10_chat_prefix_targets
+from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op2_ngram_jaccard_join
 from .line_dedup import op6_line_dedup
 from .quality_rules import op3_quality_rules
@@ -15,8 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op10_chat_prefix_targets": op10_chat_prefix_targets,
 }
 
 SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.SQL,
+    "op10_chat_prefix_targets": chat_format.SQL,
 }
