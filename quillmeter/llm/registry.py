@@ -12,10 +12,12 @@ from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op2_ngram_jaccard_join
 from .line_dedup import op6_line_dedup
 from .quality_rules import op3_quality_rules
+from .token_counts import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_chat_prefix_targets": op10_chat_prefix_targets,
