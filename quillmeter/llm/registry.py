@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, mixing
+from . import chat_format, line_dedup, mixing, warc
 from .chat_format import op10_chat_prefix_targets
 from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op2_ngram_jaccard_join
@@ -14,11 +14,13 @@ from .line_dedup import op6_line_dedup
 from .mixing import op1_mixing_weights
 from .quality_rules import op3_quality_rules
 from .token_counts import op5_token_counts
+from .warc import op4_warc_writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing_weights": op1_mixing_weights,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc_writer": op4_warc_writer,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
@@ -27,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_mixing_weights": mixing.SQL,
+    "op4_warc_writer": warc.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op10_chat_prefix_targets": chat_format.SQL,
 }
