@@ -110,8 +110,11 @@ def slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, p
         at = to
 
 
-def word_hashes(texts: pa.Array, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of large_string rows, and each row's first word (n + 1 offsets)."""
+def word_hashes(texts: pa.Array, fold: bool, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of large_string rows, and each row's first word (n + 1 offsets).
+
+    ``breaks`` may name other bytes between words (256 flags).
+    """
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -119,7 +122,7 @@ def word_hashes(texts: pa.Array, fold: bool) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi]
     bounds = offsets - lo
-    word = ~_SPACE[data]
+    word = ~(_SPACE if breaks is None else breaks)[data]
     edges = np.unique(bounds)
     before = np.empty_like(word)
     before[0] = False

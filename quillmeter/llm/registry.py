@@ -14,6 +14,7 @@ from .line_dedup import op6_line_dedup
 from .mixing import op1_mixing_weights
 from .quality_rules import op3_quality_rules
 from .token_counts import op5_token_counts
+from .toxicity import op9_toxicity
 from .warc import op4_warc_writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_prefix_targets": op10_chat_prefix_targets,
 }
 
@@ -31,5 +33,6 @@ SQL: dict[str, str] = {
     "op1_mixing_weights": mixing.SQL,
     "op4_warc_writer": warc.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_prefix_targets": chat_format.SQL,
 }
