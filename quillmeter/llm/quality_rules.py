@@ -114,7 +114,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     n = F.size(words)
     windows = F.transform(_upto(n - 2), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
-    kept = [c for c in docs.columns if keep_columns or c == "doc_id"]
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
+    kept = [c for c in docs.columns if keep_columns and c not in made or c == "doc_id"]
     rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("__text"))
     rows = rows.withColumn("__w", _words(text))
     rows = rows.withColumn("__h", windows).withColumn("__l", lines).withColumn("__g", _grams(words, buckets)).withColumn("__weights", weights)

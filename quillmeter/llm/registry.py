@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, line_dedup, mixing, warc
 from .chat_format import op10_chat_prefix_targets
+from .cotrain import op8_cotrained_quality
 from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op2_ngram_jaccard_join
 from .line_dedup import op6_line_dedup
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_cotrained_quality": op8_cotrained_quality,
     "op9_toxicity": op9_toxicity,
     "op10_chat_prefix_targets": op10_chat_prefix_targets,
 }
@@ -33,6 +35,7 @@ SQL: dict[str, str] = {
     "op1_mixing_weights": mixing.SQL,
     "op4_warc_writer": warc.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op8_cotrained_quality": op8_cotrained_quality,
     "op9_toxicity": op9_toxicity,
     "op10_chat_prefix_targets": chat_format.SQL,
 }
