@@ -120,8 +120,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     rows = rows.withColumn("__w", _words(text))
     rows = rows.withColumn("__h", windows).withColumn("__l", lines).withColumn("__g", _grams(words, buckets)).withColumn("__weights", weights)
     score = F.when(F.size(grams) == 0, F.lit(0.0)).otherwise(F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("__weights"), g)) / F.size(grams))
-    rows = rows.select(
-        *kept,
+    counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -129,6 +128,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
         _repeated(words, F.col("__h")).alias("n_repeat_words"),
         score.alias("llr"),
     )
+    # A generator of one row: filters on the verdict stay above it. Pushed below, they would split the text anew for
+    # every element of the arrays.
+    rows = rows.select(*kept, F.inline(F.array(counts)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
