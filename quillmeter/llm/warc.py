@@ -108,7 +108,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, roll_bytes: int = R
     # Only the repeated payloads' small keys meet the rows.
     few = found.limit(500_001).count() <= 500_000
     rows = rows.join(F.broadcast(found) if few else found, (rows["page_id"] == F.col("__id")) & (sha == F.col("key")), "left")
-    dealt = rows.select("shard", "page_id", "url", "payload", "holder").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "payload", "url")
+    dealt = rows.select("shard", "page_id", "url", "payload", "holder").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "payload", "url")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
