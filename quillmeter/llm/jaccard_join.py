@@ -23,6 +23,7 @@ a null component; very long texts are whole; an empty table gives an empty resul
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from .components import components
 FREQUENT = 1 << 20
 #: Shingles in one block of a region, and rows of members that meet one copy of their pivot in a task.
 BLOCK, CHUNK = 1_000_000, 512
-MOST_BITS = 1 << 30
+MOST_BITS = 1 << 28
 #: Pairs up to which a side is broadcast (24 bytes each); above, the join shuffles.
 PAIRS = 500_000
 
@@ -62,8 +63,8 @@ def _frequent(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarra
         if total + row["count"] > most:
             break
         total, floor = total + row["count"], row["level"]
-    found = counts.where(level >= floor).toPandas() if total else pd.DataFrame({"h": [], "c": []})
-    h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+    found = counts.where(level >= floor).toArrow()
+    h, c = found["h"].to_numpy().view(np.uint64), found["c"].to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
     rank = np.empty(len(h), np.int64)
@@ -231,6 +232,29 @@ class _Region:
                 self.join(members[cell], depth + 1)
 
 
+def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the members ``x, p, n, shared_cells, ...`` of regions those that may link with another member.
+
+    Linked sets of sizes n and m overlap in at least ``o = t / (1 + t) * (n + m)`` shingles, and so share at least
+    ``min(o - t * n, o - t * m) + 1`` of the regions of their windows. None of these belongs to either of the two (else their
+    distance is known), so both must share that many regions with others. Sizes are compared in bins, by the least need
+    at a bin's ends; a member stays if a bin holds another one and each allows the other's bin. Nothing is paired.
+    """
+    t, step = num / den, math.log(1.02)
+    reach = math.ceil(math.log(1 / t) / step) + 1
+    place = lambda n: F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
+    need = lambda n, m: F.least(t / (1 + t) * (n + m) - t * n, t / (1 + t) * (n + m) - t * m) - 1  # noqa: E731  one less, for rounding
+    own = rows.withColumn("own", place(F.col("n")))
+    wide = own.select("x", "p", "n", "shared_cells", "own", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)).alias("other"))
+    start, end = F.exp(F.col("other") * step), F.exp((F.col("other") + 1) * step)
+    wide = wide.where(F.least(need(F.col("n"), start), need(F.col("n"), end)) <= F.col("shared_cells"))
+    held = wide.groupBy("p", "own", "other").agg(F.count("*").alias("m"))
+    back = held.select("p", F.col("other").alias("own"), F.col("own").alias("other"), F.col("m").alias("met"))
+    meets = held.join(back, ["p", "own", "other"]).where((F.col("own") != F.col("other")) | (F.col("met") > 1)).select("p", "own", "other")
+    stays = wide.select("x", "p", "own", "other").join(meets, ["p", "own", "other"], "left_semi").select("x", "p").distinct()
+    return rows.join(stays, ["x", "p"], "left_semi")
+
+
 def _region_links(star: DataFrame, members: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``x, y``: links among the members of pivots' regions that the pivots themselves do not settle."""
     eps = 1 - num / den
@@ -239,11 +263,11 @@ def _region_links(star: DataFrame, members: DataFrame, docs: DataFrame, k: int,
     known = known.withColumn("d", 1 - F.col("shared") / union).withColumn("linked", den * F.col("shared") >= num * union)
     rows = members.join(known.select("x", "p", "d", "linked"), ["x", "p"], "left")
     bound = 1 - F.least("n", "n_pivot") / F.greatest("n", "n_pivot")
-    rows = save(rows.select("x", "p", "n", F.coalesce("linked", F.lit(False)).alias("near"), F.coalesce("d", bound).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high")), "region-members")
+    rows = save(rows.select("x", "p", "n", "shared_cells", F.coalesce("linked", F.lit(False)).alias("near"), F.coalesce("d", bound).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high")), "region-members")
     open_ = rows.where(~F.col("near")).groupBy("p").agg(F.min("low").alias("nearest"), F.count("*").alias("m"))
     # Only members out of reach of the pivot, and linked ones in the boundary.
     left = lookup(rows, open_, "p", "m").where(F.col("nearest").isNotNull() & (~F.col("near") | (F.col("low") >= F.col("nearest") - eps - 1e-9))).drop("nearest")
-    left = save(left, "region-open")
+    left = save(_possible(left, num, den), "region-open")
     band = F.when(F.col("low") < F.col("high"), F.lit(-1)).otherwise(F.floor(F.col("low") * 2 / eps)).cast("int")
     sizes = left.groupBy("p").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1").withColumn("many", F.col("total") > BLOCK)
     banded = lookup(left, sizes.select("p", "many", "m"), "p", "m").where(F.col("many").isNotNull()).withColumn("band", F.when(F.col("many"), band).otherwise(F.lit(0)))
@@ -298,18 +322,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     twice = docs.sparkSession.sparkContext.broadcast(twice_filter(cells.select("cell"), filter_bits(expected, MOST_BITS)))
 
     @F.pandas_udf("boolean")
-    def shared(h: pd.Series) -> pd.Series:
+    def recurs(h: pd.Series) -> pd.Series:
         return pd.Series(seen_twice(twice.value, h.to_numpy().view("uint64")))
 
-    cells = save(cells.where(shared("cell")), "cells")
+    cells = save(cells.where(recurs("cell")), "cells")
     pivots = cells.groupBy("cell").agg(F.max(F.struct("hot", (-F.col("rep")).alias("minus"), "n")).alias("best"), F.count("*").alias("m")).where("m > 1")
-    pivots = pivots.select("cell", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("n_pivot"), "m")
-    members = lookup(cells, pivots, "cell", "m").where("p <> rep").select(F.col("rep").alias("x"), "p", "n", "n_pivot").distinct()
-    members = save(members, "members")
+    pivots = pivots.select("cell", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("n_pivot"), (F.col("m") > 2).alias("more"), "m")
+    members = lookup(cells, pivots, "cell", "m").where("p <> rep").select(F.col("rep").alias("x"), "p", "n", "n_pivot", "more")
+    members = save(members.groupBy("x", "p", "n", "n_pivot").agg(F.max("more").alias("more"), F.count_if("more").alias("cells")), "members")
+    shared = members.groupBy("x").agg(F.sum("cells").alias("shared_cells"))
     fits = F.least("n", "n_pivot") * den >= F.greatest("n", "n_pivot") * num
     star = save(_measure(members.where(fits).select("x", "p"), docs, k), "star")
     linked = star.where(den * F.col("shared") >= num * (F.col("nx") + F.col("np") - F.col("shared"))).select("x", F.col("p").alias("y"))
-    links = linked.union(_region_links(star, members, docs, k, num, den))
+    # A shingle that only two sets hold is settled by the one distance between them.
+    links = linked.union(_region_links(star, members.where("more").join(shared, "x"), docs, k, num, den))
     found = components(links).select(F.col("node").alias("rep"), "component")
     facts = classes.select("digest", "rep", "copies").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"), "copies")
     # A doc_id with several texts belongs to several classes, which it connects.
