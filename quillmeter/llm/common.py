@@ -285,9 +285,11 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, weight: str, hot: int =
     total = facts.agg(F.sum(weight)).first()[0] or 0
     limit = max(1000, total // hot)
     common = facts.where(F.col(weight) >= limit).select(F.col(key).alias("__k"), F.struct(*values).alias("__hot"))
-    rest = facts.where(F.col(weight) < limit).select(F.col(key).alias("__r"), F.lit(-1).alias("__s"), F.struct(*values).alias("__cold"))
+    # Always 0, but not a constant to the optimiser, which would drop it from the keys that rows are dealt by.
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    rest = facts.where(F.col(weight) < limit).select(F.col(key).alias("__r"), zero.alias("__s"), F.struct(*values).alias("__cold"))
     marked = rows.join(F.broadcast(common), rows[key].eqNullSafe(F.col("__k")), "left").drop("__k")
-    spread = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(4096)).cast("int")).otherwise(F.lit(-1))
+    spread = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(4096)).cast("int") + 1).otherwise(F.lit(0))
     marked = marked.withColumn("__t", spread)
     joined = marked.join(rest, (marked[key] == F.col("__r")) & (F.col("__t") == F.col("__s")), "left")
     picked = [F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in values]
