@@ -176,9 +176,6 @@ class UsageIndex:
 
 def stream_refresh(spark: SparkSession, index: UsageIndex, roots: list[str], checkpoint: str):
     """A file stream that refreshes the index with every batch of new or replaced files (whole-file recompute)."""
-    source = spark.readStream.schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(list(roots)[0])
+    paths = roots[0] if len(roots) == 1 else "{" + ",".join(roots) + "}"
+    source = spark.readStream.schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(paths)
     return source.writeStream.foreachBatch(lambda batch, _: index.refresh(roots)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def staged_counts(files: DataFrame) -> DataFrame:
-    return files.agg(F.sum("events_count").alias("events"), F.count("*").alias("files"))

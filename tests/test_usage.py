@@ -127,3 +127,12 @@ def test_cli(spark, tmp_path):
     assert main(["--nope"], out, err) == 1
     (tmp_path / "logs" / "e.jsonl.zst").write_bytes(b"")
     assert main(["--sessions", str(tmp_path / "logs")], io.StringIO(), err) == 2
+
+
+def test_stream_refreshes_the_index(spark, tmp_path):
+    from quillmeter.streaming.incremental import stream_refresh
+
+    fork(tmp_path / "logs")
+    index = UsageIndex(spark, str(tmp_path / "index"))
+    stream_refresh(spark, index, [str(tmp_path / "logs")], str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert index.canonical().count() == 1
