@@ -73,8 +73,18 @@ def _frequent(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: int = FREQUENT) -> DataFrame:
-    """``doc_id, n, digest, hot, prefix``: set size, class digest, frequent shingles per 1000, and the window of regions."""
+    """``doc_id, n, digest, hot, prefix``: set size, class digest, frequent shingles per 1000, and the window of regions.
+
+    The order of shingles: those not known to recur by hash, then those that recur in windows of a first pass by hash,
+    then frequent ones by count. So few windows hold shingles that other documents share.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, frequent))
+    first = _sign(docs, k, num, den, shared, None).select(F.explode("prefix").alias("cell"))
+    again = docs.sparkSession.sparkContext.broadcast(twice_filter(first, MOST_BITS))
+    return _sign(docs, k, num, den, shared, again)
+
+
+def _sign(docs: DataFrame, k: int, num: int, den: int, shared, again) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rank = shared.value
@@ -104,6 +114,9 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: int = FREQ
                         continue
                     r = ranks(s)
                     cold = s[r < 0]
+                    if again is not None:
+                        known = seen_twice(again.value, cold)
+                        cold = np.concatenate([cold[~known], cold[known]])
                     width = len(s) - -(-num * len(s) // den) + 1
                     if len(cold) < width:
                         warm = r >= 0
