@@ -129,8 +129,9 @@ class CoTrained:
     def fit(self, known, pool, rounds: int, confident: float, each: int) -> CoTrained:
         """``known``: (texts, source, lang, n_chars, quality) columns; ``pool``: the same without quality."""
         y = np.asarray(known[4], float)
-        arrays = [pa.array([*known[0], *pool[0]], pa.large_string()).fill_null("")]
-        bucket, at, shape = text_features(arrays[0])
+        parts = [text_features(p) for _, p in slices(pa.array([*known[0], *pool[0]], pa.large_string()))]
+        bucket, shape = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
         meta = meta_features([*known[1], *pool[1]], [*known[2], *pool[2]], [*known[3], *pool[3]])
         n, m = len(y), len(pool[0])
         calibrate = np.arange(n) % 3 == 2
