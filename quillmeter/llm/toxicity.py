@@ -1,14 +1,20 @@
 """Toxicity: class-conditional Kneser-Ney models of toxic and ordinary text.
 
-Bigram counts of both classes are gathered over all labelled rows that are not held out. Each class has an interpolated
-model: absolute-discounted bigrams (those seen at least ``cut`` times), then its discounted words, then backoff
-probabilities by continuation counts (how many different words precede a word) that both classes share; so an expression
-that one class has rarely or never seen costs both alike. Word tables are hashed to ``WORDS`` places, bigrams are kept up
-to ``PAIRS``, so what is broadcast has a fixed size at any input.
-
-A document's evidence is the log-likelihood ratio of the two models, normalised by length in two ways: its mean over the
-words, and what single words add above ``STRONG`` nats, over the root of the word count. A logistic curve fitted on
-``SAMPLE`` labelled rows (each judged without its own counts) turns both into a score from 0 to 1.
+Word and bigram counts of both classes are gathered over all labelled rows that are not held out, all of them, in written
+tables that grow with the corpus. Each class has an interpolated model: absolute-discounted bigrams, then its discounted
+words, then backoff probabilities by continuation counts (how many different words precede a word) that both classes
+share; so an expression that one class has rarely or never seen costs both alike.
+
+Documents are cut into blocks of at most ``BLOCK`` words. A block asks for its distinct bigrams and words only, dealt by
+hash, so a frequent one is asked for once a block and no task gets more than its share of the keys. What travels are
+packed sorted arrays, answered in the order asked.
+
+A document's evidence is the log-likelihood ratio of the two models, in three parts: its words by themselves, and what
+bigrams add to them that are seen ``OFTEN`` times or more, and all rarer ones. Each part is normalised by length in two
+ways: its mean over the words, and what single words add above ``STRONG`` nats, over the root of the word count. A logistic
+curve fitted on ``SAMPLE`` labelled rows weighs the six and gives a score from 0 to 1, so how far rare bigrams are to be
+trusted is learned, and none is left out. Every document that taught is judged without its own counts,
+in the fit and in the result.
 
 Defined cases: null or wordless text scores as a text without evidence; repeated rows are judged alike; labels that are
 null or of unknown documents teach nothing, a document with several labels is toxic if any is 1; without rows of both
@@ -18,7 +24,9 @@ nothing; further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,181 +35,381 @@ from pyspark.sql import functions as F
 
 from .common import mix, save, sized, slices, table, word_hashes
 
-WORDS, PAIRS, SAMPLE, CUT = 1 << 21, 1 << 20, 10_000, 5
-DISCOUNT, STRONG, THRESHOLD = 0.75, 3.0, 0.7
+SAMPLE, BLOCK = 10_000, 2_500_000
+DISCOUNT, STRONG, OFTEN, THRESHOLD = 0.75, 3.0, 5, 0.7
 #: Bytes between words: everything in ASCII but letters and digits.
 _BREAKS = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b > 127) for b in range(256)])
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
+_KEYS = "bucket int, block string, keys binary, counts binary"
+#: Counts of a word: words before it, toxic, plain; toxic and plain words after it, different ones of each.
+_WORD = 7
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int32)
+def _pack(a: np.ndarray) -> bytes:
+    """Columns of integers, compressed byte plane by byte plane; the first bytes tell shape and width."""
+    a = np.ascontiguousarray(np.atleast_2d(a))
+    head = np.array([*a.shape, a.itemsize], np.int64).tobytes()
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+    return head + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
 
 
-def _pairs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word with the one before it, and the bucket of that one (0 before a text's first word)."""
-    before = np.empty_like(h)
-    if len(h):
-        before[1:] = h[:-1]
-        firsts = at[:-1][at[:-1] < at[1:]]
-        before[firsts] = 0
-    return mix(before * _PAIR + h), _bucket(before)
+def _unpack(data: bytes) -> np.ndarray:
+    rows, n, width = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[24:], rows * n * width, asbytes=True), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view({8: np.uint64, 4: np.int32, 1: np.int8}[width]).reshape(rows, n)
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """``pair, word, before, n_toxic, n_plain`` over rows of (text, toxic)."""
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, words, befores, toxic = [], [], [], []
-            labels = batch.column(1).to_numpy(zero_copy_only=False)
-            for start, part in slices(batch.column(0)):
-                h, at = word_hashes(part, fold=True, breaks=_BREAKS)
-                key, before = _pairs(h, at)
-                keys.append(key)
-                words.append(_bucket(h))
-                befores.append(before)
-                toxic.append(np.repeat(labels[start : start + len(part)], np.diff(at)))
-            if not keys:
-                continue
-            keys, words, befores, toxic = (np.concatenate(x) for x in (keys, words, befores, toxic))
-            unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            t = np.bincount(inverse, weights=toxic, minlength=len(unique)).astype(np.int64)
-            n = np.bincount(inverse, minlength=len(unique)).astype(np.int64)
-            yield pa.record_batch([pa.array(unique.view(np.int64)), pa.array(words[first]), pa.array(befores[first]), pa.array(t), pa.array(n - t)], names=["pair", "word", "before", "n_toxic", "n_plain"])
-
-    counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(count, "pair long, word int, before int, n_toxic long, n_plain long")
-    return counted.groupBy("pair").agg(F.first("word").alias("word"), F.first("before").alias("before"), F.sum("n_toxic").alias("n_toxic"), F.sum("n_plain").alias("n_plain"))
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data)[0], dtype=np.uint64)
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.int8 if a.size == 0 or a.max() < 128 else np.int32 if a.max() < 1 << 31 else np.uint64)
+
+
+def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the 2**bits ranges of sorted keys begins, and the end."""
+    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+
+
+def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * _PAIR + word)
+
+
+def _befores(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each word's predecessor (0 before a text's first word)."""
+    before = np.zeros_like(h)
+    before[1:] = h[:-1]
+    before[at[:-1][at[:-1] < at[1:]]] = 0
+    return before
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Runs of rows: doc_ids (Arrow), marks (1 toxic, 0 plain, -1 untaught), word hashes and each row's first word."""
+    ids, marks, hashes, sizes, n = [], [], [], [], 0
+
+    def done():
+        at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        return pa.concat_arrays(ids), np.concatenate(marks), np.concatenate(hashes), at
+
+    for batch in batches:
+        toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        for start, part in slices(batch.column(1)):
+            h, at = word_hashes(part, fold=True, breaks=_BREAKS)
+            ids.append(batch.column(0).slice(start, len(part)))
+            marks.append(toxic[start : start + len(part)])
+            hashes.append(h)
+            sizes.append(np.diff(at))
+            n += len(h)
+            if n >= BLOCK:
+                yield done()
+                ids, marks, hashes, sizes, n = [], [], [], [], 0
+    if ids:
+        yield done()
+
+
+def _rows(names: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(names)
+
+
+def _keyed(bucket: list, block: list, keys: list, counts: list) -> pa.RecordBatch:
+    return _rows({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(block, pa.string()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted keys and their counts, a row for each bucket that has any."""
+    at = _cuts(keys, bits)
+    full = np.flatnonzero(np.diff(at))
+    return _keyed(full, [None] * len(full), [_pack_sorted(keys[at[i] : at[i + 1]]) for i in full], [_pack(_small(counts[:, at[i] : at[i + 1]])) for i in full])
 
 
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unique, inverse = np.unique(keys, return_inverse=True)
+    return unique, np.array([np.bincount(inverse, weights=c, minlength=len(unique)) for c in counts], np.float64).astype(np.int64)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """Bucket and its (keys, counts) of sorted rows."""
+    current, rows = None, []
+    for batch in batches:
+        for bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts")), strict=True):
+            if bucket != current and rows:
+                yield current, rows
+                rows = []
+            current = bucket
+            rows.append((keys, counts))
+    if rows:
+        yield current, rows
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def pair_counts(rows: DataFrame, bits: int) -> DataFrame:
+    """Buckets of (before, word) and (toxic, plain) counts over rows of (doc_id, text, toxic)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, marks, h, at in _blocks(batches):
+            before, toxic = _befores(h, at), np.repeat(marks, np.diff(at))
+            _, first, inverse = np.unique(_pair_keys(before, h), return_index=True, return_inverse=True)
+            t = np.bincount(inverse, weights=toxic, minlength=len(first)).astype(np.int64)
+            counts = np.array([t, np.bincount(inverse, minlength=len(first)) - t])
+            before, word = before[first], h[first]
+            bucket = (_pair_keys(before, word) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.lexsort((before, word, bucket))
+            ends = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+            full = np.flatnonzero(np.diff(ends))
+            runs = [order[ends[i] : ends[i + 1]] for i in full]
+            yield _keyed(full, [None] * len(full), [_pack(np.array([before[r], np.diff(word[r], prepend=np.uint64(0))])) for r in runs], [_pack(_small(counts[:, r])) for r in runs])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            keys = [_unpack(k) for k, _ in rows]
+            before = np.concatenate([k[0] for k in keys])
+            word = np.concatenate([np.cumsum(k[1], dtype=np.uint64) for k in keys])
+            pair = _pair_keys(before, word)
+            unique, counts = _sums(pair, np.concatenate([_unpack(c) for _, c in rows], axis=1))
+            _, first = np.unique(pair, return_index=True)
+            yield _rows({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([None], pa.string()), "keys": [_pack_sorted(unique)], "counts": [_pack(_small(counts))], "ends": [_pack(np.array([before[first], word[first]]))]})
+
+    return _together(rows.select("doc_id", "text", "toxic").mapInArrow(count, _KEYS)).mapInArrow(merge, _KEYS + ", ends binary")
+
+
+def word_counts(pairs: DataFrame, bits: int) -> DataFrame:
+    """Buckets of words and their ``_WORD`` counts."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for counts, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, (before, word) = _unpack(counts).astype(np.int64), _unpack(ends)
+                one, none = np.ones(n.shape[1], np.int64), np.zeros(n.shape[1], np.int64)
+                of_word = np.array([one, *n, none, none, none, none])
+                of_before = np.array([none, none, none, *n, *(n > 0)])
+                held.append(_sums(np.concatenate([word, before]), np.concatenate([of_word, of_before], axis=1)))
+                size += len(held[-1][0])
+                if size >= BLOCK:
+                    yield _dealt(*_sums(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True))), bits)
+                    held, size = [], 0
+        if held:
+            yield _dealt(*_sums(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True))), bits)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            keys, counts = _sums(np.concatenate([_unpack_sorted(k) for k, _ in rows]), np.concatenate([_unpack(c) for _, c in rows], axis=1))
+            totals = [counts[1].sum(), counts[2].sum(), (counts[1] > 0).sum(), (counts[2] > 0).sum(), counts[0].sum(), (counts[0] > 0).sum()]
+            yield _rows({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([None], pa.string()), "keys": [_pack_sorted(keys)], "counts": [_pack(_small(counts))], "totals": pa.array([totals], pa.list_(pa.int64()))})
+
+    return _together(pairs.select("counts", "ends").mapInArrow(parts, _KEYS)).mapInArrow(merge, _KEYS + ", totals array<long>")
+
+
+def _answers(asked: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """``block, bucket, counts`` for every row of asked keys, in their order; keys that are not known count 0."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, table, counts = None, None, None
+        for batch in batches:
+            out = []
+            for bucket, block, keys, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != current:
+                    current, table, counts = bucket, np.zeros(0, np.uint64), np.zeros((width, 0), np.int64)
+                if block is None:
+                    table, counts = _unpack_sorted(keys), _unpack(values)
+                    continue
+                keys = _unpack_sorted(keys)
+                found = np.zeros((width, len(keys)), np.int64)
+                if len(table):
+                    spot = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+                    hit = table[spot] == keys
+                    found[:, hit] = counts[:, spot[hit]]
+                out.append((block, bucket, _pack(_small(found))))
+            if out:
+                yield _rows({"block": [x[0] for x in out], "bucket": pa.array([x[1] for x in out], pa.int32()), "counts": [x[2] for x in out]})
+
+    both = asked.select("bucket", "block", "keys", "counts").unionByName(known.select("bucket", "block", "keys", "counts"))
+    both = both.repartition("bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first())
+    return both.mapInArrow(answer, "block string, bucket int, counts binary")
+
+
+@dataclass
 class Model:
-    """Both classes' tables, of fixed size; ``ratio`` gives log P(toxic) - log P(ordinary) for every word of a text."""
-
-    def __init__(self, words, pairs):
-        """``words``: (word, types, n_toxic, n_plain) arrays; ``pairs``: (pair, before, n_toxic, n_plain) arrays."""
-        word, types, *counts = words
-        self.types = np.zeros(WORDS, np.float32)
-        self.types[word] = types
-        self.n = np.zeros((2, WORDS), np.float32)
-        for c in (0, 1):
-            self.n[c][word] = counts[c]
-        order = np.argsort(pairs[0].view(np.uint64))
-        self.pair = pairs[0].view(np.uint64)[order]
-        self.pair_n = np.array([pairs[2][order], pairs[3][order]], np.float32)
-        self.kept = np.zeros((2, WORDS), np.float32)
-        for c in (0, 1):
-            np.add.at(self.kept[c], pairs[1][order], np.maximum(self.pair_n[c] - DISCOUNT, 0))
-        self.total = self.n.sum(axis=1, dtype=np.float64)
-        self.seen = (self.n > 0).sum(axis=1)
-        self.all_types = float(self.types.sum())
-        self.before = np.zeros((2, WORDS), np.float32)
-        self.curve = np.array([-20.0, 0.0, 0.0])
-        top = (self.pair >> np.uint64(40)).astype(np.int64)
-        self.bits = np.zeros(1 << 21, np.uint8)
-        np.bitwise_or.at(self.bits, top >> 3, (1 << (top & 7)).astype(np.uint8))
+    """Both classes' written tables, ``totals`` and the curve; ``n`` holds the words of each class by bucket."""
+
+    pairs: DataFrame
+    words: DataFrame
+    taught: DataFrame
+    bits: int
+    n: np.ndarray
+    #: Toxic and plain words, different toxic and plain words, different pairs, different words.
+    totals: np.ndarray
+    curve: np.ndarray = field(default_factory=lambda: np.array([-20.0] + [0.0] * 6))
 
     def ready(self) -> bool:
-        return bool((self.total > 0).all())
-
-    def ratio(self, h: np.ndarray, at: np.ndarray, own: tuple[np.ndarray, int] | None = None) -> np.ndarray:
-        """``own``: how often each word is in the text itself, and the class whose counts hold these."""
-        w = _bucket(h)
-        key, v = _pairs(h, at)
-        shared = (self.types[w] + 1) / (self.all_types + WORDS)
-        t = (key >> np.uint64(40)).astype(np.int64)
-        maybe = np.flatnonzero((self.bits[t >> 3] >> (t & 7).astype(np.uint8)) & 1)
-        spot = np.minimum(np.searchsorted(self.pair, key[maybe]), max(len(self.pair) - 1, 0))
-        hit = self.pair[spot] == key[maybe] if len(self.pair) else np.zeros(0, bool)
-        rows, spot = maybe[hit], spot[hit]
-        out = []
-        for c in (0, 1):
-            n = self.n[c][w]
-            if own is not None and own[1] == c:
-                n = np.maximum(n - own[0], 0)
-            p = np.maximum(n - DISCOUNT, 0) / self.total[c] + DISCOUNT * self.seen[c] / self.total[c] * shared
-            context = np.maximum(self.n[c][v], self.kept[c][v])
-            gamma = np.where(context > 0, 1 - self.kept[c][v] / np.maximum(context, 1), 1)
-            p = gamma * p
-            p[rows] += np.maximum(self.pair_n[c][spot] - DISCOUNT, 0) / np.maximum(context[rows], 1)
-            out.append(np.log(np.maximum(p, 1e-30)))
-        return out[0] - out[1]
-
-    @staticmethod
-    def features(ratio: np.ndarray, at: np.ndarray) -> np.ndarray:
-        n = np.diff(at)
-        sums = np.concatenate([[0.0], np.cumsum(ratio)])
-        strong = np.concatenate([[0.0], np.cumsum(np.maximum(ratio - STRONG, 0))])
-        return np.stack([np.ones(len(n)), (sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1), (strong[at[1:]] - strong[at[:-1]]) / np.sqrt(np.maximum(n, 1))], axis=1)
-
-    def score(self, texts: pa.Array) -> np.ndarray:
-        if not self.ready():
-            return np.zeros(len(texts))
-        h, at = word_hashes(texts, fold=True, breaks=_BREAKS)
-        return 1 / (1 + np.exp(-np.clip(self.features(self.ratio(h, at), at) @ self.curve, -30, 30)))
-
-    def fit(self, texts: list[str], toxic: np.ndarray) -> None:
-        """The logistic curve, by Newton steps with a weak pull to 0."""
-        rows = []
-        for text, y in zip(texts, toxic, strict=True):
-            h, at = word_hashes(pa.array([text], pa.large_string()), fold=True, breaks=_BREAKS)
-            _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-            own = counts[inverse].astype(np.float32) if len(h) else np.zeros(0, np.float32)
-            rows.append(self.features(self.ratio(h, at, (own, 0 if y else 1)), at)[0])
-        x, y = np.array(rows), toxic.astype(float)
+        return bool((self.totals[:2] > 0).all())
+
+    def fit(self, x: np.ndarray, toxic: np.ndarray) -> None:
+        """The logistic curve over rows of features, by Newton steps with a weak pull to 0."""
+        x, y = np.column_stack([np.ones(len(x)), x]), toxic.astype(float)
         scale = np.maximum(np.abs(x).mean(axis=0), 1e-9)
-        x, b, pull = x / scale, np.zeros(3), 1e-2
+        x, b, pull = x / scale, np.zeros(x.shape[1]), 1e-2
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(3), x.T @ (p - y) + pull * b)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(b)), x.T @ (p - y) + pull * b)
             b = b - step
             if np.abs(step).max() < 1e-8:
                 break
         self.curve = b / scale
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: int = CUT) -> Model:
+def _ratio(w, v, pair, doc, marks, vocab_counts, pair_n, totals) -> np.ndarray:
+    """log P(toxic) - log P(ordinary) of every word by itself, and what frequent and rare bigrams add to it.
+
+    ``w``, ``v``, ``pair``, ``doc`` are places a word.
+    """
+
+    def own(places):
+        _, first, inverse, counts = np.unique(doc * (np.int64(places.max()) + 1) + places, return_index=True, return_inverse=True, return_counts=True)
+        return first, inverse, counts[inverse]
+
+    if not len(w):
+        return np.zeros((3, 0))
+    first, _, own_pair = own(pair)
+    by_word, by_before = own(w), own(v)
+    sizes = np.bincount(doc, minlength=len(marks))[doc]
+    mark = marks[doc]
+    taught = mark >= 0
+
+    def alone(inverse, flags):
+        """Pairs of the document that nothing else has, by its words (or the words before)."""
+        return np.bincount(inverse[first], weights=flags[first], minlength=inverse.max() + 1)[inverse]
+
+    types = vocab_counts[0][w] - alone(by_word[1], taught & (pair_n.sum(axis=0)[pair] == own_pair))
+    shared = (types + 1) / (totals[4] + totals[5] + 1)
+    out = []
+    for c in (0, 1):
+        mine = mark == 1 - c
+        n_pair = pair_n[c][pair]
+        follow = vocab_counts[3 + c][v] - mine * by_before[2]
+        different = vocab_counts[5 + c][v] - alone(by_before[1], mine & (n_pair == own_pair))
+        n = vocab_counts[1 + c][w] - mine * by_word[2]
+        total = np.maximum(totals[c] - mine * sizes, 1)
+        p = np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * totals[2 + c] / total * shared
+        gamma = np.where(follow > 0, DISCOUNT * different / np.maximum(follow, 1), 1)
+        both = gamma * p + np.maximum(n_pair - mine * own_pair - DISCOUNT, 0) / np.maximum(follow, 1)
+        out.append((np.log(np.maximum(p, 1e-30)), np.log(np.maximum(both, 1e-30))))
+    word, full = (out[0][i] - out[1][i] for i in (0, 1))
+    often = pair_n.sum(axis=0)[pair] - taught * own_pair >= OFTEN
+    return np.array([word, np.where(often, full - word, 0), np.where(often, 0, full - word)])
+
+
+def features(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, toxic, evidence`` (means, then strong ones) for every row of ``docs``; toxic is -1 if the row taught nothing."""
+    bits, totals = model.bits, model.totals
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, marks, h, at in _blocks(batches):
+            vocab, places = np.unique(h, return_inverse=True)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield _rows({"block": [uuid.uuid4().hex], "ids": listed, "words": [_pack(places.astype(np.int32))], "vocab": [_pack_sorted(vocab)], "rows": [_pack(np.array([marks + 1, np.diff(at)], np.int32))]})
+
+    def load(words, vocab, rows):
+        """Vocabulary with 0 first, places of each word and the one before in it, pairs and their places, rows."""
+        vocab = np.concatenate([np.zeros(1, np.uint64), _unpack_sorted(vocab)])
+        w, (marks, sizes) = _unpack(words)[0].astype(np.int64) + 1, _unpack(rows).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        v = _befores(w, at)
+        pairs, place = np.unique(_pair_keys(vocab[v], vocab[w]), return_inverse=True)
+        return vocab, w, v, pairs, place, marks - 1, at
+
+    def ask(which: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "vocab", "rows")), strict=True):
+                    keys = load(*rest)[which]
+                    at = _cuts(keys, bits)
+                    full = np.flatnonzero(np.diff(at))
+                    yield _keyed(full, [block] * len(full), [_pack_sorted(keys[at[i] : at[i + 1]]) for i in full], [None] * len(full))
+
+        return run
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, got = None, {}
+
+        def done():
+            ids, *rest = got["rows"]
+            vocab, w, v, pairs, place, marks, at = load(*rest)
+            sized_ = np.diff(at)
+            ratio = _ratio(w, v, place, np.repeat(np.arange(len(sized_)), sized_), marks, np.concatenate(got[2], axis=1).astype(np.float64), np.concatenate(got[1], axis=1).astype(np.float64), totals) if len(w) else np.zeros((3, 0))
+            sums = np.concatenate([np.zeros((6, 1)), np.cumsum(np.concatenate([ratio, np.maximum(ratio - STRONG, 0)]), axis=1)], axis=1)
+            n = np.maximum(sized_, 1)
+            found = (sums[:, at[1:]] - sums[:, at[:-1]]) / np.concatenate([[n] * 3, [np.sqrt(n)] * 3])
+            return _rows({"doc_id": pa.array(ids, pa.int64()), "toxic": pa.array(marks, pa.int32()), "evidence": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 6, pa.int32()), pa.array(found.T.ravel()))})
+
+        for batch in batches:
+            for key, kind, counts, ids, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "counts", "ids", "words", "vocab", "rows")), strict=True):
+                if key != block and block is not None:
+                    yield done()
+                    got = {}
+                block = key
+                if kind == 0:
+                    got["rows"] = (ids, *rest)
+                else:
+                    got.setdefault(kind, []).append(_unpack(counts))
+        if block is not None:
+            yield done()
+
+    marked = docs.select(F.col("doc_id").cast("long"), "text").join(sized(model.taught), F.col("doc_id") == F.col("__id"), "left")
+    marked = marked.select("doc_id", "text", F.when(F.col("text").isNotNull(), F.coalesce("toxic", F.lit(-1))).otherwise(-1).cast("int").alias("toxic"))
+    blocks = save(marked.mapInArrow(store, "block string, ids array<long>, words binary, vocab binary, rows binary"), "toxicity-blocks")
+    found = []
+    for kind, which, known, width in ((1, 3, model.pairs, 2), (2, 0, model.words, _WORD)):
+        asked = blocks.select("block", "words", "vocab", "rows").mapInArrow(ask(which), _KEYS)
+        found.append(save(_answers(asked, known, width), "toxicity-counts").withColumn("kind", F.lit(kind)))
+    rows = blocks.withColumn("kind", F.lit(0)).unionByName(found[0], True).unionByName(found[1], True)
+    rows = rows.repartition("block").sortWithinPartitions("block", "kind", "bucket")
+    return rows.mapInArrow(judge, "doc_id long, toxic int, evidence array<double>")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the rows of ``docs`` that have a label and are not held out."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
     taught = marks.where(~held_out(F.col("__id")))
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(10, (size >> 22).bit_length())
     rows = texts.join(sized(taught), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
-    counts = pair_counts(rows)
-    often = F.col("n_toxic") + F.col("n_plain") >= cut
-    # Rare pairs only count as continuations of their word.
-    folded = counts.groupBy(F.when(often, F.col("pair")).alias("pair"), "word", F.when(often, F.col("before")).alias("before"))
-    folded = save(folded.agg(F.count("*").alias("types"), F.sum("n_toxic").alias("n_toxic"), F.sum("n_plain").alias("n_plain")), "pair-counts")
-    words = folded.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("types", "n_toxic", "n_plain"))).toArrow()
-    kept = folded.where(F.col("pair").isNotNull()).withColumn("n", F.col("n_toxic") + F.col("n_plain"))
-    level = F.floor(F.log2("n") * 4).cast("int")
-    total, floor = 0, 1 << 30
-    for row in kept.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if total + row["count"] > PAIRS:
-            break
-        total, floor = total + row["count"], row["level"]
-    pairs = kept.where(level >= floor).select("pair", "before", "n_toxic", "n_plain").toArrow()
-    model = Model([words[c].to_numpy() for c in ("word", "types", "n_toxic", "n_plain")], [pairs[c].to_numpy().astype(np.int64 if c == "pair" else np.int32 if c == "before" else np.float32) for c in ("pair", "before", "n_toxic", "n_plain")])
+    pairs = save(pair_counts(rows, bits), "pair-counts")
+    words = save(word_counts(pairs, bits), "word-counts")
+    n, totals = np.zeros((2, 1 << bits), np.int64), np.zeros(6, np.int64)
+    for row in words.select("bucket", "totals").collect():
+        n[:, row.bucket] = row.totals[:2]
+        totals += np.array(row.totals)
+    model = Model(pairs, words, taught, bits, n, totals)
     if model.ready():
         chosen = taught.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-        known = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "toxic").toPandas()
+        known = features(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text"), model).toPandas()
         if known["toxic"].nunique() == 2:
-            model.fit(known["text"].tolist(), known["toxic"].to_numpy())
+            model.fit(np.array(known["evidence"].tolist()), known["toxic"].to_numpy())
     return model
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, part in slices(batch.column(1)):
-                yield pa.record_batch([batch.column(0).slice(start, len(part)), pa.array(shared.value.score(part))], names=["doc_id", "score"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, "doc_id long, score double")
+    if model.ready():
+        logit = F.lit(float(model.curve[0])) + sum((float(b) * F.get("evidence", F.lit(i)) for i, b in enumerate(model.curve[1:])), F.lit(0.0))
+        logit = F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))
+        scored = features(docs, model).select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"))
+    else:
+        scored = docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -194,3 +194,28 @@ def test_only_the_reply_is_trained(spark):
 def test_manifest_is_json(spark, tmp_path):
     warc.write(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), f"file://{tmp_path}/m")
     assert json.loads((tmp_path / "m" / "manifest.json").read_text())["files"][0]["records"] == 1
+
+
+def test_rare_toxic_pairs_are_evidence(spark):
+    # All words are as frequent in both classes; only pairs tell them apart, most of them seen fewer than five times.
+    r = random.Random(13)
+
+    def text(toxic):
+        pairs = [(r.randrange(30), r.randrange(15)) for _ in range(8)]
+        return " zz ".join(f"left{a} right{2 * b + (a + toxic) % 2}" for a, b in pairs)
+
+    marks = [i % 2 for i in range(300)]
+    docs = documents(spark, [text(t) for t in marks])
+    model = toxicity.train(docs, spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int"))
+    got = {x.doc_id: x.score for x in toxicity.toxicity(docs, model).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] > 0.5) == marks[i] for i in held]) > 0.85
+
+
+def test_toxicity_tables_hold_every_pair(spark):
+    texts = [prose(random.Random(i), 40) for i in range(30)]
+    docs = documents(spark, texts)
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int"))
+    words = [t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert model.totals[4] == len({p for w in words for p in zip([None, *w], w, strict=False)})
+    assert model.totals[5] == len({x for w in words for x in w})
