@@ -1,9 +1,11 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio, all in built-in expressions.
 
 Two multinomials over ``buckets`` hashed word unigrams and bigrams are counted over all documents: one over the trusted
-documents (labelled ``quality = 1``), one over the whole corpus. A document's score is the mean over its n-grams of
-``ln p_trusted(bucket) - ln p_corpus(bucket)`` (trusted counts are smoothed towards the corpus shares), so it does not depend on length; it is kept if no base rule fails and the
-score reaches ``threshold``. The same threshold decides every document, and hashes are fixed, so runs agree.
+documents (labelled ``quality = 1``), one over the whole corpus. In the trusted one each language has its share of the
+corpus and is smoothed towards its own corpus shares. A document's score is the mean over its n-grams of
+``ln p_trusted(bucket) - ln p_corpus(bucket)``, so it does not depend on length; it is kept if no base rule fails and the
+score reaches the threshold. The query and the pipeline score trusted documents without their own counts and derive the
+threshold from these scores. The same threshold decides every document, and hashes are fixed, so runs agree.
 
 Defined cases: null text has no words and fails the base rules; the same row twice gets the same answer twice; an empty
 table gives an empty result; further columns are ignored; without trusted documents every score is 0 (kept by the method).
@@ -19,6 +21,8 @@ from .common import save, sized, table
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.107
+#: How far below the mean of trusted documents the derived threshold is, in standard deviations.
+DEVIATIONS = 4.0
 #: Words of a text up to which positions fit in the low bits of a sortable long.
 POSITION_BITS = 21
 
@@ -85,41 +89,89 @@ def _grams(words: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
+def _trusted(labels: DataFrame) -> DataFrame:
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__good")).distinct()
+
+
+def _lang(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+
+
 def gram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``bucket, trusted, corpus``: n-gram counts of the trusted and of all documents, over the whole tables."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__good")).distinct()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
-    rows = rows.join(sized(good), F.col("doc_id") == F.col("__good"), "left")
-    rows = rows.select(F.col("__good").isNotNull().cast("long").alias("t"), _words(F.col("__text")).alias("w"))
-    return rows.select("t", F.explode(_grams(F.col("w"), buckets)).alias("bucket")).groupBy("bucket").agg(F.sum("t").alias("trusted"), F.count("*").alias("corpus"))
+    """``lang, bucket, trusted, corpus``: n-gram counts of the trusted and of all documents, over the whole tables."""
+    rows = docs.select("doc_id", _lang(docs).alias("__lang"), F.coalesce("text", F.lit("")).alias("__text"))
+    rows = rows.join(sized(_trusted(labels)), F.col("doc_id") == F.col("__good"), "left")
+    rows = rows.select(F.col("__lang").alias("lang"), F.col("__good").isNotNull().cast("long").alias("t"), _words(F.col("__text")).alias("w"))
+    return rows.select("lang", "t", F.explode(_grams(F.col("w"), buckets)).alias("bucket")).groupBy("lang", "bucket").agg(F.sum("t").alias("trusted"), F.count("*").alias("corpus"))
 
 
-def gram_weights(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
-    """One row, one array of ``buckets`` log ratios (its size does not depend on the input)."""
+def lang_shares(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
+    """``lang, unit, nc``: what one trusted n-gram of a language adds to the trusted shares, and its n-grams."""
+    sums = counts.groupBy("lang").agg(F.sum("trusted").alias("nt"), F.sum("corpus").alias("nc"))
+    total = sums.agg(F.sum("nc").alias("all"))
+    return sums.crossJoin(F.broadcast(total)).select("lang", (F.col("nc") / F.col("all") / (F.col("nt") + smoothing * buckets)).alias("unit"), "nc")
+
+
+def gram_weights(counts: DataFrame, shares: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
+    """One row, two arrays of ``buckets``: log ratios and trusted shares (their size does not depend on the input).
+
+    Each language has the weight in the trusted shares that it has in the corpus, and is smoothed towards its own corpus
+    shares; so languages with few or no trusted documents are not far from 0.
+    """
     spark = counts.sparkSession
-    dense = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, F.col("b") == F.col("bucket"), "left")
-    pairs = F.sort_array(F.collect_list(F.struct("b", F.coalesce("trusted", F.lit(0)).alias("t"), F.coalesce("corpus", F.lit(0)).alias("c"))))
-    one = dense.agg(F.coalesce(F.sum("trusted"), F.lit(0)).alias("nt"), F.coalesce(F.sum("corpus"), F.lit(0)).alias("nc"), pairs.alias("p"))
-    share = lambda x: x["c"] / F.col("nc")
     prior = smoothing * buckets
-    ratio = F.transform("p", lambda x: F.when(x["c"] == 0, 0.0).otherwise(F.log((x["t"] + prior * share(x)) / (F.col("nt") + prior)) - F.log(share(x))))
-    return one.select(F.when(F.col("nt") == 0, F.transform("p", lambda x: F.lit(0.0))).otherwise(ratio).alias("weights"))
+    cells = counts.join(sized(shares).withColumnRenamed("lang", "__l"), F.col("lang") == F.col("__l"))
+    cells = cells.groupBy("bucket").agg(F.sum(F.col("unit") * (F.col("trusted") + prior * F.col("corpus") / F.col("nc"))).alias("p"), F.sum("corpus").alias("c"))
+    dense = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(cells, F.col("b") == F.col("bucket"), "left")
+    pairs = F.sort_array(F.collect_list(F.struct("b", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("c", F.lit(0)).alias("c"))))
+    one = dense.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("nc"), pairs.alias("x"))
+    ratio = F.transform("x", lambda x: F.when(x["c"] == 0, 0.0).otherwise(F.log(x["p"]) - F.log(x["c"] / F.col("nc"))))
+    return one.select(F.struct(ratio.alias("weights"), F.transform("x", lambda x: x["p"]).alias("shares")).alias("model"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """Judge every row of ``docs``; ``keep_columns`` carries the input's columns along (under their own names)."""
+def _alone(grams: Column, weights: Column, shares: Column, unit: Column) -> Column:
+    """Sum of log ratios of a trusted text's n-grams with the text's own counts taken out of the trusted shares."""
+
+    def ended(acc: Column) -> Column:
+        left = F.greatest(1 - unit * acc["n"] / F.get(shares, acc["g"]), F.lit(1e-9))
+        return acc["sum"] + acc["n"] * (F.get(weights, acc["g"]) + F.log(left))
+
+    def step(acc: Column, g: Column) -> Column:
+        same = acc["g"] == g
+        return F.struct(g.alias("g"), F.when(same, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), F.when(same | (acc["n"] == 0), acc["sum"]).otherwise(ended(acc)).alias("sum"))
+
+    start = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"))
+    return F.aggregate(F.sort_array(grams), start, step, ended) - F.size(grams) * F.log(F.greatest(1 - unit * F.size(grams), F.lit(1e-9)))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = THRESHOLD, keep_columns: bool = False) -> DataFrame:
+    """Judge every row of ``docs``; ``keep_columns`` carries the input's columns along (under their own names).
+
+    With ``threshold`` None, trusted documents are judged without their own counts, and the threshold is ``DEVIATIONS``
+    standard deviations below the mean of the trusted documents that pass the base rules.
+    """
     # A subquery's value becomes a constant of the plan; it may not stand inside a lambda, so it gets a column.
-    weights = gram_weights(save(gram_counts(docs, labels, buckets), "gram-counts"), buckets).scalar()
+    counted = save(gram_counts(docs, labels, buckets), "gram-counts")
+    shares = lang_shares(counted, buckets)
+    model = gram_weights(counted, shares, buckets).scalar()
     words, text, grams = F.col("__w"), F.col("__text"), F.col("__g")
     n = F.size(words)
     windows = F.transform(_upto(n - 2), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
     kept = [c for c in docs.columns if keep_columns and c not in made or c == "doc_id"]
-    rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("__text"))
+    rows, unit = docs.withColumn("__lang", _lang(docs)), F.lit(None).cast("double")
+    if threshold is None:
+        rows = rows.join(sized(_trusted(labels)), F.col("doc_id") == F.col("__good"), "left")
+        rows = rows.join(sized(shares.select(F.col("lang").alias("__l"), F.col("unit").alias("__unit"))), F.col("__lang") == F.col("__l"), "left")
+        unit = F.when(F.col("__good").isNotNull(), F.col("__unit"))
+    rows = rows.select(*kept, F.coalesce("text", F.lit("")).alias("__text"), unit.alias("__own"))
     rows = rows.withColumn("__w", _words(text))
-    rows = rows.withColumn("__h", windows).withColumn("__l", lines).withColumn("__g", _grams(words, buckets)).withColumn("__weights", weights)
-    score = F.when(F.size(grams) == 0, F.lit(0.0)).otherwise(F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("__weights"), g)) / F.size(grams))
+    rows = rows.withColumn("__h", windows).withColumn("__l", lines).withColumn("__g", _grams(words, buckets)).withColumn("__model", model)
+    rows = rows.withColumn("__weights", F.col("__model.weights")).withColumn("__shares", F.col("__model.shares"))
+    plain = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("__weights"), g))
+    sums = plain if threshold is not None else F.when(F.col("__own").isNull(), plain).otherwise(_alone(grams, F.col("__weights"), F.col("__shares"), F.col("__own")))
+    score = F.when(F.size(grams) == 0, F.lit(0.0)).otherwise(sums / F.size(grams))
     counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
@@ -130,10 +182,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     )
     # A generator of one row: filters on the verdict stay above it. Pushed below, they would split the text anew for
     # every element of the arrays.
-    rows = rows.select(*kept, F.inline(F.array(counts)))
+    rows = rows.select(*kept, F.col("__own").isNotNull().alias("__known"), F.inline(F.array(counts)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    rows = rows.withColumn("base_failed", failed)
+    least = F.lit(threshold)
+    if threshold is None:
+        rows = save(rows, "quality-scores")
+        known = rows.where(F.col("__known") & ~F.col("base_failed")).agg(F.avg("llr").alias("mean"), F.coalesce(F.stddev_pop("llr"), F.lit(0.0)).alias("sd"))
+        # Without trusted documents every score is 0, and all is kept.
+        mean, sd = known.first()
+        least = F.lit(0.0 if mean is None else mean - DEVIATIONS * sd - 1e-9)
+    return rows.drop("__known").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=None)

@@ -171,3 +171,25 @@ def test_pieces_make_up_the_item():
         for budget in (0, 1, 5, 40):
             parts = decontaminate.pieces(text, budget)
             assert "".join(p for _, p in parts) == text and len(parts) == budget + 1
+
+
+def test_sparse_trust_keeps_clean_documents(spark, tmp_path):
+    # Half of the English and a tenth of the Spanish documents are trusted; the others are made alike.
+    r = random.Random(17)
+    docs = documents(spark, [prose(r, 120) for _ in range(160)]).withColumn("lang", F.when(F.col("doc_id") < 120, "en").otherwise("es"))
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(160) if i % (2 if i < 120 else 10) == 0], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    rows = quality_rules.op3_quality_rules(spark, folder).collect()
+    assert len(rows) == 160 and all(x.kept for x in rows)
+
+
+def test_trusted_documents_are_judged_without_their_own_counts(spark):
+    r = random.Random(18)
+    texts = [prose(r, r.randint(1, 90), "abc") for _ in range(20)]
+    docs, labels = documents(spark, texts), spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    got = {x.doc_id: x.llr for x in quality_rules.quality_rules(docs, labels, 1 << 8, threshold=None).collect()}
+    for i in (0, 4, 9):
+        # The same corpus with one trusted document less.
+        rest = labels.where(F.col("doc_id") != i)
+        assert math.isclose(got[i], {x.doc_id: x.llr for x in quality_rules.quality_rules(docs, rest, 1 << 8).collect()}[i], abs_tol=1e-9)
