@@ -1,13 +1,14 @@
 """Quality classifier by co-training of two views.
 
 The content view sees a text's words (hashed) and its shape: capitals, symbols, repeated words, line breaks. The metadata
-view sees source, language and length class only. Both start from a bounded labelled sample; in each round, each labels the
-documents of a bounded unlabelled pool of which it is confident, and hands them to the other as training rows. Afterwards
-each view's logit is calibrated on labelled rows that neither trained on, and a logistic curve over both combines them.
-Every document is then scored from its whole text.
+view sees source, language and length class only. Both start from a bounded labelled sample; in each round, both judge all
+unlabelled documents in a distributed pass, and those of which a view is confident become training rows of the other, chosen
+anew each round. Afterwards each view's logit is calibrated on labelled rows that neither trained on, and a logistic curve
+over both combines them. Every document is then scored from its whole text.
 
-Bounds (parameters): ``LABELLED`` labelled rows, of which every third calibrates; ``POOL`` unlabelled documents, both
-taken in the order of a hash of ``doc_id``.
+Bounds (parameters) hold for the rows of a fit only: ``LABELLED`` labelled rows in the order of a hash of ``doc_id``, of
+which every third calibrates, and in round r at most r times ``EACH`` pseudo-labelled rows of a label and view, dealt in
+turns over the groups of source and language, the surest of each first.
 
 Defined cases: null text has no words; null source, lang or n_chars are classes of their own; labels that are null or of
 unknown documents are ignored, of several labels of a document the least counts; without both classes among the labels
@@ -21,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, word_hashes
+from .common import save, sized, slices, table, word_hashes
 
-LABELLED, POOL, ROUNDS, CONFIDENT, EACH = 3000, 3000, 3, 0.97, 300
+LABELLED, ROUNDS, CONFIDENT, EACH = 3000, 3, 0.97, 300
 WORDS, META = 1 << 14, 1 << 12
 THRESHOLD = 0.5
 _KINDS = np.zeros((5, 256), np.float32)
@@ -52,7 +53,7 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(h) > 1:
         again[2:] = np.cumsum(h[1:] == h[:-1])
     shape[:, 5] = (again[at[1:]] - again[np.minimum(at[:-1] + 1, at[1:])]) / np.maximum(np.diff(at), 1)
-    return (h >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64), at, shape * 10
+    return (h >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int32), at, shape * 10
 
 
 def meta_features(source, lang, n_chars) -> np.ndarray:
@@ -79,7 +80,7 @@ class Linear:
         n, scale = len(y), 1 / np.sqrt(np.maximum(np.diff(at), 1))
         share = max(y.mean(), 1e-3), max(1 - y.mean(), 1e-3)
         weight = np.where(y > 0.5, 0.5 / share[0], 0.5 / share[1]) / n
-        owner = np.repeat(np.arange(n), np.diff(at))
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
         squares = [np.full(len(self.w), 1e-8), np.full(len(self.v), 1e-8), 1e-8]
         for _ in range(steps):
             g = (1 / (1 + np.exp(-np.clip(self.logit(bucket, at, dense), -30, 30))) - y) * weight
@@ -126,85 +127,115 @@ class CoTrained:
         t, m = self.text_curve[0] + self.text_curve[1] * t, self.meta_curve[0] + self.meta_curve[1] * m
         return _sigmoid(t), _sigmoid(m), _sigmoid(np.column_stack([np.ones(len(t)), t, m]) @ self.both)
 
-    def fit(self, known, pool, rounds: int, confident: float, each: int) -> CoTrained:
-        """``known``: (texts, source, lang, n_chars, quality) columns; ``pool``: the same without quality."""
+    def fit(self, known, rounds: int, exchange) -> CoTrained:
+        """``known``: (texts, source, lang, n_chars, quality) columns; ``exchange``: from the model as it is to, for each
+        view, the same columns of documents that the other view is sure of.
+        """
         y = np.asarray(known[4], float)
-        parts = [text_features(p) for _, p in slices(pa.array([*known[0], *pool[0]], pa.large_string()))]
-        bucket, shape = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
-        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-        meta = meta_features([*known[1], *pool[1]], [*known[2], *pool[2]], [*known[3], *pool[3]])
-        n, m = len(y), len(pool[0])
-        calibrate = np.arange(n) % 3 == 2
-        base = np.flatnonzero(~calibrate)
-        labels = {"text": dict(zip(base, y[base], strict=True)), "meta": dict(zip(base, y[base], strict=True))}
-        free = {"text": set(range(n, n + m)), "meta": set(range(n, n + m))}
-
-        def rows(view: str, ids: np.ndarray):
-            if view == "meta":
-                return meta[ids].ravel(), np.arange(len(ids) + 1) * 4, np.zeros((len(ids), 0))
+        n = len(y)
+        held, base = np.arange(n) % 3 == 2, np.flatnonzero(np.arange(n) % 3 != 2)
+        held = np.flatnonzero(held)
+        content, about = self._content(known[0]), meta_features(*known[1:4])
+        known[0] = None  # the texts are not needed again
+        extra = {"text": (self._content([]), np.zeros(0)), "meta": (meta_features([], [], []), np.zeros(0))}
+
+        def text_rows(ids, more=None):
+            bucket, at, shape = content
             sizes = at[ids + 1] - at[ids]
             to = np.concatenate([[0], np.cumsum(sizes)])
             places = np.repeat(at[ids] - to[:-1], sizes) + np.arange(to[-1])
-            return bucket[places], to, shape[ids]
+            own = bucket[places], to, shape[ids]
+            return own if more is None else (np.concatenate([own[0], more[0]]), np.concatenate([to, to[-1] + more[1][1:]]), np.concatenate([own[2], more[2]]))
+
+        def meta_rows(ids, more=None):
+            rows = about[ids] if more is None else np.concatenate([about[ids], more])
+            return rows.ravel(), np.arange(len(rows) + 1) * 4, np.zeros((len(rows), 0))
 
-        held = np.flatnonzero(calibrate)
         for r in range(rounds + 1):
-            curves = {}
-            for view in ("text", "meta"):
-                ids = np.array(sorted(labels[view]))
+            for view, rows in (("text", text_rows), ("meta", meta_rows)):
                 model = Linear(WORDS, 6) if view == "text" else Linear(META, 0)
-                model.fit(*rows(view, ids), np.array([labels[view][i] for i in ids]))
+                model.fit(*rows(base, extra[view][0]), np.concatenate([y[base], extra[view][1]]))
                 setattr(self, view, model)
-                curves[view] = _platt(model.logit(*rows(view, held)), y[held])
-            self.text_curve, self.meta_curve = curves["text"], curves["meta"]
-            if r == rounds or not m:
+                setattr(self, f"{view}_curve", _platt(model.logit(*rows(held)), y[held]))
+            if r == rounds:
                 break
-            moved = []
-            for view, other in (("text", "meta"), ("meta", "text")):
-                ids = np.array(sorted(free[other]))
-                if not len(ids):
-                    continue
-                p = _sigmoid(curves[view][0] + curves[view][1] * getattr(self, view).logit(*rows(view, ids)))
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    best = np.argsort(-sure, kind="stable")[:each]
-                    best = best[sure[best] >= confident]
-                    labels[other].update((int(i), label) for i in ids[best])
-                    free[other] -= set(ids[best].tolist())
-                    moved.append(len(best))
-            self.exchanged.append(moved)
-        t = self.text_curve[0] + self.text_curve[1] * self.text.logit(*rows("text", held))
-        w = self.meta_curve[0] + self.meta_curve[1] * self.meta.logit(*rows("meta", held))
+            found = exchange(self)
+            extra = {"text": (self._content(found["text"][0]), np.asarray(found["text"][4], float)), "meta": (meta_features(*found["meta"][1:4]), np.asarray(found["meta"][4], float))}
+            self.exchanged.append([len(found["text"][4]), len(found["meta"][4])])
+            del found
+        t = self.text_curve[0] + self.text_curve[1] * self.text.logit(*text_rows(held))
+        w = self.meta_curve[0] + self.meta_curve[1] * self.meta.logit(*meta_rows(held))
         self.both = _platt(np.column_stack([t, w]), y[held])
         return self
 
+    @staticmethod
+    def _content(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [text_features(p) for _, p in slices(pa.array(list(texts), pa.large_string()))]
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, 6), np.float32)
+        sizes = np.concatenate([np.diff(p[1]) for p in parts])
+        return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p[2] for p in parts])
+
+
+def _judged(docs: DataFrame, model: CoTrained, keep: list[str]) -> DataFrame:
+    """``keep`` columns and the views' scores of every row, in one distributed pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            meta = [batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")]
+            for start, part in slices(batch.column("text")):
+                t, m, both = shared.value.score(part, *(c[start : start + len(part)] for c in meta))
+                kept = [batch.column(c).slice(start, len(part)) for c in keep]
+                yield pa.record_batch([*kept, pa.array(t), pa.array(m), pa.array(both)], names=[*keep, "text_score", "meta_score", "score"])
+
+    rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(judge, f"{schema}, text_score double, meta_score double, score double")
+
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, confident: float = CONFIDENT, each: int = EACH) -> CoTrained:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT, each: int = EACH) -> CoTrained:
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("quality"))
     order = F.xxhash64("__id")
     chosen = marks.orderBy(order, "__id").limit(labelled)
     columns = ["text", "source", "lang", "n_chars"]
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", *columns)
     known = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select(*columns, "quality").limit(labelled).collect()
-    free = rows.select(F.col("doc_id").alias("__id")).join(marks, "__id", "left_anti").distinct().orderBy(order, "__id").limit(pool)
-    others = rows.join(F.broadcast(free), F.col("doc_id") == F.col("__id")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select(*columns).limit(pool).collect()
     model = CoTrained()
     if len({r.quality for r in known}) < 2:
         return model
-    return model.fit(list(zip(*known, strict=True)), list(zip(*others, strict=True)) if others else [[]] * 4, rounds, confident, each)
+    free = rows.join(sized(marks.select("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
+
+    def exchange(model: CoTrained) -> dict:
+        """Every unlabelled document is judged by both views. What a view is sure of are candidates for the other; of these
+        the fit takes ``each`` rows of a label and round, dealt evenly over the groups of source and language.
+        """
+        judged = save(_judged(free, model, ["doc_id", "source", "lang"]), "co-training")
+        size, out = each * (len(model.exchanged) + 1), {}
+        for view, other in (("meta", "text"), ("text", "meta")):
+            p = F.col(f"{view}_score")
+            label = F.when(p >= confident, 1).when(1 - p >= confident, 0)
+            sure = judged.select("doc_id", "source", "lang", label.alias("quality"), F.abs(p - 0.5).alias("sure")).where(F.col("quality").isNotNull())
+            # A group gives at most ``size`` rows to the choice; ties go by a hash.
+            group = Window.partitionBy("quality", "source", "lang").orderBy(F.desc("sure"), F.xxhash64("doc_id"), "doc_id")
+            ranked = sure.withColumn("turn", F.row_number().over(group)).where(F.col("turn") <= size)
+            picks = [ranked.where(F.col("quality") == q).orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(size) for q in (1, 0)]
+            ids = picks[0].unionByName(picks[1]).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("quality"))
+            found = free.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+            # The metadata view needs no texts.
+            text = F.col("text") if other == "text" else F.lit(None).cast("string")
+            found = found.select(text.alias("text"), *columns[1:], "quality").limit(2 * size).collect()
+            out[other] = list(zip(*found, strict=True)) if found else [[]] * 5
+        return out
+
+    given = [list(c) for c in zip(*known, strict=True)]
+    del known
+    return model.fit(given, rounds, exchange)
 
 
 def classify(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, text_score, meta_score, score, kept`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            meta = [batch.column(i).to_pylist() for i in (2, 3, 4)]
-            for start, part in slices(batch.column(1)):
-                t, m, both = shared.value.score(part, *(c[start : start + len(part)] for c in meta))
-                yield pa.record_batch([batch.column(0).slice(start, len(part)), pa.array(t), pa.array(m), pa.array(both)], names=["doc_id", "text_score", "meta_score", "score"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), "text", "source", "lang", F.col("n_chars").cast("long")).mapInArrow(judge, "doc_id long, text_score double, meta_score double, score double")
+    scored = _judged(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model, ["doc_id"])
     return scored.withColumn("kept", F.col("score") >= threshold)
 
 

@@ -219,3 +219,18 @@ def test_toxicity_tables_hold_every_pair(spark):
     words = [t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1]
     assert model.totals[4] == len({p for w in words for p in zip([None, *w], w, strict=False)})
     assert model.totals[5] == len({x for w in words for x in w})
+
+
+def test_co_training_reaches_rare_sources(spark, monkeypatch):
+    # One source holds 2 of 4000 unlabelled documents, the last by hash; the content view must teach it to the metadata view.
+    r = random.Random(19)
+    words = [prose(r, 1) for _ in range(200)]
+    text = lambda good: " ".join(r.choice(words) if good else r.choice(words).upper() + "!!" for _ in range(20))
+    last = [x.id for x in spark.range(400, 4400).orderBy(F.xxhash64("id").desc()).limit(2).collect()]
+    rows = [(i, text(i % 2), "en", "rare" if i in last else f"s{i % 2}", 200) for i in range(4400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = []
+    whole = cotrain.meta_features
+    monkeypatch.setattr(cotrain, "meta_features", lambda source, lang, n: (seen.extend(source), whole(source, lang, n))[1])
+    cotrain.train(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int"), rounds=1, each=40)
+    assert "rare" in seen
