@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured (local tests)."""
+    """The shared folder of the session; a temporary one only where none is set and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillmeter-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -39,11 +41,34 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting to remove a query's shuffle files when it has ended, not when the driver collects its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of it: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to the shared folder and return a reader of it: cuts lineage, survives lost executors.
+
+    The shuffle files behind it go at once, since the written table takes their place.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, tag), spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete tables that ``save`` wrote and nothing reads any more."""
+    for df in saved:
+        spark, path = df.sparkSession, getattr(df, "_scratch", None)
+        if path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -173,6 +198,33 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+# ---------------------------------------------------------------------------------------------------------------
+# Packed integer columns: many small rows of a shuffle as a few compressed ones
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Columns of integers, compressed byte plane by byte plane; the first bytes tell shape and width."""
+    a = np.ascontiguousarray(np.atleast_2d(a))
+    head = np.array([*a.shape, a.itemsize], np.int32).tobytes()
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+    return head + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    rows, n, width = (int(x) for x in np.frombuffer(data, np.int32, 3))
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[12:], rows * n * width, asbytes=True), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view({8: np.uint64, 4: np.int32, 1: np.int8}[width]).reshape(rows, n)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data)[0], dtype=np.uint64)
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Two Bloom filters: keys seen once, keys seen twice
 # ---------------------------------------------------------------------------------------------------------------

@@ -3,134 +3,235 @@
 Distance is one minus Jaccard similarity, a metric; documents link within ``eps``.
 
 1. Documents with equal sets form a class; only one of a class (the smallest ``doc_id``) goes on.
-2. Voronoi regions around single shingles: every shingle of a set is equally near to it, so ties go by a fixed total
-   order (rare shingles first). By the triangle inequality two linked sets have a common shingle among the first
-   ``n - ceil(t * n) + 1`` of that order, so replicating a set to this window of regions loses no link. (Whole documents
-   as first pivots do not work on text: nearly all documents are at distance 1 from nearly all pivots.)
-3. In each region a central document becomes the pivot; every member's distance to it is measured exactly. Those
-   within ``eps`` are linked to it, and so need no comparison with each other for the components.
-4. A pivot's region joins what is left: members out of reach of the pivot against each other and against the linked
-   members in the boundary ``d(y, p) >= min d(x, p) - eps``. Regions too large for a task are cut into distance bands, of
-   which only those within ``eps`` of each other meet. Inside a task, the set is cut recursively by further pivots, with
-   boundary members in every cell within ``2 * eps``, down to leaves that compare all.
+2. Projection. Pivots that are whole documents cannot cut a corpus of text by themselves: nearly all documents are at
+   distance 1 from nearly all of them, so the triangle inequality excludes nothing. So the space of shingles is first cut
+   into ``B`` ranges of hashes. In each range the symmetric difference is a distance of its own, and these add up to that
+   of the whole sets, which is at most ``D`` for linked sets of a size class. With ``B = D + 1 + s`` ranges, linked sets
+   are at distance 0 in at least ``1 + s`` of them. This step rests on counting (the pigeonhole), not on a pivot.
+3. Voronoi regions. Sets that agree in a range gather around the first of them, their pivot; a set is replicated to the
+   regions of all ranges in which it agrees with others, so every link lies inside a region. Sets that agree with others
+   in too few ranges to have a link leave. The distance of every member to its pivot is measured exactly. Members within
+   ``eps`` are linked to the pivot, and so need no comparison with each other for the components.
+4. What is left of a region joins: members out of the pivot's reach against each other and, by the triangle inequality,
+   against linked members in the window ``d(y, p) >= min d(x, p) - eps``. Regions too large for a task are cut into
+   distance bands, of which only those within ``eps`` of each other meet. Inside a task, the set is cut recursively by
+   further pivots, with boundary members in every cell within ``2 * eps``, down to leaves.
 5. Links join into components.
 
+Shingles are told apart by 64-bit hashes, and classes by 64-bit sums of these. Cells (a range with its content) travel
+packed, about five bytes each; a task that finds those which recur holds one entry a distinct cell, so a cell that many
+documents share streams through. Nothing is broadcast but lists of checked size.
+
 Defined cases: null or wordless text has an empty set and links with nothing (its component is itself); rows with the
 same ``doc_id`` are one node of the graph, with a row each in the result; rows with a null ``doc_id`` get their count and
-a null component; very long texts are whole; an empty table gives an empty result; further columns are ignored.
+a null component; very long texts are whole; ties between pivots go by the order of reading and change no result; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_bits, lookup, save, seen_twice, shingle_sets, sized, slices, table, twice_filter
+from .common import at_most, discard, lookup, mix, pack, pack_sorted, save, shingle_sets, sized, slices, table, unpack, unpack_sorted
 from .components import components
 
-#: Frequent shingles whose order is by count; all others come first, by hash. Any choice gives the same links.
-FREQUENT = 1 << 20
 #: Shingles in one block of a region, and rows of members that meet one copy of their pivot in a task.
 BLOCK, CHUNK = 1_000_000, 512
-MOST_BITS = 1 << 28
 #: Pairs up to which a side is broadcast (24 bytes each); above, the join shuffles.
 PAIRS = 500_000
+#: Cells of documents that are packed together, and of a bucket that are looked through at once.
+PACKED, AT_ONCE = 2_000_000, 500_000
+_FIELDS = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("slot", pa.int64()), ("bucket", pa.int32()), ("block", pa.int64()), ("cells", pa.binary()), ("owners", pa.binary()), ("marks", pa.binary())]
+_SCHEMA = "doc_id long, n long, node long, slot long, bucket int, block long, cells binary, owners binary, marks binary"
+_SPARE = 8
+
+
+class Ranges:
+    """Size classes up to a factor of the similarity, and the hash ranges of each."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.tops, self.kinds = num, den, [1], {}
+
+    def kinds_of(self, n: int) -> range:
+        """The classes in which a set of ``n`` may link: by the size of the larger partner, from its own up."""
+        most = n * self.den // self.num
+        while self.tops[-1] < most:
+            self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * self.den // self.num))
+        return range(bisect.bisect_left(self.tops, n), bisect.bisect_left(self.tops, most) + 1)
+
+    def kind(self, c: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Inner edges of the ranges, a number of its own for each range, and the spare ``s``; None if only equal sets link."""
+        if c not in self.kinds:
+            top, below = self.tops[c], self.tops[c - 1] if c else 0
+            apart = 2 * top * (self.den - self.num) // (self.den + self.num)
+            least = max(1, -(-self.num * (below + 1) // self.den))
+            spare = 1
+            while spare < _SPARE + apart // 50:
+                # So many spares that few sets have more empty ranges than that.
+                count = apart + 1 + spare
+                empty = count * (1 - 1 / count) ** least
+                if spare >= empty + 4 * math.sqrt(empty) + 1:
+                    break
+                spare += 1
+            count = apart + 1 + spare
+            edges = np.array([-(-(j << 64) // count) for j in range(1, count)], np.uint64)
+            self.kinds[c] = (edges, mix(np.arange(count, dtype=np.uint64) + np.uint64((c + 1) << 32)), spare) if apart else None
+        return self.kinds[c]
+
+    def cells(self, s: np.ndarray, sums: np.ndarray, c: int) -> tuple[np.ndarray, int] | None:
+        """The cells of a sorted set in a class, and how many of them a linked set has at least."""
+        kind = self.kind(c)
+        if kind is None:
+            return None
+        edges, own, spare = kind
+        at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
+        full = at[1:] > at[:-1]
+        found = mix((sums[at[1:]] - sums[at[:-1]] + own)[full])
+        empty = np.flatnonzero(~full)
+        if len(empty) > spare:
+            # All ranges that two such sets have in common may be empty ones: then at least spare + 1 of these are.
+            more = [own[list(some)].sum(dtype=np.uint64) for some in itertools.combinations(empty, spare + 1)]
+            return np.concatenate([found, mix(np.array(more, np.uint64) + np.uint64(1))]), 1
+        return found, min(1 + spare - len(empty), 100)
+
+
+def signatures(docs: DataFrame, k: int, num: int, den: int, packed: int = PACKED) -> DataFrame:
+    """A row for each document (``doc_id, n, node, slot``), and rows of packed cells (``bucket, block, cells, owners, marks``)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    expected = max(1, int(size / 6 * 2.4 * (den - num) / den))
+    bits = min(22, max(4, (expected // 400_000).bit_length()))
+    width = min(62, max(bits + 10, expected.bit_length() + 12))
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _frequent(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` of the shingles that recur most, and their rank by count."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for _, part in slices(batch.column(0)) for s in shingle_sets(part, k)]
-            if not sets:
-                continue
-            h, c = np.unique(np.concatenate(sets), return_counts=True)
-            keep = c > 1
-            yield pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["h", "c"])
-
-    counts = save(docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "shingle-counts")
-    level = F.when(F.col("c") < 64, F.col("c")).otherwise(F.lit(58) + F.floor(F.log2("c"))).cast("int")
-    total, floor = 0, 1 << 30
-    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if total + row["count"] > most:
-            break
-        total, floor = total + row["count"], row["level"]
-    found = counts.where(level >= floor).toArrow()
-    h, c = found["h"].to_numpy().view(np.uint64), found["c"].to_numpy()
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((h, c))] = np.arange(len(h))
-    return h, rank
-
-
-def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: int = FREQUENT) -> DataFrame:
-    """``doc_id, n, digest, hot, prefix``: set size, class digest, frequent shingles per 1000, and the window of regions.
-
-    The order of shingles: those not known to recur by hash, then those that recur in windows of a first pass by hash,
-    then frequent ones by count. So few windows hold shingles that other documents share.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, frequent))
-    first = _sign(docs, k, num, den, shared, None).select(F.explode("prefix").alias("cell"))
-    again = docs.sparkSession.sparkContext.broadcast(twice_filter(first, MOST_BITS))
-    return _sign(docs, k, num, den, shared, again)
-
+        ranges, first = Ranges(num, den), TaskContext.get().partitionId() << 16
+        seq, nodes, held, size = 0, {}, [], 0
 
-def _sign(docs: DataFrame, k: int, num: int, den: int, shared, again) -> DataFrame:
+        def row(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.record_batch([pa.array(columns[f], t) if f in columns else pa.nulls(n, t) for f, t in _FIELDS], names=[f for f, _ in _FIELDS])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rank = shared.value
-        bits = np.zeros(1 << 21, np.uint8)
-        top = (hashes >> np.uint64(40)).astype(np.int64)
-        np.bitwise_or.at(bits, top >> 3, (1 << (top & 7)).astype(np.uint8))
-
-        def ranks(s: np.ndarray) -> np.ndarray:
-            out = np.full(len(s), -1, np.int64)
-            t = (s >> np.uint64(40)).astype(np.int64)
-            maybe = np.flatnonzero((bits[t >> 3] >> (t & 7).astype(np.uint8)) & 1)
-            if len(maybe):
-                at = np.minimum(np.searchsorted(hashes, s[maybe]), len(hashes) - 1)
-                hit = hashes[at] == s[maybe]
-                out[maybe[hit]] = rank[at[hit]]
-            return out
+        def done() -> pa.RecordBatch:
+            cells = np.concatenate([h[0] for h in held]) >> np.uint64(64 - width)
+            lengths = [len(h[0]) for h in held]
+            owners = np.repeat(np.array([h[1] for h in held], np.int32), lengths)
+            marks = np.repeat(np.array([h[2:] for h in held], np.int8), lengths, axis=0).T
+            order = np.argsort(cells, kind="stable")
+            cells, owners, marks = cells[order], owners[order], marks[:, order]
+            at = np.append(np.searchsorted(cells, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)), len(cells))
+            some = np.flatnonzero(np.diff(at))
+            parts = [slice(at[i], at[i + 1]) for i in some]
+            return row(bucket=some, block=[first | seq] * len(some), cells=[pack_sorted(cells[p]) for p in parts], owners=[pack(owners[p]) for p in parts], marks=[pack(marks[:, p]) for p in parts])
 
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             for start, part in slices(batch.column(1)):
-                n, digests, hot, prefixes = [], [], [], []
-                for s in shingle_sets(part, k):
+                n, node, slot = [], [], []
+                for i, s in enumerate(shingle_sets(part, k), start):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
+                    own = int(mix(sums[-1:] + np.uint64(len(s)))[0])
                     n.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    if not len(s):
-                        hot.append(0)
-                        prefixes.append(np.zeros(0, np.int64))
+                    node.append(own - (1 << 64) if own >> 63 else own)
+                    slot.append(None)
+                    if not len(s) or ids[i] is None:
                         continue
-                    r = ranks(s)
-                    cold = s[r < 0]
-                    if again is not None:
-                        known = seen_twice(again.value, cold)
-                        cold = np.concatenate([cold[~known], cold[known]])
-                    width = len(s) - -(-num * len(s) // den) + 1
-                    if len(cold) < width:
-                        warm = r >= 0
-                        cold = np.concatenate([cold, s[warm][np.argsort(r[warm])]])
-                    hot.append(int(1000 * np.count_nonzero(r >= 0) / len(s)))
-                    prefixes.append(cold[:width].view(np.int64))
-                lengths = np.cumsum([0] + [len(p) for p in prefixes])
-                flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-                yield pa.record_batch(
-                    [batch.column(0).slice(start, len(part)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(hot, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))],
-                    names=["doc_id", "n", "digest", "hot", "prefix"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, digest binary, hot long, prefix array<long>")
+                    if own not in nodes:
+                        nodes[own] = len(nodes)
+                        for c in ranges.kinds_of(len(s)):
+                            found = ranges.cells(s, sums, c)
+                            if found is not None:
+                                held.append((found[0], nodes[own], c, found[1]))
+                                size += len(found[0])
+                    slot[-1] = (first | seq) << 20 | nodes[own]
+                    if size >= packed or len(nodes) == 1 << 20:
+                        yield row(doc_id=ids[i + 1 - len(n) : i + 1], n=n, node=node, slot=slot)
+                        n, node, slot = [], [], []
+                        if held:
+                            yield done()
+                        seq, nodes, held, size = seq + 1, {}, [], 0
+                yield row(doc_id=ids[start + len(part) - len(n) : start + len(part)], n=n, node=node, slot=slot)
+        if held:
+            yield done()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, _SCHEMA)
+
+
+def agreeing(packed: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """``x, p, mark, cells``: in how many cells of a class the set at slot ``x`` agrees with others, by the first of them.
+
+    Rows of a bucket are read in the order of their blocks. ``mark`` is the class times 128 and the least number that a link
+    of ``x`` needs. The first of a cell has a row with itself.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, chunk, size, seen = None, [], 0, None
+
+        def look() -> pa.RecordBatch:
+            nonlocal seen
+            keys, slots, marks = (np.concatenate(c) for c in zip(*chunk, strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, slots, marks = keys[order], slots[order], marks[order]
+            own, first, where, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+            place = np.minimum(np.searchsorted(seen[0], own), max(len(seen[0]) - 1, 0))
+            known = seen[0][place] == own if len(seen[0]) else np.zeros(len(own), bool)
+            head, mark, told = slots[first], marks[first], np.zeros(len(own), bool)
+            for column, values in zip((head, mark, told), seen[1:], strict=True):
+                column[known] = values[place[known]]
+            again = known | (counts > 1)
+            rest = again[where]
+            rest[first[~known]] = False
+            fresh = again & ~told
+            x, p, m = (np.concatenate(c) for c in ((slots[rest], head[fresh]), (head[where[rest]], head[fresh]), (marks[rest], mark[fresh])))
+            if len(seen[0]):
+                seen[3][place[known]] = True
+            merged = [np.concatenate([a, b[~known]]) for a, b in zip(seen, (own, head, mark, again), strict=True)]
+            order = np.argsort(merged[0], kind="stable")
+            seen = [c[order] for c in merged]
+            return pa.record_batch([pa.array(x), pa.array(p), pa.array(m.astype(np.int32))], names=["x", "p", "mark"])
+
+        for batch in batches:
+            for b, block, cells, owners, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    if chunk:
+                        yield look()
+                    bucket, chunk, size = b, [], 0
+                    seen = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+                keys, (kind, need) = unpack_sorted(cells), unpack(marks).astype(np.int64)
+                chunk.append((keys, (block << 20) + unpack(owners)[0].astype(np.int64), kind * 128 + need))
+                size += len(keys)
+                if size >= at_once:
+                    yield look()
+                    chunk, size = [], 0
+        if chunk:
+            yield look()
+
+    dealt = packed.select("bucket", "block", "cells", "owners", "marks").repartition("bucket").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(find, "x long, p long, mark int").groupBy("x", "p", "mark").agg(F.count("*").alias("cells"))
+
+
+def region_members(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``x, p, n, n_pivot``: every set that may have a link, with the pivots of its regions, both by the class's first id."""
+    pairs = save(agreeing(signed.where(F.col("bucket").isNotNull())), "agreeing")
+    alive = pairs.groupBy("x", "mark").agg(F.sum("cells").alias("total")).where(F.col("total") >= F.col("mark") % 128).select("x", "mark")
+    members = save(pairs.join(alive, ["x", "mark"], "left_semi").where("x <> p").select("x", "p").distinct(), "slots")
+    slots = signed.where(F.col("slot").isNotNull()).select("slot", "node").distinct()
+    named = slots.join(classes.select("node", "rep", "n"), "node")
+    weights = members.groupBy(F.col("p").alias("slot")).agg(F.count("*").alias("m"))
+    pivots = named.join(weights, "slot").select(F.col("slot").alias("p"), F.col("rep").alias("pivot"), F.col("n").alias("n_pivot"), "m")
+    both = lookup(members, save(pivots, "pivots"), "p", "m")
+    both = both.join(named.select(F.col("slot").alias("x"), F.col("rep").alias("own"), "n"), "x")
+    out = save(both.where("own <> pivot").select(F.col("own").alias("x"), F.col("pivot").alias("p"), "n", "n_pivot").distinct(), "members")
+    discard(pairs, members)
+    return out
 
 
 def _with_texts(rows: DataFrame, key: str, docs: DataFrame) -> DataFrame:
@@ -245,29 +346,6 @@ class _Region:
                 self.join(members[cell], depth + 1)
 
 
-def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the members ``x, p, n, shared_cells, ...`` of regions those that may link with another member.
-
-    Linked sets of sizes n and m overlap in at least ``o = t / (1 + t) * (n + m)`` shingles, and so share at least
-    ``min(o - t * n, o - t * m) + 1`` of the regions of their windows. None of these belongs to either of the two (else their
-    distance is known), so both must share that many regions with others. Sizes are compared in bins, by the least need
-    at a bin's ends; a member stays if a bin holds another one and each allows the other's bin. Nothing is paired.
-    """
-    t, step = num / den, math.log(1.02)
-    reach = math.ceil(math.log(1 / t) / step) + 1
-    place = lambda n: F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
-    need = lambda n, m: F.least(t / (1 + t) * (n + m) - t * n, t / (1 + t) * (n + m) - t * m) - 1  # noqa: E731  one less, for rounding
-    own = rows.withColumn("own", place(F.col("n")))
-    wide = own.select("x", "p", "n", "shared_cells", "own", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)).alias("other"))
-    start, end = F.exp(F.col("other") * step), F.exp((F.col("other") + 1) * step)
-    wide = wide.where(F.least(need(F.col("n"), start), need(F.col("n"), end)) <= F.col("shared_cells"))
-    held = wide.groupBy("p", "own", "other").agg(F.count("*").alias("m"))
-    back = held.select("p", F.col("other").alias("own"), F.col("own").alias("other"), F.col("m").alias("met"))
-    meets = held.join(back, ["p", "own", "other"]).where((F.col("own") != F.col("other")) | (F.col("met") > 1)).select("p", "own", "other")
-    stays = wide.select("x", "p", "own", "other").join(meets, ["p", "own", "other"], "left_semi").select("x", "p").distinct()
-    return rows.join(stays, ["x", "p"], "left_semi")
-
-
 def _region_links(star: DataFrame, members: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``x, y``: links among the members of pivots' regions that the pivots themselves do not settle."""
     eps = 1 - num / den
@@ -276,11 +354,11 @@ def _region_links(star: DataFrame, members: DataFrame, docs: DataFrame, k: int,
     known = known.withColumn("d", 1 - F.col("shared") / union).withColumn("linked", den * F.col("shared") >= num * union)
     rows = members.join(known.select("x", "p", "d", "linked"), ["x", "p"], "left")
     bound = 1 - F.least("n", "n_pivot") / F.greatest("n", "n_pivot")
-    rows = save(rows.select("x", "p", "n", "shared_cells", F.coalesce("linked", F.lit(False)).alias("near"), F.coalesce("d", bound).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high")), "region-members")
+    rows = save(rows.select("x", "p", "n", F.coalesce("linked", F.lit(False)).alias("near"), F.coalesce("d", bound).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high")), "region-members")
     open_ = rows.where(~F.col("near")).groupBy("p").agg(F.min("low").alias("nearest"), F.count("*").alias("m"))
     # Only members out of reach of the pivot, and linked ones in the boundary.
     left = lookup(rows, open_, "p", "m").where(F.col("nearest").isNotNull() & (~F.col("near") | (F.col("low") >= F.col("nearest") - eps - 1e-9))).drop("nearest")
-    left = save(_possible(left, num, den), "region-open")
+    left = save(left, "region-open")
     band = F.when(F.col("low") < F.col("high"), F.lit(-1)).otherwise(F.floor(F.col("low") * 2 / eps)).cast("int")
     sizes = left.groupBy("p").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1").withColumn("many", F.col("total") > BLOCK)
     banded = lookup(left, sizes.select("p", "many", "m"), "p", "m").where(F.col("many").isNotNull()).withColumn("band", F.when(F.col("many"), band).otherwise(F.lit(0)))
@@ -325,43 +403,49 @@ def _region_links(star: DataFrame, members: DataFrame, docs: DataFrame, k: int,
     return rows.mapInArrow(join, "x long, y long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, frequent: int = FREQUENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, packed: int = PACKED) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; documents link where ``den * |x & y| >= num * |x | y|``."""
-    signed = save(signatures(docs, k, num, den, frequent), "signatures")
-    real = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("prefix").alias("prefix"), F.count("*").alias("copies")), "classes")
-    cells = classes.select(F.explode("prefix").alias("cell"), "rep", "n", "hot")
-    expected = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    twice = docs.sparkSession.sparkContext.broadcast(twice_filter(cells.select("cell"), filter_bits(expected, MOST_BITS)))
-
-    @F.pandas_udf("boolean")
-    def recurs(h: pd.Series) -> pd.Series:
-        return pd.Series(seen_twice(twice.value, h.to_numpy().view("uint64")))
-
-    cells = save(cells.where(recurs("cell")), "cells")
-    pivots = cells.groupBy("cell").agg(F.max(F.struct("hot", (-F.col("rep")).alias("minus"), "n")).alias("best"), F.count("*").alias("m")).where("m > 1")
-    pivots = pivots.select("cell", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("n_pivot"), (F.col("m") > 2).alias("more"), "m")
-    members = lookup(cells, pivots, "cell", "m").where("p <> rep").select(F.col("rep").alias("x"), "p", "n", "n_pivot", "more")
-    members = save(members.groupBy("x", "p", "n", "n_pivot").agg(F.max("more").alias("more"), F.count_if("more").alias("cells")), "members")
-    shared = members.groupBy("x").agg(F.sum("cells").alias("shared_cells"))
+    signed = save(signatures(docs, k, num, den, packed), "signatures")
+    rows = signed.where(F.col("bucket").isNull()).select("doc_id", "n", "node")
+    real = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = save(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes")
+    members = region_members(signed, classes)
     fits = F.least("n", "n_pivot") * den >= F.greatest("n", "n_pivot") * num
     star = save(_measure(members.where(fits).select("x", "p"), docs, k), "star")
     linked = star.where(den * F.col("shared") >= num * (F.col("nx") + F.col("np") - F.col("shared"))).select("x", F.col("p").alias("y"))
-    # A shingle that only two sets hold is settled by the one distance between them.
-    links = linked.union(_region_links(star, members.where("more").join(shared, "x"), docs, k, num, den))
-    found = components(links).select(F.col("node").alias("rep"), "component")
-    facts = classes.select("digest", "rep", "copies").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"), "copies")
+    found = components(linked.union(_region_links(star, members, docs, k, num, den))).select(F.col("node").alias("rep"), "component")
+    facts = classes.join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("c"), "copies")
     # A doc_id with several texts belongs to several classes, which it connects.
-    out = lookup(real.select("doc_id", "n", "digest"), facts, "digest", "copies").select("doc_id", "n", F.col("c"))
-    rest = signed.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("c"))
+    out = lookup(real, facts, "node", "copies").select("doc_id", "n", F.col("c"))
+    rest = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("c"))
     return out.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
+#: Rows without a ``doc_id`` of their own get ids from here on, made from their texts.
+OWN_IDS = 1 << 61
+
+
 def keep_one_per_component(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without those that link, directly or not, with a smaller ``doc_id``; of equal rows one stays."""
-    found = jaccard_components(docs.select("doc_id", "text"), k, num, den).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__c"))
-    gone = found.where((F.col("__c") < F.col("__id"))).select("__id").distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    """``docs`` with one row of each group that links, directly or not: the one with the smallest ``doc_id``.
+
+    Rows whose ``doc_id`` is null or names several texts go by their text and come after the others; of rows that are
+    equal in id and text one stays (by a hash of all columns). Texts without words all stay.
+    """
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__repeated")).agg(F.count("*").alias("m"), F.min(digest).alias("a"), F.max(digest).alias("b"))
+    repeated = save(repeated.where("m > 1").select("__repeated", (F.col("a") != F.col("b")).alias("__shared")), "repeated-ids")
+    marked = docs.join(sized(repeated), F.col("doc_id") == F.col("__repeated"), "left")
+    by_text = digest.bitwiseAND(F.lit(OWN_IDS - 1)) + F.lit(OWN_IDS)
+    marked = marked.withColumn("__id", F.when(F.col("doc_id").isNull() | F.coalesce("__shared", F.lit(False)), by_text).otherwise(F.col("doc_id").cast("long")))
+    found = jaccard_components(marked.select(F.col("__id").alias("doc_id"), "text"), k, num, den)
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    left = marked.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    several = (F.col("doc_id").isNull() | F.col("__repeated").isNotNull()) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    if at_most(left.where(several), 0):
+        return left.select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    once = left.where(several).groupBy("__id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return left.where(~several).select(*docs.columns).unionByName(once)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

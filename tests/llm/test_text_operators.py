@@ -23,8 +23,8 @@ def near_copies(r, base, n):
     return out
 
 
-@pytest.mark.parametrize(("frequent", "k", "num"), [(1 << 19, 4, 85), (5, 4, 85), (1 << 19, 5, 80)])
-def test_components_equal_brute_force(spark, frequent, k, num):
+@pytest.mark.parametrize(("packed", "k", "num"), [(1 << 19, 4, 85), (500, 5, 80)])
+def test_components_equal_brute_force(spark, packed, k, num):
     r = random.Random(3)
     passage, texts = prose(r, 30), list(ODD)
     for g in range(6):
@@ -32,7 +32,7 @@ def test_components_equal_brute_force(spark, frequent, k, num):
         texts += near_copies(r, base, 12) + [base] * 3
     texts += [prose(r, 40) + " " + passage + " " + prose(r, r.randint(1, 40)) for _ in range(60)]
     texts += [passage.upper(), passage]
-    got = jaccard_join.jaccard_components(documents(spark, texts), k, num, 100, frequent).collect()
+    got = jaccard_join.jaccard_components(documents(spark, texts), k, num, 100, packed).collect()
     assert {tuple(x) for x in got} == components(list(enumerate(texts)), k, num, 100)
 
 
