@@ -16,7 +16,8 @@ curve fitted on ``SAMPLE`` labelled rows weighs the six and gives a score from 0
 trusted is learned, and none is left out. Every document that taught is judged without its own counts,
 in the fit and in the result.
 
-Defined cases: null or wordless text scores as a text without evidence; repeated rows are judged alike; labels that are
+Defined cases: null or wordless text scores as a text without evidence; very long texts are whole; repeated rows are judged alike, so
+there are no ties to break; labels that are
 null or of unknown documents teach nothing, a document with several labels is toxic if any is 1; without rows of both
 classes the score is 0 everywhere; an empty table gives an empty result; a null ``doc_id`` is not held out and teaches
 nothing; further columns are ignored.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, save, sized, slices, table, word_hashes
+from .common import discard, mix, pack, pack_sorted, save, sized, slices, table, unpack, unpack_sorted, word_hashes
 
 SAMPLE, BLOCK = 10_000, 2_500_000
 DISCOUNT, STRONG, OFTEN, THRESHOLD = 0.75, 3.0, 5, 0.7
@@ -49,39 +50,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Columns of integers, compressed byte plane by byte plane; the first bytes tell shape and width."""
-    a = np.ascontiguousarray(np.atleast_2d(a))
-    head = np.array([*a.shape, a.itemsize], np.int64).tobytes()
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
-    return head + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    rows, n, width = (int(x) for x in np.frombuffer(data, np.int64, 3))
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data[24:], rows * n * width, asbytes=True), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view({8: np.uint64, 4: np.int32, 1: np.int8}[width]).reshape(rows, n)
-
-
-def _pack_sorted(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data)[0], dtype=np.uint64)
-
-
 def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.int8 if a.size == 0 or a.max() < 128 else np.int32 if a.max() < 1 << 31 else np.uint64)
 
 
-def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of the 2**bits ranges of sorted keys begins, and the end."""
-    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+def _cuts(keys: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
+    """Where each of the 2**bits ranges of sorted keys of ``width`` bits begins, and the end."""
+    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)), len(keys))
 
 
-def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * _PAIR + word)
+def _pair_keys(before: np.ndarray, word: np.ndarray, width: int) -> np.ndarray:
+    return mix(before * _PAIR + word) >> np.uint64(64 - width)
 
 
 def _befores(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -128,7 +107,7 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Sorted keys and their counts, a row for each bucket that has any."""
     at = _cuts(keys, bits)
     full = np.flatnonzero(np.diff(at))
-    return _keyed(full, [None] * len(full), [_pack_sorted(keys[at[i] : at[i + 1]]) for i in full], [_pack(_small(counts[:, at[i] : at[i + 1]])) for i in full])
+    return _keyed(full, [None] * len(full), [pack_sorted(keys[at[i] : at[i + 1]]) for i in full], [pack(_small(counts[:, at[i] : at[i + 1]])) for i in full])
 
 
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,32 +133,32 @@ def _together(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def pair_counts(rows: DataFrame, bits: int) -> DataFrame:
+def pair_counts(rows: DataFrame, bits: int, width: int) -> DataFrame:
     """Buckets of (before, word) and (toxic, plain) counts over rows of (doc_id, text, toxic)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, marks, h, at in _blocks(batches):
             before, toxic = _befores(h, at), np.repeat(marks, np.diff(at))
-            _, first, inverse = np.unique(_pair_keys(before, h), return_index=True, return_inverse=True)
+            _, first, inverse = np.unique(_pair_keys(before, h, width), return_index=True, return_inverse=True)
             t = np.bincount(inverse, weights=toxic, minlength=len(first)).astype(np.int64)
             counts = np.array([t, np.bincount(inverse, minlength=len(first)) - t])
             before, word = before[first], h[first]
-            bucket = (_pair_keys(before, word) >> np.uint64(64 - bits)).astype(np.int64)
+            bucket = (_pair_keys(before, word, width) >> np.uint64(width - bits)).astype(np.int64)
             order = np.lexsort((before, word, bucket))
             ends = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
             full = np.flatnonzero(np.diff(ends))
             runs = [order[ends[i] : ends[i + 1]] for i in full]
-            yield _keyed(full, [None] * len(full), [_pack(np.array([before[r], np.diff(word[r], prepend=np.uint64(0))])) for r in runs], [_pack(_small(counts[:, r])) for r in runs])
+            yield _keyed(full, [None] * len(full), [pack(np.array([before[r], np.diff(word[r], prepend=np.uint64(0))])) for r in runs], [pack(_small(counts[:, r])) for r in runs])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
-            keys = [_unpack(k) for k, _ in rows]
+            keys = [unpack(k) for k, _ in rows]
             before = np.concatenate([k[0] for k in keys])
             word = np.concatenate([np.cumsum(k[1], dtype=np.uint64) for k in keys])
-            pair = _pair_keys(before, word)
-            unique, counts = _sums(pair, np.concatenate([_unpack(c) for _, c in rows], axis=1))
+            pair = _pair_keys(before, word, width)
+            unique, counts = _sums(pair, np.concatenate([unpack(c) for _, c in rows], axis=1))
             _, first = np.unique(pair, return_index=True)
-            yield _rows({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([None], pa.string()), "keys": [_pack_sorted(unique)], "counts": [_pack(_small(counts))], "ends": [_pack(np.array([before[first], word[first]]))]})
+            yield _rows({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([None], pa.string()), "keys": [pack_sorted(unique)], "counts": [pack(_small(counts))], "ends": [pack(np.array([before[first], word[first]]))]})
 
     return _together(rows.select("doc_id", "text", "toxic").mapInArrow(count, _KEYS)).mapInArrow(merge, _KEYS + ", ends binary")
 
@@ -191,7 +170,7 @@ def word_counts(pairs: DataFrame, bits: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for counts, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, (before, word) = _unpack(counts).astype(np.int64), _unpack(ends)
+                n, (before, word) = unpack(counts).astype(np.int64), unpack(ends)
                 one, none = np.ones(n.shape[1], np.int64), np.zeros(n.shape[1], np.int64)
                 of_word = np.array([one, *n, none, none, none, none])
                 of_before = np.array([none, none, none, *n, *(n > 0)])
@@ -205,9 +184,9 @@ def word_counts(pairs: DataFrame, bits: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
-            keys, counts = _sums(np.concatenate([_unpack_sorted(k) for k, _ in rows]), np.concatenate([_unpack(c) for _, c in rows], axis=1))
+            keys, counts = _sums(np.concatenate([unpack_sorted(k) for k, _ in rows]), np.concatenate([unpack(c) for _, c in rows], axis=1))
             totals = [counts[1].sum(), counts[2].sum(), (counts[1] > 0).sum(), (counts[2] > 0).sum(), counts[0].sum(), (counts[0] > 0).sum()]
-            yield _rows({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([None], pa.string()), "keys": [_pack_sorted(keys)], "counts": [_pack(_small(counts))], "totals": pa.array([totals], pa.list_(pa.int64()))})
+            yield _rows({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([None], pa.string()), "keys": [pack_sorted(keys)], "counts": [pack(_small(counts))], "totals": pa.array([totals], pa.list_(pa.int64()))})
 
     return _together(pairs.select("counts", "ends").mapInArrow(parts, _KEYS)).mapInArrow(merge, _KEYS + ", totals array<long>")
 
@@ -223,15 +202,15 @@ def _answers(asked: DataFrame, known: DataFrame, width: int) -> DataFrame:
                 if bucket != current:
                     current, table, counts = bucket, np.zeros(0, np.uint64), np.zeros((width, 0), np.int64)
                 if block is None:
-                    table, counts = _unpack_sorted(keys), _unpack(values)
+                    table, counts = unpack_sorted(keys), unpack(values)
                     continue
-                keys = _unpack_sorted(keys)
+                keys = unpack_sorted(keys)
                 found = np.zeros((width, len(keys)), np.int64)
                 if len(table):
                     spot = np.minimum(np.searchsorted(table, keys), len(table) - 1)
                     hit = table[spot] == keys
                     found[:, hit] = counts[:, spot[hit]]
-                out.append((block, bucket, _pack(_small(found))))
+                out.append((block, bucket, pack(_small(found))))
             if out:
                 yield _rows({"block": [x[0] for x in out], "bucket": pa.array([x[1] for x in out], pa.int32()), "counts": [x[2] for x in out]})
 
@@ -242,13 +221,13 @@ def _answers(asked: DataFrame, known: DataFrame, width: int) -> DataFrame:
 
 @dataclass
 class Model:
-    """Both classes' written tables, ``totals`` and the curve; ``n`` holds the words of each class by bucket."""
+    """Both classes' written tables, ``totals`` and the curve."""
 
     pairs: DataFrame
     words: DataFrame
     taught: DataFrame
     bits: int
-    n: np.ndarray
+    width: int
     #: Toxic and plain words, different toxic and plain words, different pairs, different words.
     totals: np.ndarray
     curve: np.ndarray = field(default_factory=lambda: np.array([-20.0] + [0.0] * 6))
@@ -273,61 +252,84 @@ class Model:
 def _ratio(w, v, pair, doc, marks, vocab_counts, pair_n, totals) -> np.ndarray:
     """log P(toxic) - log P(ordinary) of every word by itself, and what frequent and rare bigrams add to it.
 
-    ``w``, ``v``, ``pair``, ``doc`` are places a word.
+    ``w``, ``v``, ``pair``, ``doc`` are places a word. Counts of a document that taught are taken out for itself.
     """
-
-    def own(places):
-        _, first, inverse, counts = np.unique(doc * (np.int64(places.max()) + 1) + places, return_index=True, return_inverse=True, return_counts=True)
-        return first, inverse, counts[inverse]
-
     if not len(w):
         return np.zeros((3, 0))
-    first, _, own_pair = own(pair)
-    by_word, by_before = own(w), own(v)
-    sizes = np.bincount(doc, minlength=len(marks))[doc]
     mark = marks[doc]
-    taught = mark >= 0
-
-    def alone(inverse, flags):
-        """Pairs of the document that nothing else has, by its words (or the words before)."""
-        return np.bincount(inverse[first], weights=flags[first], minlength=inverse.max() + 1)[inverse]
-
-    types = vocab_counts[0][w] - alone(by_word[1], taught & (pair_n.sum(axis=0)[pair] == own_pair))
-    shared = (types + 1) / (totals[4] + totals[5] + 1)
+    some = np.flatnonzero(mark >= 0)
+    sizes = np.bincount(doc, minlength=len(marks))[doc[some]]
+    own_some, own_types, by_class = np.zeros(len(some)), np.zeros(len(some)), []
+    if len(some):
+
+        def own(places):
+            places = places[some]
+            _, first, inverse, counts = np.unique(doc[some] * (np.int64(places.max()) + 1) + places, return_index=True, return_inverse=True, return_counts=True)
+            return first, inverse, counts[inverse]
+
+        first, _, own_some = own(pair)
+        by_word, by_before = own(w), own(v)
+
+        def alone(inverse, flags):
+            """Pairs of the document that nothing else has, by its words (or the words before)."""
+            return np.bincount(inverse[first], weights=flags[first], minlength=inverse.max() + 1)[inverse]
+
+        own_types = alone(by_word[1], pair_n.sum(axis=0)[pair[some]] == own_some)
+        for c in (0, 1):
+            mine = mark[some] == 1 - c
+            by_class.append((mine * own_some, mine * by_before[2], alone(by_before[1], mine & (pair_n[c][pair[some]] == own_some)), mine * by_word[2], mine * sizes))
+
+    def less(counts, out):
+        counts = counts.astype(np.float64)
+        counts[some] -= out
+        return counts
+
+    shared = (less(vocab_counts[0][w], own_types) + 1) / (totals[4] + totals[5] + 1)
     out = []
     for c in (0, 1):
-        mine = mark == 1 - c
-        n_pair = pair_n[c][pair]
-        follow = vocab_counts[3 + c][v] - mine * by_before[2]
-        different = vocab_counts[5 + c][v] - alone(by_before[1], mine & (n_pair == own_pair))
-        n = vocab_counts[1 + c][w] - mine * by_word[2]
-        total = np.maximum(totals[c] - mine * sizes, 1)
+        own_pair, own_follow, own_different, own_n, own_all = by_class[c] if by_class else [np.zeros(0)] * 5
+        n_pair = less(pair_n[c][pair], own_pair)
+        follow = less(vocab_counts[3 + c][v], own_follow)
+        different = less(vocab_counts[5 + c][v], own_different)
+        n = less(vocab_counts[1 + c][w], own_n)
+        total = np.maximum(less(np.full(len(w), totals[c]), own_all), 1)
         p = np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * totals[2 + c] / total * shared
         gamma = np.where(follow > 0, DISCOUNT * different / np.maximum(follow, 1), 1)
-        both = gamma * p + np.maximum(n_pair - mine * own_pair - DISCOUNT, 0) / np.maximum(follow, 1)
+        both = gamma * p + np.maximum(n_pair - DISCOUNT, 0) / np.maximum(follow, 1)
         out.append((np.log(np.maximum(p, 1e-30)), np.log(np.maximum(both, 1e-30))))
     word, full = (out[0][i] - out[1][i] for i in (0, 1))
-    often = pair_n.sum(axis=0)[pair] - taught * own_pair >= OFTEN
+    often = less(pair_n.sum(axis=0)[pair], own_some) >= OFTEN
     return np.array([word, np.where(often, full - word, 0), np.where(often, 0, full - word)])
 
 
 def features(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, toxic, evidence`` (means, then strong ones) for every row of ``docs``; toxic is -1 if the row taught nothing."""
-    bits, totals = model.bits, model.totals
+    """``doc_id, toxic, evidence`` (means, then strong ones) for every row of ``docs``; toxic is -1 if the row taught nothing.
+
+    The result is a written table.
+    """
+    bits, width, totals = model.bits, model.width, model.totals
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, marks, h, at in _blocks(batches):
-            vocab, places = np.unique(h, return_inverse=True)
+            vocab, places, counts = np.unique(h, return_inverse=True, return_counts=True)
+            # Frequent words get the small places, which pack best.
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield _rows({"block": [uuid.uuid4().hex], "ids": listed, "words": [_pack(places.astype(np.int32))], "vocab": [_pack_sorted(vocab)], "rows": [_pack(np.array([marks + 1, np.diff(at)], np.int32))]})
+            yield _rows({"block": [uuid.uuid4().hex], "ids": listed, "words": [pack(rank[places])], "vocab": [pack(vocab[order])], "rows": [pack(np.array([marks + 1, np.diff(at)], np.int32))]})
 
     def load(words, vocab, rows):
         """Vocabulary with 0 first, places of each word and the one before in it, pairs and their places, rows."""
-        vocab = np.concatenate([np.zeros(1, np.uint64), _unpack_sorted(vocab)])
-        w, (marks, sizes) = _unpack(words)[0].astype(np.int64) + 1, _unpack(rows).astype(np.int64)
+        vocab = unpack(vocab)[0]
+        order = np.argsort(vocab)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        vocab = np.concatenate([np.zeros(1, np.uint64), vocab[order]])
+        w, (marks, sizes) = place[unpack(words)[0]], unpack(rows).astype(np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])
         v = _befores(w, at)
-        pairs, place = np.unique(_pair_keys(vocab[v], vocab[w]), return_inverse=True)
+        pairs, place = np.unique(_pair_keys(vocab[v], vocab[w], width), return_inverse=True)
         return vocab, w, v, pairs, place, marks - 1, at
 
     def ask(which: int):
@@ -335,9 +337,9 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
             for batch in batches:
                 for block, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "vocab", "rows")), strict=True):
                     keys = load(*rest)[which]
-                    at = _cuts(keys, bits)
+                    at = _cuts(keys, bits, width if which == 3 else 64)
                     full = np.flatnonzero(np.diff(at))
-                    yield _keyed(full, [block] * len(full), [_pack_sorted(keys[at[i] : at[i + 1]]) for i in full], [None] * len(full))
+                    yield _keyed(full, [block] * len(full), [pack_sorted(keys[at[i] : at[i + 1]]) for i in full], [None] * len(full))
 
         return run
 
@@ -348,7 +350,7 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
             ids, *rest = got["rows"]
             vocab, w, v, pairs, place, marks, at = load(*rest)
             sized_ = np.diff(at)
-            ratio = _ratio(w, v, place, np.repeat(np.arange(len(sized_)), sized_), marks, np.concatenate(got[2], axis=1).astype(np.float64), np.concatenate(got[1], axis=1).astype(np.float64), totals) if len(w) else np.zeros((3, 0))
+            ratio = _ratio(w, v, place, np.repeat(np.arange(len(sized_)), sized_), marks, np.concatenate(got[2], axis=1), np.concatenate(got[1], axis=1), totals) if len(w) else np.zeros((3, 0))
             sums = np.concatenate([np.zeros((6, 1)), np.cumsum(np.concatenate([ratio, np.maximum(ratio - STRONG, 0)]), axis=1)], axis=1)
             n = np.maximum(sized_, 1)
             found = (sums[:, at[1:]] - sums[:, at[:-1]]) / np.concatenate([[n] * 3, [np.sqrt(n)] * 3])
@@ -363,56 +365,71 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
                 if kind == 0:
                     got["rows"] = (ids, *rest)
                 else:
-                    got.setdefault(kind, []).append(_unpack(counts))
+                    got.setdefault(kind, []).append(unpack(counts))
         if block is not None:
             yield done()
 
     marked = docs.select(F.col("doc_id").cast("long"), "text").join(sized(model.taught), F.col("doc_id") == F.col("__id"), "left")
     marked = marked.select("doc_id", "text", F.when(F.col("text").isNotNull(), F.coalesce("toxic", F.lit(-1))).otherwise(-1).cast("int").alias("toxic"))
     blocks = save(marked.mapInArrow(store, "block string, ids array<long>, words binary, vocab binary, rows binary"), "toxicity-blocks")
-    found = []
-    for kind, which, known, width in ((1, 3, model.pairs, 2), (2, 0, model.words, _WORD)):
+    found, answered = [], []
+    for kind, which, known, columns in ((1, 3, model.pairs, 2), (2, 0, model.words, _WORD)):
         asked = blocks.select("block", "words", "vocab", "rows").mapInArrow(ask(which), _KEYS)
-        found.append(save(_answers(asked, known, width), "toxicity-counts").withColumn("kind", F.lit(kind)))
+        answered.append(save(_answers(asked, known, columns), "toxicity-counts"))
+        found.append(answered[-1].withColumn("kind", F.lit(kind)))
     rows = blocks.withColumn("kind", F.lit(0)).unionByName(found[0], True).unionByName(found[1], True)
     rows = rows.repartition("block").sortWithinPartitions("block", "kind", "bucket")
-    return rows.mapInArrow(judge, "doc_id long, toxic int, evidence array<double>")
+    out = save(rows.mapInArrow(judge, "doc_id long, toxic int, evidence array<double>"), "toxicity-evidence")
+    discard(blocks, *answered)
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from the rows of ``docs`` that have a label and are not held out."""
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Count the rows of ``docs`` that have a label and are not held out; ``fit`` makes the curve."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
     taught = marks.where(~held_out(F.col("__id")))
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(10, (size >> 22).bit_length())
+    # Keys of pairs so wide that less than one lookup in 10,000 may meet another pair's counts.
+    width = min(64, max(bits + 8, (size // 6).bit_length() + 16))
     rows = texts.join(sized(taught), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
-    pairs = save(pair_counts(rows, bits), "pair-counts")
-    words = save(word_counts(pairs, bits), "word-counts")
-    n, totals = np.zeros((2, 1 << bits), np.int64), np.zeros(6, np.int64)
-    for row in words.select("bucket", "totals").collect():
-        n[:, row.bucket] = row.totals[:2]
-        totals += np.array(row.totals)
-    model = Model(pairs, words, taught, bits, n, totals)
-    if model.ready():
-        chosen = taught.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-        known = features(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text"), model).toPandas()
-        if known["toxic"].nunique() == 2:
-            model.fit(np.array(known["evidence"].tolist()), known["toxic"].to_numpy())
+    counted = save(pair_counts(rows, bits, width), "pair-counts")
+    words = save(word_counts(counted, bits), "word-counts")
+    pairs = save(counted.select("bucket", "block", "keys", "counts"), "pairs")
+    discard(counted)
+    totals = np.zeros(6, np.int64)
+    for row in words.agg(*[F.coalesce(F.sum(F.get("totals", F.lit(i))), F.lit(0)) for i in range(6)]).collect():
+        totals += np.array(row)
+    return Model(pairs, words, taught, bits, width, totals)
+
+
+def fit(model: Model, evidence: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit the curve on at most ``sample`` of the rows that taught, in the order of a hash of ``doc_id``."""
+    known = evidence.where("toxic >= 0").orderBy(F.xxhash64("doc_id"), "doc_id", "evidence").limit(sample).toPandas()
+    if known["toxic"].nunique() == 2:
+        model.fit(np.array(known["evidence"].tolist()), known["toxic"].to_numpy())
     return model
 
 
-def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row."""
-    if model.ready():
-        logit = F.lit(float(model.curve[0])) + sum((float(b) * F.get("evidence", F.lit(i)) for i, b in enumerate(model.curve[1:])), F.lit(0.0))
-        logit = F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))
-        scored = features(docs, model).select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"))
-    else:
-        scored = docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"))
+def score(evidence: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row of ``features``."""
+    logit = F.lit(float(model.curve[0])) + sum((float(b) * F.get("evidence", F.lit(i)) for i, b in enumerate(model.curve[1:])), F.lit(0.0))
+    scored = evidence.select("doc_id", (1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """Learn from ``docs`` and ``labels`` and score every row of ``docs``."""
+    model = train(docs, labels)
+    if not model.ready():
+        none = docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"))
+        return none.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.lit(0).alias("predicted"))
+    evidence = features(docs, model)
+    discard(model.pairs, model.words)
+    return score(evidence, fit(model, evidence, sample), threshold)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return toxicity(docs, table(spark, sf_dir, "labels"))
