@@ -9,8 +9,8 @@ The loss mask is a span ``[loss_start, loss_end)`` of code points: the escaped r
 
 Defined cases: null role or text is empty; turns sort by turn number (nulls first), then role, then text, and repeated
 rows all stay; rows with a null ``conv_id`` are one conversation of that id; an empty table gives an empty result; further
-columns are ignored. The output of a conversation of n replies grows as n squared, by definition; contexts are built
-per example after the explode, so a row never holds more than one of them.
+columns are ignored; very long texts are whole. The output of a conversation of n replies grows as n squared, by
+definition; a conversation is joined once and cut per example after the explode, so a row never holds more than one.
 """
 
 from __future__ import annotations
@@ -58,14 +58,16 @@ def format_examples(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     piece = F.transform("turns", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END + "\n")))
-    replies = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.get(F.col("turns"), i - 1)["role"] == TRAINED)
-    ends = F.transform(replies, lambda i: F.struct(i.alias("upto"), F.length(escape(F.get(F.col("turns"), i - 1)["text"])).alias("chars")))
-    closing = F.array(F.struct(F.size("turns").alias("upto"), F.lit(None).cast("int").alias("chars")))
-    ends = F.when(F.element_at("turns", -1)["role"] == TRAINED, ends).otherwise(F.concat(ends, closing))
-    examples = turns.select("conv_id", piece.alias("pieces"), F.posexplode(ends).alias("example", "end"))
-    examples = examples.select("conv_id", "example", "end.chars", F.array_join(F.slice("pieces", F.lit(1), F.col("end.upto")), "").alias("formatted"))
-    stop = F.length("formatted") - len(END + "\n")
-    return examples.select("conv_id", "example", "formatted", (stop - F.col("chars")).alias("loss_start"), F.when(F.col("chars").isNotNull(), stop).alias("loss_end"))
+    turns = turns.select("conv_id", "turns", piece.alias("pieces"))
+    upto = F.aggregate("pieces", F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.length(p))))
+    turns = turns.select("conv_id", "turns", upto.alias("upto"), F.transform("pieces", lambda p: F.length(p)).alias("lengths"), F.array_join("pieces", "").alias("whole"))
+    # An example ends with every reply and with the last turn: how far it goes, and where its loss begins.
+    begins = lambda i: F.get("upto", i) - F.get("lengths", i) + len(f"{START}{TRAINED}\n")
+    reply = lambda t: t["role"] == TRAINED
+    ends = F.transform("turns", lambda t, i: F.when(reply(t) | (i == F.size("turns") - 1), F.struct(F.get("upto", i).alias("upto"), F.when(reply(t), begins(i)).alias("begins"))))
+    examples = turns.select("conv_id", "whole", F.posexplode(F.filter(ends, lambda e: e.isNotNull())).alias("example", "e"))
+    formatted = F.substring("whole", F.lit(1), F.col("e.upto"))
+    return examples.select("conv_id", "example", formatted.alias("formatted"), F.col("e.begins").alias("loss_start"), F.when(F.col("e.begins").isNotNull(), F.col("e.upto") - len(END + "\n")).alias("loss_end"))
 
 
 def read_examples(examples: DataFrame) -> DataFrame:
@@ -79,14 +81,20 @@ def read_examples(examples: DataFrame) -> DataFrame:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """What the examples hold, a row per conversation."""
-    read = read_examples(examples)
-    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    each = read.select("conv_id", "example", F.size("turns").cast("long").alias("n"), F.sha2(whole, 256).alias("sha"), "loss", F.length("formatted").cast("long").alias("chars"))
-    parts = F.sort_array(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("example", "loss"))))
-    grouped = each.groupBy("conv_id").agg(F.max("n").alias("n_turns"), F.max_by("sha", "n").alias("turns_sha256"), parts.alias("parts"), F.sum("chars").alias("formatted_chars"))
-    loss = F.array_join(F.transform("parts", lambda p: p["loss"]), "")
-    return grouped.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+    """What the examples hold, a row per conversation.
+
+    The last example of a conversation holds all turns; only that one is taken apart. Of the others the loss is read.
+    """
+    size = F.length("formatted").cast("long")
+    loss = F.substring("formatted", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("loss_end").isNotNull(), F.struct("example", loss.alias("loss")))))
+    whole = F.max_by(F.struct("formatted", "loss_start", "loss_end"), "example").alias("whole")
+    grouped = examples.groupBy("conv_id").agg(whole, parts.alias("parts"), F.sum(size).alias("formatted_chars"))
+    read = read_examples(grouped.select("conv_id", "parts", "formatted_chars", "whole.*"))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = F.array_join(F.transform("parts", lambda p: unescape_text(p["loss"])), "")
+    done = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), turns.alias("said"), trained.alias("loss"), "formatted_chars")
+    return done.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
