@@ -1,11 +1,12 @@
 """Token counts through a digest cache.
 
-A count belongs to (SHA-256 of the text, digest of the tokenizer: file content and library version). Stored counts are
-looked up by that key; of the misses, one text per digest is encoded, and the new counts are appended to the cache as a
-file set of their own, so a reader never sees half of them. Content is not changed before hashing (the tokenizers at hand
-tell apart any two texts); null counts as empty.
+A count belongs to (SHA-256 of the text, digest of the tokenizer: file content and versions of what counts). Stored counts are
+looked up by that key; of the misses, one text per digest is encoded, and the new counts are added to the cache in a folder
+of the run's own, so runs at the same time do not touch each other's files and a reader never sees half of them. The only
+normalisation that leaves all counts as they are is that of null to empty (the tokenizers at hand tell apart any two
+texts). A count that is missing at the end fails the query.
 
-Defined cases: empty and null texts have 0 bytes and 0 tokens; equal texts share one count; the same row twice gives two
+Defined cases: empty and null texts have 0 bytes and 0 tokens; very long texts are whole; equal texts share one count; the same row twice gives two
 rows; any ``doc_id`` (null, repeated) is carried along; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import lookup, save, scratch_path, sized, slices, table
 
 LIMIT = 512
+#: The version of ``counter``'s own way of counting; a cache does not outlive it.
+FAST_PATH = 1
 #: Digests up to which the list of rows to skip is broadcast (32 bytes each); above, texts are shuffled by digest.
 SKIP_ROWS = 500_000
 BATCH_BYTES = 1 << 20
@@ -35,7 +39,10 @@ def tokenizer_digest(path: str) -> str:
 
     with open(path, "rb") as f:
         content = hashlib.sha256(f.read()).hexdigest()
-    version = tokenizers.__version__ if path.endswith(".json") else sentencepiece.__version__
+    import tiktoken
+
+    libraries = (tokenizers.__version__, tiktoken.__version__, FAST_PATH) if path.endswith(".json") else (sentencepiece.__version__,)
+    version = " ".join(map(str, libraries))
     return hashlib.sha256(f"{content} {version}".encode()).hexdigest()
 
 
@@ -116,7 +123,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
         folder = spark._jvm.org.apache.hadoop.fs.Path(store)
         if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
             return spark.createDataFrame([], fields)
-        # Two runs at once may both append a digest; counts agree, so any one will do.
+        # Two runs at once may both store a digest; counts agree, so any one will do.
         return spark.read.schema(fields).parquet(store).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
 
     text = F.coalesce("text", F.lit(""))
@@ -140,9 +147,11 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
                 yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(count(texts), pa.int64())], names=["digest", "n_tokens"])
 
     fresh = rows.mapInArrow(encode, fields)
-    fresh.write.mode("append").parquet(store, compression="zstd")
+    fresh.write.parquet(f"{store}/run={uuid.uuid4().hex}", compression="zstd")
     facts = stored().join(groups.select("digest", "copies"), "digest").select("digest", "n_tokens", "copies")
     out = lookup(ids, facts, "digest", "copies")
+    count = F.coalesce("n_tokens", F.raise_error(F.lit("the token cache lost a count")).cast("long"))
+    out = out.select("doc_id", "n_bytes", count.alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
