@@ -10,8 +10,8 @@ The topic of a text is its form: ``table``, ``shout``, ``brief``, ``long`` or ``
 
 Defined cases: null source or lang is the class ``''``; null or empty text has 0 tokens and is sampled with the factor of
 its cell (1 in a cell without tokens); a null ``doc_id`` draws by the text instead; equal rows draw equally; classes that
-a given target leaves out get 0; an empty table gives an empty result; further columns stay, and may have any name that
-does not begin with two underscores.
+a given target leaves out get 0; an empty table gives an empty result; very long texts are whole; further columns stay,
+but for those named as the results, which give way to these.
 """
 
 from __future__ import annotations

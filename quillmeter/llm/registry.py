@@ -35,7 +35,5 @@ SQL: dict[str, str] = {
     "op1_mixing_weights": mixing.SQL,
     "op4_warc_writer": warc.SQL,
     "op6_line_dedup": line_dedup.SQL,
-    "op8_cotrained_quality": op8_cotrained_quality,
-    "op9_toxicity": op9_toxicity,
     "op10_chat_prefix_targets": chat_format.SQL,
 }
