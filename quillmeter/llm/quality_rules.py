@@ -8,7 +8,8 @@ score reaches the threshold. The query and the pipeline score trusted documents
 threshold from these scores. The same threshold decides every document, and hashes are fixed, so runs agree.
 
 Defined cases: null text has no words and fails the base rules; the same row twice gets the same answer twice; an empty
-table gives an empty result; further columns are ignored; without trusted documents every score is 0 (kept by the method).
+table gives an empty result; very long texts are whole; a ratio equal to the threshold is kept; further columns are
+ignored; without trusted documents every score is 0 (kept by the method).
 Labels with a null id or quality trust nothing. A document with several labels is trusted if any of them is 1.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, sized, table
+from .common import SPACES, discard, save, sized, table
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.107
@@ -33,7 +34,14 @@ def _let(value: Column, body) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(SPACES))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
+
+
+def _neighbours(left: Column, right: Column, skip: int, body) -> Column:
+    """``body`` of every element of ``left`` and the element of ``right`` that is ``skip`` places on; both as long, but for these."""
+    n = F.greatest(F.size(right) - skip, F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(1 + skip), n), body)
 
 
 def _upto(n: Column) -> Column:
@@ -82,11 +90,13 @@ def _repeated(words: Column, hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_let(positions, lambda p: _covered(p, 3)))
 
 
-def _grams(words: Column, buckets: int) -> Column:
-    """Bucket of every word and of every pair of neighbours."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(_upto(F.size(words) - 1), lambda i: F.pmod(F.xxhash64(F.get(words, i), F.get(words, i + 1)), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
+def _hashes(words: Column) -> tuple[Column, Column]:
+    """A hash of every word, and of every pair of neighbours."""
+    return F.transform(words, lambda w: F.xxhash64(w)), _neighbours(words, words, 1, lambda a, b: F.xxhash64(a, b))
+
+
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
@@ -102,7 +112,8 @@ def gram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> D
     rows = docs.select("doc_id", _lang(docs).alias("__lang"), F.coalesce("text", F.lit("")).alias("__text"))
     rows = rows.join(sized(_trusted(labels)), F.col("doc_id") == F.col("__good"), "left")
     rows = rows.select(F.col("__lang").alias("lang"), F.col("__good").isNotNull().cast("long").alias("t"), _words(F.col("__text")).alias("w"))
-    return rows.select("lang", "t", F.explode(_grams(F.col("w"), buckets)).alias("bucket")).groupBy("lang", "bucket").agg(F.sum("t").alias("trusted"), F.count("*").alias("corpus"))
+    grams = rows.select("lang", "t", F.explode(F.concat(*_hashes(F.col("w")))).alias("h"))
+    return grams.select("lang", "t", _bucket(F.col("h"), buckets).alias("bucket")).groupBy("lang", "bucket").agg(F.sum("t").alias("trusted"), F.count("*").alias("corpus"))
 
 
 def lang_shares(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
@@ -112,21 +123,24 @@ def lang_shares(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.
     return sums.crossJoin(F.broadcast(total)).select("lang", (F.col("nc") / F.col("all") / (F.col("nt") + smoothing * buckets)).alias("unit"), "nc")
 
 
-def gram_weights(counts: DataFrame, shares: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
-    """One row, two arrays of ``buckets``: log ratios and trusted shares (their size does not depend on the input).
+def gram_weights(counts: DataFrame, shares: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> tuple[Column, Column]:
+    """Two arrays of ``buckets``: log ratios and trusted shares, as constants of a plan.
+
+    Their size does not depend on the input, so they pass through the driver. As constants they cost a row nothing; as
+    columns each row would carry them from one operator to the next.
 
     Each language has the weight in the trusted shares that it has in the corpus, and is smoothed towards its own corpus
     shares; so languages with few or no trusted documents are not far from 0.
     """
-    spark = counts.sparkSession
     prior = smoothing * buckets
     cells = counts.join(sized(shares).withColumnRenamed("lang", "__l"), F.col("lang") == F.col("__l"))
     cells = cells.groupBy("bucket").agg(F.sum(F.col("unit") * (F.col("trusted") + prior * F.col("corpus") / F.col("nc"))).alias("p"), F.sum("corpus").alias("c"))
-    dense = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(cells, F.col("b") == F.col("bucket"), "left")
-    pairs = F.sort_array(F.collect_list(F.struct("b", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("c", F.lit(0)).alias("c"))))
-    one = dense.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("nc"), pairs.alias("x"))
-    ratio = F.transform("x", lambda x: F.when(x["c"] == 0, 0.0).otherwise(F.log(x["p"]) - F.log(x["c"] / F.col("nc"))))
-    return one.select(F.struct(ratio.alias("weights"), F.transform("x", lambda x: x["p"]).alias("shares")).alias("model"))
+    total = F.lit(float(cells.agg(F.sum("c")).first()[0] or 0))
+    cells = cells.where(F.col("c") > 0).select("bucket", (F.log("p") - F.log(F.col("c") / total)).alias("ratio"), "p")
+    weights, trusted = ["0.0"] * buckets, ["0.0"] * buckets
+    for row in cells.collect():
+        weights[row.bucket], trusted[row.bucket] = repr(row.ratio), repr(row.p)
+    return tuple(F.split(F.lit(",".join(x)), ",").cast("array<double>") for x in (weights, trusted))
 
 
 def _alone(grams: Column, weights: Column, shares: Column, unit: Column) -> Column:
@@ -144,22 +158,23 @@ def _alone(grams: Column, weights: Column, shares: Column, unit: Column) -> Colu
     return F.aggregate(F.sort_array(grams), start, step, ended) - F.size(grams) * F.log(F.greatest(1 - unit * F.size(grams), F.lit(1e-9)))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """Judge every row of ``docs``; ``keep_columns`` carries the input's columns along (under their own names).
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = THRESHOLD, keep_columns: bool | list[str] = False) -> DataFrame:
+    """Judge every row of ``docs``; ``keep_columns`` carries the input's columns along, all or those named.
+
+    Of columns that share a name with a result the result stays.
 
     With ``threshold`` None, trusted documents are judged without their own counts, and the threshold is ``DEVIATIONS``
     standard deviations below the mean of the trusted documents that pass the base rules.
     """
-    # A subquery's value becomes a constant of the plan; it may not stand inside a lambda, so it gets a column.
     counted = save(gram_counts(docs, labels, buckets), "gram-counts")
     shares = lang_shares(counted, buckets)
-    model = gram_weights(counted, shares, buckets).scalar()
-    words, text, grams = F.col("__w"), F.col("__text"), F.col("__g")
+    weights, trusted = gram_weights(counted, shares, buckets)
+    words, text = F.col("__w"), F.col("__text")
     n = F.size(words)
-    windows = F.transform(_upto(n - 2), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
-    kept = [c for c in docs.columns if keep_columns and c not in made or c == "doc_id"]
+    wanted = docs.columns if keep_columns is True else [*(keep_columns or []), "doc_id"]
+    kept = [c for c in docs.columns if c in wanted and c not in made]
     rows, unit = docs.withColumn("__lang", _lang(docs)), F.lit(None).cast("double")
     if threshold is None:
         rows = rows.join(sized(_trusted(labels)), F.col("doc_id") == F.col("__good"), "left")
@@ -167,11 +182,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
         unit = F.when(F.col("__good").isNotNull(), F.col("__unit"))
     rows = rows.select(*kept, F.coalesce("text", F.lit("")).alias("__text"), unit.alias("__own"))
     rows = rows.withColumn("__w", _words(text))
-    rows = rows.withColumn("__h", windows).withColumn("__l", lines).withColumn("__g", _grams(words, buckets)).withColumn("__model", model)
-    rows = rows.withColumn("__weights", F.col("__model.weights")).withColumn("__shares", F.col("__model.shares"))
-    plain = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("__weights"), g))
-    sums = plain if threshold is not None else F.when(F.col("__own").isNull(), plain).otherwise(_alone(grams, F.col("__weights"), F.col("__shares"), F.col("__own")))
-    score = F.when(F.size(grams) == 0, F.lit(0.0)).otherwise(sums / F.size(grams))
+    one, two = _hashes(words)
+    rows = rows.withColumn("__l", lines).withColumn("__one", one).withColumn("__two", two)
+    rows = rows.withColumn("__h", _neighbours(F.col("__two"), F.col("__one"), 2, lambda a, b: F.xxhash64(a, b)))
+    n_grams = F.size("__one") + F.size("__two")
+    plain = F.lit(0.0)
+    for part in ("__one", "__two"):
+        plain = plain + F.aggregate(part, F.lit(0.0), lambda acc, h: acc + F.get(weights, _bucket(h, buckets)))
+    grams = F.transform(F.concat("__one", "__two"), lambda h: _bucket(h, buckets))
+    sums = plain if threshold is not None else F.when(F.col("__own").isNull(), plain).otherwise(_alone(grams, weights, trusted, F.col("__own")))
+    score = F.when(n_grams == 0, F.lit(0.0)).otherwise(sums / n_grams)
     counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
