@@ -6,7 +6,8 @@ which keys at least two documents hold and picks the smallest ``doc_id`` as the
 
 Defined cases: null or empty text is one empty line; rows that share a ``doc_id`` are one holder; a key that one document
 repeats is not a repeat across documents; rows with a null ``doc_id`` hold nothing, and keep all their lines; an empty
-table gives an empty result; further columns stay, and may have any name that does not begin with two underscores.
+table gives an empty result; very long texts and lines are whole; further columns stay, but for those named ``n_lines``
+or ``n_dropped``, which give way to the results.
 """
 
 from __future__ import annotations
@@ -29,16 +30,18 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACES)))
 
 
-def _hash(line: Column, least: int) -> Column:
-    """Hash of the line's key, null for keys that are too short to count."""
-    return F.transform(F.array(line_key(line)), lambda k: F.when(F.char_length(k) >= least, F.xxhash64(k)))[0]
+def _hash(line: Column) -> Column:
+    """What the filters see of a line. Lower case of all letters is coarser than the key's and much cheaper: equal keys
+    have equal hashes, and the exact group that follows tells the rest apart.
+    """
+    return F.xxhash64(F.lower(F.btrim(line, F.lit(SPACES))))
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST, most_bits: int = MOST_BITS) -> DataFrame:
     """``doc_id, keys``: for every document that loses lines, the keys to drop."""
     spark = docs.sparkSession
     lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    keyed = lines.where(F.char_length("line") >= least).select("doc_id", "line", _hash(F.col("line"), least).alias("h")).where(F.col("h").isNotNull())
+    keyed = lines.where(F.char_length(F.btrim("line", F.lit(SPACES))) >= least).select("doc_id", "line", _hash(F.col("line")).alias("h"))
     keys = docs.agg(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     twice = spark.sparkContext.broadcast(twice_filter(keyed.select("h"), filter_bits(keys, most_bits)))
 
