@@ -8,9 +8,11 @@ bit-parallel distance over the window around it. A document is contaminated if i
 Items are a stated query set: they are broadcast in blocks of at most ``block`` items of bounded length, and every block
 runs over all documents.
 
-Defined cases: null or wordless texts contain nothing; null or wordless items match nothing, so do items shorter than
-``least`` characters; repeated items and rows are judged each for itself; an empty table gives an empty result; further
-columns stay as they are.
+Items shorter than ``least`` characters are too short to allow for edits: their words must stand in a text as they are.
+
+Defined cases: null or wordless texts contain nothing, very long ones are searched whole; null items and items without a
+letter or digit match nothing; repeated items and rows are judged each for itself; of places with equal distance the
+first counts; an empty table gives an empty result; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +78,11 @@ class Matcher:
         places = defaultdict(list)
         for number, (item, text) in enumerate(items):
             text = canonical(text)
-            if len(text) < least:
+            if not text:
                 continue
-            budget = len(text) * error_percent // 100
+            budget = len(text) * error_percent // 100 if len(text) >= least else 0
+            if len(text) < least:
+                text = f" {text} "  # whole words
             self.items[number] = (item, text, budget)
             for at, piece in pieces(text, budget):
                 places[piece].append((number, at))
@@ -91,7 +96,7 @@ class Matcher:
         """``(item, distance, place)`` of every item within its budget; the place is of the first window that is near enough."""
         if not self.items:
             return []
-        text = canonical(text)
+        text = f" {canonical(text)} "
         hits = defaultdict(set)
         for end, (length, where) in self.search.iter(text):
             start = end - length + 1
@@ -113,7 +118,8 @@ class Matcher:
                 window = text[max(0, start - budget) : start + len(pattern) + 2 * budget + 1]
                 distance = myers_end(self.masks[number], len(pattern), window)
                 if distance <= budget and (best is None or distance < best[0]):
-                    best = (distance, max(0, start))
+                    # Places count from the first word; a short item begins with the space before it.
+                    best = (distance, max(0, start - (pattern[0] != " ")))
                     if not distance:
                         break
             if best is not None:
@@ -163,10 +169,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return found.groupBy("doc_id").agg(F.lit(True).alias("contaminated"), F.count_distinct("item_id").alias("n_items"), items.alias("items"), F.min("distance").alias("least_distance"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the contaminated rows; rows with a null ``doc_id`` that are contaminated go by their text."""
-    gone = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_percent: int = ERROR_PERCENT, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the contaminated rows; each row is judged by its own text, whatever its ``doc_id``."""
+    for block in _blocks(benchmark, block_chars):
+        docs = docs.where(_free_of(docs.sparkSession.sparkContext.broadcast(block), error_percent, least)("text"))
+    return docs
+
+
+def _free_of(shared, error_percent: int, least: int):
+    @F.pandas_udf("boolean")
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, error_percent, least)
+        for texts in batches:
+            yield pd.Series([not matcher.find(t) for t in texts], dtype=bool)
+
+    return free
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
