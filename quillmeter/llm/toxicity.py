@@ -7,7 +7,7 @@ share; so an expression that one class has rarely or never seen costs both alike
 
 Documents are cut into blocks of at most ``BLOCK`` words. A block asks for its distinct bigrams and words only, dealt by
 hash, so a frequent one is asked for once a block and no task gets more than its share of the keys. What travels are
-packed sorted arrays, answered in the order asked.
+packed sorted arrays, answered in the order asked, in ``TURNS`` turns over all blocks.
 
 A document's evidence is the log-likelihood ratio of the two models, in three parts: its words by themselves, and what
 bigrams add to them that are seen ``OFTEN`` times or more, and all rarer ones. Each part is normalised by length in two
@@ -28,6 +28,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, mix, pack, pack_sorted, save, sized, slices, table, unpack, unpack_sorted, word_hashes
 
-SAMPLE, BLOCK = 10_000, 2_500_000
+SAMPLE, BLOCK, TURNS = 10_000, 1_000_000, 4
 DISCOUNT, STRONG, OFTEN, THRESHOLD = 0.75, 3.0, 5, 0.7
 #: Bytes between words: everything in ASCII but letters and digits.
 _BREAKS = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b > 127) for b in range(256)])
@@ -54,7 +55,24 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.int8 if a.size == 0 or a.max() < 128 else np.int32 if a.max() < 1 << 31 else np.uint64)
 
 
-def _cuts(keys: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
+@dataclass(frozen=True)
+class Widths:
+    """Bits of a bucket's number, of a pair's key and of a word's key."""
+
+    bucket: int
+    pair: int
+    word: int
+
+    @classmethod
+    def of(cls, words: int) -> Widths:
+        """By the number of words: of a billion lookups of pairs that nothing holds, fewer than 100,000 meet another pair's
+        counts, and words share a key as rarely; wider keys would only fill the shuffles.
+        """
+        bucket = max(10, (words * 6 >> 22).bit_length())
+        return cls(bucket, min(62, max(bucket + 8, words.bit_length() + 11)), min(62, max(bucket + 8, words.bit_length() + 14)))
+
+
+def _cuts(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
     """Where each of the 2**bits ranges of sorted keys of ``width`` bits begins, and the end."""
     return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)), len(keys))
 
@@ -71,7 +89,7 @@ def _befores(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return before
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
     """Runs of rows: doc_ids (Arrow), marks (1 toxic, 0 plain, -1 untaught), word hashes and each row's first word."""
     ids, marks, hashes, sizes, n = [], [], [], [], 0
 
@@ -83,6 +101,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         for start, part in slices(batch.column(1)):
             h, at = word_hashes(part, fold=True, breaks=_BREAKS)
+            h = h >> np.uint64(64 - width)
             ids.append(batch.column(0).slice(start, len(part)))
             marks.append(toxic[start : start + len(part)])
             hashes.append(h)
@@ -103,9 +122,9 @@ def _keyed(bucket: list, block: list, keys: list, counts: list) -> pa.RecordBatc
     return _rows({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(block, pa.string()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+def _dealt(keys: np.ndarray, counts: np.ndarray, widths: Widths) -> pa.RecordBatch:
     """Sorted keys and their counts, a row for each bucket that has any."""
-    at = _cuts(keys, bits)
+    at = _cuts(keys, widths.bucket, widths.word)
     full = np.flatnonzero(np.diff(at))
     return _keyed(full, [None] * len(full), [pack_sorted(keys[at[i] : at[i + 1]]) for i in full], [pack(_small(counts[:, at[i] : at[i + 1]])) for i in full])
 
@@ -133,11 +152,12 @@ def _together(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def pair_counts(rows: DataFrame, bits: int, width: int) -> DataFrame:
+def pair_counts(rows: DataFrame, widths: Widths) -> DataFrame:
     """Buckets of (before, word) and (toxic, plain) counts over rows of (doc_id, text, toxic)."""
+    bits, width = widths.bucket, widths.pair
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, marks, h, at in _blocks(batches):
+        for _, marks, h, at in _blocks(batches, widths.word):
             before, toxic = _befores(h, at), np.repeat(marks, np.diff(at))
             _, first, inverse = np.unique(_pair_keys(before, h, width), return_index=True, return_inverse=True)
             t = np.bincount(inverse, weights=toxic, minlength=len(first)).astype(np.int64)
@@ -163,7 +183,7 @@ def pair_counts(rows: DataFrame, bits: int, width: int) -> DataFrame:
     return _together(rows.select("doc_id", "text", "toxic").mapInArrow(count, _KEYS)).mapInArrow(merge, _KEYS + ", ends binary")
 
 
-def word_counts(pairs: DataFrame, bits: int) -> DataFrame:
+def word_counts(pairs: DataFrame, widths: Widths) -> DataFrame:
     """Buckets of words and their ``_WORD`` counts."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +197,10 @@ def word_counts(pairs: DataFrame, bits: int) -> DataFrame:
                 held.append(_sums(np.concatenate([word, before]), np.concatenate([of_word, of_before], axis=1)))
                 size += len(held[-1][0])
                 if size >= BLOCK:
-                    yield _dealt(*_sums(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True))), bits)
+                    yield _dealt(*_sums(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True))), widths)
                     held, size = [], 0
         if held:
-            yield _dealt(*_sums(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True))), bits)
+            yield _dealt(*_sums(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True))), widths)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
@@ -226,8 +246,7 @@ class Model:
     pairs: DataFrame
     words: DataFrame
     taught: DataFrame
-    bits: int
-    width: int
+    widths: Widths
     #: Toxic and plain words, different toxic and plain words, different pairs, different words.
     totals: np.ndarray
     curve: np.ndarray = field(default_factory=lambda: np.array([-20.0] + [0.0] * 6))
@@ -305,12 +324,12 @@ def _ratio(w, v, pair, doc, marks, vocab_counts, pair_n, totals) -> np.ndarray:
 def features(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, toxic, evidence`` (means, then strong ones) for every row of ``docs``; toxic is -1 if the row taught nothing.
 
-    The result is a written table.
+    The result is read from written tables.
     """
-    bits, width, totals = model.bits, model.width, model.totals
+    widths, totals = model.widths, model.totals
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, marks, h, at in _blocks(batches):
+        for ids, marks, h, at in _blocks(batches, widths.word):
             vocab, places, counts = np.unique(h, return_inverse=True, return_counts=True)
             # Frequent words get the small places, which pack best.
             order = np.argsort(-counts, kind="stable")
@@ -329,7 +348,7 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
         w, (marks, sizes) = place[unpack(words)[0]], unpack(rows).astype(np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])
         v = _befores(w, at)
-        pairs, place = np.unique(_pair_keys(vocab[v], vocab[w], width), return_inverse=True)
+        pairs, place = np.unique(_pair_keys(vocab[v], vocab[w], widths.pair), return_inverse=True)
         return vocab, w, v, pairs, place, marks - 1, at
 
     def ask(which: int):
@@ -337,7 +356,7 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
             for batch in batches:
                 for block, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "vocab", "rows")), strict=True):
                     keys = load(*rest)[which]
-                    at = _cuts(keys, bits, width if which == 3 else 64)
+                    at = _cuts(keys, widths.bucket, widths.pair if which == 3 else widths.word)
                     full = np.flatnonzero(np.diff(at))
                     yield _keyed(full, [block] * len(full), [pack_sorted(keys[at[i] : at[i + 1]]) for i in full], [None] * len(full))
 
@@ -372,16 +391,20 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
     marked = docs.select(F.col("doc_id").cast("long"), "text").join(sized(model.taught), F.col("doc_id") == F.col("__id"), "left")
     marked = marked.select("doc_id", "text", F.when(F.col("text").isNotNull(), F.coalesce("toxic", F.lit(-1))).otherwise(-1).cast("int").alias("toxic"))
     blocks = save(marked.mapInArrow(store, "block string, ids array<long>, words binary, vocab binary, rows binary"), "toxicity-blocks")
-    found, answered = [], []
-    for kind, which, known, columns in ((1, 3, model.pairs, 2), (2, 0, model.words, _WORD)):
-        asked = blocks.select("block", "words", "vocab", "rows").mapInArrow(ask(which), _KEYS)
-        answered.append(save(_answers(asked, known, columns), "toxicity-counts"))
-        found.append(answered[-1].withColumn("kind", F.lit(kind)))
-    rows = blocks.withColumn("kind", F.lit(0)).unionByName(found[0], True).unionByName(found[1], True)
-    rows = rows.repartition("block").sortWithinPartitions("block", "kind", "bucket")
-    out = save(rows.mapInArrow(judge, "doc_id long, toxic int, evidence array<double>"), "toxicity-evidence")
-    discard(blocks, *answered)
-    return out
+    parts = []
+    # The blocks ask in turns, so the scratch space of questions and answers is that of a part of them.
+    for turn in range(TURNS):
+        some = blocks.where(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == turn)
+        rows, answered = some.withColumn("kind", F.lit(0)), []
+        for kind, which, known, columns in ((1, 3, model.pairs, 2), (2, 0, model.words, _WORD)):
+            asked = some.select("block", "words", "vocab", "rows").mapInArrow(ask(which), _KEYS)
+            answered.append(save(_answers(asked, known, columns), "toxicity-counts"))
+            rows = rows.unionByName(answered[-1].withColumn("kind", F.lit(kind)), True)
+        rows = rows.repartition("block").sortWithinPartitions("block", "kind", "bucket")
+        parts.append(save(rows.mapInArrow(judge, "doc_id long, toxic int, evidence array<double>"), "toxicity-evidence"))
+        discard(*answered)
+    discard(blocks)
+    return reduce(DataFrame.union, parts)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -390,18 +413,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     taught = marks.where(~held_out(F.col("__id")))
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(10, (size >> 22).bit_length())
-    # Keys of pairs so wide that less than one lookup in 10,000 may meet another pair's counts.
-    width = min(64, max(bits + 8, (size // 6).bit_length() + 16))
+    widths = Widths.of(max(1, size // 6))
     rows = texts.join(sized(taught), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
-    counted = save(pair_counts(rows, bits, width), "pair-counts")
-    words = save(word_counts(counted, bits), "word-counts")
+    counted = save(pair_counts(rows, widths), "pair-counts")
+    words = save(word_counts(counted, widths), "word-counts")
     pairs = save(counted.select("bucket", "block", "keys", "counts"), "pairs")
     discard(counted)
     totals = np.zeros(6, np.int64)
     for row in words.agg(*[F.coalesce(F.sum(F.get("totals", F.lit(i))), F.lit(0)) for i in range(6)]).collect():
         totals += np.array(row)
-    return Model(pairs, words, taught, bits, width, totals)
+    return Model(pairs, words, taught, widths, totals)
 
 
 def fit(model: Model, evidence: DataFrame, sample: int = SAMPLE) -> Model:

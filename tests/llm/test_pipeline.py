@@ -46,6 +46,30 @@ def test_stages_do_their_work(spark, tmp_path):
     assert {x.doc_id for x in corpus_pipeline.run(spark, folder).collect()} == set(sampled)
 
 
+def test_odd_rows_pass_the_stages(spark, tmp_path):
+    r = random.Random(14)
+    a, b, item, line = prose(r, 120), prose(r, 120), prose(r, 25), prose(r, 12)
+    texts = [(1, a), (1, a), (None, a), (None, b), (None, f"{prose(r, 80)} {item}"), (4, f"{line}\n{prose(r, 80)}"), (None, f"{line}\n{prose(r, 80)}"), (6, None), (7, ""), (8, "word " * 9)]
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("kept", "n_words", "llr", "n_lines", "n_dropped", "component_id", "distance"):
+        docs = docs.withColumn(name, F.lit(f"my {name}"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1), (4, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(7, item), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = step = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, folder)
+        assert step.columns == docs.columns and step.schema == docs.schema
+        assert all(x[c] == f"my {c}" for x in step.collect() for c in docs.columns[5:])
+    kept = step.collect()
+    assert {(x.doc_id, (x.text or "")[:20]) for x in kept} == {(1, a[:20]), (None, b[:20]), (4, line[:20]), (None, texts[6][1][:20])} and len(kept) == 4
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{folder}/empty/{name}.parquet")
+    docs.limit(0).write.parquet(f"{folder}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/empty").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_decontamination_query_equals_brute_force(spark):
     items = {x.item_id: decontaminate.canonical(x.text) for x in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}

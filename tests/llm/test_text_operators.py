@@ -69,6 +69,20 @@ def test_components_odd_rows(spark):
     assert jaccard_join.keep_one_per_component(docs).where("doc_id = 2").count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(23)
+    a, b, x, y = (prose(r, 60) for _ in range(4))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a, "p"), (1, a, "q"), (None, a, "r"), (2, near, "s"), (None, near, "t"), (None, b, "u"), (None, b, "v"), (5, x, "w"), (5, y, "w"), (7, None, "z"), (7, None, "z"), (None, " ", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string").withColumn("m", F.map_from_arrays(F.array(F.lit("k")), F.array("component")))
+    kept = jaccard_join.keep_one_per_component(docs)
+    got = kept.collect()
+    assert kept.columns == docs.columns
+    assert sorted((str(g.doc_id), g.text) for g in got if g.text and g.text != " ") == sorted([("1", a), ("None", b), ("5", x), ("5", y)])
+    assert sum(not (g.text or "").strip() for g in got) == 3
+    assert jaccard_join.keep_one_per_component(docs.limit(0)).count() == 0
+
+
 def test_two_filters_hold_every_repeat(spark):
     keys = list(range(-3000, 3000)) + list(range(0, 500))
     df = spark.createDataFrame([(k,) for k in keys], "h long").repartition(7)
@@ -166,6 +180,21 @@ def test_decontamination_odd_tables(spark):
     assert decontaminate.drop_contaminated(docs.limit(0), empty).count() == 0
 
 
+def test_short_items_match_whole_words(spark):
+    items = spark.createDataFrame([(1, "Tiny item"), (2, "?!"), (3, "in")], "item_id long, text string")
+    docs = documents(spark, ["a tiny\nITEM!", "a tiny items", "tinyitem", "inside", "tiny item", None, "?!"])
+    assert {(x.doc_id, x.item_id, x.distance) for x in decontaminate.matches(docs, items).collect()} == {(0, 1, 0), (4, 1, 0)}
+
+
+def test_rows_go_by_their_own_text(spark):
+    r = random.Random(24)
+    item, clean = prose(r, 20), prose(r, 30)
+    rows = [(None, clean, 1), (None, f"{clean} {item}", 2), (3, item, 3), (3, clean, 4), (4, None, 5), (3, item, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place long").withColumn("distance", F.lit("mine"))
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(9, item), (9, item), (10, "x" * 90)], "item_id long, text string"), block_chars=100)
+    assert left.columns == docs.columns and {x.place for x in left.collect()} == {1, 4, 5}
+
+
 def test_pieces_make_up_the_item():
     for text in ("abcdefghij" * 9, "x" * 41):
         for budget in (0, 1, 5, 40):
