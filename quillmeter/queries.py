@@ -39,21 +39,34 @@ def demo_catalog() -> Catalog:
     )
 
 
-# The same spans as SQL: model, from, to (ms), official, provisional, four rates, four long rates, threshold, then the upper bound's.
-def _span_values() -> str:
-    from .pricing.spans import span_rows
-
-    def cell(x) -> str:
-        return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else repr(x)
-
-    rows = []
-    for model, start, end, official, provisional, _, low, high, route in span_rows(demo_catalog()):
-        rows.append("(" + ", ".join(map(cell, (model, start, end, official, provisional, *low, *high, *((route[0], route[1], route[2], route[3]) if route else (None,) * 4)))) + ")")
-    names = [f"{p}_{n}" for p in ("p", "u") for n in ("i", "c", "w", "o", "li", "lc", "lw", "lo", "t")]
-    kinds = ["VARCHAR", "BIGINT", "BIGINT", "BOOLEAN", "BOOLEAN", *(["DOUBLE"] * 8 + ["BIGINT"]) * 2, *["VARCHAR"] * 4]
-    columns = ["model_key", "valid_from", "valid_to", "official", "provisional", *names, "route_id", "route_start", "assumed_model", "upper_bound_model"]
-    casts = ", ".join(f"CAST({c} AS {k}) AS {c}" for c, k in zip(columns, kinds, strict=True))
-    return f"spans AS (SELECT {casts} FROM (VALUES {', '.join(rows)}) v({', '.join(columns)}))"
+# The same prices as SQL, written out by hand; lookups are as-of joins in SQL, so nothing of the code under test is in it.
+_BASE = "-9007199254740991"
+_DAY = "epoch_ms(TIMESTAMP '2024-01-{}')"
+_PRICES = f"""pv AS (SELECT * FROM (VALUES
+  ('click', {_BASE}, true, 2.0, 0.5, NULL, 8.0, NULL, NULL, NULL, NULL, NULL),
+  ('click', {_DAY.format(10)}, false, 3.0, 0.25, 3.75, 12.0, NULL, NULL, NULL, NULL, NULL),
+  ('click', {_DAY.format(20)}, false, 1.0, 0.125, 1.25, 4.0, 2.0, 0.25, NULL, 6.0, 50000),
+  ('view', {_DAY.format('05')}, false, 5.0, NULL, NULL, 20.0, 10.0, NULL, NULL, 30.0, 20000),
+  ('purchase-v2', {_BASE}, true, 4.0, 1.0, 5.0, 16.0, NULL, NULL, NULL, NULL, NULL)) v(m, start, provisional, i, c, w, o, li, lc, lw, lo, t)),
+al AS (SELECT * FROM (VALUES ('purchase', 'purchase-v2')) v(alias, m)),
+rt AS (SELECT * FROM (VALUES ('signup', 'signup-a', {_DAY.format('08')}, 'click', 'view'), ('signup', 'signup-b', {_DAY.format(15)}, 'purchase-v2', 'view')) v(m, id, start, low_m, high_m))"""
+
+
+def _asof(source: str) -> str:
+    """CTEs that look up the prices of CTE ``source`` (model, timestamp_ms) into ``j``: official, route, and the rates of the
+    price (p_) and of the upper bound (u_).
+    """
+    names = ("i", "c", "w", "o", "li", "lc", "lw", "lo", "t")
+    rates = [f"CASE WHEN official THEN of_{n} WHEN NOT official THEN {side}_{n} END AS {p}_{n}" for p, side in (("p", "lo"), ("u", "hi")) for n in names]
+    picks = lambda side: ", ".join(f"v.{n} AS {side}_{n}" for n in names)
+    return f"""{_PRICES},
+n1 AS (SELECT e.*, coalesce(al.m, lower(trim(e.model))) AS named FROM {source} e LEFT JOIN al ON al.alias = lower(trim(e.model))),
+n2 AS (SELECT n1.*, v.m AS of_m, v.provisional AS of_provisional, {picks('of')} FROM n1 ASOF LEFT JOIN pv v ON n1.named = v.m AND n1.timestamp_ms >= v.start),
+n3 AS (SELECT n2.*, r.id AS route_id, r.start AS route_start, r.low_m AS assumed_model, r.high_m AS upper_bound_model FROM n2 ASOF LEFT JOIN rt r ON lower(trim(n2.model)) = r.m AND n2.timestamp_ms >= r.start),
+n4 AS (SELECT n3.*, v.m AS lo_m, {picks('lo')} FROM n3 ASOF LEFT JOIN pv v ON n3.assumed_model = v.m AND n3.timestamp_ms >= v.start),
+n5 AS (SELECT n4.*, v.m AS hi_m, {picks('hi')} FROM n4 ASOF LEFT JOIN pv v ON n4.upper_bound_model = v.m AND n4.timestamp_ms >= v.start),
+n6 AS (SELECT *, CASE WHEN of_m IS NOT NULL THEN true WHEN lo_m IS NOT NULL AND hi_m IS NOT NULL THEN false END AS official, of_m IS NOT NULL AND of_provisional AS provisional FROM n5),
+j AS (SELECT *, {', '.join(rates)} FROM n6)"""
 
 
 def adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +119,10 @@ def _cost(p: str) -> str:
 
 def _priced(source: str) -> str:
     """CTEs that price the rows of CTE ``source`` into ``q``."""
-    return f"""{_span_values()},
-j AS (SELECT e.*, s.*, greatest(0, input_tokens) AS a_in, least(greatest(0, cached_input_tokens), greatest(0, input_tokens)) AS a_ca,
-  least(greatest(0, cache_write_input_tokens), greatest(0, input_tokens) - least(greatest(0, cached_input_tokens), greatest(0, input_tokens))) AS a_wr
-  FROM {source} e LEFT JOIN spans s ON lower(trim(e.model)) = s.model_key AND e.timestamp_ms IS NOT NULL AND (valid_from IS NULL OR timestamp_ms >= valid_from) AND (valid_to IS NULL OR timestamp_ms < valid_to)),
-x AS (SELECT *, {_cost('p')} AS low, {_cost('u')} AS high FROM j),
+    return f"""{_asof(source)},
+y AS (SELECT *, greatest(0, input_tokens) AS a_in, least(greatest(0, cached_input_tokens), greatest(0, input_tokens)) AS a_ca,
+  least(greatest(0, cache_write_input_tokens), greatest(0, input_tokens) - least(greatest(0, cached_input_tokens), greatest(0, input_tokens))) AS a_wr FROM j),
+x AS (SELECT *, {_cost('p')} AS low, {_cost('u')} AS high FROM y),
 q AS (SELECT *, CASE WHEN official THEN low ELSE 0 END AS estimated_cost_usd, CASE WHEN NOT official THEN low ELSE 0 END AS assumed_cost_usd, CASE WHEN NOT official THEN high ELSE 0 END AS assumed_upper_bound_cost_usd,
   coalesce(low, 0) AS reference_total_cost_usd, CASE WHEN official THEN low ELSE coalesce(high, 0) END AS reference_total_upper_bound_cost_usd,
   CAST(coalesce(official, false) AS BIGINT) AS priced_requests, CAST(coalesce(NOT official, false) AS BIGINT) AS assumed_requests, CAST(official IS NULL AS BIGINT) AS unpriced_requests,
@@ -229,7 +241,12 @@ _add(
 _add(
     "price_spans",
     lambda s, d: price_spans(s, demo_catalog()).select("model_key", "valid_from", "valid_to", "official", "provisional", F.col("price.input").alias("input_rate"), F.col("route.id").alias("route_id")),
-    f"WITH {_span_values()} SELECT model_key, valid_from, valid_to, official, provisional, p_i AS input_rate, route_id FROM spans",
+    f"""WITH {_PRICES}, named AS (SELECT m AS model FROM pv UNION SELECT alias FROM al UNION SELECT m FROM rt),
+s AS (SELECT m AS model, start FROM pv UNION SELECT al.alias, start FROM al JOIN pv ON pv.m = al.m UNION SELECT m, start FROM rt
+      UNION SELECT rt.m, pv.start FROM rt JOIN pv ON pv.m IN (rt.low_m, rt.high_m)),
+cuts AS (SELECT model, CAST(NULL AS BIGINT) AS valid_from FROM named UNION SELECT model, start FROM s WHERE start > {_BASE}),
+spans AS (SELECT model, valid_from, lead(valid_from) OVER (PARTITION BY model ORDER BY valid_from NULLS FIRST) AS valid_to, coalesce(valid_from, {_BASE}) AS timestamp_ms FROM cuts),
+{_asof('spans').replace(_PRICES + ',', '', 1)} SELECT model AS model_key, valid_from, valid_to, official, provisional, p_i AS input_rate, CASE WHEN NOT official THEN route_id END AS route_id FROM j WHERE official IS NOT NULL""",
 )
 _add("duplicate_counts", lambda s, d: duplicates(with_copies(adapted(s, d))), f"WITH {_U}, {_C} SELECT count(*) AS indexed, count(DISTINCT total_usage_key) AS canonical, count(*) - count(DISTINCT total_usage_key) AS global_duplicates FROM c")
 _add("canonical_events", lambda s, d: canonical(with_copies(adapted(s, d))).select("total_usage_key", "file_path", "timestamp_ms", "total_tokens"), f"WITH {_U}, {_C} SELECT total_usage_key, file_path, timestamp_ms, total_tokens FROM (SELECT *, {_RANK} AS rn FROM c) WHERE rn = 1")
