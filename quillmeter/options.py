@@ -7,6 +7,7 @@ import re
 import time
 from dataclasses import dataclass, field, replace
 from datetime import UTC, date, datetime, timedelta
+from datetime import time as clock
 from zoneinfo import ZoneInfo
 
 GROUPS = ("none", "day", "month", "model", "cwd", "session")
@@ -69,19 +70,17 @@ def parse_duration(text: str) -> int:
 
 
 def start_of_day(day: date, timezone: str) -> int:
-    """Epoch milliseconds of the first instant of ``day`` in the zone; raises if the zone skipped that day."""
+    """Epoch milliseconds of the first instant of ``day`` in the zone; raises if the zone has no such day."""
     zone = ZoneInfo(timezone)
-    at = datetime(day.year, day.month, day.day, tzinfo=UTC)
-    low, high = int(at.timestamp()) - 36 * 3600, int(at.timestamp()) + 36 * 3600
-    while low < high:
-        middle = (low + high) // 2
-        if datetime.fromtimestamp(middle, zone).date() < day:
-            low = middle + 1
-        else:
-            high = middle
-    if datetime.fromtimestamp(low, zone).date() != day:
-        raise ValueError(f"date {day} does not exist in timezone {timezone}")
-    return low * 1000
+    midnight = datetime.combine(day, clock.min, zone)  # the earlier one, where clocks show it twice
+    first = midnight.astimezone(UTC)
+    if first.astimezone(zone).replace(tzinfo=None) != midnight.replace(tzinfo=None):
+        # Clocks jump over midnight: the day begins where they land, within hours of it, or not at all.
+        around = (first + timedelta(minutes=m) for m in range(-180, 181))
+        first = next((t for t in around if t.astimezone(zone).date() == day), None)
+        if first is None:
+            raise ValueError(f"the day {day} does not exist in {timezone}")
+    return int(first.timestamp() * 1000)
 
 
 def parse_bound(text: str, timezone: str, end: bool = False) -> int:

@@ -212,11 +212,28 @@ def built_in() -> Catalog:
     return out
 
 
-def _completes(old: Version, new: Version) -> bool:
-    """``new`` has the rates of ``old``, or only lacks some that ``old`` has."""
-    same = (old.input, old.output) == (new.input, new.output)
-    parts = [(old.cached, new.cached), (old.write, new.write), (old.long, new.long)]
-    return same and all(a == b or b is None for a, b in parts)
+_LONG = ("long input", "long cached", "long write", "long output", "threshold")
+_WRITE = ("write", "long write")
+
+
+def _flat(v: Version) -> dict[str, float | None]:
+    base, long = ("input", "cached", "write", "output"), v.long or (None,) * 4
+    return {**{n: getattr(v, n) for n in base}, **dict(zip(_LONG, (*long, v.threshold), strict=True))}
+
+
+def _completes(formal: Version, seen: Version) -> bool:
+    """``seen`` has the rates of ``formal``, or was read from the very same page with either its long-context rates or its
+    cache-write rates overlooked. From any other page, rates that differ are a change of price.
+    """
+    mine, theirs = _flat(formal), _flat(seen)
+    differ = {n for n in mine if mine[n] != theirs[n]}
+    if not differ:
+        return True
+    same_page = formal.content_hash is not None and formal.content_hash == seen.content_hash and formal.effective_ms is not None
+    if not same_page or any(theirs[n] is not None for n in differ):
+        return False
+    no_long = seen.long is None and seen.threshold is None and formal.long is not None and formal.threshold is not None
+    return (no_long and differ <= set(_LONG)) or ("write" in differ and differ <= set(_WRITE))
 
 
 def merge(seed: Catalog, runtime: Catalog | None) -> Catalog:
