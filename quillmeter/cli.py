@@ -56,12 +56,13 @@ def main(argv: list[str] | None = None, out=None, err=None) -> int:
         print(USAGE, file=out)
         return 0
     spark = session()
-    print("scanning ...", file=err)
+    tell = lambda step: print(", ".join(f"{k} {v}" for k, v in step.items()), file=err, flush=True)
     if query.extra["use_cache"]:
         index = UsageIndex(spark, query.extra["cache"] or "quillmeter-index")
-        index.refresh(list(query.roots))
+        index.refresh(list(query.roots), progress=tell)
         answer = QueryService(index).query(query)
     else:
+        tell({"phase": "scan"})
         answer = run(spark, query)
     print(to_json(answer) if query.extra["json"] else to_csv(answer["rows"]) if query.extra["csv"] else to_text(answer), file=out)
     return 2 if answer["index"]["incomplete"] else 0

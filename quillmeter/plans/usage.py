@@ -13,7 +13,7 @@ from ..operators.canonical import canonical
 from ..options import UsageQuery
 from ..pricing.catalog import Catalog, built_in, to_iso
 from ..pricing.spans import priced
-from ..sources.logs import check_compressed, list_logs, log_lines, read_logs
+from ..sources.logs import failures_of, list_logs, read_lines
 from ..sources.parse import records, usage_events
 
 
@@ -25,27 +25,22 @@ class Scan:
     files: DataFrame
     failures: list[dict]
     paths: list[str]
+    #: What was read, persisted; to be given back after use.
+    lines: DataFrame
 
 
 def scan(spark: SparkSession, roots: list[str]) -> Scan:
-    """Read all logs below the roots; a damaged compressed file fails as a whole and the others still count."""
-    good, failures = [], []
+    """Read all logs below the roots; a file that cannot be read fails as a whole and the others still count."""
     paths = list_logs(roots)
-    for path in paths:
-        try:
-            why = check_compressed(path) if path.endswith(".zst") else None
-            code = "LOG_DECODE_FAILED"
-            if why is None:
-                with open(path, "rb"):
-                    pass
-        except OSError as e:
-            why, code = str(e), "LOG_READ_FAILED"
-        if why:
-            failures.append({"path": path, "code": code, "message": why, "usingPreviousIndex": False})
-        else:
-            good.append(path)
-    events, files = usage_events(records(log_lines(read_logs(spark, good))))
-    return Scan(events, files, failures, paths)
+    # Marked lines only; kept because both the failures and the events come from them.
+    lines = read_lines(spark, [(p, 0, None, None) for p in paths]).persist()
+    failures = [{"path": r.file_path, "code": r.code, "message": r.message, "usingPreviousIndex": False} for r in failures_of(lines).orderBy("file_path").collect()]
+    good = lines.where("status IS NULL")
+    if failures:
+        bad = spark.createDataFrame([(f["path"],) for f in failures], "file_path string")
+        good = good.join(bad, "file_path", "left_anti")
+    events, files = usage_events(records(good))
+    return Scan(events, files, failures, paths, lines)
 
 
 def costed(events: DataFrame, query: UsageQuery, catalog: Catalog) -> DataFrame:
@@ -108,3 +103,4 @@ def run(spark: SparkSession, query: UsageQuery, catalog: Catalog | None = None)
         return payload(events, query, catalog, read.files, read.failures, read.paths)
     finally:
         events.unpersist()
+        read.lines.unpersist()

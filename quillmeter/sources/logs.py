@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import SCOPES, split_paths
+from .parse import MARKERS
 
 SUFFIXES = (".jsonl", ".jsonl.zst")
-RAW = "file_path string, text string"
 
 
 def list_logs(roots: Iterable[str]) -> list[str]:
@@ -52,55 +55,168 @@ def source_scopes(home: str, env: dict[str, str], platform: str = "linux", listi
     return dict(zip(SCOPES, (list(dict.fromkeys([*local, *wsl, *windows])), local, wsl, windows), strict=True))
 
 
-def read_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file_path, text``, a row per file, so a damaged compressed file yields an error and never a part of itself.
+class LogError(Exception):
+    """Why a log cannot be used."""
 
-    Zstandard frames, concatenated ones too, are decoded by Spark's codec. A file must fit a row (2 GB decoded).
-    """
-    if not paths:
-        return spark.createDataFrame([], RAW)
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    return spark.read.text(paths, wholetext=True).select(path.alias("file_path"), F.col("value").alias("text"))
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
 
 
-def check_compressed(path: str) -> str | None:
-    """Why a compressed log cannot be used, or None. Frames must be whole; an empty file holds none."""
+RANGES = "file_path string, start long, stop long, before string"
+LINES = "file_path string, line_no long, line string, unterminated boolean, status string"
+#: Bytes that are read at once, and lines and bytes that make up a batch.
+CHUNK, BATCH_LINES, BATCH_BYTES = 1 << 20, 5000, 4 << 20
+BOUNDARY = 64 << 10
+_HIT = re.compile(('"(' + "|".join(MARKERS) + ')"').encode())
+
+
+def decoded(f) -> Iterator[bytes]:
+    """The content of a zstd file, frame after frame, in pieces; raises for anything but whole frames."""
     import zstandard
 
-    with open(path, "rb") as f:
-        if not os.fstat(f.fileno()).st_size:
-            return "empty zstd file"
-        tail = b""
-        while True:  # one frame after another
-            decoder = zstandard.ZstdDecompressor().decompressobj()
-            any_input = False
-            while not decoder.eof:
-                data = tail or f.read(1 << 20)
-                if not data:
-                    return "truncated zstd frame" if any_input else None
-                any_input, tail = True, b""
-                try:
-                    decoder.decompress(data)
-                except zstandard.ZstdError as e:
-                    if re.match(rb"[\x50-\x5f]\x2a\x4d\x18", data):  # a skippable frame
-                        size = int.from_bytes(data[4:8], "little") + 8
-                        while len(data) < size and (more := f.read(1 << 20)):
-                            data += more
-                        if len(data) < size:
-                            return "truncated zstd frame"
-                        tail = data[size:]
-                        break
-                    return f"damaged zstd file: {e}"
-                if decoder.eof:
-                    tail = decoder.unused_data
-            if not tail and not (tail := f.read(1 << 20)):
-                return None
-
-
-def log_lines(files: DataFrame) -> DataFrame:
-    """``file_path, line_no, line, unterminated``: lines split at LF, without a closing CR; the part after the last LF
-    is ``unterminated`` in plain files (where it may still grow)."""
-    parts = F.split("text", "\n", -1)
-    rows = files.select("file_path", F.size(parts).alias("n"), F.posexplode(parts).alias("line_no", "line"))
-    plain = ~F.col("file_path").endswith(".zst")
-    return rows.select("file_path", F.col("line_no").cast("long"), F.regexp_replace("line", r"\r$", "").alias("line"), (plain & (F.col("line_no") == F.col("n") - 1)).alias("unterminated"))
+    data = f.read(CHUNK)
+    if not data:
+        raise LogError("LOG_DECODE_FAILED", "empty zstd file")
+    while data:
+        if len(data) < 8:
+            data += f.read(CHUNK)
+        if re.match(rb"[\x50-\x5f]\x2a\x4d\x18", data):  # a skippable frame
+            size = int.from_bytes(data[4:8], "little") + 8
+            while len(data) < size and (more := f.read(CHUNK)):
+                data += more
+            if len(data) < size:
+                raise LogError("LOG_DECODE_FAILED", "truncated zstd frame")
+            data = data[size:] or f.read(CHUNK)
+            continue
+        frame = zstandard.ZstdDecompressor().decompressobj()
+        while True:
+            try:
+                yield frame.decompress(data)
+            except zstandard.ZstdError as e:
+                raise LogError("LOG_DECODE_FAILED", f"damaged zstd file: {e}") from e
+            if frame.eof:
+                break
+            data = f.read(CHUNK)
+            if not data:
+                raise LogError("LOG_DECODE_FAILED", "truncated zstd frame")
+        data = frame.unused_data or f.read(CHUNK)
+
+
+def check_compressed(path: str) -> str | None:
+    """Why a compressed log cannot be used, or None."""
+    try:
+        with open(path, "rb") as f:
+            for _ in decoded(f):
+                pass
+    except LogError as e:
+        return str(e)
+    return None
+
+
+def open_log(path: str):
+    """A seekable binary stream of a local path, or of a URI that pyarrow knows."""
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
+
+
+def file_state(path: str) -> dict:
+    s = os.stat(path)
+    return {"size": s.st_size, "mtime_ms": s.st_mtime_ns / 1e6, "dev": s.st_dev, "ino": s.st_ino}
+
+
+def _was_changed(before: dict, after: dict, compressed: bool) -> bool:
+    """A plain log may grow while it is read; nothing else may happen to it."""
+    moved = any(before[k] != after[k] for k in ("dev", "ino")) or after["size"] < before["size"]
+    return moved or ((compressed or after["size"] == before["size"]) and after["mtime_ms"] != before["mtime_ms"])
+
+
+def boundary(f, at: int) -> str:
+    """Hash of the bytes before ``at``, by which a grown file is known to go on where it ended."""
+    f.seek(max(0, at - BOUNDARY))
+    return hashlib.sha256(f.read(min(at, BOUNDARY))).hexdigest()
+
+
+def _split(chunks: Iterator[bytes], at: int) -> Iterator[tuple[int, bytes, bool]]:
+    """Place, content and completeness of lines; a line may span any number of chunks."""
+    held: list[bytes] = []
+    for chunk in chunks:
+        *whole, rest = chunk.split(b"\n")
+        for line in whole:
+            line = b"".join([*held, line])
+            held = []
+            yield at, line, False
+            at += len(line) + 1
+        held.append(rest)
+    if tail := b"".join(held):
+        yield at, tail, True
+
+
+def lines_of(path: str, start: int = 0, stop: int | None = None, before: str | None = None) -> Iterator[tuple[int, str | None, bool, str | None]]:
+    """``(place, line, unterminated, None)`` of the marked lines of a file or of its bytes from ``start`` to ``stop``, and at
+    the end ``(place, None, False, status)``. ``before`` is the expected hash of what precedes ``start``; if it differs, the
+    whole file is read. The status tells where the last whole line ended, or what went wrong (then no line counts).
+    """
+    try:
+        packed, local = path.endswith(".zst"), "://" not in path
+        state = file_state(path) if local else None
+        with open_log(path) as f:
+            if start and (packed or boundary(f, start) != before):
+                start = 0
+            f.seek(start)
+
+            def plain() -> Iterator[bytes]:
+                at = start
+                while data := f.read(CHUNK if stop is None else min(CHUNK, stop - at)):
+                    at += len(data)
+                    yield data
+
+            end = start
+            for at, line, tail in _split(decoded(f) if packed else plain(), start):
+                if not tail:
+                    end = at + len(line) + 1
+                if _HIT.search(line):
+                    yield at, line.removesuffix(b"\r").decode("utf-8", "replace"), tail and not packed, None
+            print_ = None if packed else boundary(f, end)
+        if local and _was_changed(state, file_state(path), packed):
+            raise LogError("LOG_CHANGED", "the file changed while it was read")
+        yield end, None, False, json.dumps({"from": start, "offset": end, "boundary": print_})
+    except (OSError, LogError) as e:
+        yield 0, None, False, json.dumps({"code": getattr(e, "code", "LOG_READ_FAILED"), "message": str(e)})
+
+
+def read_lines(spark: SparkSession, ranges: list[tuple[str, int, int | None, str | None]]) -> DataFrame:
+    """``file_path, line_no, line, unterminated, status`` of files or byte ranges of them (path, start, stop, hash before).
+
+    Tasks stream the files, compressed ones frame by frame, so a file may have any size; ``line_no`` is the place of a line
+    in its (decoded) file. Every file has one row with a status and no line. A file that cannot be read fails alone.
+    """
+    if not ranges:
+        return spark.createDataFrame([], LINES)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("file_path", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("unterminated", pa.bool_()), ("status", pa.string())])
+        for batch in batches:
+            for path, *span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, size = [], 0
+                for row in lines_of(path, *span):
+                    rows.append((path, *row))
+                    size += len(row[1] or "")
+                    if len(rows) >= BATCH_LINES or size >= BATCH_BYTES:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    files = spark.createDataFrame(ranges, RANGES).repartition(min(len(ranges), 10_000), "file_path")
+    return files.mapInArrow(read, LINES)
+
+
+def failures_of(lines: DataFrame) -> DataFrame:
+    """``file_path, code, message`` of the files that could not be read."""
+    status = F.from_json("status", "code string, message string")
+    return lines.where(F.col("status").isNotNull()).select("file_path", status.alias("s")).where("s.code IS NOT NULL").select("file_path", "s.*")

@@ -55,6 +55,7 @@ def records(lines: DataFrame) -> DataFrame:
         "file_path",
         "line_no",
         v.isNull().alias("bad"),
+        "unterminated",
         named.alias("kind"),
         _text(v, "$.timestamp").alias("at"),
         _text(v, "$.payload.timestamp").alias("meta_at"),

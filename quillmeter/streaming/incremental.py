@@ -1,85 +1,124 @@
-"""Incremental index: versioned Parquet snapshots behind a manifest pointer.
+"""Incremental index: Parquet tables in buckets behind numbered manifests.
 
-A refresh compares the listing with the manifest, parses changed files only, carries the rest over, repairs the canonical
-rows of the keys that changed, and publishes by replacing one small file. Readers see the old snapshot or the new one.
-A file that fails keeps its previous events and is retried once it changes (or on request).
+A refresh compares the listing with the newest manifest and reads what changed: of a plain log that grew only the new
+bytes, of others the whole file. Parsed lines are kept, so a grown file's context is worked out again over all its lines
+without reading or parsing the old ones. Only buckets that hold changed files (or changed fingerprints) are written; the new
+manifest points to these and to the old ones for the rest. It is published by linking it under the next number, which
+fails if another writer was first. Readers see the old state or the new one.
+
+A file that fails, or changes while it is read, keeps its previous events and is retried once it changes (or on request).
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import threading
 import uuid
+import zlib
 from collections.abc import Callable
+from concurrent.futures import Future
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.canonical import canonical, changed_keys, repair
-from ..plans.usage import Scan
+from ..operators.canonical import canonical, changed_keys
 from ..schemas import FILES, USAGE_EVENTS
-from ..sources.logs import check_compressed, list_logs, log_lines, read_logs
+from ..sources.logs import LINES, file_state, list_logs, read_lines
 from ..sources.parse import records, usage_events
 
-SCHEMA, PARSER = 1, 1
-KEEP = 2
+SCHEMA, PARSER = 2, 1
+KEEP, BUCKETS = 2, 64
+#: Tables and the column that deals their rows into buckets.
+TABLES = {"records": "file_path", "events": "file_path", "files": "file_path", "canonical": "total_usage_key"}
+_UUID = re.compile(r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\.jsonl$", re.I)
 
 
 class Conflict(RuntimeError):
     """Another writer published first."""
 
 
-def identity(path: str) -> str:
-    """Where a log and its compressed replacement agree."""
-    return path.removesuffix(".zst")
+class Aborted(RuntimeError):
+    """The refresh was called off; nothing was published."""
 
 
-def file_state(path: str) -> dict:
-    s = os.stat(path)
-    return {"size": s.st_size, "mtime_ms": s.st_mtime_ns / 1e6, "dev": s.st_dev, "ino": s.st_ino, "parser": PARSER}
+def identity(path: str) -> str:
+    """Where a log, its compressed replacement and its copy in another folder agree: the UUID at the end of the name, or
+    else the path.
+    """
+    plain = path.removesuffix(".zst")
+    found = _UUID.search(plain)
+    return found[1].lower() if found else plain
 
 
 def same_state(a: dict | None, b: dict) -> bool:
-    return bool(a) and abs(a["mtime_ms"] - b["mtime_ms"]) <= 0.001 and all(a[k] == b[k] for k in ("size", "dev", "ino", "parser"))
+    return bool(a) and a.get("parser") == PARSER and abs(a["mtime_ms"] - b["mtime_ms"]) <= 0.001 and all(a[k] == b[k] for k in ("size", "dev", "ino"))
+
+
+def span_of(path: str, known: dict | None, state: dict) -> tuple[str, int, int | None, str | None]:
+    """The bytes to read of a changed file: those after the last whole line, if a plain file has grown, or all."""
+    if path.endswith(".zst"):
+        return path, 0, None, None
+    grown = known and known.get("parser") == PARSER and state["size"] > known["size"] and all(known[k] == state[k] for k in ("dev", "ino"))
+    return (path, known["offset"], state["size"], known["boundary"]) if grown else (path, 0, state["size"], None)
+
+
+def bucket_of(key: Column) -> Column:
+    return F.pmod(F.crc32(key), F.lit(BUCKETS)).cast("int")
 
 
 class UsageIndex:
-    """``folder`` holds ``manifest.json`` and one folder of tables per revision."""
+    """``folder`` holds numbered manifests and a folder of tables for each revision."""
 
-    def __init__(self, spark: SparkSession, folder: str, scan: Callable[[SparkSession, list[str]], Scan] | None = None):
-        self.spark, self.folder, self._scan = spark, folder, scan or self._parse
-        self._lock = threading.Lock()
+    def __init__(self, spark: SparkSession, folder: str, scan: Callable[[SparkSession, list[tuple]], DataFrame] = read_lines):
+        self.spark, self.folder, self._scan = spark, folder, scan
+        self._lock, self._guard, self._jobs = threading.Lock(), threading.Lock(), {}
+        self._stop, self._tag = threading.Event(), f"refresh-{uuid.uuid4().hex}"
+        self._schemas = {"events": USAGE_EVENTS, "canonical": USAGE_EVENTS, "files": FILES}
         os.makedirs(folder, exist_ok=True)
 
     # -- reading -----------------------------------------------------------------------------------------------
 
+    def _revisions(self) -> list[int]:
+        return sorted(int(m[1]) for m in map(re.compile(r"manifest-(\d+)\.json").fullmatch, os.listdir(self.folder)) if m)
+
     def manifest(self) -> dict:
-        try:
-            with open(f"{self.folder}/manifest.json", encoding="utf-8") as f:
-                found = json.load(f)
-        except FileNotFoundError:
-            return {"schema": SCHEMA, "revision": 0, "files": {}, "failures": {}, "tables": None}
-        if found["schema"] > SCHEMA:
-            raise RuntimeError(f"the index has schema {found['schema']}, this version reads {SCHEMA}")
-        if found["schema"] < SCHEMA:  # rebuilt in full at the next refresh
-            found |= {"schema": SCHEMA, "files": {}, "tables": None}
-        return found
-
-    def _read(self, manifest: dict, name: str, schema) -> DataFrame:
-        if not manifest["tables"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{manifest['tables']}/{name}")
+        found = self._revisions()
+        if not found:
+            return {"schema": SCHEMA, "revision": 0, "files": {}, "failures": {}, "tables": {t: {} for t in TABLES}}
+        with open(f"{self.folder}/manifest-{found[-1]}.json", encoding="utf-8") as f:
+            newest = json.load(f)
+        if newest["schema"] > SCHEMA:
+            raise RuntimeError(f"the index has schema {newest['schema']}, this version reads {SCHEMA}")
+        if newest["schema"] < SCHEMA:  # rebuilt in full at the next refresh
+            newest |= {"schema": SCHEMA, "files": {}, "tables": {t: {} for t in TABLES}}
+        return newest
+
+    def _schema(self, name: str):
+        if name not in self._schemas:
+            self._schemas[name] = records(self.spark.createDataFrame([], LINES)).schema
+        return self._schemas[name]
+
+    def _read(self, manifest: dict, name: str, buckets: set[int] | None = None) -> DataFrame:
+        found = [f"{self.folder}/{v}/{name}/bucket={b}" for b, v in manifest["tables"][name].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(self._schema(name)).parquet(*found) if found else self.spark.createDataFrame([], self._schema(name))
 
     def events(self, manifest: dict | None = None) -> DataFrame:
-        return self._read(manifest or self.manifest(), "events", USAGE_EVENTS)
+        return self._read(manifest or self.manifest(), "events")
 
     def canonical(self, manifest: dict | None = None) -> DataFrame:
-        return self._read(manifest or self.manifest(), "canonical", USAGE_EVENTS)
+        return self._read(manifest or self.manifest(), "canonical")
 
     def files(self, manifest: dict | None = None) -> DataFrame:
-        return self._read(manifest or self.manifest(), "files", FILES)
+        return self._read(manifest or self.manifest(), "files")
+
+    def fingerprint(self, roots: list[str], manifest: dict | None = None) -> str:
+        """Of the files of a scope and the rules that made their rows; equal as long as nothing below the roots changed."""
+        m = manifest or self.manifest()
+        mine = sorted((p, s["size"], s["mtime_ms"]) for p, s in m["files"].items() if _inside(p, roots))
+        return f"{zlib.crc32(json.dumps([SCHEMA, PARSER, mine]).encode()):08x}"
 
     def status(self) -> dict:
         m = self.manifest()
@@ -87,91 +126,144 @@ class UsageIndex:
 
     # -- refreshing --------------------------------------------------------------------------------------------
 
-    def _parse(self, spark: SparkSession, paths: list[str]) -> Scan:
-        events, files = usage_events(records(log_lines(read_logs(spark, paths))))
-        return Scan(events, files, [], paths)
+    def refresh(self, roots: list[str], retry_failures: bool = False, progress: Callable[[dict], None] | None = None) -> dict:
+        """Bring the index up to date. Calls for the same roots at the same time share one job; others take turns."""
+        key = (tuple(roots), retry_failures)
+        with self._guard:
+            job = self._jobs.get(key)
+            mine = job is None
+            if mine:
+                job = self._jobs[key] = Future()
+        if not mine:
+            return job.result()
+        try:
+            with self._lock:
+                self._stop.clear()
+                self.spark.sparkContext.addJobTag(self._tag)
+                try:
+                    job.set_result(self._refresh(roots, retry_failures, progress or (lambda _: None)))
+                finally:
+                    self.spark.sparkContext.removeJobTag(self._tag)
+        except BaseException as e:
+            job.set_exception(Aborted("the refresh was called off") if self._stop.is_set() else e)
+        finally:
+            with self._guard:
+                del self._jobs[key]
+        return job.result()
 
-    def refresh(self, roots: list[str], retry_failures: bool = False) -> dict:
-        """Bring the index up to date; concurrent calls run one after the other."""
-        with self._lock:
-            return self._refresh(roots, retry_failures)
+    def abort(self) -> None:
+        """Call off a running refresh; publication is its last step, so nothing of it stays."""
+        self._stop.set()
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)
 
-    def _refresh(self, roots: list[str], retry: bool) -> dict:
+    def _refresh(self, roots: list[str], retry: bool, progress: Callable[[dict], None]) -> dict:
+        progress({"phase": "discover"})
         base = self.manifest()
-        known, failed = dict(base["files"]), dict(base["failures"])
-        seen, changed = {}, []
+        known, failed = base["files"], dict(base["failures"])
+        seen, spans = {}, []
         for path in list_logs(roots):
             try:
-                seen[path] = file_state(path)
+                seen[path] = {**file_state(path), "parser": PARSER}
             except FileNotFoundError:
                 continue
-            if same_state(known.get(path), seen[path]) and path not in failed:
-                continue
-            if path in failed and not retry and same_state(failed[path].get("state"), seen[path]):
-                continue
-            changed.append(path)
-        read = []
-        for path in changed:
-            why, code = None, "LOG_READ_FAILED"
-            try:
-                if path.endswith(".zst"):
-                    why, code = check_compressed(path), "LOG_DECODE_FAILED"
+            waits = path in failed and not retry and same_state(failed[path].get("state"), seen[path])
+            if not waits and (path in failed or not same_state(known.get(path), seen[path])):
+                spans.append(span_of(path, known.get(path), seen[path]))
+        progress({"phase": "scan", "pendingFiles": len(spans), "newFiles": sum(s[0] not in known for s in spans), "grownFiles": sum(s[1] > 0 for s in spans), "unchangedFiles": len(seen) - len(spans)})
+        out = f"{self.folder}/v-{base['revision'] + 1}-{uuid.uuid4().hex[:8]}"
+        try:
+            ends = self._stage(out, spans) if spans else {}
+            for path, status in ends.items():
+                if "code" in status:
+                    failed[path] = {"code": status["code"], "message": status["message"], "state": seen[path]}
                 else:
-                    with open(path, "rb"):
-                        pass
-                if why is None and not same_state(file_state(path), seen[path]):
-                    why, code = "the file changed while it was read", "LOG_CHANGED"
-            except OSError as e:
-                why = str(e)
-            if why:
-                failed[path] = {"code": code, "message": why, "state": seen[path], "usingPreviousIndex": path in known}
-            else:
-                failed.pop(path, None)
-                read.append(path)
-        # A compressed copy that failed keeps the events of the plain file it replaced.
-        kept_for = {identity(p) for p in failed}
-        roots_ = [r.rstrip("/") for r in roots]
-        mine = [p for p in known if any(p == r or p.startswith(r + "/") for r in roots_)]
-        gone = [p for p in mine if p not in seen and identity(p) not in kept_for]
-        for p in [p for p in failed if p not in seen and p not in known]:
-            failed.pop(p)
-        if not read and not gone and failed == base["failures"]:
-            return base
-        return self._publish(base, read, gone, seen, failed)
-
-    def _publish(self, base: dict, read: list[str], gone: list[str], seen: dict, failed: dict) -> dict:
-        spark, tables = self.spark, f"v-{base['revision'] + 1}-{uuid.uuid4().hex[:8]}"
-        staged = self._scan(spark, read)
-        out = f"{self.folder}/{tables}"
-        touched = spark.createDataFrame([(p,) for p in [*read, *gone]], "file_path string")
-        old = self.events(base)
-        keep = old.join(touched, "file_path", "left_anti")
-        staged.events.write.parquet(f"{out}/staged")
-        fresh = spark.read.schema(USAGE_EVENTS).parquet(f"{out}/staged")
-        keep.unionByName(fresh).write.parquet(f"{out}/events")
-        events = spark.read.schema(USAGE_EVENTS).parquet(f"{out}/events")
-        keys = changed_keys(old.join(touched, "file_path", "left_semi"), fresh)
-        chosen = repair(self.canonical(base), events, keys) if base["tables"] else canonical(events)
-        chosen.select(*USAGE_EVENTS.names).write.parquet(f"{out}/canonical")
-        counted = staged.files.select(*FILES.names)
-        self.files(base).join(touched, "file_path", "left_anti").unionByName(counted).write.parquet(f"{out}/files")
-        shutil.rmtree(f"{out}/staged")
-        if self.manifest()["revision"] != base["revision"]:
-            shutil.rmtree(out)
-            raise Conflict("the index was published by another writer")
-        for path in read:  # what was parsed is what is on disk
-            if not os.path.exists(path) or not same_state(file_state(path), seen[path]):
-                failed[path] = {"code": "LOG_CHANGED", "message": "the file changed while it was read", "state": seen[path], "usingPreviousIndex": False}
-        files = {p: s for p, s in base["files"].items() if p not in set(gone)} | {p: seen[p] for p in read}
-        manifest = {"schema": SCHEMA, "revision": base["revision"] + 1, "files": files, "failures": failed, "tables": tables}
-        temporary = f"{self.folder}/manifest.{uuid.uuid4().hex}.tmp"
+                    failed.pop(path, None)
+            failed = {p: f for p, f in failed.items() if p in seen or p in known or not _inside(p, roots)}
+            # A compressed or moved copy that failed keeps the events of the file it replaced.
+            kept = {identity(p) for p in failed}
+            gone = {p for p in known if _inside(p, roots) and p not in seen and identity(p) not in kept}
+            failed = {p: f | {"usingPreviousIndex": p in known or any(identity(p) == identity(k) for k in known)} for p, f in failed.items() if p not in gone}
+            ends = {p: s for p, s in ends.items() if "code" not in s}
+            if not ends and not gone and failed == base["failures"]:
+                shutil.rmtree(out, ignore_errors=True)
+                return base
+            manifest = self._write(out, base, ends, gone)
+            manifest |= {"files": {p: s for p, s in known.items() if p not in gone} | {p: seen[p] | {"offset": s["offset"], "boundary": s["boundary"]} for p, s in ends.items()}, "failures": failed}
+            progress({"phase": "publish", "files": len(manifest["files"]), "failedFiles": len(failed)})
+            if self._stop.is_set():
+                raise Aborted
+            self._publish(manifest)
+            return manifest
+        except BaseException:
+            shutil.rmtree(out, ignore_errors=True)
+            raise
+
+    def _stage(self, out: str, spans: list[tuple]) -> dict[str, dict]:
+        """Read the spans into a table of lines; what each file's status says."""
+        self._scan(self.spark, spans).write.parquet(f"{out}/lines")
+        rows = self.spark.read.schema(LINES).parquet(f"{out}/lines").where("status IS NOT NULL").select("file_path", "status").collect()
+        return {r.file_path: json.loads(r.status) for r in rows}
+
+    def _write(self, out: str, base: dict, ends: dict[str, dict], gone: set[str]) -> dict:
+        spark = self.spark
+        touched = spark.createDataFrame([(p, s["from"] > 0) for p, s in ends.items()] + [(p, False) for p in gone], "file_path string, grown boolean")
+        buckets = {zlib.crc32(p.encode()) % BUCKETS for p in [*ends, *gone]}
+        lines = spark.read.schema(LINES).parquet(f"{out}/lines").where("status IS NULL") if ends else spark.createDataFrame([], LINES)
+        fresh = records(lines.join(touched, "file_path", "left_semi"))
+        # Lines that had no end are read again; the others of a grown file stand.
+        stands = self._read(base, "records", buckets).where("NOT unterminated").join(touched.where("grown"), "file_path", "left_semi")
+        parsed = self._put(out, base, "records", buckets, touched, stands.unionByName(fresh))
+        events, files = usage_events(parsed.join(touched, "file_path", "left_semi"))
+        old = self._read(base, "events", buckets).join(touched, "file_path", "left_semi")
+        now = self._put(out, base, "events", buckets, touched, events)
+        self._put(out, base, "files", buckets, touched, files.select(*FILES.names))
+        tables = {t: {b: v for b, v in base["tables"][t].items() if int(b) not in buckets} | self._found(out, t) for t in ("records", "events", "files")}
+        keys = changed_keys(old, now.join(touched, "file_path", "left_semi"))
+        keys.write.parquet(f"{out}/keys")
+        keys = spark.read.schema(keys.schema).parquet(f"{out}/keys")
+        some = {r.b for r in keys.select(bucket_of(F.col("total_usage_key")).alias("b")).distinct().collect()}
+        whole = self._read({"tables": tables}, "events")
+        chosen = canonical(whole.join(keys, "total_usage_key", "left_semi"))
+        self._put(out, base, "canonical", some, keys, chosen.select(*USAGE_EVENTS.names))
+        tables["canonical"] = {b: v for b, v in base["tables"]["canonical"].items() if int(b) not in some} | self._found(out, "canonical")
+        for name in ("lines", "keys"):
+            shutil.rmtree(f"{out}/{name}", ignore_errors=True)
+        return {"schema": SCHEMA, "revision": base["revision"] + 1, "tables": tables}
+
+    def _put(self, out: str, base: dict, name: str, buckets: set[int], changed: DataFrame, rows: DataFrame) -> DataFrame:
+        """Write the touched buckets of a table anew: their rows but the changed ones, and ``rows``."""
+        key = TABLES[name]
+        kept = self._read(base, name, buckets).join(changed, key, "left_anti")
+        kept.unionByName(rows).withColumn("bucket", bucket_of(F.col(key))).repartition("bucket").write.partitionBy("bucket").parquet(f"{out}/{name}")
+        return self._read({"tables": {name: self._found(out, name)}}, name)
+
+    def _found(self, out: str, name: str) -> dict[str, str]:
+        return {d.partition("=")[2]: os.path.basename(out) for d in os.listdir(f"{out}/{name}") if d.startswith("bucket=")}
+
+    def _publish(self, manifest: dict) -> None:
+        temporary = f"{self.folder}/{uuid.uuid4().hex}.tmp"
         with open(temporary, "w", encoding="utf-8") as f:
             json.dump(manifest, f)
-        os.replace(temporary, f"{self.folder}/manifest.json")
-        versions = sorted((d for d in os.listdir(self.folder) if d.startswith("v-")), key=lambda d: int(d.split("-")[1]))
-        for stale in [d for d in versions if d != tables][: -(KEEP - 1) or None]:
+        try:
+            os.link(temporary, f"{self.folder}/manifest-{manifest['revision']}.json")  # fails if the number is taken
+        except FileExistsError:
+            raise Conflict("the index was published by another writer") from None
+        finally:
+            os.unlink(temporary)
+        used = set()
+        for revision in self._revisions():
+            name = f"{self.folder}/manifest-{revision}.json"
+            if revision <= manifest["revision"] - KEEP:
+                os.unlink(name)
+                continue
+            with open(name, encoding="utf-8") as f:
+                used |= {v for buckets in json.load(f)["tables"].values() for v in buckets.values()}
+        for stale in [d for d in os.listdir(self.folder) if d.startswith("v-") and d not in used and int(d.split("-")[1]) <= manifest["revision"]]:
             shutil.rmtree(f"{self.folder}/{stale}", ignore_errors=True)
-        return manifest
+
+
+def _inside(path: str, roots: list[str]) -> bool:
+    return any(path == r or path.startswith(r + "/") for r in (r.rstrip("/") for r in roots))
 
 
 def stream_refresh(spark: SparkSession, index: UsageIndex, roots: list[str], checkpoint: str):

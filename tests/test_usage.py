@@ -7,13 +7,16 @@ import urllib.request
 import pytest
 from logs import context, meta, tokens, usage, write
 
+from pyspark.sql import functions as F
+
 from quillmeter.cli import main
 from quillmeter.options import UsageQuery, parse_args, parse_bound, parse_duration, rolling, web_limit
 from quillmeter.plans.usage import run
 from quillmeter.server import query_of, serve
 from quillmeter.service import QueryService
 from quillmeter.sinks import to_csv, to_text
-from quillmeter.streaming.incremental import UsageIndex
+from quillmeter.sources.logs import LINES, lines_of, read_lines
+from quillmeter.streaming.incremental import Aborted, Conflict, UsageIndex
 
 
 def fork(tmp_path, with_original=True):
@@ -54,7 +57,7 @@ def test_refresh_reads_changes_only(spark, tmp_path):
     seen = []
     index = UsageIndex(spark, str(tmp_path / "index"))
     plain = index._scan
-    index._scan = lambda s, paths: (seen.append([os.path.basename(p) for p in paths]), plain(s, paths))[1]
+    index._scan = lambda s, spans: (seen.append([os.path.basename(p[0]) for p in spans]), plain(s, spans))[1]
     first = index.refresh([str(logs)])
     assert index.refresh([str(logs)])["revision"] == first["revision"] and seen == [["a.jsonl", "b.jsonl"]]
     os.unlink(logs / "b.jsonl")  # the copy becomes the representative
@@ -68,6 +71,86 @@ def test_refresh_reads_changes_only(spark, tmp_path):
     assert [r.session_id for r in index.canonical().collect()] == ["orig"]
 
 
+def test_growth_reads_the_new_bytes_only(spark, tmp_path):
+    logs, spans = tmp_path / "logs", []
+    one, two = tokens(usage(5, 0, 0, 1, 0, 6), at="2026-07-30T00:00:00Z"), json.dumps(tokens(usage(9, 0, 0, 1, 0, 10), at="2026-07-30T00:00:01Z"))
+    path = write(logs / "a.jsonl", meta("s"), one, tail=two[:30])
+    write(logs / "other.jsonl", meta("t"), tokens(usage(7, 0, 0, 1, 0, 8), at="2026-07-29T00:00:00Z"))
+    index = UsageIndex(spark, str(tmp_path / "index"), lambda s, ranges: (spans.append(ranges), read_lines(s, ranges))[1])
+    told = []
+    first = index.refresh([str(logs)], progress=told.append)
+    assert [t["phase"] for t in told] == ["discover", "scan", "publish"] and index.events().count() == 2
+    with open(path, "a") as f:  # ends the open line; the model comes late
+        f.write(two[30:] + "\n" + json.dumps(context("late")) + "\n")
+    second = index.refresh([str(logs)])
+    assert [(s[0], s[1] > 0) for s in spans[-1]] == [(path, True)]
+    rows = index.events().where(F.col("file_path") == path).orderBy("event_index").collect()
+    assert [(r.input_tokens, r.model) for r in rows] == [(5, "late"), (4, "late")] and index.canonical().count() == 3
+    fresh = UsageIndex(spark, str(tmp_path / "again"))
+    fresh.refresh([str(logs)])
+    assert sorted(map(tuple, fresh.canonical().collect())) == sorted(map(tuple, index.canonical().collect()))
+    assert sorted(map(tuple, fresh.files().collect())) == sorted(map(tuple, index.files().collect()))
+    # A file that does not go on where it ended is read from its beginning.
+    text = open(path).read()
+    with open(path, "w") as f:
+        f.write(text.replace('"late"', '"soon"') + "\n")
+    index.refresh([str(logs)])
+    assert {r.model for r in index.events().where(F.col("file_path") == path).collect()} == {"soon"}
+    assert first["revision"] + 1 == second["revision"] and index.fingerprint([str(logs)]) != index.fingerprint([str(logs)], first)
+    with pytest.raises(Conflict):
+        index._publish(second)
+
+
+def test_failures_keep_what_was_known(spark, tmp_path):
+    u = "01234567-89ab-cdef-0123-456789abcdef"
+    logs = tmp_path / "logs"
+    path = write(logs / "day" / f"x-{u}.jsonl", meta("s"), tokens(usage(5, 0, 0, 1, 0, 6), at="2026-07-30T00:00:00Z"))
+    index = UsageIndex(spark, str(tmp_path / "index"))
+    index.refresh([str(logs)])
+    # Moved to another folder and damaged: the events of the old place stay.
+    os.unlink(path)
+    (logs / "archive").mkdir()
+    (logs / "archive" / f"y-{u.upper()}.jsonl.zst").write_bytes(b"\x28\xb5\x2f\xfd\x00")
+    index.refresh([str(logs)])
+    assert index.events().count() == 1 and index.status()["failures"][0]["usingPreviousIndex"]
+    # Changed while it was read: the old rows stay too.
+    path = write(logs / "z.jsonl", meta("t"), tokens(usage(7, 0, 0, 1, 0, 8), at="2026-07-30T00:00:00Z"))
+    index.refresh([str(logs)])
+    write(logs / "z.jsonl", meta("t"))
+    index._scan = lambda s, spans: s.createDataFrame([(p[0], 0, None, False, json.dumps({"code": "LOG_CHANGED", "message": "m"})) for p in spans], LINES)
+    index.refresh([str(logs)])
+    assert index.events().count() == 2 and {f["code"] for f in index.status()["failures"]} == {"LOG_CHANGED", "LOG_DECODE_FAILED"}
+    index._scan = read_lines
+    index.refresh([str(logs)])
+    assert index.events().count() == 2  # retried only when it changes, or on request
+    index.refresh([str(logs)], retry_failures=True)
+    assert index.events().count() == 1
+
+
+def test_a_refresh_can_be_called_off(spark, tmp_path):
+    write(tmp_path / "logs" / "a.jsonl", meta("s"), tokens(usage(5, 0, 0, 1, 0, 6)))
+    index = UsageIndex(spark, str(tmp_path / "index"))
+    index._scan = lambda s, spans: (index.abort(), read_lines(s, spans))[1]
+    with pytest.raises(Aborted):
+        index.refresh([str(tmp_path / "logs")])
+    assert index.manifest()["revision"] == 0 and not [d for d in os.listdir(tmp_path / "index") if d.startswith("v-")]
+    index._scan = read_lines
+    assert index.refresh([str(tmp_path / "logs")])["revision"] == 1
+
+
+def test_a_log_of_any_kind_of_change(tmp_path):
+    path = write(tmp_path / "a.jsonl", meta("s"), tokens(usage(5, 0, 0, 1, 0, 6)))
+    rows = lines_of(path)
+    next(rows)
+    os.utime(path, (1, 1))
+    assert json.loads(list(rows)[-1][3])["code"] == "LOG_CHANGED"
+    size = os.path.getsize(path)
+    whole, *_ = lines_of(path), None
+    places = [r[0] for r in whole if r[1]]
+    half = [r[0] for r in lines_of(path, places[1], size, "another") if r[1]]
+    assert half == places  # the hash differs, so the whole file is read
+
+
 def test_unknown_times_are_counted_and_left_out(spark, tmp_path):
     write(tmp_path / "x.jsonl", context("gpt-5.4"), tokens(usage(5, 0, 0, 1, 0, 6)))
     out = run(spark, UsageQuery(roots=(str(tmp_path),), group="day"))
