@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import UNKNOWN_MODEL, UNKNOWN_TIME
@@ -81,3 +81,10 @@ def nice_ceiling(value: Column) -> Column:
     power = F.pow(F.lit(10.0), F.floor(F.log10(value)))
     step = value / power
     return F.when(F.coalesce(value, F.lit(0)) <= 0, F.lit(1.0)).otherwise(power * F.when(step <= 1, 1).when(step <= 2, 2).when(step <= 5, 5).otherwise(10))
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``date_key(ms, 'day' or 'month', zone)`` and ``date_time(ms, zone)`` callable from the session's SQL."""
+    at = "from_utc_timestamp(timestamp_millis(ms), zone)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION date_key(ms BIGINT, form STRING, zone STRING) RETURNS STRING RETURN coalesce(CASE form WHEN 'day' THEN date_format({at}, '{PATTERNS['day']}') WHEN 'month' THEN date_format({at}, '{PATTERNS['month']}') END, '{UNKNOWN_TIME}')")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION date_time(ms BIGINT, zone STRING) RETURNS STRING RETURN coalesce(date_format({at}, '{PATTERNS['minute']}'), '{UNKNOWN_TIME}')")

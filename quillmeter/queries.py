@@ -8,17 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.usage import in_range, local_time, nice_ceiling, under
+from .functions.usage import contains_folded, in_range, iso_time, local_time, nice_ceiling, register, under
 from .operators import aggregate as A
 from .operators.canonical import canonical, changed_keys, duplicates, repair
-from .options import UsageQuery
+from .options import ROLLING, UsageQuery, rolling, start_of_day
+from .plans.usage import scan
+from .pricing.pages import page_prices
 from .pricing.catalog import Catalog, Route, Version, to_ms
 from .pricing.spans import price_spans, priced
 from .schemas import COSTS, COUNTERS
+from .sources.logs import scratch_folder, write_logs
 from .sources.parse import records, usage_events
+from .streaming.incremental import UsageIndex
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -263,7 +267,7 @@ _add(
 )
 _add("distinct_models", lambda s, d: A.models_in(adapted(s, d)), f"WITH {_U} SELECT DISTINCT model FROM u WHERE model NOT IN ('', '(unknown model)')")
 _add("path_prefix", lambda s, d: with_copies(adapted(s, d)).where(under(F.col("file_path"), ["/logs/0", "/logs/a/u1"])).groupBy("file_path").agg(F.count("*").alias("n")), f"WITH {_U}, {_C} SELECT file_path, count(*) AS n FROM c WHERE file_path LIKE '/logs/0/%' OR file_path = '/logs/a/u1' OR file_path LIKE '/logs/a/u1/%' GROUP BY 1")
-_add("search_keys", lambda s, d: adapted(s, d).where(F.lower("cwd").contains("p1")).groupBy("cwd").agg(F.count("*").alias("n")), f"WITH {_U} SELECT cwd, count(*) AS n FROM u WHERE contains(lower(cwd), 'p1') GROUP BY 1")
+_add("search_keys", lambda s, d: adapted(s, d).where(contains_folded(F.col("cwd"), " P1 ")).groupBy("cwd").agg(F.count("*").alias("n")), f"WITH {_U} SELECT cwd, count(*) AS n FROM u WHERE contains(lower(cwd), 'p1') GROUP BY 1")
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,16 +290,21 @@ _add("changed_keys", lambda s, d: changed_keys(adapted(s, d).where("model = 'cli
 # --- the parser, over log lines made from the events of each user -----------------------------------------------
 
 
+def _stamp(when=None) -> Column:
+    """The timestamp of a line, for events that have one (and, if given, meet ``when``)."""
+    at = F.concat(F.lit('"timestamp":"'), iso_time(F.col("timestamp_ms")), F.lit('",'))
+    return F.coalesce(at if when is None else F.when(when, at), F.lit(""))
+
+
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file_path, line_no, line, unterminated``: cumulative counters; every fifth count is written twice, models change
     only with purchases, and the first events of a file come before any context."""
-    rows = adapted(spark, sf_dir).where("has_event_timestamp")
-    order = Window.partitionBy("session_id").orderBy("timestamp_ms", "event_index")
+    rows = adapted(spark, sf_dir)
+    order = Window.partitionBy("session_id").orderBy("event_index")
     sums = {f"s{i}": F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) for i, c in enumerate(COUNTERS)}
     rows = rows.withColumns({**sums, "n": F.row_number().over(order)})
-    at = F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     usage = F.to_json(F.struct(*(F.col(f"s{i}").alias(c) for i, c in enumerate(COUNTERS))))
-    count = F.concat(F.lit('{"timestamp":"'), at, F.lit('","type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":'), usage, F.lit("}}}"))
+    count = F.concat(F.lit("{"), _stamp(), F.lit('"type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":'), usage, F.lit("}}}"))
     context = F.concat(F.lit('{"type":"turn_context","payload":{"turn_id":"t'), F.col("event_index"), F.lit('","model":"m'), F.col("event_index") % 7, F.lit('"}}'))
     lines = F.concat(
         F.when(F.col("model") == "purchase", F.array(context)).otherwise(F.array().cast("array<string>")),
@@ -306,7 +315,7 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_path", "n", F.posexplode(lines).alias("i", "line")).select("file_path", (F.col("n") * 10 + F.col("i")).cast("long").alias("line_no"), "line", F.lit(False).alias("unterminated"))
 
 
-_L = f"""WITH {_U}, o AS (SELECT *, row_number() OVER w AS n, {', '.join(f'sum({c}) OVER w AS s{i}' for i, c in enumerate(COUNTERS))} FROM u WHERE has_event_timestamp WINDOW w AS (PARTITION BY session_id ORDER BY timestamp_ms, event_index ROWS UNBOUNDED PRECEDING)),
+_L = f"""WITH {_U}, o AS (SELECT *, row_number() OVER w AS n, {', '.join(f'sum({c}) OVER w AS s{i}' for i, c in enumerate(COUNTERS))} FROM u WINDOW w AS (PARTITION BY session_id ORDER BY event_index ROWS UNBOUNDED PRECEDING)),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id, {', '.join(f's{i}' for i in range(6))} ORDER BY n) AS again FROM o),
 f AS (SELECT *, last_value(CASE WHEN model = 'purchase' THEN 'm' || (event_index % 7) END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS back,
   first_value(CASE WHEN model = 'purchase' THEN 'm' || (event_index % 7) END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM r)"""
@@ -321,6 +330,127 @@ _add(
     f"{_L} SELECT count(DISTINCT session_id) AS files, count(DISTINCT session_id) AS files_with_usage, CAST(count(*) + count(*) FILTER (WHERE n % 5 = 0) - count(*) FILTER (WHERE again = 1) AS BIGINT) AS duplicate_token_events, count(*) FILTER (WHERE n % 11 = 0) AS parse_errors, count(*) + count(*) FILTER (WHERE n % 5 = 0) AS raw_token_events, count(*) FILTER (WHERE again = 1) AS events_count FROM f",
 )
 
+# Sessions with metadata (only the first of a file counts), settings, tasks, reported last usage, and lines without a time.
+_META, _SET, _START, _END, _LAST_USE, _TIMED = ("n % 7 = 1 AND user % 2 = 0", "n % 5 = 2", "n % 4 = 0", "n % 4 = 2", "n % 3 = 0", "n % 6 <> 5")
+
+
+def _session_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapted(spark, sf_dir).withColumn("user", F.substring("session_id", 2, 20).cast("long"))
+    order = Window.partitionBy("session_id").orderBy("event_index")
+    rows = rows.withColumns({**{f"s{i}": F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) for i, c in enumerate(COUNTERS)}, "n": F.row_number().over(order)})
+    when = lambda test, line: F.when(F.expr(test), F.array(line)).otherwise(F.array().cast("array<string>"))
+    own = F.col("event_index").cast("string")
+    event = lambda kind, rest: F.concat(F.lit(f'{{"type":"event_msg","payload":{{"type":"{kind}"'), *rest, F.lit("}}"))
+    total = F.to_json(F.struct(*(F.col(f"s{i}").alias(c) for i, c in enumerate(COUNTERS))))
+    last = F.when(F.expr(_LAST_USE), F.concat(F.lit(',"last_token_usage":'), F.to_json(F.struct(*((F.col(c) + 1).alias(c) for c in COUNTERS))))).otherwise("")
+    meta = F.concat(F.lit("{"), _stamp(), F.lit('"type":"session_meta","payload":{"id":" s'), own, F.lit('","cwd":"/m'), F.col("user") % 5, F.lit('"}}'))
+    lines = F.concat(
+        when(_META, meta),
+        when(_SET, event("thread_settings_applied", [F.lit(',"thread_settings":{"model":"set'), F.col("event_index") % 3, F.lit('"}')])),
+        when(_START, event("task_started", [F.lit(',"turn_id":"t'), own, F.lit('"')])),
+        when(_END, event("task_complete", [])),
+        F.array(F.concat(F.lit("{"), _stamp(F.expr(_TIMED)), F.lit('"type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":'), total, last, F.lit("}}}"))),
+    )
+    return rows.select("file_path", "n", F.posexplode(lines).alias("i", "line")).select("file_path", (F.col("n") * 10 + F.col("i")).cast("long").alias("line_no"), "line", F.lit(False).alias("unterminated"))
+
+
+_SESSIONS = f"""WITH {_U}, o AS (SELECT *, user_id AS user, row_number() OVER w AS n, {', '.join(f'sum({c}) OVER w AS s{i}' for i, c in enumerate(COUNTERS))} FROM u WINDOW w AS (PARTITION BY user_id ORDER BY event_index ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, row_number() OVER (PARTITION BY user, {', '.join(f's{i}' for i in range(6))} ORDER BY n) AS again, CASE WHEN {_TIMED} THEN timestamp_ms END AS own,
+  CASE WHEN user % 2 = 0 THEN first_value(timestamp_ms) OVER w END AS created, CASE WHEN user % 2 = 0 THEN 's' || first_value(event_index) OVER w ELSE 'u' || user END AS session,
+  CASE WHEN user % 2 = 0 THEN '/m' || (user % 5) ELSE '(unknown cwd)' END AS place,
+  coalesce(last_value(CASE WHEN {_SET} THEN 'set' || (event_index % 3) END IGNORE NULLS) OVER w, first_value(CASE WHEN {_SET} THEN 'set' || (event_index % 3) END IGNORE NULLS) OVER (PARTITION BY user ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), '(unknown model)') AS named,
+  coalesce(last_value(CASE WHEN {_START} THEN 't' || event_index WHEN {_END} THEN '' END IGNORE NULLS) OVER w, '') AS turn
+  FROM o WINDOW w AS (PARTITION BY user ORDER BY n ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, {', '.join(f'CASE WHEN {_LAST_USE} THEN {c} + 1 ELSE greatest(0, s{i} - coalesce(lag(s{i}) OVER k, 0)) END AS d{i}' for i, c in enumerate(COUNTERS))} FROM f WHERE again = 1 WINDOW k AS (PARTITION BY user ORDER BY n))"""
+_KEY = "concat_ws(',', " + ", ".join(f"s{i}" for i in range(6)) + ")"
+_PRINT = f"sha256(concat_ws(chr(31), CASE WHEN turn <> '' THEN 'turn:' || turn WHEN own IS NOT NULL THEN 'time:' || own ELSE 'none' END, {_KEY}, concat_ws(',', {', '.join(f'd{i}' for i in range(6))}), CASE WHEN turn = '' AND own IS NULL THEN concat_ws(chr(31), session, place, named) ELSE '' END))"
+_add(
+    "session_contexts",
+    lambda s, d: usage_events(records(_session_logs(s, d)))[0],
+    f"{_SESSIONS} SELECT file_path, row_number() OVER (PARTITION BY user ORDER BY n) - 1 AS event_index, coalesce(own, created) AS timestamp_ms, own IS NOT NULL AS has_event_timestamp, created AS session_created_at_ms, session AS session_id, {_PRINT} || ':' || {_KEY} AS total_usage_key, place AS cwd, named AS model, {', '.join(f'CAST(d{i} AS BIGINT) AS {c}' for i, c in enumerate(COUNTERS))} FROM e",
+)
+
+# --- logs as files: written, listed, read by byte ranges, indexed as they grow -----------------------------------
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    """Lines with the file they go to: plain for some users, compressed for others."""
+    user = F.regexp_extract("file_path", r"u(\d+)$", 1)
+    packed = user.cast("long") % 3 == 0
+    return lines.select(F.concat(F.when(packed, "b/").otherwise("a/"), F.lit("u"), user, F.when(packed, ".jsonl.zst").otherwise(".jsonl")).alias("name"), "line_no", "line")
+
+
+def _shown(events: DataFrame) -> DataFrame:
+    return events.select(F.substring_index("file_path", "/", -1).alias("name"), "event_index", "timestamp_ms", "model", *COUNTERS)
+
+
+def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "logs")
+    write_logs(_named(_logs(spark, sf_dir)), folder)
+    return _shown(scan(spark, [f"{folder}/b", folder, f"{folder}/none"]).events)
+
+
+def _from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of each file's lines are indexed, then the rest."""
+    folder, lines = scratch_folder(spark, "grown"), _named(_logs(spark, sf_dir))
+    index = UsageIndex(spark, f"{folder}/index")
+    write_logs(lines.where("line_no < 300"), f"{folder}/logs")
+    index.refresh([f"{folder}/logs"])
+    write_logs(lines.where(F.col("name").endswith(".zst") | (F.col("line_no") >= 300)), f"{folder}/logs")
+    index.refresh([f"{folder}/logs"])
+    return _shown(index.events())
+
+
+_FILE = "'u' || user_id || CASE WHEN user_id % 3 = 0 THEN '.jsonl.zst' ELSE '.jsonl' END AS name"
+_READ = f"{_L} SELECT {_FILE}, row_number() OVER (PARTITION BY session_id ORDER BY n) - 1 AS event_index, timestamp_ms, coalesce(back, ahead, '(unknown model)') AS model, {', '.join(COUNTERS)} FROM f WHERE again = 1"
+_add("events_from_files", _from_files, _READ)
+_add("events_from_grown_index", _from_index, _READ)
+
+# --- options and functions ---------------------------------------------------------------------------------------
+
+
+def _day_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first instant of every day on which there are events (a bounded list of days), in two zones."""
+    days = adapted(spark, sf_dir).where("timestamp_ms IS NOT NULL").select(F.timestamp_millis("timestamp_ms").cast("date").alias("d")).distinct().collect()
+    return spark.createDataFrame([(z, r.d, start_of_day(r.d, z)) for z in ("America/New_York", "Asia/Kolkata") for r in days], "zone string, day date, start_ms long")
+
+
+_add("day_starts", _day_starts, f"WITH {_U}, d AS (SELECT DISTINCT CAST(make_timestamp(timestamp_ms * 1000) AS DATE) AS day FROM u WHERE timestamp_ms IS NOT NULL), z AS (SELECT unnest(['America/New_York', 'Asia/Kolkata']) AS zone) SELECT zone, day, epoch_ms(timezone(zone, CAST(day AS TIMESTAMP))) AS start_ms FROM d, z")
+
+
+def _rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in the ranges that end with the last event."""
+    rows = adapted(spark, sf_dir)
+    now = rows.agg(F.max("timestamp_ms")).first()[0] or 0
+    spans = {name: rolling(name, now) for name in ROLLING}
+    counts = rows.agg(*(F.count_if(in_range(F.col("timestamp_ms"), *spans[n])).alias(n) for n in spans))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(n).alias("span"), F.col(f"`{n}`").alias("requests")) for n in spans))))
+
+
+_add("rolling_ranges", _rolling, f"WITH {_U}, m AS (SELECT max(timestamp_ms) - max(timestamp_ms) % 60000 AS now FROM u), r AS (SELECT * FROM (VALUES ('24h', 24), ('7d', 168), ('30d', 720), ('12w', 2016)) v(span, hours)) SELECT span, count(u.event_index) AS requests FROM r CROSS JOIN m LEFT JOIN u ON u.timestamp_ms >= now - hours * CAST(3600000 AS BIGINT) AND u.timestamp_ms < now GROUP BY span")
+
+
+def _by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    adapted(spark, sf_dir).createOrReplaceTempView("quillmeter_events")
+    return spark.sql("SELECT date_key(timestamp_ms, 'day', 'America/Los_Angeles') AS day, date_time(min(timestamp_ms), 'Asia/Kolkata') AS first_seen, count(*) AS requests FROM quillmeter_events GROUP BY 1")
+
+
+_add("by_sql_function", _by_function, f"WITH {_U} SELECT coalesce(strftime(make_timestamptz(timestamp_ms * 1000) AT TIME ZONE 'America/Los_Angeles', '%Y-%m-%d'), '(unknown time)') AS day, coalesce(strftime(make_timestamptz(min(timestamp_ms) * 1000) AT TIME ZONE 'Asia/Kolkata', '%Y-%m-%d %H:%M'), '(unknown time)') AS first_seen, count(*) AS requests FROM u GROUP BY 1")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A price page for every part."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(12,2)").alias("p"))
+    price = lambda by: F.format_number(F.col("p") * by, 2)
+    head = F.concat(F.lit("# Part\n\n| Input | $1 | 1M tokens |\n\n## Pricing\n\n### Text tokens\n\n| Kind | Price | Unit |\n| --- | --- | --- |\n| Input | $"), price(1), F.lit(" | 1M tokens |\n"))
+    cached = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("| Cached input | $"), price(2), F.lit(" | 1M tokens |\n"))).otherwise("")
+    text = F.concat(head, cached, F.lit("| Output | $"), price(3), F.lit(" | 1M tokens |\n\n### Other\n\n| Output | $5 | 1M tokens |\n"))
+    return part.select(F.concat(F.lit(" Part-"), F.col("p_partkey")).alias("model"), text.alias("markdown"))
+
+
+_add("prices_on_pages", lambda s, d: _rounded(page_prices(_pages(s, d))), "SELECT 'part-' || p_partkey AS model, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS input, CASE WHEN p_partkey % 3 > 0 THEN CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 2 AS DOUBLE) END AS cached, CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 3 AS DOUBLE) AS output FROM part")
+
 # --- the same operators over other tables ------------------------------------------------------------------------
 
 _add(

@@ -6,6 +6,8 @@ import hashlib
 import json
 import os
 import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -220,3 +222,39 @@ def failures_of(lines: DataFrame) -> DataFrame:
     """``file_path, code, message`` of the files that could not be read."""
     status = F.from_json("status", "code string, message string")
     return lines.where(F.col("status").isNotNull()).select("file_path", status.alias("s")).where("s.code IS NOT NULL").select("file_path", "s.*")
+
+
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new local path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="quillmeter-")
+    return f"{root.rstrip('/').removeprefix('file://')}/{tag}-{uuid.uuid4().hex}"
+
+
+def write_logs(lines: DataFrame, folder: str) -> int:
+    """Append ``name, line_no, line`` to log files below a local folder, in order; compressed names get their lines as one
+    new frame that replaces the file. Returns the number of files.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        name, out, n = None, None, 0
+        for batch in batches:
+            for own, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != name:
+                    if out:
+                        out.close()
+                    name, n = own, n + 1
+                    os.makedirs(os.path.dirname(f"{folder}/{own}"), exist_ok=True)
+                    out = zstandard.open(f"{folder}/{own}", "wb") if own.endswith(".zst") else open(f"{folder}/{own}", "ab")
+                out.write(line.encode() + b"\n")
+        if out:
+            out.close()
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    dealt = lines.select("name", "line_no", "line").repartition("name").sortWithinPartitions("name", "line_no").select("name", "line")
+    return dealt.mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
