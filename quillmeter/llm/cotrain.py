@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import discard, save, sized, slices, table, word_hashes
 
 LABELLED, ROUNDS, CONFIDENT, EACH = 3000, 3, 0.9, 300
-WORDS, META, LAYOUT = 1 << 14, 1 << 12, 6
+WORDS, META, LAYOUT, PARTS = 1 << 14, 1 << 12, 6, 32
 THRESHOLD = 0.5
 _KINDS = np.zeros((5, 256), np.float32)
 _KINDS[0, 65:91] = 1  # capitals
@@ -245,9 +245,12 @@ def surest(judged: DataFrame, view: str, size: int, confident: float) -> DataFra
     p = F.col(f"{view}_score")
     label = F.when(p >= confident, 1).when(1 - p >= confident, 0)
     sure = judged.select("doc_id", "source", "lang", label.alias("quality"), F.abs(p - 0.5).alias("sure")).where(F.col("quality").isNotNull())
-    # A group gives at most ``size`` rows to the choice; ties go by a hash.
-    group = Window.partitionBy("quality", "source", "lang").orderBy(F.desc("sure"), F.xxhash64("doc_id"), "doc_id")
-    ranked = sure.withColumn("turn", F.row_number().over(group)).where(F.col("turn") <= size)
+    # A group gives at most ``size`` rows to the choice; ties go by a hash. Parts of a group choose first, so a task ranks
+    # at most ``PARTS`` times as many rows of one group, however many documents it has.
+    ranked = sure.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    for by in (("quality", "source", "lang", "part"), ("quality", "source", "lang")):
+        group = Window.partitionBy(*by).orderBy(F.desc("sure"), F.xxhash64("doc_id"), "doc_id")
+        ranked = ranked.withColumn("turn", F.row_number().over(group)).where(F.col("turn") <= size)
     picks = [ranked.where(F.col("quality") == q).orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(size) for q in (1, 0)]
     return picks[0].unionByName(picks[1]).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("quality"))
 
