@@ -6,8 +6,9 @@ Distance is one minus Jaccard similarity, a metric; documents link within ``eps`
 2. Projection. Pivots that are whole documents cannot cut a corpus of text by themselves: nearly all documents are at
    distance 1 from nearly all of them, so the triangle inequality excludes nothing. So the space of shingles is first cut
    into ``B`` ranges of hashes. In each range the symmetric difference is a distance of its own, and these add up to that
-   of the whole sets, which is at most ``D`` for linked sets of a size class. With ``B = D + 1 + s`` ranges, linked sets
-   are at distance 0 in at least ``1 + s`` of them. This step rests on counting (the pigeonhole), not on a pivot.
+   of the whole sets, which is at most ``D`` for linked sets of a size class. With ``B > D`` ranges, linked sets are at
+   distance 0 in at least ``B - D`` of them; of those that a set fills, all but ``D``. This step rests on counting (the
+   pigeonhole), not on a pivot.
 3. Voronoi regions. Sets that agree in a range gather around the first of them, their pivot; a set is replicated to the
    regions of all ranges in which it agrees with others, so every link lies inside a region. Sets that agree with others
    in too few ranges to have a link leave. The distance of every member to its pivot is measured exactly. Members within
@@ -31,7 +32,6 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import bisect
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -67,40 +67,44 @@ class Ranges:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * self.den // self.num))
         return range(bisect.bisect_left(self.tops, n), bisect.bisect_left(self.tops, most) + 1)
 
-    def kind(self, c: int) -> tuple[np.ndarray, np.ndarray, int] | None:
-        """Inner edges of the ranges, a number of its own for each range, and the spare ``s``; None if only equal sets link."""
+    def apart(self, n: int, top: int) -> int:
+        """How many elements at most one of two linked sets has, if one has ``n`` and the other ``top`` or fewer."""
+        return (n + top) * (self.den - self.num) // (self.den + self.num)
+
+    def kind(self, c: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Inner edges of the ranges and a number of its own for each range; None if only equal sets link."""
         if c not in self.kinds:
             top, below = self.tops[c], self.tops[c - 1] if c else 0
-            apart = 2 * top * (self.den - self.num) // (self.den + self.num)
-            least = max(1, -(-self.num * (below + 1) // self.den))
-            spare = 1
-            while spare < _SPARE + apart // 50:
-                # So many spares that few sets have more empty ranges than that.
-                count = apart + 1 + spare
-                empty = count * (1 - 1 / count) ** least
-                if spare >= empty + 4 * math.sqrt(empty) + 1:
+            least, most = max(1, -(-self.num * (below + 1) // self.den)), self.apart(top, top)
+            count = most + 2
+            while count < most + 2 + _SPARE + most // 16:
+                # So many ranges that sets with too many empty ones are rare.
+                empty = [(n, count * (1 - 1 / count) ** n) for n in (least, (least + top) // 2, top)]
+                if all(count - e - 4 * math.sqrt(e) - self.apart(n, top) >= 1 for n, e in empty):
                     break
-                spare += 1
-            count = apart + 1 + spare
+                count += 1
             edges = np.array([-(-(j << 64) // count) for j in range(1, count)], np.uint64)
-            self.kinds[c] = (edges, mix(np.arange(count, dtype=np.uint64) + np.uint64((c + 1) << 32)), spare) if apart else None
+            self.kinds[c] = (edges, mix(np.arange(count, dtype=np.uint64) + np.uint64((c + 1) << 32))) if most else None
         return self.kinds[c]
 
     def cells(self, s: np.ndarray, sums: np.ndarray, c: int) -> tuple[np.ndarray, int] | None:
-        """The cells of a sorted set in a class, and how many of them a linked set has at least."""
+        """The cells of a sorted set in a class, and how many of them a linked set has at least.
+
+        Ranges in which two linked sets differ are at most ``apart``, so the others that the set fills agree. Two sets of
+        which both fill too few for that have cells for their least hashes too, of which any two linked sets share one.
+        """
         kind = self.kind(c)
         if kind is None:
             return None
-        edges, own, spare = kind
+        edges, own = kind
         at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
         full = at[1:] > at[:-1]
         found = mix((sums[at[1:]] - sums[at[:-1]] + own)[full])
-        empty = np.flatnonzero(~full)
-        if len(empty) > spare:
-            # All ranges that two such sets have in common may be empty ones: then at least spare + 1 of these are.
-            more = [own[list(some)].sum(dtype=np.uint64) for some in itertools.combinations(empty, spare + 1)]
-            return np.concatenate([found, mix(np.array(more, np.uint64) + np.uint64(1))]), 1
-        return found, min(1 + spare - len(empty), 100)
+        need = len(found) - self.apart(len(s), self.tops[c])
+        if need < 1:
+            least = s[: len(s) - -(-self.num * len(s) // self.den) + 1]
+            return np.concatenate([found, mix(least + np.uint64((c + 1) << 40))]), 1
+        return found, min(need, 100)
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, packed: int = PACKED) -> DataFrame:
