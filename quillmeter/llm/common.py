@@ -41,8 +41,9 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-#: Spark's own setting to remove a query's shuffle files when it has ended, not when the driver collects its garbage.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings: remove a query's shuffle files when it has ended, not when the driver collects its garbage; and
+#: keep no longer texts of plans on the driver, which would hold plans' constants many times over.
+WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "20000"}
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
@@ -50,13 +51,15 @@ def save(df: DataFrame, tag: str) -> DataFrame:
 
     The shuffle files behind it go at once, since the written table takes their place.
     """
-    spark = df.sparkSession
-    path, before = scratch_path(spark, tag), spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    spark, conf = df.sparkSession, df.sparkSession.conf
+    path, before = scratch_path(spark, tag), {k: conf.get(k, None) for k in WHILE_SAVING}
+    for k, v in WHILE_SAVING.items():
+        conf.set(k, v)
     try:
         df.write.parquet(path, compression="zstd")
     finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -59,35 +59,47 @@ def _covered(positions: Column, width: int) -> Column:
     return F.when(F.size(positions) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(steps, F.lit(width).cast("long"), lambda acc, x: acc + x))
 
 
-def _repeated(words: Column, hashes: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more; ``hashes`` holds one hash a window.
+#: The bits of a packed window that hold its place, and all others.
+_PLACE = (1 << POSITION_BITS) - 1
 
-    Windows are sorted by hash with their place in the low bits; neighbours with equal high bits count as equal only if
-    their words are.
+
+def _windows(hashes: Column) -> Column:
+    """Sorted windows, hash above and place below; null where no two hashes are equal or the text has too many."""
+    packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~_PLACE).cast("long")).bitwiseOR(i.cast("long"))))
+    return F.when((F.size(F.array_distinct(hashes)) < F.size(hashes)) & (F.size(hashes) <= _PLACE), packed)
+
+
+def _equal_pairs(windows: Column) -> Column:
+    """Places in ``windows`` at which the next one has the same hash."""
+    high = lambda i: F.shiftright(F.get(windows, i), POSITION_BITS)
+    return F.filter(_upto(F.size(windows) - 1), lambda i: high(i) == high(i + 1))
+
+
+def _repeated(words: Column, hashes: Column, windows: Column, pairs: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more, from ``_windows`` and its ``_equal_pairs``.
+
+    If neighbours of equal hash differ in a word, or a text has too many windows, the windows themselves are sorted.
     """
-    low = F.lit((1 << POSITION_BITS) - 1).cast("long")
+    place = lambda i: F.get(windows, i).bitwiseAND(F.lit(_PLACE).cast("long"))
 
-    def same(s: Column, i: Column, j: Column) -> Column:
-        x, y = F.get(s, i), F.get(s, j)
-        a, b = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
-        equal = (F.shiftright(x, POSITION_BITS) == F.shiftright(y, POSITION_BITS))
-        for k in range(3):
+    def same(i: Column) -> Column:
+        a, b = place(i).cast("int"), place(i + 1).cast("int")
+        equal = F.get(words, a) == F.get(words, b)
+        for k in (1, 2):
             equal = equal & (F.get(words, a + k) == F.get(words, b + k))
-        return F.coalesce(equal, F.lit(False))
-
-    def packed(s: Column) -> Column:
-        return F.array_sort(F.transform(F.filter(_upto(F.size(s)), lambda i: same(s, i, i - 1) | same(s, i, i + 1)), lambda i: F.get(s, i).bitwiseAND(low)))
+        return equal
 
     def wide(s: Column) -> Column:
         def equal(i, j):
             return F.coalesce(F.get(s, i)["w"] == F.get(s, j)["w"], F.lit(False))
 
-        return F.array_sort(F.transform(F.filter(_upto(F.size(s)), lambda i: equal(i, i - 1) | equal(i, i + 1)), lambda i: F.get(s, i)["i"].cast("long")))
+        return F.sort_array(F.transform(F.filter(_upto(F.size(s)), lambda i: equal(i, i - 1) | equal(i, i + 1)), lambda i: F.get(s, i)["i"].cast("long")))
 
-    short = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+    found = F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, lambda i: F.array(place(i), place(i + 1))))))
     long = F.sort_array(F.transform(hashes, lambda h, i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))))
-    positions = F.when(F.size(hashes) < (1 << POSITION_BITS), _let(short, packed)).otherwise(_let(long, wide))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_let(positions, lambda p: _covered(p, 3)))
+    sure = F.forall(pairs, same)
+    exact = _let(_let(long, wide), lambda p: _covered(p, 3))
+    return F.when(F.size(hashes) > _PLACE, exact).when(windows.isNull(), F.lit(0).cast("long")).when(sure, _let(found, lambda p: _covered(p, 3))).otherwise(exact)
 
 
 def _hashes(words: Column) -> tuple[Column, Column]:
@@ -96,7 +108,8 @@ def _hashes(words: Column) -> tuple[Column, Column]:
 
 
 def _bucket(h: Column, buckets: int) -> Column:
-    return F.pmod(h, F.lit(buckets)).cast("int")
+    rest = h.bitwiseAND(F.lit(buckets - 1).cast("long")) if buckets & (buckets - 1) == 0 else F.pmod(h, F.lit(buckets))
+    return F.coalesce(rest.cast("int"), F.lit(0))
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
@@ -139,23 +152,23 @@ def gram_weights(counts: DataFrame, shares: DataFrame, buckets: int = BUCKETS, s
     cells = cells.where(F.col("c") > 0).select("bucket", (F.log("p") - F.log(F.col("c") / total)).alias("ratio"), "p")
     weights, trusted = ["0.0"] * buckets, ["0.0"] * buckets
     for row in cells.collect():
-        weights[row.bucket], trusted[row.bucket] = repr(row.ratio), repr(row.p)
+        weights[row.bucket], trusted[row.bucket] = f"{row.ratio:.12g}", f"{row.p:.12g}"
     return tuple(F.split(F.lit(",".join(x)), ",").cast("array<double>") for x in (weights, trusted))
 
 
-def _alone(grams: Column, weights: Column, shares: Column, unit: Column) -> Column:
-    """Sum of log ratios of a trusted text's n-grams with the text's own counts taken out of the trusted shares."""
+def _own_counts(grams: Column, starts: Column, shares: Column, unit: Column) -> Column:
+    """What a trusted text's sum of log ratios changes by when its own counts are taken out of the trusted shares.
+
+    ``grams`` are its sorted buckets, ``starts`` the places where a bucket begins.
+    """
 
-    def ended(acc: Column) -> Column:
-        left = F.greatest(1 - unit * acc["n"] / F.get(shares, acc["g"]), F.lit(1e-9))
-        return acc["sum"] + acc["n"] * (F.get(weights, acc["g"]) + F.log(left))
+    def part(at: Column, k: Column) -> Column:
+        def of(n: Column) -> Column:
+            return n * F.log(F.greatest(1 - unit * n / F.get(shares, F.get(grams, at)), F.lit(1e-9)))
 
-    def step(acc: Column, g: Column) -> Column:
-        same = acc["g"] == g
-        return F.struct(g.alias("g"), F.when(same, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), F.when(same | (acc["n"] == 0), acc["sum"]).otherwise(ended(acc)).alias("sum"))
+        return _let(F.coalesce(F.get(starts, k + 1), F.size(grams)) - at, of)
 
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"))
-    return F.aggregate(F.sort_array(grams), start, step, ended) - F.size(grams) * F.log(F.greatest(1 - unit * F.size(grams), F.lit(1e-9)))
+    return F.aggregate(F.transform(starts, part), F.lit(0.0), lambda acc, x: acc + x) - F.size(grams) * F.log(F.greatest(1 - unit * F.size(grams), F.lit(1e-9)))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = THRESHOLD, keep_columns: bool | list[str] = False) -> DataFrame:
@@ -185,19 +198,24 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     one, two = _hashes(words)
     rows = rows.withColumn("__l", lines).withColumn("__one", one).withColumn("__two", two)
     rows = rows.withColumn("__h", _neighbours(F.col("__two"), F.col("__one"), 2, lambda a, b: F.xxhash64(a, b)))
+    # Sorted here, in a projection's compiled code, arrays of longs and ints sort as such.
+    trusting = threshold is None
+    rows = rows.withColumn("__s", _windows(F.col("__h")))
+    rows = rows.withColumn("__pairs", _equal_pairs(F.col("__s")))
+    if trusting:
+        rows = rows.withColumn("__g", F.when(F.col("__own").isNotNull(), F.sort_array(F.transform(F.concat("__one", "__two"), lambda h: _bucket(h, buckets)))))
+        rows = rows.withColumn("__starts", F.filter(_upto(F.size("__g")), lambda i: (i == 0) | (F.get("__g", i) != F.get("__g", i - 1))))
     n_grams = F.size("__one") + F.size("__two")
-    plain = F.lit(0.0)
-    for part in ("__one", "__two"):
-        plain = plain + F.aggregate(part, F.lit(0.0), lambda acc, h: acc + F.get(weights, _bucket(h, buckets)))
-    grams = F.transform(F.concat("__one", "__two"), lambda h: _bucket(h, buckets))
-    sums = plain if threshold is not None else F.when(F.col("__own").isNull(), plain).otherwise(_alone(grams, weights, trusted, F.col("__own")))
+    sums = F.aggregate(F.concat("__one", "__two"), F.lit(0.0), lambda acc, h: acc + F.get(weights, _bucket(h, buckets)))
+    if trusting:
+        sums = sums + F.when(F.col("__own").isNull(), F.lit(0.0)).otherwise(_own_counts(F.col("__g"), F.col("__starts"), trusted, F.col("__own")))
     score = F.when(n_grams == 0, F.lit(0.0)).otherwise(sums / n_grams)
     counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        _repeated(words, F.col("__h")).alias("n_repeat_words"),
+        _repeated(words, F.col("__h"), F.col("__s"), F.col("__pairs")).alias("n_repeat_words"),
         score.alias("llr"),
     )
     # A generator of one row: filters on the verdict stay above it. Pushed below, they would split the text anew for

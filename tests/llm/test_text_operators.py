@@ -135,6 +135,14 @@ def test_quality_counts_and_scores_equal_brute_force(spark):
         assert row.base_failed == failed and row.kept == (not failed and row.llr >= quality_rules.THRESHOLD)
 
 
+def test_repeats_of_texts_too_long_to_pack(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "_PLACE", 3)
+    r = random.Random(25)
+    texts = [*ODD, "a b c a b c a b c"] + [" ".join(r.choice("ab cde") for _ in range(r.randint(1, 40))) for _ in range(40)]
+    got = quality_rules.quality_rules(documents(spark, texts), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {x.doc_id: x.n_repeat_words for x in got} == {i: base_counts(t)[4] for i, t in enumerate(texts)}
+
+
 def test_quality_odd_tables(spark):
     docs = documents(spark, ["w " * 60, None]).withColumn("kept", F.lit(1)).withColumn("n_words", F.lit("z"))
     labels = spark.createDataFrame([], "doc_id long, quality int")
