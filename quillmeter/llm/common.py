@@ -330,19 +330,25 @@ def twice_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 # ---------------------------------------------------------------------------------------------------------------
 
 
+HOT_BYTES = 4096
+
+
 def lookup(rows: DataFrame, facts: DataFrame, key: str, weight: str, hot: int = 1000) -> DataFrame:
     """Left join of ``rows`` with one-row-a-key ``facts`` whose ``weight`` tells how many rows the key has.
 
     Keys that hold at least a thousandth of the rows (``1 / hot``; so at most ``hot`` keys) are broadcast; the rows of
-    these keys then bear a key of their own and spread over the shuffle of the remaining join.
+    these keys then bear a key of their own and spread over the shuffle of the remaining join. Texts of more than
+    ``HOT_BYTES`` are not broadcast, so what is has a bound; a shuffle by their hash joins them.
     """
     values = [c for c in facts.columns if c not in (key, weight)]
     total = facts.agg(F.sum(weight)).first()[0] or 0
-    limit = max(1000, total // hot)
-    common = facts.where(F.col(weight) >= limit).select(F.col(key).alias("__k"), F.struct(*values).alias("__hot"))
+    often = F.col(weight) >= max(1000, total // hot)
+    if dict(facts.dtypes)[key] in ("string", "binary"):
+        often = often & F.coalesce(F.octet_length(key) <= HOT_BYTES, F.lit(True))
+    common = facts.where(often).select(F.col(key).alias("__k"), F.struct(*values).alias("__hot"))
     # Always 0, but not a constant to the optimiser, which would drop it from the keys that rows are dealt by.
     zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
-    rest = facts.where(F.col(weight) < limit).select(F.col(key).alias("__r"), zero.alias("__s"), F.struct(*values).alias("__cold"))
+    rest = facts.where(~often).select(F.col(key).alias("__r"), zero.alias("__s"), F.struct(*values).alias("__cold"))
     marked = rows.join(F.broadcast(common), rows[key].eqNullSafe(F.col("__k")), "left").drop("__k")
     spread = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(4096)).cast("int") + 1).otherwise(F.lit(0))
     marked = marked.withColumn("__t", spread)
