@@ -12,8 +12,9 @@ packed sorted arrays, answered in the order asked, in ``TURNS`` turns over all b
 A document's evidence is the log-likelihood ratio of the two models, in three parts: its words by themselves, and what
 bigrams add to them that are seen ``OFTEN`` times or more, and all rarer ones. Each part is normalised by length in two
 ways: its mean over the words, and what single words add above ``STRONG`` nats, over the root of the word count. A logistic
-curve fitted on ``SAMPLE`` labelled rows weighs the six and gives a score from 0 to 1, so how far rare bigrams are to be
-trusted is learned, and none is left out. Every document that taught is judged without its own counts,
+curve fitted on ``SAMPLE`` labelled rows weighs the six (no weight below 0: evidence never counts against itself), then is
+placed with both classes weighing alike, and gives a score from 0 to 1; so how far rare bigrams are to be trusted is
+learned, and none is left out. Every document that taught is judged without its own counts,
 in the fit and in the result.
 
 Defined cases: null or wordless text scores as a text without evidence; very long texts are whole; repeated rows are judged alike, so
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import discard, mix, pack, pack_sorted, save, sized, slices, table, unpack, unpack_sorted, word_hashes
 
 SAMPLE, BLOCK, TURNS = 10_000, 1_000_000, 4
-DISCOUNT, STRONG, OFTEN, THRESHOLD = 0.75, 3.0, 5, 0.7
+DISCOUNT, STRONG, OFTEN, THRESHOLD, PULL = 0.75, 3.0, 5, 0.7, 1e-3
 #: Bytes between words: everything in ASCII but letters and digits.
 _BREAKS = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b > 127) for b in range(256)])
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -239,6 +240,48 @@ def _answers(asked: DataFrame, known: DataFrame, width: int) -> DataFrame:
     return both.mapInArrow(answer, "block string, bucket int, counts binary")
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pull: float) -> np.ndarray:
+    """Intercept and slopes, none below 0, of a logistic curve on standardised columns.
+
+    ``pull`` is the penalty for each row, so it means the same at every size. Newton steps over the slopes that are not held
+    at 0 are halved until the penalised loss falls, so rows that are (nearly) separable cannot make them run away.
+    """
+    middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    z = np.column_stack([np.ones(len(x)), (x - middle) / spread])
+    penalty = np.diag([pull / 1000, *[pull] * x.shape[1]]) * len(x)
+
+    def loss(b: np.ndarray) -> float:
+        m = z @ b
+        return float((weight * (np.logaddexp(0, m) - y * m)).sum() + b @ penalty @ b / 2)
+
+    b = np.zeros(z.shape[1])
+    now = loss(b)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -35, 35)))
+        slope = z.T @ (weight * (p - y)) + penalty @ b
+        curvature = (z * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + penalty
+        free = (b > 0) | (slope < 0)
+        free[0] = True
+        step = np.zeros(len(b))
+        step[free] = np.linalg.solve(curvature[np.ix_(free, free)], slope[free])
+        for halving in range(60):
+            tried = b - step / 2**halving
+            tried[1:] = np.maximum(tried[1:], 0)
+            new = loss(tried)
+            if new <= now:
+                break
+        else:
+            new, tried = now, b
+        moved, gained = np.abs(tried - b).max(), now - new
+        b, now = tried, new
+        if moved < 1e-9 or gained <= 1e-10 * max(1.0, now):
+            break
+    else:
+        raise RuntimeError("the logistic curve did not settle")
+    slopes = b[1:] / spread
+    return np.concatenate([[b[0] - slopes @ middle], slopes])
+
+
 @dataclass
 class Model:
     """Both classes' written tables, ``totals`` and the curve."""
@@ -255,17 +298,13 @@ class Model:
         return bool((self.totals[:2] > 0).all())
 
     def fit(self, x: np.ndarray, toxic: np.ndarray) -> None:
-        """The logistic curve over rows of features, by Newton steps with a weak pull to 0."""
-        x, y = np.column_stack([np.ones(len(x)), x]), toxic.astype(float)
-        scale = np.maximum(np.abs(x).mean(axis=0), 1e-9)
-        x, b, pull = x / scale, np.zeros(x.shape[1]), 1e-2
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(b)), x.T @ (p - y) + pull * b)
-            b = b - step
-            if np.abs(step).max() < 1e-8:
-                break
-        self.curve = b / scale
+        """The curve over rows of features: their weights first, then its place and slope with both classes weighing alike."""
+        y = toxic.astype(float)
+        direction = _logistic(x, y, np.ones(len(y)), PULL)
+        along = x @ direction[1:]
+        alike = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        place, slope = _logistic(along[:, None], y, alike, PULL / 100)
+        self.curve = np.concatenate([[place], slope * direction[1:]])
 
 
 def _ratio(w, v, pair, doc, marks, vocab_counts, pair_n, totals) -> np.ndarray:

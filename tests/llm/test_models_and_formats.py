@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -345,3 +346,44 @@ def test_co_training_reaches_rare_sources(spark):
 
 def test_oracles_are_text():
     assert all(isinstance(s, str) for s in registry.SQL.values()) and set(registry.SQL) <= set(registry.QUERIES)
+
+
+def _auc(marks, scores):
+    pairs = sorted(zip(scores, marks, strict=True))
+    below, wins, at = 0, 0.0, 0
+    while at < len(pairs):
+        to = at
+        while to < len(pairs) and pairs[to][0] == pairs[at][0]:
+            to += 1
+        ones = sum(m for _, m in pairs[at:to])
+        wins += ones * (below + (to - at - ones) / 2)
+        below, at = below + to - at - ones, to
+    return wins / (sum(marks) * (len(marks) - sum(marks)))
+
+
+def test_curve_stays_bounded_on_nearly_separable_rows():
+    model = toxicity.Model(None, None, None, None, np.zeros(6))
+    rows = np.array([[float(i > 60), i / 100, 0, 0, (i % 7) / 1e3, -i / 50] for i in range(100)])
+    toxic = np.array([int(i > 60) for i in range(100)])
+    for marks in (toxic, np.where(np.arange(100) == 20, 1, toxic)):
+        model.fit(rows, marks)
+        assert np.isfinite(model.curve).all() and np.abs(model.curve).max() < 1e3 and (model.curve[1:] >= 0).all()
+        assert _auc(marks.tolist(), (rows @ model.curve[1:]).tolist()) > 0.95
+
+
+@pytest.mark.parametrize("size, least, found", [("sf0.01", 0.9, 0.5), ("sf0.1", 0.97, 0.85)])
+def test_toxicity_of_held_out_labels(spark, size, least, found):
+    """The held-out area under the curve is that of the best single piece of evidence at least."""
+    folder = f"/root/testdata/{size}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    evidence = toxicity.features(docs, model)
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("mark"))
+    rows = toxicity.score(evidence, toxicity.fit(model, evidence)).join(evidence.select("doc_id", "evidence"), "doc_id").join(marks, "doc_id").where("held_out").collect()
+    truth = [x.mark for x in rows]
+    area = _auc(truth, [x.score for x in rows])
+    assert area >= max(least, *(_auc(truth, [x.evidence[i] for x in rows]) for i in range(6)))
+    assert sum(x.predicted for x in rows if x.mark) >= found * sum(truth)
+    assert sum(x.predicted for x in rows if not x.mark) <= 0.03 * len(rows)
