@@ -46,7 +46,8 @@ def demo_catalog() -> Catalog:
 # The same prices as SQL, written out by hand; lookups are as-of joins in SQL, so nothing of the code under test is in it.
 _BASE = "-9007199254740991"
 _DAY = "epoch_ms(TIMESTAMP '2024-01-{}')"
-_PRICES = f"""pv AS (SELECT * FROM (VALUES
+_RATES = ("i", "c", "w", "o", "li", "lc", "lw", "lo")
+_PRICES = f"""pv AS (SELECT m, start, provisional, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _RATES)}, t FROM (VALUES
   ('click', {_BASE}, true, 2.0, 0.5, NULL, 8.0, NULL, NULL, NULL, NULL, NULL),
   ('click', {_DAY.format(10)}, false, 3.0, 0.25, 3.75, 12.0, NULL, NULL, NULL, NULL, NULL),
   ('click', {_DAY.format(20)}, false, 1.0, 0.125, 1.25, 4.0, 2.0, 0.25, NULL, 6.0, 50000),
@@ -60,7 +61,7 @@ def _asof(source: str) -> str:
     """CTEs that look up the prices of CTE ``source`` (model, timestamp_ms) into ``j``: official, route, and the rates of the
     price (p_) and of the upper bound (u_).
     """
-    names = ("i", "c", "w", "o", "li", "lc", "lw", "lo", "t")
+    names = (*_RATES, "t")
     rates = [f"CASE WHEN official THEN of_{n} WHEN NOT official THEN {side}_{n} END AS {p}_{n}" for p, side in (("p", "lo"), ("u", "hi")) for n in names]
     picks = lambda side: ", ".join(f"v.{n} AS {side}_{n}" for n in names)
     return f"""{_PRICES},
