@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, line_dedup, mixing, warc
+from . import chat_format, hard_negatives, line_dedup, mixing, warc
 from .chat_format import op10_chat_prefix_targets
 from .cotrain import op8_cotrained_quality
 from .decontaminate import op7_benchmark_decontamination
+from .hard_negatives import op11_hard_negatives
 from .jaccard_join import op2_ngram_jaccard_join
 from .line_dedup import op6_line_dedup
 from .mixing import op1_mixing_weights
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cotrained_quality": op8_cotrained_quality,
     "op9_toxicity": op9_toxicity,
     "op10_chat_prefix_targets": op10_chat_prefix_targets,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -36,4 +38,5 @@ SQL: dict[str, str] = {
     "op4_warc_writer": warc.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op10_chat_prefix_targets": chat_format.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
 }
