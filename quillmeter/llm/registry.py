@@ -14,6 +14,7 @@ from .hard_negatives import op11_hard_negatives
 from .jaccard_join import op2_ngram_jaccard_join
 from .line_dedup import op6_line_dedup
 from .mixing import op1_mixing_weights
+from .neighbours import op13_nearest_neighbours
 from .quality_rules import op3_quality_rules
 from .token_counts import op5_token_counts
 from .toxicity import op9_toxicity
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_chat_prefix_targets": op10_chat_prefix_targets,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {

@@ -1,12 +1,15 @@
 """Searches over vectors and repair of conversations, against plain Python versions."""
 
 import math
+import os
 import random
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmeter.llm import hard_negatives
+from quillmeter.llm import hard_negatives, neighbours
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -32,8 +35,6 @@ def mined(rows, top=5, every=100):
 
 
 def float32(x):
-    import struct
-
     return struct.unpack("f", struct.pack("f", x))[0]
 
 
@@ -56,7 +57,7 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch, clusters, list_row
 
 def test_hard_negatives_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (4, [1.0, 1.9], 2), (5, [1.0], 2), (6, [1.0, nan], 2), (8, [inf, 1.0], 2), (9, [1.0, None], 2), (10, None, 2), (11, [1.0, 2.0], None), (None, [1.0, 2.0], 2)]
+    rows = [(0, [1.0, 2.0], 0), (3, [1.0, 2.0], 1), (4, [1.0, 1.9], 2), (5, [1.0], 2), (6, [1.0, nan], 2), (8, [inf, 1.0], 2), (9, [1.0, None], 2), (10, None, 2), (11, [1.0, 2.0], None), (None, [1.0, 2.0], 2)]
     rows += [(4, [1.0, 1.9], 2), (100, [-1.0, -1.0], 4), (200, [0.0, 0.0], 5), (201, [3.0, 1.0], 5), (202, [], 5)]
     got = negatives(spark, rows)
     ids = {(a, p, k, n) for a, p, k, n, _, _ in got}
@@ -66,3 +67,70 @@ def test_hard_negatives_odd_rows(spark):
     assert negatives(spark, rows[:0]) == []
     with pytest.raises(Exception, match="63 bits"):
         negatives(spark, [(0, [1e17], 1), (1, [1e17], 1)])
+
+
+def nearest(rows, every, top=5):
+    """Brute force: query to its (id, cosine), nearest first."""
+    rows = [(i, [float(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b))
+    out = {}
+    for q, a in rows:
+        if q % every == 0:
+            out[q] = sorted((-round(cosine(a, b), 12), j) for j, b in rows if j != q)[:top]
+    return out
+
+
+def recall(got, want):
+    found = {}
+    for q, rank, j, score in got:
+        found.setdefault(q, {})[rank] = (j, score)
+    assert set(found) == {q for q in want if want[q]}
+    for q, ranks in found.items():
+        assert sorted(ranks) == list(range(1, len(want[q]) + 1))
+        assert [(-round(s, 12), j) for _, (j, s) in sorted(ranks.items())] == sorted((-round(s, 12), j) for j, s in ranks.values())
+    hits = sum(len({j for _, j in want[q]} & {j for j, _ in found[q].values()}) for q in found)
+    return hits / sum(len(want[q]) for q in found)
+
+
+@pytest.mark.parametrize("groups, spread, shard_rows", [(1, 1.0, 16_384), (40, 0.02, 300)])
+def test_neighbours_are_found(spark, groups, spread, shard_rows):
+    """Without clusters, and in tight clusters over several shards; copies of a vector come by their ids."""
+    vectors = clustered(2, 1500, 16, groups, spread)
+    vectors[200:400] = [vectors[200]] * 200
+    rows = [(i, [float32(x) for x in v], 0) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, VECTORS).withColumns({"score": F.lit("x"), "ids": F.lit("y"), "vector": F.lit("z")})
+    got = [tuple(x) for x in neighbours.nearest_neighbours(frame, F.col("vec_id") % 20 == 0, shard_rows=shard_rows).collect()]
+    want = nearest([(i, v) for i, v, _ in rows], 20)
+    assert recall(got, want) >= 0.98
+    found = {(q, r): (j, s) for q, r, j, s in got}
+    for q in (220, 380):
+        assert [found[q, r][0] for r in range(1, 6)] == [200, 201, 202, 203, 204] and found[q, 1][1] == pytest.approx(1, abs=1e-12)
+    assert [found[200, r][0] for r in range(1, 6)] == [201, 202, 203, 204, 205]
+
+
+def test_neighbours_of_the_test_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    got = [tuple(x) for x in neighbours.op13_nearest_neighbours(spark, folder).collect()]
+    assert recall(got, nearest([tuple(x) for x in rows], 50)) >= 0.9
+
+
+def test_neighbours_odd_rows(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0], 0), (1, [0.0, 0.0], 0), (2, None, 0), (3, [nan, 1.0], 0), (4, [None, 1.0], 0), (None, [1.0, 1.0], 0), (5, [], 0), (6, [2.0], 0), (7, [1e-30, 1e-30], 0), (8, [1e30, -1e30], 0), (7, [1e-30, 1e-30], 0)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    got = [tuple(x) for x in neighbours.nearest_neighbours(frame, F.col("vec_id") == 0).collect()]
+    assert [(q, r, j) for q, r, j, _ in sorted(got)] == [(0, 1, 6), (0, 2, 7), (0, 3, 7), (0, 4, 8)]
+    assert [round(x[3], 9) for x in sorted(got)] == [1.0, *[round(math.sqrt(0.5), 9)] * 3]
+    assert neighbours.nearest_neighbours(frame, F.col("vec_id") == 99).count() == 0
+    assert neighbours.nearest_neighbours(frame.limit(0), F.col("vec_id") == 0).count() == 0
+    assert neighbours.nearest_neighbours(frame.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
+
+
+def test_pruning_keeps_diverse_edges():
+    angles = np.radians([0, 1, 2, 3, 40, 41, 180])
+    x = np.column_stack([np.cos(angles), np.sin(angles)]).astype(np.float32)
+    kept = neighbours.robust_prune(x, np.array([0], np.int32), np.array([[6, 5, 4, 3, 2, 1, 0, 1, -1]], np.int32), 3, 1.2)[0]
+    assert kept.tolist() == [1, 4, 6]  # 2 and 3 lie behind 1, and 5 behind 4
