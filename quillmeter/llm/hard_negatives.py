@@ -142,8 +142,6 @@ def _products(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     most = norm(a) * norm(x)
     if most < 2**52:
         return np.rint(a.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    if most >= 2**62:
-        raise ValueError("components are too large: a score might pass 63 bits")
     return a @ x.T
 
 
@@ -163,6 +161,8 @@ def _requests(lists: InvertedLists, start: int, stop: int):
                 windows[np.arange(windows.shape[1]) >= counts[:, None]] = (1, 0, 0)  # nothing lies between 1 and 0
                 middle = a.astype(np.float64) @ centroids.T
                 reach = np.sqrt((a.astype(np.float64) ** 2).sum(axis=1))[:, None] * radii
+                if (np.abs(middle) + reach).max(initial=0) >= 2**62:
+                    raise ValueError("components are too large: a score might pass 63 bits")
                 slack = 1 + 1e-9 * (np.abs(middle) + reach)  # what rounding may hide
                 upper, lower = middle + reach + slack, middle - reach - slack
                 order = np.argsort(-upper, axis=1, kind="stable")
