@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, hard_negatives, line_dedup, mixing, warc
+from . import chat_format, hard_negatives, line_dedup, mixing, turn_repair, warc
 from .chat_format import op10_chat_prefix_targets
 from .cotrain import op8_cotrained_quality
 from .decontaminate import op7_benchmark_decontamination
@@ -18,6 +18,7 @@ from .neighbours import op13_nearest_neighbours
 from .quality_rules import op3_quality_rules
 from .token_counts import op5_token_counts
 from .toxicity import op9_toxicity
+from .turn_repair import op12_turn_repair
 from .warc import op4_warc_writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_chat_prefix_targets": op10_chat_prefix_targets,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_turn_repair": op12_turn_repair,
     "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
@@ -41,4 +43,5 @@ SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.SQL,
     "op10_chat_prefix_targets": chat_format.SQL,
     "op11_hard_negatives": hard_negatives.SQL,
+    "op12_turn_repair": turn_repair.SQL,
 }

@@ -1,15 +1,17 @@
 """Searches over vectors and repair of conversations, against plain Python versions."""
 
+import hashlib
 import math
 import os
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmeter.llm import hard_negatives, neighbours
+from quillmeter.llm import hard_negatives, neighbours, turn_repair
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -134,3 +136,101 @@ def test_pruning_keeps_diverse_edges():
     x = np.column_stack([np.cos(angles), np.sin(angles)]).astype(np.float32)
     kept = neighbours.robust_prune(x, np.array([0], np.int32), np.array([[6, 5, 4, 3, 2, 1, 0, 1, -1]], np.int32), 3, 1.2)[0]
     assert kept.tolist() == [1, 4, 6]  # 2 and 3 lie behind 1, and 5 behind 4
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+SPACE = " \t\n\x0b\f\r"
+
+
+def fixed(rows):
+    """Best repair of ordered (turn, role, text) rows, by trying every edit."""
+    seen, faults = set(), []
+    for _, role, text in rows:
+        bare = text.rstrip(SPACE)
+        faults.append("b" if not bare else "d" if (role, text) in seen else "" if bare[-1] in ".!?" else "t")
+        seen.add((role, text))
+    follow = {"s": {"": "s"}, "u": {"": "u", "s": "u", "a": "u"}, "a": {"u": "a"}}  # by the initial before
+    best = {"": (0, "", ())}
+
+    def inserts(best):
+        for _ in range(2):
+            for at, (cost, audit, out) in list(best.items()):
+                role = "assistant" if at == "u" else "user"
+                new = (cost + 2, audit + "I", (*out, (role, "")))
+                best[role[0]] = min(best.get(role[0], new), new)
+        return best
+
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        after = {}
+        for at, (cost, audit, out) in inserts(best).items():
+            late = fault == "t"
+            forced = "assistant" if at == "u" else "user"
+            options = [(at, (cost + 3, audit + "D", out))]
+            if fault in ("", "t"):
+                options.append((forced[0], (cost + 2 + late, audit + "R", (*out, (forced, text)))))
+                if at in follow.get(role[:1], {}):
+                    options.append((follow[role[:1]][at], (cost + late, audit + "K", (*out, (role, text)))))
+            for state, option in options:
+                after[state] = min(after.get(state, option), option)
+        best = after
+    cost, audit, out = min(v for k, v in inserts(best).items() if k in ("", "a"))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    pairs = ["".join(p) for p in zip([r[1][:1] for r in rows], [r[1][:1] for r in rows[1:]], strict=False)]
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+    return gaps, faults.count("b"), faults.count("d"), faults.count("t"), sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, digest, out
+
+
+def repaired(spark, rows, schema=TURNS):
+    frame = spark.createDataFrame(rows, schema).withColumns({"audit": F.lit(1), "kind": F.lit("x"), "digest": F.lit("y"), "first": F.lit(2)})
+    done = turn_repair.repair(frame)
+    whole = {x[0]: tuple(x)[1:] for x in turn_repair.conclude(done).collect()}
+    kept = sorted(turn_repair.repaired_rows(done).collect(), key=lambda x: (x.part, x.chunk, x.place))
+    return whole, {c: tuple((x.role, x.text) for x in kept if x.conv_id == c) for c in whole}
+
+
+@pytest.mark.parametrize("chunk", [64, 3, 1])
+def test_repair_equals_trying_everything(spark, monkeypatch, chunk):
+    monkeypatch.setattr(turn_repair, "CHUNK", chunk)
+    r = random.Random(chunk)
+    rows = [(c, t, r.choice(["system", "user", "user", "assistant", "assistant", "tool", ""]), r.choice(["Yes.", "no", " \n", "Go!", f"{t} is.", f"{t} is"])) for c in range(60) for t in range(r.choice([1, 2, 5, 8, 30]))]
+    whole, kept = repaired(spark, rows)
+    for c in range(60):
+        want = fixed([(t, role, text) for conv, t, role, text in rows if conv == c])
+        assert whole[c] == want[:-1]
+        assert kept[c] == want[-1]
+
+
+def test_repair_of_odd_rows(spark):
+    rows = [(None, None, None, None), (None, 4, "user", "Hm."), (None, 4, "user", "Hm."), (None, 1, "user", "Hm."), (1, 0, "user", "x" * 5_000_000), (1, 1, "assistant", "y" * 5_000_000 + "."), (1, None, "system", "Be."), (2, 7, "user", ""), (3, -2, "user", "A\u0085"), (3, 3, "assistant", "ok.\x0b ")]
+    whole, kept = repaired(spark, rows)
+    for c, turns in ((None, [(None, " ", " "), (1, "user", "Hm."), (4, "user", "Hm."), (4, "user", "Hm.")]), (1, [(None, "system", "Be."), (0, "user", "x" * 5_000_000), (1, "assistant", "y" * 5_000_000 + ".")]), (2, [(7, "user", "")]), (3, [(-2, "user", "A\u0085"), (3, "assistant", "ok.\x0b ")])):
+        want = fixed(turns)
+        assert whole[c] == want[:-1] and kept[c] == want[-1]
+    assert whole[1][6] == "KKK" and whole[2][6] == "D" and whole[2][7] == hashlib.sha256(b"").hexdigest() and whole[3][0] == 4
+    empty = spark.createDataFrame([], TURNS)
+    assert turn_repair.conclude(turn_repair.repair(empty)).count() == 0
+
+
+def test_repair_of_a_long_conversation_spreads(spark):
+    """One conversation holds most rows; its chunks come from several tasks, and it is repaired as a whole."""
+    rows = [(0, t, ("user", "assistant", "assistant")[t % 3], f"{t}.") for t in range(3000)] + [(c, 0, "user", "Hi.") for c in range(1, 40)]
+    frame = spark.createDataFrame(rows, TURNS).repartition(8)
+    marked = turn_repair.with_faults(frame)
+    packed = turn_repair.chunks(marked)
+    assert packed.where("conv_id = 0").select("part").distinct().count() > 1
+    assert packed.agg(F.max(F.size("turns"))).first()[0] <= turn_repair.CHUNK
+    got = {x[0]: tuple(x)[1:] for x in turn_repair.conclude(turn_repair.audited(packed)).collect()}
+    assert got[0] == fixed([(t, role, text) for c, t, role, text in rows if c == 0])[:-1]
+    assert {got[c][6] for c in range(1, 40)} == {"KI"}
+
+
+def test_damage_follows_the_checksum(spark):
+    rows = [(c, t, "assistant", "a. b! c?") for c in range(5) for t in range(30)] + [(None, None, None, None)]
+    got = sorted((tuple(x) for x in turn_repair.damaged(spark.createDataFrame(rows, TURNS)).collect()), key=str)
+    want = []
+    for c, t, role, text in rows:
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = ("user" if kind == 4 else role or " "), ("" if kind == 1 else "a b c" if kind == 2 and text else text or " ")
+        want += [(c, t, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    assert got == sorted(want, key=str)
