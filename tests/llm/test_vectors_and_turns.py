@@ -217,7 +217,11 @@ def test_repair_of_a_long_conversation_spreads(spark):
     rows = [(0, t, ("user", "assistant", "assistant")[t % 3], f"{t}.") for t in range(3000)] + [(c, 0, "user", "Hi.") for c in range(1, 40)]
     frame = spark.createDataFrame(rows, TURNS).repartition(8)
     marked = turn_repair.with_faults(frame)
-    packed = turn_repair.chunks(marked)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed = turn_repair.chunks(marked)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert packed.where("conv_id = 0").select("part").distinct().count() > 1
     assert packed.agg(F.max(F.size("turns"))).first()[0] <= turn_repair.CHUNK
     got = {x[0]: tuple(x)[1:] for x in turn_repair.conclude(turn_repair.audited(packed)).collect()}
