@@ -1,8 +1,9 @@
 """Token counts through a digest cache.
 
 A count belongs to (SHA-256 of the text, digest of the tokenizer: file content and versions of what counts). Stored counts are
-looked up by that key; of the misses, one text per digest is encoded, and the new counts are added to the cache in a folder
-of the run's own, so runs at the same time do not touch each other's files and a reader never sees half of them. The only
+looked up by that key; of the misses, one text per digest is encoded (that of the least ``doc_id``; where several rows share
+this too, one of them is taken by an aggregate on the digest), and the new counts are added to the cache in a folder of the
+run's own, so runs at the same time do not touch each other's files and a reader never sees half of them. The only
 normalisation that leaves all counts as they are is that of null to empty (the tokenizers at hand tell apart any two
 texts). A count that is missing at the end fails the query.
 
@@ -129,24 +130,41 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     text = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(text, 256))
     ids = save(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest")), "text-digests")
-    groups = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    alike = ids.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    groups = alike.groupBy("digest").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.sum("n").alias("copies")).select("digest", F.col("least.doc_id").alias("first"), (F.col("least.n") > 1).alias("tied"), "copies")
     known = stored().select("digest", F.lit(True).alias("known"))
     groups = save(groups.join(known, "digest", "left"), "digest-groups")
     # Rows not to encode: all of a known digest, and all but the first document of a repeated one.
-    skip = groups.where(F.col("known") | (F.col("copies") > 1)).select("digest", F.when(F.col("known").isNull(), F.col("first")).alias("first"), F.coalesce("known", F.lit(False)).alias("known"))
+    skip = groups.where(F.col("known") | (F.col("copies") > 1)).select("digest", F.when(F.col("known").isNull(), F.col("first")).alias("first"), "tied", F.coalesce("known", F.lit(False)).alias("known"))
     rows = docs.select(F.col("doc_id").alias("__id"), text.alias("__text"), digest.alias("__digest"))
     rows = rows.join(sized(skip, SKIP_ROWS), F.col("__digest") == F.col("digest"), "left")
-    rows = rows.where(F.col("digest").isNull() | (~F.col("known") & F.col("__id").eqNullSafe(F.col("first")))).select("__digest", "__text")
+    rows = rows.where(F.col("digest").isNull() | (~F.col("known") & F.col("__id").eqNullSafe(F.col("first")))).select("__digest", "__text", F.coalesce("tied", F.lit(False)).alias("tied"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
         for batch in batches:
             count = count or counter(path)
             for start, part in slices(batch.column(1), BATCH_BYTES):
-                digests, texts = batch.column(0).slice(start, len(part)).to_pylist(), part.to_pylist()
-                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(count(texts), pa.int64())], names=["digest", "n_tokens"])
+                digests, texts, tied = batch.column(0).slice(start, len(part)).to_pylist(), part.to_pylist(), batch.column(2).slice(start, len(part)).to_pylist()
+                counts = iter(count([t for t, later in zip(texts, tied, strict=True) if not later]))
+                known = [None if later else next(counts) for later in tied]
+                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(known, pa.int64()), pa.array([t if later else None for t, later in zip(texts, tied, strict=True)], pa.string())], names=["digest", "n_tokens", "text"])
 
-    fresh = rows.mapInArrow(encode, fields)
+    def encode_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = None
+        for batch in batches:
+            for start, part in slices(batch.column(2), BATCH_BYTES):
+                digests, counts, texts = (batch.column(0).slice(start, len(part)).to_pylist(), batch.column(1).slice(start, len(part)).to_pylist(), part.to_pylist())
+                missing = [i for i, n in enumerate(counts) if n is None]
+                if missing:
+                    count = count or counter(path)
+                    for i, n in zip(missing, count([texts[i] for i in missing]), strict=True):
+                        counts[i] = n
+                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+
+    # Texts travel only where several rows of the least id hold the digest; Spark merges these before the shuffle.
+    fresh = rows.mapInArrow(encode, f"{fields}, text string").groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"), F.first("text").alias("text"))
+    fresh = fresh.mapInArrow(encode_rest, fields)
     fresh.write.parquet(f"{store}/run={uuid.uuid4().hex}", compression="zstd")
     facts = stored().join(groups.select("digest", "copies"), "digest").select("digest", "n_tokens", "copies")
     out = lookup(ids, facts, "digest", "copies")
@@ -156,6 +174,9 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """Two runs over one cache: texts of even checksum first, then all documents, which find the stored counts of these."""
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(tokenizer), scratch_path(spark, "token-cache"))
+    docs, path, cache = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(tokenizer), scratch_path(spark, "token-cache")
+    token_counts(docs.where(F.crc32(F.coalesce("text", F.lit(""))) % 2 == 0), path, cache)
+    return token_counts(docs, path, cache)

@@ -56,6 +56,28 @@ def test_cache_is_filled_once_and_used(spark, tokenizer, tmp_path, monkeypatch,
     assert run(docs.limit(0)) == []
 
 
+def test_equal_texts_of_equal_ids_are_stored_once(spark, tokenizer, tmp_path, monkeypatch):
+    """Fifty rows without an id and twenty of one id hold two texts: two counts are stored, each encoded once."""
+    rows = [(None, "same words here")] * 50 + [(7, "others")] * 20 + [(8, "others"), (9, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    cache = f"file://{tmp_path}/cache"
+    got = sorted((str(x.doc_id), x.n_tokens) for x in token_counts.token_counts(docs, tokenizer, cache).collect())
+    assert len(got) == 72 and len(set(got)) == 4
+    assert spark.read.parquet(cache).count() == 3
+
+
+def test_query_counts_as_the_library(spark, tokenizer):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {x.doc_id: (x.n_bytes, x.n_tokens, x.over_limit) for x in token_counts.op5_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+    assert got == {i: (len(texts[i].encode()), n, n > 512) for i, n in want.items()}
+
+
 def test_raking_meets_the_targets(spark):
     r = random.Random(2)
     docs = documents(spark, [prose(r, r.randint(1, 300)) for _ in range(200)])
