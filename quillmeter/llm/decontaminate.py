@@ -8,11 +8,13 @@ bit-parallel distance over the window around it. A document is contaminated if i
 Items are a stated query set: they are broadcast in blocks of at most ``block`` items of bounded length, and every block
 runs over all documents.
 
-Items shorter than ``least`` characters are too short to allow for edits: their words must stand in a text as they are.
+Items so short that ``k`` is 0 must stand in a text as whole words.
 
-Defined cases: null or wordless texts contain nothing, very long ones are searched whole; null items and items without a
-letter or digit match nothing; repeated items and rows are judged each for itself; of places with equal distance the
-first counts; an empty table gives an empty result; further columns stay as they are.
+Defined cases: null or wordless texts contain nothing, very long ones are searched whole; items without text and items
+without a letter or digit match nothing; every row of the benchmark is an item of its own, whether its id is null or
+repeated (a null id is listed as ``null``); ``drop_contaminated`` judges each row by its own text, ``contaminated`` has one row
+for all rows of a ``doc_id`` (and one for those without); of places with equal distance the first counts; an empty table
+gives an empty result; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 ERROR_PERCENT = 6
-LEAST = 40
 BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -71,7 +72,7 @@ def myers_end(pattern_masks: dict[str, int], m: int, text: str) -> int:
 class Matcher:
     """Items of one block, ready to search documents."""
 
-    def __init__(self, items: list[tuple[int, str]], error_percent: int, least: int):
+    def __init__(self, items: list[tuple[tuple, str]], error_percent: int):
         import ahocorasick
 
         self.items, self.masks = {}, {}
@@ -80,8 +81,8 @@ class Matcher:
             text = canonical(text)
             if not text:
                 continue
-            budget = len(text) * error_percent // 100 if len(text) >= least else 0
-            if len(text) < least:
+            budget = len(text) * error_percent // 100
+            if not budget:
                 text = f" {text} "  # whole words
             self.items[number] = (item, text, budget)
             for at, piece in pieces(text, budget):
@@ -92,7 +93,7 @@ class Matcher:
         if places:
             self.search.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int, int, int]]:
+    def find(self, text: str | None) -> list[tuple[tuple, int, int]]:
         """``(item, distance, place)`` of every item within its budget; the place is of the first window that is near enough."""
         if not self.items:
             return []
@@ -127,35 +128,35 @@ class Matcher:
         return found
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most ``most`` characters, one block in memory at a time."""
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[tuple, str]]]:
+    """``((number, item_id), text)`` in blocks of at most ``most`` characters, one block in memory at a time."""
     block, size = [], 0
-    for row in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
+    for number, row in enumerate( benchmark.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator()):
         if block and size + len(row.text) > most:
             yield block
             block, size = [], 0
-        block.append((row.item_id, row.text))
+        block.append(((number, row.item_id), row.text))
         size += len(row.text)
     if block:
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, error_percent: int = ERROR_PERCENT, least: int = LEAST, block_chars: int = BLOCK_CHARS, key: str = "doc_id") -> DataFrame:
-    """``doc_id, item_id, distance, place``: every document and item it contains."""
+def matches(docs: DataFrame, benchmark: DataFrame, error_percent: int = ERROR_PERCENT, block_chars: int = BLOCK_CHARS, key: str = "doc_id") -> DataFrame:
+    """``doc_id, item, item_id, distance, place``: every document and item it contains; ``item`` numbers the benchmark's rows."""
     spark, out = docs.sparkSession, None
-    schema = "doc_id long, item_id long, distance long, place long"
+    schema = "doc_id long, item long, item_id long, distance long, place long"
     for block in _blocks(benchmark, block_chars):
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_percent, least)
+            matcher = Matcher(shared.value, error_percent)
             for batch in batches:
                 rows: list[tuple] = []
                 for start, part in slices(batch.column(1)):
                     ids = batch.column(0).slice(start, len(part)).to_pylist()
                     for doc, text in zip(ids, part.to_pylist(), strict=True):
-                        rows += [(doc, *hit) for hit in matcher.find(text)]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["doc_id", "item_id", "distance", "place"])
+                        rows += [(doc, *item, *hit) for item, *hit in matcher.find(text)]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "item", "item_id", "distance", "place"])
 
         found = docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(search, schema)
         out = found if out is None else out.union(found)
@@ -165,21 +166,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_percent: int = ERROR_PE
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for every contaminated document: how many items it contains, which, and the least distance."""
     found = matches(docs, benchmark, **options)
-    items = F.concat_ws(",", F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")))
-    return found.groupBy("doc_id").agg(F.lit(True).alias("contaminated"), F.count_distinct("item_id").alias("n_items"), items.alias("items"), F.min("distance").alias("least_distance"))
+    ids = F.sort_array(F.collect_set(F.struct("item_id", "item")))
+    items = F.concat_ws(",", F.array_distinct(F.transform(ids, lambda x: F.coalesce(x["item_id"].cast("string"), F.lit("null")))))
+    return found.groupBy("doc_id").agg(F.lit(True).alias("contaminated"), F.count_distinct("item").alias("n_items"), items.alias("items"), F.min("distance").alias("least_distance"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_percent: int = ERROR_PERCENT, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_percent: int = ERROR_PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the contaminated rows; each row is judged by its own text, whatever its ``doc_id``."""
     for block in _blocks(benchmark, block_chars):
-        docs = docs.where(_free_of(docs.sparkSession.sparkContext.broadcast(block), error_percent, least)("text"))
+        docs = docs.where(_free_of(docs.sparkSession.sparkContext.broadcast(block), error_percent)("text"))
     return docs
 
 
-def _free_of(shared, error_percent: int, least: int):
+def _free_of(shared, error_percent: int):
     @F.pandas_udf("boolean")
     def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value, error_percent, least)
+        matcher = Matcher(shared.value, error_percent)
         for texts in batches:
             yield pd.Series([not matcher.find(t) for t in texts], dtype=bool)
 

@@ -174,7 +174,7 @@ def test_decontamination_equals_brute_force(spark):
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
             p, c = decontaminate.canonical(item), decontaminate.canonical(t)
-            if len(p) >= decontaminate.LEAST and c and (n := edit_distance_within(p, c)) <= len(p) * decontaminate.ERROR_PERCENT // 100:
+            if len(p) * decontaminate.ERROR_PERCENT >= 100 and c and (n := edit_distance_within(p, c)) <= len(p) * decontaminate.ERROR_PERCENT // 100:
                 want.add((d, i, n))
     assert {x[:2] for x in got} == {x[:2] for x in want} and len(want) > 10
     assert got == want
@@ -230,3 +230,14 @@ def test_trusted_documents_are_judged_without_their_own_counts(spark):
         # The same corpus with one trusted document less.
         rest = labels.where(F.col("doc_id") != i)
         assert math.isclose(got[i], {x.doc_id: x.llr for x in quality_rules.quality_rules(docs, rest, 1 << 8).collect()}[i], abs_tol=1e-9)
+
+
+def test_items_without_an_id_count(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(0, item), (None, item), (None, f"x {item}"), (3, item.replace("w39", "w38")), (3, "clean")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, item), (None, item), (5, item), (5, None), (2, "w3 w4 w5")], "item_id long, text string")
+    got = {x.doc_id: (x.contaminated, x.n_items, x["items"], x.least_distance) for x in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {0: (True, 4, "null,2,5", 0), None: (True, 4, "null,2,5", 0), 3: (True, 4, "null,2,5", 0)}
+    assert [x.text for x in decontaminate.drop_contaminated(docs, benchmark).collect()] == ["clean"]
+    near = decontaminate.matches(spark.createDataFrame([(1, "see quick brown foxy jump here")], "doc_id long, text string"), spark.createDataFrame([(1, "quick brown fox jump")], "item_id long, text string"))
+    assert [(x.item_id, x.distance) for x in near.collect()] == [(1, 1)]  # 20 characters allow for one edit
