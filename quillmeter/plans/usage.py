@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from ..operators.canonical import canonical
 from ..options import UsageQuery
 from ..pricing.catalog import Catalog, built_in, to_iso
 from ..pricing.spans import priced
-from ..sources.logs import failures_of, list_logs, read_lines
-from ..sources.parse import records, usage_events
+from ..sources.logs import failures_of, list_logs, scratch_folder
+from ..sources.parse import records, settled, usage_events
+from ..sources.ranges import LINES, RANGE_BYTES, load_logs
 
 
 @dataclass
@@ -25,22 +27,27 @@ class Scan:
     files: DataFrame
     failures: list[dict]
     paths: list[str]
-    #: What was read, persisted; to be given back after use.
-    lines: DataFrame
+    #: Where what was read is kept; ``done`` deletes it.
+    folder: str
 
+    def done(self) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
 
-def scan(spark: SparkSession, roots: list[str]) -> Scan:
-    """Read all logs below the roots; a file that cannot be read fails as a whole and the others still count."""
-    paths = list_logs(roots)
-    # Marked lines only; kept because both the failures and the events come from them.
-    lines = read_lines(spark, [(p, 0, None, None) for p in paths]).persist()
+
+def scan(spark: SparkSession, roots: list[str], range_bytes: int = RANGE_BYTES) -> Scan:
+    """Read all logs below the roots; a file that cannot be read fails as a whole and the others still count.
+
+    Files are read once, a task a range: marked lines and their parsed rows are written tables, from which all else comes.
+    """
+    paths, folder = list_logs(roots), scratch_folder(spark, "scan")
+    lines = settled(load_logs(spark, roots, range_bytes) if paths else spark.createDataFrame([], LINES), f"{folder}/lines")
     failures = [{"path": r.file_path, "code": r.code, "message": r.message, "usingPreviousIndex": False} for r in failures_of(lines).orderBy("file_path").collect()]
     good = lines.where("status IS NULL")
     if failures:
         bad = spark.createDataFrame([(f["path"],) for f in failures], "file_path string")
         good = good.join(bad, "file_path", "left_anti")
-    events, files = usage_events(records(good))
-    return Scan(events, files, failures, paths, lines)
+    events, files = usage_events(settled(records(good), f"{folder}/records"))
+    return Scan(events, files, failures, paths, folder)
 
 
 def costed(events: DataFrame, query: UsageQuery, catalog: Catalog) -> DataFrame:
@@ -103,4 +110,4 @@ def run(spark: SparkSession, query: UsageQuery, catalog: Catalog | None = None)
         return payload(events, query, catalog, read.files, read.failures, read.paths)
     finally:
         events.unpersist()
-        read.lines.unpersist()
+        read.done()

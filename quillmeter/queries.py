@@ -20,8 +20,9 @@ from .pricing.pages import page_prices
 from .pricing.catalog import Catalog, Route, Version, to_ms
 from .pricing.spans import price_spans, priced
 from .schemas import COSTS, COUNTERS
-from .sources.logs import scratch_folder, write_logs
-from .sources.parse import records, usage_events
+from .sources.logs import list_logs, scratch_folder, write_logs
+from .sources.parse import records, settled, usage_events
+from .sources.ranges import file_state
 from .streaming.incremental import UsageIndex
 
 
@@ -316,18 +317,24 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_path", "n", F.posexplode(lines).alias("i", "line")).select("file_path", (F.col("n") * 10 + F.col("i")).cast("long").alias("line_no"), "line", F.lit(False).alias("unterminated"))
 
 
+def _parsed(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and file counts of lines; their parsed rows are written once, in ranges of a few lines each."""
+    ranges = lines.withColumn("segment", F.expr("line_no div 10 * 10"))
+    return usage_events(settled(records(ranges), scratch_folder(spark, "records")))
+
+
 _L = f"""WITH {_U}, o AS (SELECT *, row_number() OVER w AS n, {', '.join(f'sum({c}) OVER w AS s{i}' for i, c in enumerate(COUNTERS))} FROM u WINDOW w AS (PARTITION BY session_id ORDER BY event_index ROWS UNBOUNDED PRECEDING)),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id, {', '.join(f's{i}' for i in range(6))} ORDER BY n) AS again FROM o),
 f AS (SELECT *, last_value(CASE WHEN model = 'purchase' THEN 'm' || (event_index % 7) END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS back,
   first_value(CASE WHEN model = 'purchase' THEN 'm' || (event_index % 7) END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM r)"""
 _add(
     "parsed_events",
-    lambda s, d: usage_events(records(_logs(s, d)))[0].select("file_path", "event_index", "timestamp_ms", "model", *COUNTERS),
+    lambda s, d: _parsed(s, _logs(s, d))[0].select("file_path", "event_index", "timestamp_ms", "model", *COUNTERS),
     f"{_L} SELECT file_path, row_number() OVER (PARTITION BY session_id ORDER BY n) - 1 AS event_index, timestamp_ms, coalesce(back, ahead, '(unknown model)') AS model, {', '.join(COUNTERS)} FROM f WHERE again = 1",
 )
 _add(
     "parsed_file_stats",
-    lambda s, d: A.file_stats(usage_events(records(_logs(s, d)))[1]),
+    lambda s, d: A.file_stats(_parsed(s, _logs(s, d))[1]),
     f"{_L} SELECT count(DISTINCT session_id) AS files, count(DISTINCT session_id) AS files_with_usage, CAST(count(*) + count(*) FILTER (WHERE n % 5 = 0) - count(*) FILTER (WHERE again = 1) AS BIGINT) AS duplicate_token_events, count(*) FILTER (WHERE n % 11 = 0) AS parse_errors, count(*) + count(*) FILTER (WHERE n % 5 = 0) AS raw_token_events, count(*) FILTER (WHERE again = 1) AS events_count FROM f",
 )
 
@@ -367,7 +374,7 @@ _KEY = "concat_ws(',', " + ", ".join(f"s{i}" for i in range(6)) + ")"
 _PRINT = f"sha256(concat_ws(chr(31), CASE WHEN turn <> '' THEN 'turn:' || turn WHEN own IS NOT NULL THEN 'time:' || own ELSE 'none' END, {_KEY}, concat_ws(',', {', '.join(f'd{i}' for i in range(6))}), CASE WHEN turn = '' AND own IS NULL THEN concat_ws(chr(31), session, place, named) ELSE '' END))"
 _add(
     "session_contexts",
-    lambda s, d: usage_events(records(_session_logs(s, d)))[0],
+    lambda s, d: _parsed(s, _session_logs(s, d))[0],
     f"{_SESSIONS} SELECT file_path, row_number() OVER (PARTITION BY user ORDER BY n) - 1 AS event_index, coalesce(own, created) AS timestamp_ms, own IS NOT NULL AS has_event_timestamp, created AS session_created_at_ms, session AS session_id, {_PRINT} || ':' || {_KEY} AS total_usage_key, place AS cwd, named AS model, {', '.join(f'CAST(d{i} AS BIGINT) AS {c}' for i, c in enumerate(COUNTERS))} FROM e",
 )
 
@@ -386,9 +393,11 @@ def _shown(events: DataFrame) -> DataFrame:
 
 
 def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are cut into ranges of a quarter of their mean size at most, so most have several."""
     folder = scratch_folder(spark, "logs")
     write_logs(_named(_logs(spark, sf_dir)), folder)
-    return _shown(scan(spark, [f"{folder}/b", folder, f"{folder}/none"]).events)
+    sizes = [file_state(p)["size"] for p in list_logs([folder])]
+    return _shown(scan(spark, [f"{folder}/b", folder, f"{folder}/none"], max(1, sum(sizes) // (len(sizes) or 1) // 4)).events)
 
 
 def _from_index(spark: SparkSession, sf_dir: str) -> DataFrame:

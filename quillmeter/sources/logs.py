@@ -1,11 +1,10 @@
-"""Log files: listing, scopes, and their lines as rows."""
+"""Log files: listing, scopes, failures, and writing them exactly once."""
 
 from __future__ import annotations
 
-import hashlib
-import json
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import SCOPES, split_paths
-from .parse import MARKERS
 
 SUFFIXES = (".jsonl", ".jsonl.zst")
 
@@ -24,6 +22,9 @@ def list_logs(roots: Iterable[str]) -> list[str]:
     """All log files below the roots, each once, in binary order; roots that do not exist are skipped."""
     found = set()
     for root in roots:
+        if "://" in root:
+            found |= _list_store(root)
+            continue
         if not os.path.isdir(root):
             if os.path.exists(root):
                 raise NotADirectoryError(root)
@@ -38,6 +39,21 @@ def list_logs(roots: Iterable[str]) -> list[str]:
     return sorted(found, key=os.fsencode)
 
 
+def _list_store(root: str) -> set[str]:
+    """Log files below a URI of any store that pyarrow knows."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(root)
+    kind = store.get_file_info(inner).type
+    if kind == fs.FileType.NotFound:
+        return set()
+    if kind != fs.FileType.Directory:
+        raise NotADirectoryError(root)
+    scheme = root[: root.index("://") + 3]
+    head = root.rstrip("/")[: len(root.rstrip("/")) - len(inner.rstrip("/"))] or scheme
+    return {head + x.path for x in store.get_file_info(fs.FileSelector(inner, recursive=True)) if x.type == fs.FileType.File and x.path.endswith(SUFFIXES)}
+
+
 def source_scopes(home: str, env: dict[str, str], platform: str = "linux", listing: Callable[[str], list[str]] | None = None) -> dict[str, list[str]]:
     """Roots by scope: the configured list, or ``sessions`` and ``archived_sessions`` below the home and, where it is
     mounted, below every Windows user; on Windows also below the homes of WSL distributions."""
@@ -57,204 +73,96 @@ def source_scopes(home: str, env: dict[str, str], platform: str = "linux", listi
     return dict(zip(SCOPES, (list(dict.fromkeys([*local, *wsl, *windows])), local, wsl, windows), strict=True))
 
 
-class LogError(Exception):
-    """Why a log cannot be used."""
-
-    def __init__(self, code: str, message: str):
-        super().__init__(message)
-        self.code = code
-
-
-RANGES = "file_path string, start long, stop long, before string"
-LINES = "file_path string, line_no long, line string, unterminated boolean, status string"
-#: Bytes that are read at once, and lines and bytes that make up a batch.
-CHUNK, BATCH_LINES, BATCH_BYTES = 1 << 20, 5000, 4 << 20
-BOUNDARY = 64 << 10
-_HIT = re.compile(('"(' + "|".join(MARKERS) + ')"').encode())
-
-
-def decoded(f) -> Iterator[bytes]:
-    """The content of a zstd file, frame after frame, in pieces; raises for anything but whole frames."""
-    import zstandard
-
-    data = f.read(CHUNK)
-    if not data:
-        raise LogError("LOG_DECODE_FAILED", "empty zstd file")
-    while data:
-        if len(data) < 8:
-            data += f.read(CHUNK)
-        if re.match(rb"[\x50-\x5f]\x2a\x4d\x18", data):  # a skippable frame
-            size = int.from_bytes(data[4:8], "little") + 8
-            while len(data) < size and (more := f.read(CHUNK)):
-                data += more
-            if len(data) < size:
-                raise LogError("LOG_DECODE_FAILED", "truncated zstd frame")
-            data = data[size:] or f.read(CHUNK)
-            continue
-        frame = zstandard.ZstdDecompressor().decompressobj()
-        while True:
-            try:
-                yield frame.decompress(data)
-            except zstandard.ZstdError as e:
-                raise LogError("LOG_DECODE_FAILED", f"damaged zstd file: {e}") from e
-            if frame.eof:
-                break
-            data = f.read(CHUNK)
-            if not data:
-                raise LogError("LOG_DECODE_FAILED", "truncated zstd frame")
-        data = frame.unused_data or f.read(CHUNK)
-
-
-def check_compressed(path: str) -> str | None:
-    """Why a compressed log cannot be used, or None."""
-    try:
-        with open(path, "rb") as f:
-            for _ in decoded(f):
-                pass
-    except LogError as e:
-        return str(e)
-    return None
-
-
-def open_log(path: str):
-    """A seekable binary stream of a local path, or of a URI that pyarrow knows."""
-    if "://" not in path:
-        return open(path, "rb")
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.open_input_file(inner)
-
-
-def file_state(path: str) -> dict:
-    s = os.stat(path)
-    return {"size": s.st_size, "mtime_ms": s.st_mtime_ns / 1e6, "dev": s.st_dev, "ino": s.st_ino}
-
-
-def _was_changed(before: dict, after: dict, compressed: bool) -> bool:
-    """A plain log may grow while it is read; nothing else may happen to it."""
-    moved = any(before[k] != after[k] for k in ("dev", "ino")) or after["size"] < before["size"]
-    return moved or ((compressed or after["size"] == before["size"]) and after["mtime_ms"] != before["mtime_ms"])
-
-
-def boundary(f, at: int) -> str:
-    """Hash of the bytes before ``at``, by which a grown file is known to go on where it ended."""
-    f.seek(max(0, at - BOUNDARY))
-    return hashlib.sha256(f.read(min(at, BOUNDARY))).hexdigest()
-
-
-def _split(chunks: Iterator[bytes], at: int) -> Iterator[tuple[int, bytes, bool]]:
-    """Place, content and completeness of lines; a line may span any number of chunks."""
-    held: list[bytes] = []
-    for chunk in chunks:
-        *whole, rest = chunk.split(b"\n")
-        for line in whole:
-            line = b"".join([*held, line])
-            held = []
-            yield at, line, False
-            at += len(line) + 1
-        held.append(rest)
-    if tail := b"".join(held):
-        yield at, tail, True
-
-
-def lines_of(path: str, start: int = 0, stop: int | None = None, before: str | None = None) -> Iterator[tuple[int, str | None, bool, str | None]]:
-    """``(place, line, unterminated, None)`` of the marked lines of a file or of its bytes from ``start`` to ``stop``, and at
-    the end ``(place, None, False, status)``. ``before`` is the expected hash of what precedes ``start``; if it differs, the
-    whole file is read. The status tells where the last whole line ended, or what went wrong (then no line counts).
-    """
-    try:
-        packed, local = path.endswith(".zst"), "://" not in path
-        state = file_state(path) if local else None
-        with open_log(path) as f:
-            if start and (packed or boundary(f, start) != before):
-                start = 0
-            f.seek(start)
-
-            def plain() -> Iterator[bytes]:
-                at = start
-                while data := f.read(CHUNK if stop is None else min(CHUNK, stop - at)):
-                    at += len(data)
-                    yield data
-
-            end = start
-            for at, line, tail in _split(decoded(f) if packed else plain(), start):
-                if not tail:
-                    end = at + len(line) + 1
-                if _HIT.search(line):
-                    yield at, line.removesuffix(b"\r").decode("utf-8", "replace"), tail and not packed, None
-            print_ = None if packed else boundary(f, end)
-        if local and _was_changed(state, file_state(path), packed):
-            raise LogError("LOG_CHANGED", "the file changed while it was read")
-        yield end, None, False, json.dumps({"from": start, "offset": end, "boundary": print_})
-    except (OSError, LogError) as e:
-        yield 0, None, False, json.dumps({"code": getattr(e, "code", "LOG_READ_FAILED"), "message": str(e)})
-
-
-def read_lines(spark: SparkSession, ranges: list[tuple[str, int, int | None, str | None]]) -> DataFrame:
-    """``file_path, line_no, line, unterminated, status`` of files or byte ranges of them (path, start, stop, hash before).
-
-    Tasks stream the files, compressed ones frame by frame, so a file may have any size; ``line_no`` is the place of a line
-    in its (decoded) file. Every file has one row with a status and no line. A file that cannot be read fails alone.
-    """
-    if not ranges:
-        return spark.createDataFrame([], LINES)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file_path", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("unterminated", pa.bool_()), ("status", pa.string())])
-        for batch in batches:
-            for path, *span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows, size = [], 0
-                for row in lines_of(path, *span):
-                    rows.append((path, *row))
-                    size += len(row[1] or "")
-                    if len(rows) >= BATCH_LINES or size >= BATCH_BYTES:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    files = spark.createDataFrame(ranges, RANGES).repartition(min(len(ranges), 10_000), "file_path")
-    return files.mapInArrow(read, LINES)
-
-
 def failures_of(lines: DataFrame) -> DataFrame:
-    """``file_path, code, message`` of the files that could not be read."""
+    """``file_path, code, message`` of the files that could not be read (in any of their ranges)."""
     status = F.from_json("status", "code string, message string")
-    return lines.where(F.col("status").isNotNull()).select("file_path", status.alias("s")).where("s.code IS NOT NULL").select("file_path", "s.*")
+    failed = lines.where(F.col("status").isNotNull()).select("file_path", status.alias("s")).where("s.code IS NOT NULL")
+    return failed.groupBy("file_path").agg(F.min(F.struct("s.code", "s.message")).alias("s")).select("file_path", "s.*")
 
 
 def scratch_folder(spark: SparkSession, tag: str) -> str:
-    """A new local path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A new local path in the folder that driver and executors share (``spark.checkpoint.dir``); other stores are refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillmeter-")
-    return f"{root.rstrip('/').removeprefix('file://')}/{tag}-{uuid.uuid4().hex}"
+    root = re.sub(r"^file:(//)?(?=/)", "", root.rstrip("/"))
+    if re.match(r"\w+:", root):
+        raise ValueError(f"{root}: files with appends need a mounted folder")
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+_STAGED = "name string, piece string, base long"
 
 
-def write_logs(lines: DataFrame, folder: str) -> int:
-    """Append ``name, line_no, line`` to log files below a local folder, in order; compressed names get their lines as one
-    new frame that replaces the file. Returns the number of files.
+def write_logs(lines: DataFrame, folder: str, batch: str | None = None) -> int:
+    """Append ``name, line_no, line`` to log files below a mounted folder, in order and exactly once; compressed names get their
+    lines as one new frame that replaces the file. Returns the number of files.
+
+    Tasks write pieces under names of their own; which pieces count is a table that the job commits. A second job then puts
+    each piece at the place where its file ended when it was staged, so a task that runs twice, at the same time or after
+    half its work, leaves the same bytes. A ``batch`` that was committed before is not written again.
     """
+    spark = lines.sparkSession
+    staged = f"{folder}/.staged-{batch or uuid.uuid4().hex}"
+    done = f"{staged}/done"
+    if os.path.exists(done):
+        return 0
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        name, out, n = None, None, 0
-        for batch in batches:
-            for own, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        name, out, rows = None, None, []
+        os.makedirs(staged, exist_ok=True)
+        for rows_ in batches:
+            for own, line in zip(rows_.column(0).to_pylist(), rows_.column(1).to_pylist(), strict=True):
                 if own != name:
                     if out:
                         out.close()
-                    name, n = own, n + 1
-                    os.makedirs(os.path.dirname(f"{folder}/{own}"), exist_ok=True)
-                    out = zstandard.open(f"{folder}/{own}", "wb") if own.endswith(".zst") else open(f"{folder}/{own}", "ab")
+                    name, piece = own, f"{staged}/{uuid.uuid4().hex}.piece"
+                    final = f"{folder}/{own}"
+                    packed = own.endswith(".zst")
+                    rows.append((own, piece, 0 if packed or not os.path.exists(final) else os.path.getsize(final)))
+                    out = zstandard.open(piece, "wb") if packed else open(piece, "wb")
                 out.write(line.encode() + b"\n")
         if out:
             out.close()
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["name", "piece", "base"])
+
+    def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for rows_ in batches:
+            for name, piece, base in zip(*(c.to_pylist() for c in rows_.columns), strict=True):
+                place(piece, f"{folder}/{name}", base)
+                n += 1
         yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
 
-    dealt = lines.select("name", "line_no", "line").repartition("name").sortWithinPartitions("name", "line_no").select("name", "line")
-    return dealt.mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+    table = f"{staged}/pieces"
+    if not os.path.exists(f"{table}/_SUCCESS"):
+        dealt = lines.select("name", "line_no", "line").repartition("name").sortWithinPartitions("name", "line_no").select("name", "line")
+        dealt.mapInArrow(put, _STAGED).write.mode("overwrite").parquet(table)
+    n = spark.read.schema(_STAGED).parquet(table).mapInArrow(commit, "n long").agg(F.sum("n")).first()[0] or 0
+    if batch:
+        with open(done, "w", encoding="utf-8"):
+            pass
+        for piece in [x for x in os.listdir(staged) if x.endswith(".piece")]:
+            os.unlink(f"{staged}/{piece}")
+    else:
+        shutil.rmtree(staged, ignore_errors=True)
+    return n
+
+
+def place(piece: str, final: str, base: int) -> None:
+    """Put the bytes of ``piece`` at ``base`` of ``final``; doing so again changes nothing. A piece for a compressed log replaces it."""
+    os.makedirs(os.path.dirname(final), exist_ok=True)
+    if final.endswith(".zst"):
+        beside = f"{final}.{uuid.uuid4().hex}.tmp"
+        shutil.copyfile(piece, beside)
+        os.replace(beside, final)
+        return
+    with open(final, "r+b" if os.path.exists(final) else "w+b") as out, open(piece, "rb") as new:
+        out.seek(base)
+        shutil.copyfileobj(new, out, 1 << 20)
+        out.truncate()

@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from ..operators.canonical import canonical, changed_keys
 from ..schemas import FILES, USAGE_EVENTS
-from ..sources.logs import LINES, file_state, list_logs, read_lines
+from ..sources.logs import list_logs
 from ..sources.parse import records, usage_events
+from ..sources.ranges import LINES, combined, file_state, read_lines
 
-SCHEMA, PARSER = 2, 1
+SCHEMA, PARSER = 3, 2
 KEEP, BUCKETS = 2, 64
 #: Tables and the column that deals their rows into buckets.
 TABLES = {"records": "file_path", "events": "file_path", "files": "file_path", "canonical": "total_usage_key"}
@@ -172,7 +173,9 @@ class UsageIndex:
         progress({"phase": "scan", "pendingFiles": len(spans), "newFiles": sum(s[0] not in known for s in spans), "grownFiles": sum(s[1] > 0 for s in spans), "unchangedFiles": len(seen) - len(spans)})
         out = f"{self.folder}/v-{base['revision'] + 1}-{uuid.uuid4().hex[:8]}"
         try:
-            ends = self._stage(out, spans) if spans else {}
+            ends = self._stage(out, "lines", spans) if spans else {}
+            if again := [(p, 0, seen[p]["size"], None) for p, s in ends.items() if s.get("code") == "LOG_REPLACED"]:
+                ends |= self._stage(out, "again", again)
             for path, status in ends.items():
                 if "code" in status:
                     failed[path] = {"code": status["code"], "message": status["message"], "state": seen[path]}
@@ -198,17 +201,17 @@ class UsageIndex:
             shutil.rmtree(out, ignore_errors=True)
             raise
 
-    def _stage(self, out: str, spans: list[tuple]) -> dict[str, dict]:
-        """Read the spans into a table of lines; what each file's status says."""
-        self._scan(self.spark, spans).write.parquet(f"{out}/lines")
-        rows = self.spark.read.schema(LINES).parquet(f"{out}/lines").where("status IS NOT NULL").select("file_path", "status").collect()
-        return {r.file_path: json.loads(r.status) for r in rows}
+    def _stage(self, out: str, name: str, spans: list[tuple]) -> dict[str, dict]:
+        """Read the spans into a table of lines; what the statuses of each file's ranges come to."""
+        self._scan(self.spark, spans).write.parquet(f"{out}/{name}")
+        rows = self.spark.read.schema(LINES).parquet(f"{out}/{name}").where("status IS NOT NULL").groupBy("file_path").agg(F.collect_list("status").alias("all")).collect()
+        return {r.file_path: combined(r.file_path, [json.loads(x) for x in r.all]) for r in rows}
 
     def _write(self, out: str, base: dict, ends: dict[str, dict], gone: set[str]) -> dict:
         spark = self.spark
         touched = spark.createDataFrame([(p, s["from"] > 0) for p, s in ends.items()] + [(p, False) for p in gone], "file_path string, grown boolean")
         buckets = {zlib.crc32(p.encode()) % BUCKETS for p in [*ends, *gone]}
-        lines = spark.read.schema(LINES).parquet(f"{out}/lines").where("status IS NULL") if ends else spark.createDataFrame([], LINES)
+        lines = spark.read.schema(LINES).parquet(*(f"{out}/{n}" for n in ("lines", "again") if os.path.isdir(f"{out}/{n}"))).where("status IS NULL") if ends else spark.createDataFrame([], LINES)
         fresh = records(lines.join(touched, "file_path", "left_semi"))
         # Lines that had no end are read again; the others of a grown file stand.
         stands = self._read(base, "records", buckets).where("NOT unterminated").join(touched.where("grown"), "file_path", "left_semi")
@@ -226,7 +229,7 @@ class UsageIndex:
         chosen = canonical(whole.join(keys, "total_usage_key", "left_semi"))
         self._put(out, base, "canonical", some, keys, chosen.select(*USAGE_EVENTS.names))
         tables["canonical"] = {b: v for b, v in base["tables"]["canonical"].items() if int(b) not in some} | self._found(out, "canonical")
-        for name in ("lines", "keys"):
+        for name in ("lines", "again", "keys"):
             shutil.rmtree(f"{out}/{name}", ignore_errors=True)
         return {"schema": SCHEMA, "revision": base["revision"] + 1, "tables": tables}
 

@@ -1,8 +1,15 @@
+import json
+import random
+
+import pytest
 import zstandard
 from logs import context, event, meta, tokens, usage, write
+from pyspark.sql import functions as F
 
 from quillmeter.plans.usage import scan
-from quillmeter.sources.logs import check_compressed, list_logs, source_scopes
+from quillmeter.sources.logs import list_logs, source_scopes
+from quillmeter.sources.parse import carried_in, events_of, first_of_repeats, merged_states, records, segment_states
+from quillmeter.sources.ranges import Range, check_compressed, cut, load_logs, range_lines, read_lines
 
 
 def rows(spark, folder):
@@ -92,3 +99,85 @@ def test_scopes():
     assert found["windows"] == ["/mnt/c/Users/ann/.tool/sessions", "/mnt/c/Users/ann/.tool/archived_sessions"]
     assert found["local"] == found["wsl"] == ["/home/u/.tool/sessions", "/home/u/.tool/archived_sessions"]
     assert len(found["all"]) == 4
+
+
+def big_logs(folder, seed=3):
+    """A plain file and a compressed one of many frames with the same bytes: long lines, unmarked ones, no final line feed."""
+    r = random.Random(seed)
+    lines = []
+    for i in range(120):
+        total = usage(*(i * k for k in (10, 1, 0, 3, 1, 13)))
+        lines += [tokens(total, at=f"2026-01-01T00:{i % 60:02d}:00Z")] + ([tokens(total)] if i % 7 == 0 else [])
+        lines += r.choice([[], [context(f"m{i % 3}", r.choice([None, f"t{i}"]), r.choice([None, f"/ü{i}"]))], [event("task_complete")], [meta(f"s{i}", f"/w{i}")], [{"type": "response_item", "payload": {"text": "é" * r.randint(0, 900)}}]])
+    text = "\n".join(json.dumps(x, ensure_ascii=False) for x in lines)
+    path = folder / "x.jsonl"
+    folder.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+    data, packed, at = path.read_bytes(), b"", 0
+    while at < len(data):
+        step = r.choice([1, 40, 700, 3000])
+        packed += zstandard.ZstdCompressor(write_checksum=r.random() < 0.5, write_content_size=r.random() < 0.5).compress(data[at : at + step])
+        packed += r.choice([b"", b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc", zstandard.ZstdCompressor().compress(b"")])
+        at += step
+    (folder / "x.jsonl.zst").write_bytes(packed)
+    return path, folder / "x.jsonl.zst"
+
+
+@pytest.mark.parametrize("size", [1, 97, 1000, 1 << 20])
+def test_ranges_give_every_line_once(tmp_path, size):
+    for path in map(str, big_logs(tmp_path)):
+        length = (tmp_path / path).stat().st_size
+        whole = [x[1] for x in range_lines(Range(path)) if x[1]]
+        parts = [[x for x in range_lines(r) if x[1]] for r in cut(path, 0, length, None, size)]
+        assert [x[1] for p in parts for x in p] == whole and len(whole) > 120
+        assert all(p == sorted(p, key=lambda x: x[0]) for p in parts)
+        if size == 97:
+            assert sum(bool(p) for p in parts) > 20
+
+
+def test_damage_in_any_range_fails_the_file(spark, tmp_path):
+    path = big_logs(tmp_path)[1]
+    data = path.read_bytes()
+    for bad in (data[:-3], data + b"garbage!", data[: len(data) // 2] + b"\x00" * 20 + data[len(data) // 2 :]):
+        path.write_bytes(bad)
+        read = read_lines(spark, [(str(path), 0, len(bad), None)], range_bytes=500)
+        assert read.where("status LIKE '%LOG_DECODE_FAILED%'").count() >= 1
+
+
+@pytest.mark.parametrize("size", [2000])
+def test_events_do_not_depend_on_the_ranges(spark, tmp_path, size):
+    big_logs(tmp_path / "logs")
+    one, many = (scan(spark, [str(tmp_path / "logs")], n) for n in (1 << 30, size))
+    for a, b in ((one.events, many.events), (one.files, many.files)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert many.events.count() == 240 and not many.failures
+    plan = many.events._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file_path" in plan and not [x for x in plan.split("\n") if "Window" in x and "line_no" in x and "segment" not in x and "t_input_tokens" not in x]
+
+
+def test_states_merge_in_any_grouping(spark, tmp_path):
+    big_logs(tmp_path)
+    rows = records(load_logs(spark, [str(tmp_path)], 2500).where("status IS NULL"))
+    kept = first_of_repeats(rows)
+    states = segment_states(rows, kept).cache()
+    whole = sorted(map(str, merged_states(states).collect()))
+    for cut_at in (800, 12_000):
+        parts = [merged_states(states.where(F.col("segment") < cut_at)), merged_states(states.where(F.col("segment") >= cut_at))]
+        assert sorted(map(str, merged_states(parts[0].unionByName(parts[1])).collect())) == whole
+        # What follows is the same whether the earlier segments are known one by one or as one.
+        late = states.where(F.col("segment") >= cut_at)
+        carried = [carried_in(earlier.unionByName(late)).where(F.col("segment") >= cut_at) for earlier in (states.where(F.col("segment") < cut_at), parts[0])]
+        pick = lambda c: sorted(map(tuple, events_of(kept.where(F.col("segment") >= cut_at), c).collect()))  # noqa: B023, E731
+        assert pick(carried[0]) == pick(carried[1])
+
+
+def test_the_data_source_prunes_lines_by_their_bytes(spark, tmp_path):
+    big_logs(tmp_path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = load_logs(spark, [str(tmp_path)], 2000)
+        assert read.rdd.getNumPartitions() > 5
+        metas = [r.line for r in read.where(F.col("line").contains('"session_meta"')).collect()]
+        assert sorted(metas) == sorted(r.line for r in read.collect() if r.line and '"session_meta"' in r.line) and metas
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")

@@ -15,7 +15,8 @@ from quillmeter.plans.usage import run
 from quillmeter.server import query_of, serve
 from quillmeter.service import QueryService
 from quillmeter.sinks import to_csv, to_text
-from quillmeter.sources.logs import LINES, lines_of, read_lines
+from quillmeter.sources.logs import place, write_logs
+from quillmeter.sources.ranges import LINES, Range, range_lines, read_lines
 from quillmeter.streaming.incremental import Aborted, Conflict, UsageIndex
 
 
@@ -117,7 +118,7 @@ def test_failures_keep_what_was_known(spark, tmp_path):
     path = write(logs / "z.jsonl", meta("t"), tokens(usage(7, 0, 0, 1, 0, 8), at="2026-07-30T00:00:00Z"))
     index.refresh([str(logs)])
     write(logs / "z.jsonl", meta("t"))
-    index._scan = lambda s, spans: s.createDataFrame([(p[0], 0, None, False, json.dumps({"code": "LOG_CHANGED", "message": "m"})) for p in spans], LINES)
+    index._scan = lambda s, spans: s.createDataFrame([(p[0], 0, 0, None, False, json.dumps({"code": "LOG_CHANGED", "message": "m"})) for p in spans], LINES)
     index.refresh([str(logs)])
     assert index.events().count() == 2 and {f["code"] for f in index.status()["failures"]} == {"LOG_CHANGED", "LOG_DECODE_FAILED"}
     index._scan = read_lines
@@ -140,15 +141,14 @@ def test_a_refresh_can_be_called_off(spark, tmp_path):
 
 def test_a_log_of_any_kind_of_change(tmp_path):
     path = write(tmp_path / "a.jsonl", meta("s"), tokens(usage(5, 0, 0, 1, 0, 6)))
-    rows = lines_of(path)
+    rows = range_lines(Range(path))
     next(rows)
     os.utime(path, (1, 1))
     assert json.loads(list(rows)[-1][3])["code"] == "LOG_CHANGED"
     size = os.path.getsize(path)
-    whole, *_ = lines_of(path), None
-    places = [r[0] for r in whole if r[1]]
-    half = [r[0] for r in lines_of(path, places[1], size, "another") if r[1]]
-    assert half == places  # the hash differs, so the whole file is read
+    places = [r[0] for r in range_lines(Range(path)) if r[1]]
+    (status,) = [r[3] for r in range_lines(Range(path, places[1], None, size, "another"))]
+    assert json.loads(status)["code"] == "LOG_REPLACED"  # the hash differs, so the caller reads the whole file
 
 
 def test_unknown_times_are_counted_and_left_out(spark, tmp_path):
@@ -219,3 +219,33 @@ def test_stream_refreshes_the_index(spark, tmp_path):
     index = UsageIndex(spark, str(tmp_path / "index"))
     stream_refresh(spark, index, [str(tmp_path / "logs")], str(tmp_path / "checkpoint")).awaitTermination(120)
     assert index.canonical().count() == 1
+
+
+def test_logs_are_written_exactly_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.jsonl", 2, "two"), ("a/x.jsonl", 1, "one"), ("b.jsonl.zst", 1, "packed")], "name string, line_no long, line string")
+    folder = str(tmp_path / "logs")
+    assert write_logs(rows, folder, "batch-1") == 2 and write_logs(rows, folder, "batch-1") == 0
+    assert (tmp_path / "logs" / "a" / "x.jsonl").read_text() == "one\ntwo\n"
+    marker = str(tmp_path / "failed")
+
+    def once(batches):  # the first task fails after half its lines
+        for batch in batches:
+            yield batch.slice(0, 1)
+            if not os.path.exists(marker):
+                open(marker, "w").close()
+                raise OSError("lost")
+            yield batch.slice(1)
+
+    more = spark.createDataFrame([("a/x.jsonl", i, f"line {i}") for i in range(3, 9)], rows.schema).coalesce(1)
+    with pytest.raises(Exception, match="lost"):  # no retries on one machine
+        write_logs(more.mapInArrow(once, more.schema), folder, "batch-2")
+    assert (tmp_path / "logs" / "a" / "x.jsonl").read_text() == "one\ntwo\n"
+    write_logs(more.mapInArrow(once, more.schema), folder, "batch-2")
+    assert (tmp_path / "logs" / "a" / "x.jsonl").read_text().split() == "one two line 3 line 4 line 5 line 6 line 7 line 8".split()
+    # A commit that ran half, or twice, leaves the same bytes.
+    (tmp_path / "piece").write_text("tail\n")
+    final = tmp_path / "f.jsonl"
+    final.write_text("head\nta")
+    for _ in range(2):
+        place(str(tmp_path / "piece"), str(final), 5)
+        assert final.read_text() == "head\ntail\n"
