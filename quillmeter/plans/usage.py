@@ -16,7 +16,7 @@ from ..pricing.catalog import Catalog, built_in, to_iso
 from ..pricing.spans import priced
 from ..sources.logs import failures_of, list_logs, scratch_folder
 from ..sources.parse import records, settled, usage_events
-from ..sources.ranges import LINES, RANGE_BYTES, load_logs
+from ..sources.ranges import RANGE_BYTES, file_state, read_lines
 
 
 @dataclass
@@ -40,7 +40,7 @@ def scan(spark: SparkSession, roots: list[str], range_bytes: int = RANGE_BYTES)
     Files are read once, a task a range: marked lines and their parsed rows are written tables, from which all else comes.
     """
     paths, folder = list_logs(roots), scratch_folder(spark, "scan")
-    lines = settled(load_logs(spark, roots, range_bytes) if paths else spark.createDataFrame([], LINES), f"{folder}/lines")
+    lines = settled(read_lines(spark, [(p, 0, file_state(p)["size"], None) for p in paths], range_bytes), f"{folder}/lines")
     failures = [{"path": r.file_path, "code": r.code, "message": r.message, "usingPreviousIndex": False} for r in failures_of(lines).orderBy("file_path").collect()]
     good = lines.where("status IS NULL")
     if failures:

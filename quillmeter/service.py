@@ -20,7 +20,8 @@ ANSWERS, SLICES, RETRIES = 64, 8, 3
 
 
 class QueryService:
-    """Answers are kept per query, revision and price digest; groups, sorts and limits share one priced slice."""
+    """Answers are kept per query, fingerprint of the query's scope and price digest, so a change elsewhere leaves them; groups,
+    sorts and limits share one priced slice."""
 
     def __init__(self, index: UsageIndex, catalog: Catalog | None = None):
         self.index, self.catalog = index, catalog or built_in()
@@ -32,7 +33,7 @@ class QueryService:
         self.catalog = catalog
 
     def _slice(self, query: UsageQuery, manifest: dict, digest: str):
-        key = (query.roots, query.dedupe, query.from_ms, query.to_ms, manifest["revision"], digest)
+        key = (query.roots, query.dedupe, query.from_ms, query.to_ms, self.index.fingerprint(list(query.roots), manifest), digest)
         if key in self._slices:
             self._slices.move_to_end(key)
             return self._slices[key]
@@ -51,7 +52,7 @@ class QueryService:
         with self._lock:
             for _ in range(RETRIES):
                 manifest, digest = self.index.manifest(), self.catalog.digest()
-                key = (replace(query, extra={}), manifest["revision"], digest)
+                key = (replace(query, extra={}), self.index.fingerprint(list(query.roots), manifest), digest)
                 if key in self._answers:
                     self._answers.move_to_end(key)
                     return self._answers[key]

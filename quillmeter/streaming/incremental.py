@@ -1,16 +1,27 @@
-"""Incremental index: Parquet tables in buckets behind numbered manifests.
+"""Incremental index: sorted runs of Parquet tables behind numbered manifests.
 
-A refresh compares the listing with the newest manifest and reads what changed: of a plain log that grew only the new
-bytes, of others the whole file. Parsed lines are kept, so a grown file's context is worked out again over all its lines
-without reading or parsing the old ones. Only buckets that hold changed files (or changed fingerprints) are written; the new
-manifest points to these and to the old ones for the rest. It is published by linking it under the next number, which
-fails if another writer was first. Readers see the old state or the new one.
+A refresh compares the listing with the newest manifest, reads what changed (of a plain log that grew only the new bytes)
+and adds one run with what is new: parsed rows, parser states, events, and the representatives of the fingerprints that
+changed. Nothing that other runs hold is rewritten, so a refresh writes in proportion to the change. What a replaced, grown or
+deleted file left in older runs is void: the manifest says from which run on a file's rows count, and readers leave the rest
+out; of representatives the newest run's count. When runs become many, the newest ones of similar size are merged into one
+(each row is rewritten a logarithmic number of times), and what is void goes.
 
-A file that fails, or changes while it is read, keeps its previous events and is retried once it changes (or on request).
+A grown file goes on from its parser state: its new events need the merged state of its segments and its earlier
+counters, nothing else. If the new bytes bring context that earlier events lacked, the file's events are made anew from its
+stored rows.
+
+The tables of a run lie in buckets whose number follows from the run's rows: events by file and place, representatives by
+fingerprint. A directory with a Bloom filter of the fingerprints of each bucket tells which buckets can hold the changed ones;
+only these are read.
+
+A manifest is published by linking it under the next number, which fails if another writer was first. A file that fails,
+or changes while it is read, keeps its previous events and is retried once it changes (or on request).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -18,22 +29,29 @@ import shutil
 import threading
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.canonical import canonical, changed_keys
 from ..schemas import FILES, USAGE_EVENTS
 from ..sources.logs import list_logs
-from ..sources.parse import records, usage_events
+from ..sources.parse import STATE, TOTALS, carried_in, events_of, file_counts, first_of_repeats, merged_states, records, segment_states
 from ..sources.ranges import LINES, combined, file_state, read_lines
 
-SCHEMA, PARSER = 3, 2
-KEEP, BUCKETS = 2, 64
-#: Tables and the column that deals their rows into buckets.
-TABLES = {"records": "file_path", "events": "file_path", "files": "file_path", "canonical": "total_usage_key"}
+SCHEMA, PARSER = 4, 2
+#: Manifests that stay; runs from which on some are merged; how much larger a run may be than all newer ones to be merged too.
+KEEP, RUNS, FACTOR = 2, 8, 2
+#: Rows of a bucket, events of a file that lie together, bits of the directory for each fingerprint.
+BUCKET_ROWS, TOGETHER, BITS = 200_000, 50_000, 16
+#: Rows up to which a list (of files, of fingerprints) is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+KEYS = "total_usage_key string"
 _UUID = re.compile(r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\.jsonl$", re.I)
 
 
@@ -66,18 +84,62 @@ def span_of(path: str, known: dict | None, state: dict) -> tuple[str, int, int |
     return (path, known["offset"], state["size"], known["boundary"]) if grown else (path, 0, state["size"], None)
 
 
-def bucket_of(key: Column) -> Column:
-    return F.pmod(F.crc32(key), F.lit(BUCKETS)).cast("int")
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(key), F.lit(buckets)).cast("int")
+
+
+def event_place() -> Column:
+    """Which events of a file lie in one bucket."""
+    return F.concat("file_path", F.lit("#"), F.floor(F.col("event_index") / TOGETHER))
+
+
+def event_buckets(path: str, events: int, buckets: int) -> set[int]:
+    return {zlib.crc32(f"{path}#{i}".encode()) % buckets for i in range(-(-events // TOGETHER))}
+
+
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    h = hashes.astype(np.int64, copy=False).view(np.uint64)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(h + np.uint64(i) * step) % np.uint64(bits) for i in range(4)])
+
+
+def bloom_filters(rows: DataFrame) -> DataFrame:
+    """``bucket, bits`` over the ``total_usage_key`` of rows that have a ``bucket``."""
+
+    def build(group: pa.Table) -> pa.Table:
+        hashes = group.column("h").to_numpy()
+        bits = max(64, 1 << (len(hashes) * BITS - 1).bit_length())
+        flags = np.zeros(bits, bool)
+        flags[_slots(hashes, bits).astype(np.int64)] = True
+        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    return rows.select("bucket", F.xxhash64("total_usage_key").alias("h")).groupBy("bucket").applyInArrow(build, "bucket int, bits binary")
+
+
+def may_hold(directory: DataFrame, hashes: np.ndarray) -> list[int]:
+    """The buckets whose filter holds any of the hashes (at most as many as there are buckets)."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                flags = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+                if flags[_slots(hashes, len(flags)).astype(np.int64)].all(axis=0).any():
+                    out.append(bucket)
+            yield pa.record_batch([pa.array(out, pa.int32())], names=["bucket"])
+
+    return [r.bucket for r in directory.select("bucket", "bits").mapInArrow(test, "bucket int").collect()]
 
 
 class UsageIndex:
-    """``folder`` holds numbered manifests and a folder of tables for each revision."""
+    """``folder`` holds numbered manifests and a folder of tables for each run."""
 
     def __init__(self, spark: SparkSession, folder: str, scan: Callable[[SparkSession, list[tuple]], DataFrame] = read_lines):
         self.spark, self.folder, self._scan = spark, folder, scan
         self._lock, self._guard, self._jobs = threading.Lock(), threading.Lock(), {}
         self._stop, self._tag = threading.Event(), f"refresh-{uuid.uuid4().hex}"
-        self._schemas = {"events": USAGE_EVENTS, "canonical": USAGE_EVENTS, "files": FILES}
+        self._schemas = {"events": USAGE_EVENTS, "canonical": USAGE_EVENTS, "states": STATE, "keys": KEYS}
+        self._scopes: dict = {}
         os.makedirs(folder, exist_ok=True)
 
     # -- reading -----------------------------------------------------------------------------------------------
@@ -88,13 +150,13 @@ class UsageIndex:
     def manifest(self) -> dict:
         found = self._revisions()
         if not found:
-            return {"schema": SCHEMA, "revision": 0, "files": {}, "failures": {}, "tables": {t: {} for t in TABLES}}
+            return {"schema": SCHEMA, "revision": 0, "files": {}, "failures": {}, "runs": [], "void": {}}
         with open(f"{self.folder}/manifest-{found[-1]}.json", encoding="utf-8") as f:
             newest = json.load(f)
         if newest["schema"] > SCHEMA:
             raise RuntimeError(f"the index has schema {newest['schema']}, this version reads {SCHEMA}")
         if newest["schema"] < SCHEMA:  # rebuilt in full at the next refresh
-            newest |= {"schema": SCHEMA, "files": {}, "tables": {t: {} for t in TABLES}}
+            newest = {"schema": SCHEMA, "revision": newest["revision"], "files": {}, "failures": newest["failures"], "runs": [], "void": {}}
         return newest
 
     def _schema(self, name: str):
@@ -102,24 +164,96 @@ class UsageIndex:
             self._schemas[name] = records(self.spark.createDataFrame([], LINES)).schema
         return self._schemas[name]
 
-    def _read(self, manifest: dict, name: str, buckets: set[int] | None = None) -> DataFrame:
-        found = [f"{self.folder}/{v}/{name}/bucket={b}" for b, v in manifest["tables"][name].items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(self._schema(name)).parquet(*found) if found else self.spark.createDataFrame([], self._schema(name))
+    def _table(self, run: dict, name: str, buckets: set[int] | None = None) -> DataFrame | None:
+        """A table of a run, or those of its buckets; None if there is nothing."""
+        own = run["tables"].get(name)
+        if own is None:
+            return None
+        found = [f"{self.folder}/{run['id']}/{name}/bucket={b}" for b in own["buckets"] if buckets is None or b in buckets]
+        return self.spark.read.schema(self._schema(name)).parquet(*found) if found else None
+
+    def _union(self, name: str, parts: list[DataFrame | None]) -> DataFrame:
+        found = [p for p in parts if p is not None]
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], self._schema(name))
+
+    def _listed(self, values: list[str], column: str) -> DataFrame:
+        rows = self.spark.createDataFrame([(v,) for v in values], f"{column} string")
+        return F.broadcast(rows) if len(values) <= BROADCAST_ROWS else rows
+
+    def _valid(self, manifest: dict, name: str, only: list[str] | None = None, runs: list[dict] | None = None, where: Callable[[dict], set[int] | None] = lambda _: None) -> DataFrame:
+        """The rows of ``records``, ``states`` or ``events`` that count, of all files or of ``only`` some (of buckets that ``where`` names)."""
+        kind = "records" if name == "records" else "events"
+        parts = []
+        for run in manifest["runs"] if runs is None else runs:
+            rows = self._table(run, name, where(run))
+            if rows is None:
+                continue
+            void = [p for p, since in manifest["void"].items() if run["seq"] < since[kind]]
+            if only is not None:
+                kept = sorted(set(only) - set(void))
+                if not kept:
+                    continue
+                if len(kept) <= 100:
+                    rows = rows.where(F.col("file_path").isin(kept))  # reaches the statistics of the files
+                else:
+                    rows = rows.join(self._listed(kept, "file_path"), "file_path", "left_semi")
+            elif void:
+                rows = rows.join(self._listed(void, "file_path"), "file_path", "left_anti")
+            if name == "records":  # a line without an end is read again when its file grows
+                newer = [p for p, s in manifest["files"].items() if s.get("last", 0) > run["seq"] and (only is None or p in only)]
+                if newer and run["tables"]["records"].get("unended"):
+                    ended = rows.where("NOT unterminated")
+                    rows = ended.unionByName(rows.where("unterminated").join(self._listed(newer, "file_path"), "file_path", "left_anti"))
+            parts.append(rows)
+        return self._union(name, parts)
 
     def events(self, manifest: dict | None = None) -> DataFrame:
-        return self._read(manifest or self.manifest(), "events")
-
-    def canonical(self, manifest: dict | None = None) -> DataFrame:
-        return self._read(manifest or self.manifest(), "canonical")
+        return self._valid(manifest or self.manifest(), "events")
+
+    def canonical(self, manifest: dict | None = None, keys: DataFrame | None = None, runs: list[dict] | None = None) -> DataFrame:
+        """Representatives: a run's rows count unless a newer run has their fingerprint among its changed ones. ``keys`` picks some."""
+        runs = (manifest or self.manifest())["runs"] if runs is None else runs
+        hashes = self._hashes(keys) if keys is not None else None
+        parts, newer, n = [], None, 0
+        for run in reversed(runs):
+            rows = self._table(run, "canonical", self._holding(run, "canonical", hashes) if hashes is not None else None)
+            if rows is not None:
+                if keys is not None:
+                    rows = rows.join(keys, "total_usage_key", "left_semi")
+                if newer is not None:
+                    rows = rows.join(F.broadcast(newer) if n <= BROADCAST_ROWS else newer, "total_usage_key", "left_anti")
+                parts.append(rows)
+            own = self._table(run, "keys")
+            if own is not None:
+                newer, n = own if newer is None else newer.unionByName(own), n + run["tables"]["keys"]["rows"]
+        return self._union("canonical", parts)
 
     def files(self, manifest: dict | None = None) -> DataFrame:
-        return self._read(manifest or self.manifest(), "files")
+        return file_counts(self._valid(manifest or self.manifest(), "states")).select(*FILES.names)
+
+    def _hashes(self, keys: DataFrame) -> np.ndarray | None:
+        """Hashes of changed fingerprints, if they are few enough for the directory to be of use."""
+        rows = keys.select(F.xxhash64("total_usage_key").alias("h")).limit(BROADCAST_ROWS + 1).toArrow()
+        return rows.column("h").to_numpy() if rows.num_rows <= BROADCAST_ROWS else None
+
+    def _holding(self, run: dict, name: str, hashes: np.ndarray | None) -> set[int] | None:
+        """The buckets of a run's table that may hold the hashes; None: any."""
+        if hashes is None or not run["tables"].get(name, {}).get("directory"):
+            return None
+        return set(may_hold(self.spark.read.schema("bucket int, bits binary").parquet(f"{self.folder}/{run['id']}/{name}-directory"), hashes))
 
     def fingerprint(self, roots: list[str], manifest: dict | None = None) -> str:
-        """Of the files of a scope and the rules that made their rows; equal as long as nothing below the roots changed."""
+        """Of the files of a scope, their failures and the rules that made their rows; equal as long as nothing below the roots
+        changed (no roots: anything). Worked out once for each revision."""
         m = manifest or self.manifest()
-        mine = sorted((p, s["size"], s["mtime_ms"]) for p, s in m["files"].items() if _inside(p, roots))
-        return f"{zlib.crc32(json.dumps([SCHEMA, PARSER, mine]).encode()):08x}"
+        key = (m["revision"], tuple(roots))
+        if key not in self._scopes:
+            inside = lambda p: not roots or _inside(p, roots)
+            mine = sorted((p, s["size"], s["mtime_ms"]) for p, s in m["files"].items() if inside(p))
+            failed = sorted((p, f["code"]) for p, f in m["failures"].items() if inside(p))
+            self._scopes = {k: v for k, v in self._scopes.items() if k[0] >= m["revision"] - KEEP}
+            self._scopes[key] = hashlib.sha256(json.dumps([SCHEMA, PARSER, mine, failed]).encode()).hexdigest()
+        return self._scopes[key]
 
     def status(self) -> dict:
         m = self.manifest()
@@ -190,8 +324,8 @@ class UsageIndex:
             if not ends and not gone and failed == base["failures"]:
                 shutil.rmtree(out, ignore_errors=True)
                 return base
-            manifest = self._write(out, base, ends, gone)
-            manifest |= {"files": {p: s for p, s in known.items() if p not in gone} | {p: seen[p] | {"offset": s["offset"], "boundary": s["boundary"]} for p, s in ends.items()}, "failures": failed}
+            manifest = self._write(out, base, seen, ends, gone)
+            manifest["failures"] = failed
             progress({"phase": "publish", "files": len(manifest["files"]), "failedFiles": len(failed)})
             if self._stop.is_set():
                 raise Aborted
@@ -199,6 +333,7 @@ class UsageIndex:
             return manifest
         except BaseException:
             shutil.rmtree(out, ignore_errors=True)
+            shutil.rmtree(f"{out}-m", ignore_errors=True)
             raise
 
     def _stage(self, out: str, name: str, spans: list[tuple]) -> dict[str, dict]:
@@ -207,41 +342,130 @@ class UsageIndex:
         rows = self.spark.read.schema(LINES).parquet(f"{out}/{name}").where("status IS NOT NULL").groupBy("file_path").agg(F.collect_list("status").alias("all")).collect()
         return {r.file_path: combined(r.file_path, [json.loads(x) for x in r.all]) for r in rows}
 
-    def _write(self, out: str, base: dict, ends: dict[str, dict], gone: set[str]) -> dict:
-        spark = self.spark
-        touched = spark.createDataFrame([(p, s["from"] > 0) for p, s in ends.items()] + [(p, False) for p in gone], "file_path string, grown boolean")
-        buckets = {zlib.crc32(p.encode()) % BUCKETS for p in [*ends, *gone]}
-        lines = spark.read.schema(LINES).parquet(*(f"{out}/{n}" for n in ("lines", "again") if os.path.isdir(f"{out}/{n}"))).where("status IS NULL") if ends else spark.createDataFrame([], LINES)
-        fresh = records(lines.join(touched, "file_path", "left_semi"))
-        # Lines that had no end are read again; the others of a grown file stand.
-        stands = self._read(base, "records", buckets).where("NOT unterminated").join(touched.where("grown"), "file_path", "left_semi")
-        parsed = self._put(out, base, "records", buckets, touched, stands.unionByName(fresh))
-        events, files = usage_events(parsed.join(touched, "file_path", "left_semi"))
-        old = self._read(base, "events", buckets).join(touched, "file_path", "left_semi")
-        now = self._put(out, base, "events", buckets, touched, events)
-        self._put(out, base, "files", buckets, touched, files.select(*FILES.names))
-        tables = {t: {b: v for b, v in base["tables"][t].items() if int(b) not in buckets} | self._found(out, t) for t in ("records", "events", "files")}
-        keys = changed_keys(old, now.join(touched, "file_path", "left_semi"))
-        keys.write.parquet(f"{out}/keys")
-        keys = spark.read.schema(keys.schema).parquet(f"{out}/keys")
-        some = {r.b for r in keys.select(bucket_of(F.col("total_usage_key")).alias("b")).distinct().collect()}
-        whole = self._read({"tables": tables}, "events")
-        chosen = canonical(whole.join(keys, "total_usage_key", "left_semi"))
-        self._put(out, base, "canonical", some, keys, chosen.select(*USAGE_EVENTS.names))
-        tables["canonical"] = {b: v for b, v in base["tables"]["canonical"].items() if int(b) not in some} | self._found(out, "canonical")
-        for name in ("lines", "again", "keys"):
+    def _write(self, out: str, base: dict, seen: dict, ends: dict[str, dict], gone: set[str]) -> dict:
+        """Write a run and return the manifest that adds it (merged with others if there are many)."""
+        spark, seq, known = self.spark, base["revision"] + 1, base["files"]
+        run = {"id": os.path.basename(out), "seq": seq, "tables": {}}
+        grown = sorted(p for p, s in ends.items() if s["from"] > 0)
+        lines = spark.read.schema(LINES).parquet(*(f"{out}/{n}" for n in ("lines", "again") if os.path.isdir(f"{out}/{n}"))) if ends else spark.createDataFrame([], LINES)
+        good = lines.where("status IS NULL").join(self._listed(sorted(ends), "file_path"), "file_path", "left_semi")
+        fresh = self._put(run, "records", records(good), None)
+        counted = fresh.agg(F.count_if("unterminated").alias("unended")).first()
+        run["tables"]["records"]["unended"] = counted.unended or 0
+        first = first_of_repeats(fresh)
+        states = segment_states(fresh, first)
+        earlier, reopened = None, []
+        if grown:
+            earlier = self._settled(out, "earlier", merged_states(self._valid(base, "states", grown)))
+            reopened = self._reopened(earlier, states)
+        replaced = {p for p in ends if p in known and p not in grown}
+        void = {p: dict(v) for p, v in base["void"].items()}
+        for p in [*gone, *replaced, *reopened]:
+            void[p] = {"events": seq, "records": void.get(p, {}).get("records", 0) if p in reopened else seq}
+        files = {p: s for p, s in known.items() if p not in gone} | {p: seen[p] | {"offset": s["offset"], "boundary": s["boundary"], "last": seq} for p, s in ends.items()}
+        after = {"files": files, "void": void, "runs": [*base["runs"], run]}
+
+        if grown:
+            # Files that go on as they were: their new rows, after the merged state and without counters that they had.
+            on = sorted(set(grown) - set(reopened))
+            numbers = F.split(F.substring_index("total_usage_key", ":", -1), ",")
+            buckets = lambda r: self._buckets_of(r, base, on)
+            had = self._valid(base, "events", on, where=buckets).select("file_path", *(numbers[i].cast("long").alias(t) for i, t in enumerate(TOTALS))) if on else None
+            rows = fresh.join(self._listed(reopened, "file_path"), "file_path", "left_anti") if reopened else fresh
+            if reopened:
+                rows = rows.unionByName(self._valid(after, "records", reopened))
+                earlier = earlier.join(self._listed(reopened, "file_path"), "file_path", "left_anti")
+            first = self._settled(out, "kept", first_of_repeats(rows, had))
+            states = segment_states(rows, first)
+        self._put(run, "states", states, None)
+        new = self._table(run, "states")
+        carried = carried_in((new if earlier is None else earlier.unionByName(new)) if new is not None else spark.createDataFrame([], STATE))
+        added = self._put(run, "events", events_of(first, carried), event_place(), ["file_path", "event_index"])
+        for r in new.groupBy("file_path").agg(F.sum("kept").alias("n")).collect() if new is not None else []:  # changed files only
+            files[r.file_path]["events"] = r.n + (known[r.file_path].get("events", 0) if r.file_path in grown and r.file_path not in reopened else 0)
+
+        # Fingerprints that gained or lost events: where some were lost, all that is left of them is ranked again.
+        left = sorted({p for p in [*gone, *replaced, *reopened] if p in known})
+        lost = self._valid(base, "events", left, where=lambda r: self._buckets_of(r, base, left)) if left else spark.createDataFrame([], USAGE_EVENTS)
+        lost = self._settled(out, "lost", lost.select("total_usage_key").distinct())
+        keys = self._put(run, "keys", changed_keys(lost, added), F.col("total_usage_key"))
+        hashes = self._hashes(lost)
+        older = [r for r in base["runs"]]
+        rest = self._union("events", [self._valid(after, "events", runs=[r], where=lambda r: self._holding(r, "events", hashes)) for r in older]).join(lost, "total_usage_key", "left_semi") if left else None
+        gained = keys.join(lost, "total_usage_key", "left_anti")
+        current = self.canonical(keys=gained, runs=older) if older else None
+        chosen = canonical(self._union("events", [added, rest, current]))
+        self._put(run, "canonical", chosen.select(*USAGE_EVENTS.names), F.col("total_usage_key"), ["total_usage_key"])
+        for name in ("lines", "again", "earlier", "kept", "lost"):
             shutil.rmtree(f"{out}/{name}", ignore_errors=True)
-        return {"schema": SCHEMA, "revision": base["revision"] + 1, "tables": tables}
-
-    def _put(self, out: str, base: dict, name: str, buckets: set[int], changed: DataFrame, rows: DataFrame) -> DataFrame:
-        """Write the touched buckets of a table anew: their rows but the changed ones, and ``rows``."""
-        key = TABLES[name]
-        kept = self._read(base, name, buckets).join(changed, key, "left_anti")
-        kept.unionByName(rows).withColumn("bucket", bucket_of(F.col(key))).repartition("bucket").write.partitionBy("bucket").parquet(f"{out}/{name}")
-        return self._read({"tables": {name: self._found(out, name)}}, name)
-
-    def _found(self, out: str, name: str) -> dict[str, str]:
-        return {d.partition("=")[2]: os.path.basename(out) for d in os.listdir(f"{out}/{name}") if d.startswith("bucket=")}
+        manifest = {"schema": SCHEMA, "revision": seq, **after}
+        return self._merged(out, manifest)
+
+    def _buckets_of(self, run: dict, manifest: dict, paths: list[str]) -> set[int]:
+        own = run["tables"].get("events")
+        return set().union(*(event_buckets(p, manifest["files"][p].get("events", 0), own["of"]) for p in paths)) if own else set()
+
+    def _reopened(self, earlier: DataFrame, states: DataFrame) -> list[str]:
+        """Grown files whose earlier events lacked something that the new rows bring, or came from a line without an end."""
+        now = merged_states(states).select("file_path", *(F.col(c).alias(f"now_{c}") for c in ("meta", "first_cwd", "first_model")))
+        both = earlier.join(now, "file_path", "left")
+        has_cwd = F.col("first_cwd").isNotNull() | F.col("meta.cwd").isNotNull()
+        brings = (F.col("meta").isNull() & F.col("now_meta").isNotNull()) | (~has_cwd & F.col("now_first_cwd").isNotNull()) | (F.col("first_model").isNull() & F.col("now_first_model").isNotNull())
+        return sorted(r.file_path for r in both.where((F.col("unended") > 0) | ((F.col("kept") > 0) & brings)).select("file_path").collect())
+
+    def _settled(self, out: str, name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{out}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{out}/{name}")
+
+    def _put(self, run: dict, name: str, rows: DataFrame, by: Column | None, order: list[str] | None = None, expected: int | None = None) -> DataFrame:
+        """Write a table of a run, in buckets if it is large; what is large by fingerprint gets a directory."""
+        folder, schema = f"{self.folder}/{run['id']}/{name}", rows.schema
+        beside = f"{folder}-unsorted"
+        buckets = 1
+        if expected is None or expected <= BUCKET_ROWS:
+            rows.withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(folder)
+            if not os.path.isdir(f"{folder}/bucket=0"):
+                run["tables"][name] = {"rows": 0, "buckets": [], "of": 1}
+                return self.spark.createDataFrame([], schema)
+            expected = self.spark.read.schema(schema).parquet(f"{folder}/bucket=0").count()
+            if by is not None and expected > BUCKET_ROWS:  # larger than it seemed
+                os.replace(f"{folder}/bucket=0", beside)
+                shutil.rmtree(folder)
+                rows = self.spark.read.schema(schema).parquet(beside)
+        if by is not None and expected > BUCKET_ROWS:
+            buckets = -(-expected // BUCKET_ROWS)
+            rows.withColumn("bucket", bucket_of(by, buckets)).repartition("bucket").sortWithinPartitions("bucket", *(order or [])).write.partitionBy("bucket").parquet(folder)
+        shutil.rmtree(beside, ignore_errors=True)
+        found = sorted(int(d.partition("=")[2]) for d in os.listdir(folder) if d.startswith("bucket="))
+        run["tables"][name] = {"rows": expected, "buckets": found, "of": buckets}
+        if buckets > 1 and name in ("events", "canonical"):
+            bloom_filters(self.spark.read.parquet(folder).select(F.col("bucket").cast("int").alias("bucket"), "total_usage_key")).write.parquet(f"{folder}-directory")
+            run["tables"][name]["directory"] = True
+        return self._table(run, name)
+
+    def _merged(self, out: str, manifest: dict) -> dict:
+        """Merge the newest runs once there are ``RUNS``: as many as are not much larger than all newer ones together."""
+        runs = manifest["runs"]
+        if len(runs) < RUNS:
+            return manifest
+        size = lambda r: 1 + r["tables"]["events"]["rows"]
+        at = len(runs) - 2
+        while at and size(runs[at - 1]) <= FACTOR * sum(map(size, runs[at:])):
+            at -= 1
+        parts, whole = runs[at:], at == 0
+        run = {"id": f"{os.path.basename(out)}-m", "seq": runs[-1]["seq"], "tables": {}}
+        rows = {n: sum(r["tables"][n]["rows"] for r in parts if n in r["tables"]) for n in ("records", "events", "canonical", "keys")}
+        parsed = self._put(run, "records", self._valid(manifest, "records", runs=parts), None)
+        run["tables"]["records"]["unended"] = parsed.where("unterminated").count()
+        self._put(run, "states", self._valid(manifest, "states", runs=parts), None)
+        self._put(run, "events", self._valid(manifest, "events", runs=parts), event_place(), ["file_path", "event_index"], rows["events"])
+        self._put(run, "canonical", self.canonical(runs=parts), F.col("total_usage_key"), ["total_usage_key"], rows["canonical"])
+        if not whole:
+            keys = self._union("keys", [self._table(r, "keys") for r in parts]).distinct()
+            self._put(run, "keys", keys, F.col("total_usage_key"), None, rows["keys"])
+        left = [*runs[:at], run]
+        void = {p: v for p, v in manifest["void"].items() if any(r["seq"] < max(v.values()) for r in left)}
+        return manifest | {"runs": left, "void": void}
 
     def _publish(self, manifest: dict) -> None:
         temporary = f"{self.folder}/{uuid.uuid4().hex}.tmp"
@@ -260,7 +484,7 @@ class UsageIndex:
                 os.unlink(name)
                 continue
             with open(name, encoding="utf-8") as f:
-                used |= {v for buckets in json.load(f)["tables"].values() for v in buckets.values()}
+                used |= {r["id"] for r in json.load(f).get("runs", [])}
         for stale in [d for d in os.listdir(self.folder) if d.startswith("v-") and d not in used and int(d.split("-")[1]) <= manifest["revision"]]:
             shutil.rmtree(f"{self.folder}/{stale}", ignore_errors=True)
 

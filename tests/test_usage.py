@@ -17,6 +17,7 @@ from quillmeter.service import QueryService
 from quillmeter.sinks import to_csv, to_text
 from quillmeter.sources.logs import place, write_logs
 from quillmeter.sources.ranges import LINES, Range, range_lines, read_lines
+from quillmeter.streaming import incremental
 from quillmeter.streaming.incremental import Aborted, Conflict, UsageIndex
 
 
@@ -249,3 +250,91 @@ def test_logs_are_written_exactly_once(spark, tmp_path):
     for _ in range(2):
         place(str(tmp_path / "piece"), str(final), 5)
         assert final.read_text() == "head\ntail\n"
+
+
+def growing(folder, step, r):
+    """Logs that grow, are replaced, vanish, share events, and get their context late."""
+    folder.mkdir(parents=True, exist_ok=True)
+    count = lambda i, k: tokens(usage(i * k, i, 0, k, 0, i * k + k), at=f"2026-03-{1 + i % 20:02d}T00:00:00Z")
+    if step == 0:
+        for f in range(6):
+            write(folder / f"f{f}.jsonl", *([meta(f"s{f}", "/w")] if f % 2 else []), *(x for i in range(1, 30) for x in ([context(f"m{i % 3}", f"t{i}")] if i % 5 == 0 and f != 4 else []) + [count(i, 3 if f < 2 else f + 3)]))
+        return
+    for f in r.sample(range(6), 2):
+        path = folder / f"f{f}.jsonl"
+        if path.exists():
+            with open(path, "a") as out:
+                out.write("".join(json.dumps(x) + "\n" for x in [count(30 * step + i, f + 3) for i in range(4)] + [r.choice([context("late", None, "/late"), meta("late"), count(5, 3)])]))
+                out.write(r.choice(["", json.dumps(count(1000 + step, 2))]))
+    if step == 2:
+        os.unlink(folder / "f0.jsonl")
+    if step == 3:
+        write(folder / "f1.jsonl", meta("new"), count(7, 3), count(8, 3))
+    if step == 4:
+        write(folder / "f0.jsonl", meta("back"), *(count(i, 3) for i in range(1, 20)))
+
+
+@pytest.mark.parametrize("rows", [200_000, 25])
+def test_runs_give_what_a_new_index_gives(spark, tmp_path, monkeypatch, rows):
+    """With one bucket a table and with many, over growth, replacement, deletion and merging of runs."""
+    import random
+
+    monkeypatch.setattr(incremental, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(incremental, "TOGETHER", 10)
+    monkeypatch.setattr(incremental, "RUNS", 3)
+    r, logs = random.Random(5), tmp_path / "logs"
+    index, merged = UsageIndex(spark, str(tmp_path / "index")), 0
+    for step in range(6):
+        growing(logs, step, r)
+        manifest = index.refresh([str(logs)])
+        merged += any(x["id"].endswith("-m") for x in manifest["runs"])
+        if step % 2:
+            fresh = UsageIndex(spark, str(tmp_path / f"fresh{step}"))
+            fresh.refresh([str(logs)])
+            for table in ("events", "canonical", "files"):
+                assert sorted(map(str, getattr(index, table)().collect())) == sorted(map(str, getattr(fresh, table)().collect())), (step, table)
+    assert merged and len(manifest["runs"]) < 4
+    if rows == 25:
+        assert any(x["tables"]["events"].get("directory") for x in manifest["runs"])
+
+
+def folder_bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_a_refresh_costs_what_changed(spark, tmp_path, monkeypatch):
+    """One more line in one of many files: what is written does not depend on the index, and few buckets are read."""
+    monkeypatch.setattr(incremental, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(incremental, "TOGETHER", 20)
+    logs = tmp_path / "logs"
+    for f in range(30):
+        write(logs / f"f{f}.jsonl", meta(f"s{f}"), context("m"), *(tokens(usage(i, 0, 0, f, 0, i + f), at=f"2026-03-01T00:{i:02d}:{f:02d}Z") for i in range(1, 60)))
+    index = UsageIndex(spark, str(tmp_path / "index"))
+    first = index.refresh([str(logs)])
+    whole = folder_bytes(tmp_path / "index" / first["runs"][0]["id"])
+    assert first["runs"][0]["tables"]["events"]["of"] == 18 and first["runs"][0]["tables"]["canonical"]["of"] == 18
+    with open(logs / "f7.jsonl", "a") as f:
+        f.write(json.dumps(tokens(usage(99, 0, 0, 7, 0, 106), at="2026-03-02T00:00:00Z")) + "\n")
+    read, table = [], index._table
+    index._table = lambda run, name, buckets=None: (read.append((run["id"], name, None if buckets is None else len(buckets & set(run["tables"].get(name, {}).get("buckets", []))))), table(run, name, buckets))[1]
+    second = index.refresh([str(logs)])
+    assert len(second["runs"]) == 2 and second["runs"][1]["tables"]["events"]["rows"] == 1
+    assert folder_bytes(tmp_path / "index" / second["runs"][1]["id"]) < whole / 4
+    old = [(name, n) for run, name, n in read if run == first["runs"][0]["id"]]
+    assert max(n for name, n in old if name == "events") <= 3  # those of the grown file
+    assert max(n for name, n in old if name == "canonical") <= 2  # those whose filter may hold the new fingerprint
+    assert index.events().count() == 30 * 59 + 1 == index.canonical().count()
+
+
+def test_a_change_elsewhere_leaves_answers(spark, tmp_path):
+    for name in ("a", "b"):
+        write(tmp_path / name / "x.jsonl", meta(name), context("gpt-5.4"), tokens(usage(5, 0, 0, 1, 0, 6), at="2026-07-30T00:00:00Z"))
+    index = UsageIndex(spark, str(tmp_path / "index"))
+    roots = [str(tmp_path / n) for n in ("a", "b")]
+    index.refresh(roots)
+    service = QueryService(index)
+    one, other = (service.query(UsageQuery(roots=(x,), group="model")) for x in roots)
+    write(tmp_path / "b" / "y.jsonl", meta("c"), context("gpt-5.4"), tokens(usage(9, 0, 0, 1, 0, 10), at="2026-07-30T00:00:00Z"))
+    index.refresh(roots)
+    assert service.query(UsageQuery(roots=(roots[0],), group="model")) is one
+    assert service.query(UsageQuery(roots=(roots[1],), group="model"))["totals"]["requests"] == other["totals"]["requests"] + 1
