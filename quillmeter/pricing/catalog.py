@@ -11,6 +11,7 @@ import os
 import re
 import tempfile
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
@@ -236,60 +237,107 @@ def _completes(formal: Version, seen: Version) -> bool:
     return (no_long and differ <= set(_LONG)) or ("write" in differ and differ <= set(_WRITE))
 
 
+# --- how catalogs change ------------------------------------------------------------------------------------------
+
+
+def _formal(v: Version) -> bool:
+    return not v.provisional and v.superseded_by is None
+
+
+def _tentative(v: Version) -> bool:
+    """Seen at some time, and not (yet) announced."""
+    return v.provisional and v.effective_ms is not None
+
+
+def _same_price(there: Version, coming: Version) -> bool:
+    return there.rates() == coming.rates()
+
+
+def _same_start(there: Version, coming: Version) -> bool:
+    return there.effective_ms == coming.effective_ms
+
+
+Pair = Callable[[Version, Version], bool]
+
+
+@dataclass(frozen=True)
+class Policy:
+    """What a version that comes in means to those of its model that are there, as tests of pairs (there, coming)."""
+
+    known: Pair = lambda there, coming: False  # nothing new comes in
+    outdone: Pair = lambda there, coming: False  # the coming one is superseded from the start
+    outdated: Pair = lambda there, coming: False  # the one that is there is superseded
+
+
+#: What another catalog saw joins this one.
+MERGING = Policy(
+    known=lambda there, coming: there.id == coming.id or (coming.effective_ms is None and _same_price(there, coming)),
+    outdone=lambda there, coming: _formal(there) and _tentative(coming) and coming.superseded_by is None and _completes(there, coming) and (there.effective_ms or 0) <= coming.effective_ms,
+)
+#: A page shows prices; only the latest version is asked.
+OBSERVING = Policy(known=_same_price)
+#: Prices are announced from a day on: they replace the same prices where these were only seen, and other prices of that day.
+ANNOUNCING = Policy(
+    known=lambda there, coming: _formal(there) and _same_start(there, coming) and _same_price(there, coming),
+    outdated=lambda there, coming: _tentative(there) if _same_price(there, coming) else _same_start(there, coming),
+)
+
+
+def version_id(model: str, how: str, when: str, found: Version) -> str:
+    """The one form of ids that this module gives."""
+    return "/".join([model, how, when, *([found.content_hash[:8]] if found.content_hash else [])])
+
+
+def admitted(there: list[Version], coming: Version, policy: Policy, judges: list[Version] | None = None) -> tuple[list[Version], Version | None]:
+    """The versions of a model once another one came, and that one as it was taken (None: it was known). ``judges``: those that
+    are asked (all).
+    """
+    asked = there if judges is None else judges
+    if any(policy.known(v, coming) for v in asked):
+        return there, None
+    by = [v.id for v in asked if policy.outdone(v, coming)]
+    taken = replace(coming, superseded_by=by[0]) if by else coming
+    return [replace(v, superseded_by=taken.id) if policy.outdated(v, taken) else v for v in there] + [taken], taken
+
+
 def merge(seed: Catalog, runtime: Catalog | None) -> Catalog:
-    """Seed and observed versions by (model, id); the seed wins, and formal prices supersede equal provisional ones."""
+    """All versions of both; where both have an id, or an undated price, the seed's stays."""
     if runtime is None:
         return seed
-    out = replace(seed, models={m: list(v) for m, v in seed.models.items()}, checked_at=max(filter(None, (seed.checked_at, runtime.checked_at)), default=None))
-    for model, versions in runtime.models.items():
-        mine = out.models.setdefault(model, [])
-        ids = {v.id for v in mine}
-        formal = [v for v in mine if not v.provisional and v.superseded_by is None]
-        for v in versions:
-            if v.id in ids or (v.effective_ms is None and any(o.rates() == v.rates() for o in mine)):
-                continue
-            if v.provisional and v.effective_ms is not None and v.superseded_by is None:
-                over = next((o for o in formal if (o.effective_ms or 0) <= v.effective_ms and _completes(o, v)), None)
-                v = replace(v, superseded_by=over.id) if over else v
-            mine.append(v)
-    return out
+    models = dict(seed.models)
+    for model, more in runtime.models.items():
+        own = seed.models.get(model, [])
+        for v in more:
+            rows = models.get(model, [])
+            # Only the seed's announcements decide over what was seen; what is known is known from either.
+            coming = None if any(MERGING.known(x, v) for x in rows) else admitted(own, v, MERGING)[1]
+            models[model] = [*rows, *([coming] if coming else [])]
+    dates = [c.checked_at for c in (seed, runtime) if c.checked_at]
+    return replace(seed, models=models, checked_at=max(dates) if dates else None)
 
 
 def observe(catalog: Catalog, model: str, found: Version, now_ms: int) -> Version | None:
-    """Append prices just seen on a page as a provisional version from now on; None if they are the current ones."""
-    model = normal(model)
-    versions = catalog.models.setdefault(model, [])
-    latest = catalog.price(model, float("inf"))
-    if latest and latest.rates() == found.rates():
-        return None
-    stamp = datetime.fromtimestamp(now_ms / 1000, UTC).strftime("%Y%m%dT%H%M%SZ")
-    seen = replace(found, id=f"{model}-observed-{stamp}-{(found.content_hash or '')[:8]}", effective_ms=now_ms, provisional=True, observed_ms=now_ms, evidence="first-observed")
-    versions.append(seen)
-    return seen
+    """Take prices just seen on a page as in force from now on; None if they are the current ones."""
+    name = normal(model)
+    latest = catalog.price(name, None)
+    seen = replace(found, id=version_id(name, "seen", to_iso(now_ms), found), effective_ms=now_ms, observed_ms=now_ms, provisional=True, evidence="first-observed")
+    catalog.models[name], taken = admitted(catalog.models.get(name, []), seen, OBSERVING, [latest] if latest else [])
+    return taken
 
 
 def verify(catalog: Catalog, model: str, found: Version, effective_from: str, source_url: str, now_ms: int) -> tuple[Version, bool]:
-    """Add a formal version from a date on; equal provisional ones and other prices of that day are superseded."""
-    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", effective_from or ""):
-        raise ValueError("the effective date must be YYYY-MM-DD")
-    if not re.match(r"https://[^/]+", source_url or ""):
-        raise ValueError("the source must be an https address")
-    model, start = normal(model), to_ms(effective_from)
-    versions = catalog.models.setdefault(model, [])
-    for v in versions:
-        if v.effective_ms == start and v.rates() == found.rates() and v.superseded_by is None and not v.provisional:
-            return v, False
-    id_ = f"{model}-{effective_from}"
-    if any(v.id == id_ for v in versions):
-        id_ += f"-{(found.content_hash or '')[:8]}"
-    new = replace(found, id=id_, effective_ms=start, provisional=False, observed_ms=now_ms, source_url=source_url, evidence="verified")
-    for i, v in enumerate(versions):
-        same = v.rates() == new.rates()
-        if (v.provisional and v.effective_ms is not None and same) or (v.effective_ms == start and not same):
-            versions[i] = replace(v, superseded_by=id_)
-    versions.append(new)
+    """Take announced prices from a day on: the version that then holds, and whether anything changed."""
+    for text, form, what in ((effective_from, r"\d{4}-\d{2}-\d{2}", "the effective date must be YYYY-MM-DD"), (source_url, r"https://[^/]+.*", "the source must be an https address")):
+        if not re.fullmatch(form, text or ""):
+            raise ValueError(what)
+    name = normal(model)
+    there = catalog.models.get(name, [])
+    coming = replace(found, id=version_id(name, "from", effective_from, found), effective_ms=to_ms(effective_from), provisional=False, observed_ms=now_ms, source_url=source_url, evidence="verified")
+    catalog.models[name], taken = admitted(there, coming, ANNOUNCING)
+    if taken is None:
+        return next(v for v in there if ANNOUNCING.known(v, coming)), False
     catalog.checked_at = to_iso(now_ms)
-    return new, True
+    return taken, True
 
 
 def read_cache(path: str, keep_corrupt: bool = True) -> Catalog | None:

@@ -155,6 +155,24 @@ def test_observe_verify_merge(tmp_path):
     assert read_cache(path) is None and [p for p in tmp_path.iterdir() if ".corrupt-" in p.name]
 
 
+def test_announcements_replace_what_was_seen_and_other_prices_of_the_day():
+    price = lambda n, **k: Version(**({"id": "x", "effective_ms": None, "provisional": True, "input": n, "output": 2 * n} | k))
+    c, day = Catalog(), to_ms("2024-04-01")
+    observe(c, " M ", price(1), 10)
+    observe(c, "m", price(2), 20)
+    assert observe(c, "m", price(2), 30) is None and observe(c, "m", price(1), 40) is not None
+    first, _ = verify(c, "m", price(3), "2024-04-01", "https://example.org/a", 50)
+    second, changed = verify(c, "m", price(2, content_hash="0123456789"), "2024-04-01", "https://example.org/a", 60)
+    assert changed and second.effective_ms == day and len({v.id for v in c.models["m"]}) == 5
+    assert [v.superseded_by for v in c.models["m"]] == [None, second.id, None, second.id, None]
+    assert verify(c, "m", price(2), "2024-04-01", "https://example.org/a", 70) == (second, False)
+    # The other catalog's own announcements do not decide over what it saw; equal undated prices come once.
+    seed, other = Catalog({"m": [price(5, id="base")]}, checked_at="2024-01-01"), Catalog({"m": [price(5, id="again"), price(6, id="seen", effective_ms=9), price(6, id="told", effective_ms=1, provisional=False)]}, checked_at="2024-02-01")
+    merged = merge(seed, other)
+    assert [(v.id, v.superseded_by) for v in merged.models["m"]] == [("base", None), ("seen", None), ("told", None)]
+    assert merged.checked_at == "2024-02-01" and len(seed.models["m"]) == 1 and merge(seed, None) is seed
+
+
 def test_metadata():
     m = built_in().metadata()
     assert m["longContextThresholdTokens"] == 272_000 and "gpt-5.6" in m["pricedModels"] and m["assumedModels"][0]["assumedModel"] == "gpt-5.6-luna"

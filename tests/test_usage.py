@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmeter.cli import main
 from quillmeter.options import UsageQuery, parse_args, parse_bound, parse_duration, rolling, web_limit
-from quillmeter.plans.usage import run
+from quillmeter.plans.usage import payload, run, scan
 from quillmeter.server import query_of, serve
 from quillmeter.service import QueryService
 from quillmeter.sinks import to_csv, to_text
@@ -44,11 +44,12 @@ def test_direct_and_index_agree(spark, tmp_path):
     roots = (str(tmp_path / "logs"),)
     index = UsageIndex(spark, str(tmp_path / "index"))
     index.refresh(list(roots))
-    service = QueryService(index)
+    service, read = QueryService(index), scan(spark, list(roots))
+    events = read.events.persist()
     for dedupe in ("global", "file"):
         for group in ("none", "day", "month", "model", "cwd", "session"):
             q = UsageQuery(roots=roots, group=group, dedupe=dedupe)
-            a, b = run(spark, q), service.query(q)
+            a, b = payload(events, q, None, read.files, read.failures, read.paths), service.query(q)
             assert a["rows"] == b["rows"] and a["totals"] == b["totals"] and a["unpricedModels"] == b["unpricedModels"] and a["assumedModels"] == b["assumedModels"]
     assert service.query(q) is service.query(q)
 
