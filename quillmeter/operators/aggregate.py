@@ -120,3 +120,28 @@ def top_series(rows: DataFrame, metric: str, most: int = 18, by_date: bool = Fal
     """The largest keys for a chart; dates in order of time."""
     top = rows.orderBy(F.desc(metric), F.desc("key")).limit(most)
     return top.orderBy("key") if by_date else top
+
+
+# --- distinct sessions that can be added up -----------------------------------------------------------------------
+
+
+def session_numbers(events: DataFrame, folder: str) -> DataFrame:
+    """A written dictionary ``session_id, session_no``. Numbers are dense within a part of the table, so they fill few bitmaps."""
+    numbered = events.select("session_id").distinct().withColumn("session_no", F.monotonically_increasing_id())
+    numbered.write.parquet(folder)
+    return events.sparkSession.read.schema(numbered.schema).parquet(folder)
+
+
+def session_slices(events: DataFrame, numbers: DataFrame, *keys: str) -> DataFrame:
+    """``keys, bucket, sessions, requests``: the sessions of each key as bitmaps of 4 KiB at most. Slices of several keys, days or
+    runs merge to exact counts (``merged_sessions``), where counts of sessions would not add up.
+    """
+    rows = events.join(numbers, "session_id")
+    bucket, place = F.bitmap_bucket_number("session_no"), F.bitmap_bit_position("session_no")
+    return rows.groupBy(*keys, bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("sessions"), F.count("*").alias("requests"))
+
+
+def merged_sessions(slices: DataFrame, *keys: str) -> DataFrame:
+    """``keys, sessions, requests`` over all slices of a key."""
+    merged = slices.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("sessions").alias("sessions"), F.sum("requests").alias("requests"))
+    return merged.groupBy(*keys).agg(F.sum(F.bitmap_count("sessions")).alias("sessions"), F.sum("requests").alias("requests"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .catalog import Version, normal
 
@@ -134,11 +135,24 @@ def parse_page(text: str, expected: str) -> Version:
     return Version(f"{model}-page", None, True, rates["input"], rates["output"], rates.get("cached"), rates.get("write"), long, threshold, content_hash=digest, evidence="model-page")
 
 
-def page_prices(pages: DataFrame) -> DataFrame:
-    """Input, cached and output prices of a table of pages (model, markdown), by expressions only; null where absent."""
-    body = F.regexp_extract("markdown", r"(?is)\n##\s+Pricing\s*\n.*?\n###\s+Text tokens\s*\n(.*?)(?=\n#{1,3}\s|\z)", 1)
+_PAGE = "model string, input double, cached double, cache_write double, output double, long_input double, long_cached double, long_write double, long_output double, threshold long, content_hash string, error string"
 
-    def row(name: str):
-        return F.nullif(F.replace(F.regexp_extract(body, rf"(?im)^\|\s*{name}\s*\|[^|\n]*?\$\s*([0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(","), F.lit("")), F.lit("")).try_cast("double")
 
-    return pages.select(F.lower(F.trim("model")).alias("model"), row("Input").alias("input"), row("Cached input").alias("cached"), row("Output").alias("output"))
+def page_versions(pages: DataFrame) -> DataFrame:
+    """The prices of every page of a table (``model``, ``markdown``) by ``parse_page``, batch by batch; ``error`` tells why a page
+    gives none. A null page or model is such a page.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for model, markdown in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    v = parse_page(markdown or "", model or "")
+                    rows.append((normal(model), v.input, v.cached, v.write, v.output, *(v.long or (None,) * 4), v.threshold, v.content_hash, None))
+                except ValueError as e:
+                    rows.append((normal(model), *(None,) * 10, str(e)))
+            types = [pa.string(), *[pa.float64()] * 8, pa.int64(), pa.string(), pa.string()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 12, types, strict=True)], names=[f.split()[0] for f in _PAGE.split(", ")])
+
+    return pages.select("model", "markdown").mapInArrow(read, _PAGE)

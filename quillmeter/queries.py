@@ -16,7 +16,7 @@ from .operators import aggregate as A
 from .operators.canonical import canonical, changed_keys, duplicates, repair
 from .options import ROLLING, UsageQuery, rolling, start_of_day
 from .plans.usage import scan
-from .pricing.pages import page_prices
+from .pricing.pages import page_versions
 from .pricing.catalog import Catalog, Route, Version, to_ms
 from .pricing.spans import price_spans, priced
 from .schemas import COSTS, COUNTERS
@@ -239,6 +239,31 @@ _add(
     lambda s, d: _rounded(_costed(s, d).where("assumed_requests > 0").groupBy("model", F.col("route.id").alias("route_id")).agg(F.count("*").alias("requests"), F.sum("assumed_cost_usd").alias("assumed_cost_usd"), F.sum("assumed_upper_bound_cost_usd").alias("upper_usd"))),
     f"{_canonical_sql('global')} SELECT model, route_id, count(*) AS requests, round(sum(assumed_cost_usd), 9) AS assumed_cost_usd, round(sum(assumed_upper_bound_cost_usd), 9) AS upper_usd FROM q WHERE assumed_requests > 0 GROUP BY 1, 2",
 )
+_add(
+    "assumed_model_routes",
+    lambda s, d: _rounded(A.assumed_models(_costed(s, d)).select("model", F.posexplode("routes").alias("place", "r")).select("model", "place", F.col("r.id").alias("route_id"), "r.requests", "r.total_tokens", "r.assumed_cost_usd", "r.first_seen")),
+    f"{_canonical_sql('global')} SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY min(route_start)) - 1 AS INTEGER) AS place, route_id, count(*) AS requests, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(assumed_cost_usd), 9) AS assumed_cost_usd, {_FIRST} FROM q WHERE assumed_requests > 0 GROUP BY model, route_id",
+)
+
+
+def _mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models whose names differ by case; the first of them in the order that people expect (a, A, b)."""
+    query = UsageQuery(group="model", sort="key", desc=False, limit=3)
+    named = adapted(spark, sf_dir).withColumn("model", F.when(F.col("event_index") % 3 == 0, F.initcap("model")).otherwise(F.col("model")))
+    return A.ordered(A.grouped(priced(canonical(named), spark, demo_catalog()), query), query).select("key", "sessions", "requests", "total_tokens")
+
+
+_add("first_keys_of_mixed_case", _mixed_case, f"WITH {_U}, m AS (SELECT *, CASE WHEN event_index % 3 = 0 THEN upper(left(model, 1)) || substr(model, 2) ELSE model END AS key FROM u) SELECT key, count(DISTINCT session_id) AS sessions, count(*) AS requests, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM m GROUP BY key ORDER BY lower(key), key DESC LIMIT 3")
+
+
+def _sessions_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct sessions of each month, from slices by day that are merged."""
+    rows = adapted(spark, sf_dir).withColumn("day", local_time(F.col("timestamp_ms"), "Asia/Kolkata", "day"))
+    days = A.session_slices(rows, A.session_numbers(rows, scratch_folder(spark, "sessions")), "day")
+    return A.merged_sessions(days.withColumn("month", F.when(F.col("day").startswith("("), F.col("day")).otherwise(F.substring("day", 1, 7))), "month")
+
+
+_add("sessions_by_month_from_days", _sessions_by_month, f"WITH {_U} SELECT {_key_sql('month', 'Asia/Kolkata')} AS month, count(DISTINCT session_id) AS sessions, count(*) AS requests FROM u GROUP BY 1")
 _add(
     "asof_price_per_request",
     lambda s, d: _rounded(_costed(s, d).select("total_usage_key", "model", "reference_total_cost_usd", "reference_total_upper_bound_cost_usd", "priced_requests", "provisional_priced_requests")),
@@ -400,7 +425,7 @@ def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(scan(spark, [f"{folder}/b", folder, f"{folder}/none"], max(1, sum(sizes) // (len(sizes) or 1) // 4)).events)
 
 
-def _from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grown_index(spark: SparkSession, sf_dir: str) -> UsageIndex:
     """Half of each file's lines are indexed, then the rest."""
     folder, lines = scratch_folder(spark, "grown"), _named(_logs(spark, sf_dir))
     index = UsageIndex(spark, f"{folder}/index")
@@ -408,7 +433,11 @@ def _from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.refresh([f"{folder}/logs"])
     write_logs(lines.where(F.col("name").endswith(".zst") | (F.col("line_no") >= 300)), f"{folder}/logs")
     index.refresh([f"{folder}/logs"])
-    return _shown(index.events())
+    return index
+
+
+def _from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_grown_index(spark, sf_dir).events())
 
 
 _FILE = "'u' || user_id || CASE WHEN user_id % 3 = 0 THEN '.jsonl.zst' ELSE '.jsonl' END AS name"
@@ -416,6 +445,12 @@ _READ = f"{_L} SELECT {_FILE}, row_number() OVER (PARTITION BY session_id ORDER
 _add("events_from_files", _from_files, _READ)
 _add("events_from_grown_index", _from_index, _READ)
 
+_add(
+    "maintained_usage",
+    lambda s, d: _grown_index(s, d).usage("day", "Asia/Kolkata"),
+    f"{_L} SELECT {_key_sql('day', 'Asia/Kolkata')} AS key, count(DISTINCT session_id) AS sessions, count(*) AS requests, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTERS)} FROM f WHERE again = 1 GROUP BY 1",
+)
+
 # --- options and functions ---------------------------------------------------------------------------------------
 
 
@@ -450,16 +485,30 @@ _add("by_sql_function", _by_function, f"WITH {_U} SELECT coalesce(strftime(make_
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A price page for every part."""
+    """A price page for every part: some without cached prices, with multipliers, with a threshold, or of another model."""
     part = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(12,2)").alias("p"))
-    price = lambda by: F.format_number(F.col("p") * by, 2)
-    head = F.concat(F.lit("# Part\n\n| Input | $1 | 1M tokens |\n\n## Pricing\n\n### Text tokens\n\n| Kind | Price | Unit |\n| --- | --- | --- |\n| Input | $"), price(1), F.lit(" | 1M tokens |\n"))
-    cached = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("| Cached input | $"), price(2), F.lit(" | 1M tokens |\n"))).otherwise("")
-    text = F.concat(head, cached, F.lit("| Output | $"), price(3), F.lit(" | 1M tokens |\n\n### Other\n\n| Output | $5 | 1M tokens |\n"))
-    return part.select(F.concat(F.lit(" Part-"), F.col("p_partkey")).alias("model"), text.alias("markdown"))
+    key, some = F.col("p_partkey"), lambda test, *text: F.when(F.expr(test), F.concat(*text)).otherwise("")
+    row = lambda name, by: (F.lit(f"| {name} | $"), F.format_number(F.col("p") * by, 2), F.lit(" | 1M tokens |\n"))
+    text = F.concat(
+        F.lit("# Part\n\n| Input | $1 | 1M tokens |\n\n| Model ID | `part-"), key, some("p_partkey % 11 = 0", F.lit("x")), F.lit("` |\n\n## Pricing\n\n### Text tokens\n\n| Kind | Price | Unit |\n| --- | --- | --- |\n"),
+        *row("Input", 1), some("p_partkey % 3 > 0", *row("Cached input", 2)), *row("Output", 3),
+        some("p_partkey % 4 = 1", F.lit("\nFor cache writes, 1.25x the input rate applies.\n")),
+        some("p_partkey % 7 < 3", F.lit("\nRequests with > "), F.format_number(key + 1000, 0), F.lit(" input tokens cost 2x input and 1.5x output.\n")),
+        F.lit("\n### Other\n\n| Output | $5 | 1M tokens |\n"),
+    )
+    return part.select(F.concat(F.lit(" Part-"), key).alias("model"), text.alias("markdown"))
 
 
-_add("prices_on_pages", lambda s, d: _rounded(page_prices(_pages(s, d))), "SELECT 'part-' || p_partkey AS model, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS input, CASE WHEN p_partkey % 3 > 0 THEN CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 2 AS DOUBLE) END AS cached, CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 3 AS DOUBLE) AS output FROM part")
+_price = lambda by, test: f"CASE WHEN p_partkey % 11 <> 0 AND {test} THEN CAST(p * {by} AS DOUBLE) END"
+_add(
+    "prices_on_pages",
+    lambda s, d: _rounded(page_versions(_pages(s, d)).drop("content_hash")),
+    f"""WITH t AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(12,2)) AS p FROM part)
+SELECT 'part-' || p_partkey AS model, {_price('1', 'true')} AS input, {_price('2', 'p_partkey % 3 > 0')} AS cached, {_price('1.25', 'p_partkey % 4 = 1')} AS cache_write, {_price('3', 'true')} AS output,
+  {_price('2', 'p_partkey % 7 < 3')} AS long_input, {_price('4', 'p_partkey % 7 < 3 AND p_partkey % 3 > 0')} AS long_cached, {_price('2.5', 'p_partkey % 7 < 3 AND p_partkey % 4 = 1')} AS long_write, {_price('4.5', 'p_partkey % 7 < 3')} AS long_output,
+  CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 7 < 3 THEN CAST(p_partkey + 1000 AS BIGINT) END AS threshold,
+  CASE WHEN p_partkey % 11 = 0 THEN 'Model ID mismatch: expected part-' || p_partkey || ', found part-' || p_partkey || 'x' END AS error FROM t""",
+)
 
 # --- the same operators over other tables ------------------------------------------------------------------------
 

@@ -38,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.usage import local_time
 from ..operators.canonical import canonical, changed_keys
-from ..schemas import FILES, USAGE_EVENTS
+from ..schemas import COUNTERS, FILES, USAGE_EVENTS
 from ..sources.logs import list_logs
 from ..sources.parse import STATE, TOTALS, carried_in, events_of, file_counts, first_of_repeats, merged_states, records, segment_states
 from ..sources.ranges import LINES, combined, file_state, read_lines
 
-SCHEMA, PARSER = 4, 2
+SCHEMA, PARSER = 5, 2
 #: Manifests that stay; runs from which on some are merged; how much larger a run may be than all newer ones to be merged too.
 KEEP, RUNS, FACTOR = 2, 8, 2
 #: Rows of a bucket, events of a file that lie together, bits of the directory for each fingerprint.
@@ -52,6 +53,8 @@ BUCKET_ROWS, TOGETHER, BITS = 200_000, 50_000, 16
 #: Rows up to which a list (of files, of fingerprints) is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 KEYS = "total_usage_key string"
+SLOT_MS = 900_000
+SLOTS = "slot_ms long, model string, cwd string, session_id string, requests long, " + ", ".join(f"{c} long" for c in COUNTERS)
 _UUID = re.compile(r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\.jsonl$", re.I)
 
 
@@ -97,7 +100,19 @@ def event_buckets(path: str, events: int, buckets: int) -> set[int]:
     return {zlib.crc32(f"{path}#{i}".encode()) % buckets for i in range(-(-events // TOGETHER))}
 
 
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+def slots(events: DataFrame, sign: int) -> DataFrame:
+    """Requests and counters (or what to take back of them) by quarter of an hour, which no time zone cuts."""
+    slot = (F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(SLOT_MS))).alias("slot_ms")
+    rows = events.groupBy(slot, "model", "cwd", "session_id").agg(F.count("*").alias("requests"), *(F.sum(c).alias(c) for c in COUNTERS))
+    return rows.select("slot_ms", "model", "cwd", "session_id", *((F.col(c) * sign).alias(c) for c in ("requests", *COUNTERS)))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Slots of several refreshes as one; those that came to nothing go."""
+    return rows.groupBy("slot_ms", "model", "cwd", "session_id").agg(*(F.sum(c).alias(c) for c in ("requests", *COUNTERS))).where("requests <> 0")
+
+
+def _flags_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     h = hashes.astype(np.int64, copy=False).view(np.uint64)
     step = (h >> np.uint64(32)) | np.uint64(1)
     return np.stack([(h + np.uint64(i) * step) % np.uint64(bits) for i in range(4)])
@@ -110,7 +125,7 @@ def bloom_filters(rows: DataFrame) -> DataFrame:
         hashes = group.column("h").to_numpy()
         bits = max(64, 1 << (len(hashes) * BITS - 1).bit_length())
         flags = np.zeros(bits, bool)
-        flags[_slots(hashes, bits).astype(np.int64)] = True
+        flags[_flags_of(hashes, bits).astype(np.int64)] = True
         return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
     return rows.select("bucket", F.xxhash64("total_usage_key").alias("h")).groupBy("bucket").applyInArrow(build, "bucket int, bits binary")
@@ -124,7 +139,7 @@ def may_hold(directory: DataFrame, hashes: np.ndarray) -> list[int]:
             out = []
             for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 flags = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-                if flags[_slots(hashes, len(flags)).astype(np.int64)].all(axis=0).any():
+                if flags[_flags_of(hashes, len(flags)).astype(np.int64)].all(axis=0).any():
                     out.append(bucket)
             yield pa.record_batch([pa.array(out, pa.int32())], names=["bucket"])
 
@@ -138,7 +153,7 @@ class UsageIndex:
         self.spark, self.folder, self._scan = spark, folder, scan
         self._lock, self._guard, self._jobs = threading.Lock(), threading.Lock(), {}
         self._stop, self._tag = threading.Event(), f"refresh-{uuid.uuid4().hex}"
-        self._schemas = {"events": USAGE_EVENTS, "canonical": USAGE_EVENTS, "states": STATE, "keys": KEYS}
+        self._schemas = {"events": USAGE_EVENTS, "canonical": USAGE_EVENTS, "states": STATE, "keys": KEYS, "slots": SLOTS}
         self._scopes: dict = {}
         os.makedirs(folder, exist_ok=True)
 
@@ -228,6 +243,17 @@ class UsageIndex:
                 newer, n = own if newer is None else newer.unionByName(own), n + run["tables"]["keys"]["rows"]
         return self._union("canonical", parts)
 
+    def slots(self, manifest: dict | None = None) -> DataFrame:
+        """Requests and counters of the representatives by quarter of an hour, model, directory and session: the sums of what all
+        refreshes added and took back, so the events are not read.
+        """
+        return summed(self._union("slots", [self._table(r, "slots") for r in (manifest or self.manifest())["runs"]]))
+
+    def usage(self, group: str, timezone: str = "UTC", manifest: dict | None = None) -> DataFrame:
+        """``key, sessions, requests`` and counters by day or month (of any time zone), model, directory or session."""
+        key = {"day": lambda: local_time(F.col("slot_ms"), timezone, "day"), "month": lambda: local_time(F.col("slot_ms"), timezone, "month"), "model": lambda: F.col("model"), "cwd": lambda: F.col("cwd"), "session": lambda: F.col("session_id")}[group]()
+        return self.slots(manifest).groupBy(key.alias("key")).agg(F.count_distinct("session_id").alias("sessions"), F.sum("requests").alias("requests"), *(F.sum(c).alias(c) for c in COUNTERS))
+
     def files(self, manifest: dict | None = None) -> DataFrame:
         return file_counts(self._valid(manifest or self.manifest(), "states")).select(*FILES.names)
 
@@ -392,11 +418,14 @@ class UsageIndex:
         hashes = self._hashes(lost)
         older = [r for r in base["runs"]]
         rest = self._union("events", [self._valid(after, "events", runs=[r], where=lambda r: self._holding(r, "events", hashes)) for r in older]).join(lost, "total_usage_key", "left_semi") if left else None
-        gained = keys.join(lost, "total_usage_key", "left_anti")
-        current = self.canonical(keys=gained, runs=older) if older else None
+        before = self._settled(out, "before", self.canonical(keys=keys, runs=older)) if older else None
+        current = before.join(lost, "total_usage_key", "left_anti") if older else None
         chosen = canonical(self._union("events", [added, rest, current]))
-        self._put(run, "canonical", chosen.select(*USAGE_EVENTS.names), F.col("total_usage_key"), ["total_usage_key"])
-        for name in ("lines", "again", "earlier", "kept", "lost"):
+        now = self._put(run, "canonical", chosen.select(*USAGE_EVENTS.names), F.col("total_usage_key"), ["total_usage_key"])
+        # What left the representatives is taken back, what joined them is added.
+        moved = slots(now if now is not None else spark.createDataFrame([], USAGE_EVENTS), 1)
+        self._put(run, "slots", summed(moved.unionByName(slots(before, -1)) if older else moved), None)
+        for name in ("lines", "again", "earlier", "kept", "lost", "before"):
             shutil.rmtree(f"{out}/{name}", ignore_errors=True)
         manifest = {"schema": SCHEMA, "revision": seq, **after}
         return self._merged(out, manifest)
@@ -463,6 +492,7 @@ class UsageIndex:
         if not whole:
             keys = self._union("keys", [self._table(r, "keys") for r in parts]).distinct()
             self._put(run, "keys", keys, F.col("total_usage_key"), None, rows["keys"])
+        self._put(run, "slots", summed(self._union("slots", [self._table(r, "slots") for r in parts])), None)
         left = [*runs[:at], run]
         void = {p: v for p, v in manifest["void"].items() if any(r["seq"] < max(v.values()) for r in left)}
         return manifest | {"runs": left, "void": void}

@@ -1,7 +1,7 @@
 import pytest
 
 from quillmeter.pricing.catalog import Catalog, Route, Version, built_in, merge, observe, read_cache, to_ms, verify, write_cache
-from quillmeter.pricing.pages import page_prices, parse_page
+from quillmeter.pricing.pages import page_versions, parse_page
 from quillmeter.pricing.spans import priced
 
 EVENTS = "model string, timestamp_ms long, input_tokens long, cached_input_tokens long, cache_write_input_tokens long, output_tokens long, total_tokens long"
@@ -130,8 +130,9 @@ def test_pages(spark):
         parse_page(PAGE, "n")
     with pytest.raises(ValueError):
         parse_page("# no page", "falcon")
-    (row,) = page_prices(spark.createDataFrame([("falcon", PAGE)], "model string, markdown string")).collect()
-    assert (row.input, row.cached, row.output) == (0.1, 0.01, 30.0)
+    rows = page_versions(spark.createDataFrame([(" Falcon", PAGE), ("n", PAGE), (None, PAGE), ("falcon", None)], "model string, markdown string")).collect()
+    assert tuple(rows[0]) == ("falcon", 0.1, 0.01, 0.3, 30.0, 0.2, 0.02, 0.6, 45.0, 272_000, v.content_hash, None)
+    assert all(r.input is None and r.error for r in rows[1:]) and "mismatch" in rows[1].error
 
 
 def test_observe_verify_merge(tmp_path):
