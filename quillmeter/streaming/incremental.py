@@ -32,6 +32,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future
 from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from ..functions.usage import local_time
 from ..operators.canonical import canonical, changed_keys
 from ..schemas import COUNTERS, FILES, USAGE_EVENTS
-from ..sources.logs import list_logs
+from ..sources.logs import SUFFIXES, list_logs
 from ..sources.parse import STATE, TOTALS, carried_in, events_of, file_counts, first_of_repeats, merged_states, records, segment_states
 from ..sources.ranges import LINES, combined, file_state, read_lines
 
@@ -287,9 +288,11 @@ class UsageIndex:
 
     # -- refreshing --------------------------------------------------------------------------------------------
 
-    def refresh(self, roots: list[str], retry_failures: bool = False, progress: Callable[[dict], None] | None = None) -> dict:
-        """Bring the index up to date. Calls for the same roots at the same time share one job; others take turns."""
-        key = (tuple(roots), retry_failures)
+    def refresh(self, roots: list[str], retry_failures: bool = False, progress: Callable[[dict], None] | None = None, only: list[str] | None = None) -> dict:
+        """Bring the index up to date: all below the roots, or ``only`` some files (then nothing is listed and nothing is taken to
+        be gone). Calls for the same at the same time share one job; others take turns.
+        """
+        key = (tuple(roots), retry_failures, None if only is None else tuple(only))
         with self._guard:
             job = self._jobs.get(key)
             mine = job is None
@@ -302,7 +305,7 @@ class UsageIndex:
                 self._stop.clear()
                 self.spark.sparkContext.addJobTag(self._tag)
                 try:
-                    job.set_result(self._refresh(roots, retry_failures, progress or (lambda _: None)))
+                    job.set_result(self._refresh(roots, retry_failures, progress or (lambda _: None), only))
                 finally:
                     self.spark.sparkContext.removeJobTag(self._tag)
         except BaseException as e:
@@ -317,12 +320,12 @@ class UsageIndex:
         self._stop.set()
         self.spark.sparkContext.cancelJobsWithTag(self._tag)
 
-    def _refresh(self, roots: list[str], retry: bool, progress: Callable[[dict], None]) -> dict:
+    def _refresh(self, roots: list[str], retry: bool, progress: Callable[[dict], None], only: list[str] | None = None) -> dict:
         progress({"phase": "discover"})
         base = self.manifest()
         known, failed = base["files"], dict(base["failures"])
         seen, spans = {}, []
-        for path in list_logs(roots):
+        for path in list_logs(roots) if only is None else sorted(set(only)):
             try:
                 seen[path] = {**file_state(path), "parser": PARSER}
             except FileNotFoundError:
@@ -341,10 +344,10 @@ class UsageIndex:
                     failed[path] = {"code": status["code"], "message": status["message"], "state": seen[path]}
                 else:
                     failed.pop(path, None)
-            failed = {p: f for p, f in failed.items() if p in seen or p in known or not _inside(p, roots)}
+            failed = {p: f for p, f in failed.items() if p in seen or p in known or only is not None or not _inside(p, roots)}
             # A compressed or moved copy that failed keeps the events of the file it replaced.
             kept = {identity(p) for p in failed}
-            gone = {p for p in known if _inside(p, roots) and p not in seen and identity(p) not in kept}
+            gone = {p for p in known if only is None and _inside(p, roots) and p not in seen and identity(p) not in kept}
             failed = {p: f | {"usingPreviousIndex": p in known or any(identity(p) == identity(k) for k in known)} for p, f in failed.items() if p not in gone}
             ends = {p: s for p, s in ends.items() if "code" not in s}
             if not ends and not gone and failed == base["failures"]:
@@ -524,7 +527,17 @@ def _inside(path: str, roots: list[str]) -> bool:
 
 
 def stream_refresh(spark: SparkSession, index: UsageIndex, roots: list[str], checkpoint: str):
-    """A file stream that refreshes the index with every batch of new or replaced files (whole-file recompute)."""
+    """A file stream that brings the files of every batch into the index; nothing else is listed or read.
+
+    A batch that runs again after a failure finds its files as the index knows them and changes nothing, so each line counts once.
+    """
     paths = roots[0] if len(roots) == 1 else "{" + ",".join(roots) + "}"
-    source = spark.readStream.schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(paths)
-    return source.writeStream.foreachBatch(lambda batch, _: index.refresh(roots)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    source = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").load(paths).select("path")
+
+    def take(batch: DataFrame, _: int) -> None:
+        files = [unquote(re.sub(r"^file:(//)?(?=/)", "", r.path)) for r in batch.distinct().collect()]
+        if files:
+            index.refresh(roots, only=[f for f in files if f.endswith(SUFFIXES)])
+
+    return source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

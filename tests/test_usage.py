@@ -222,8 +222,17 @@ def test_stream_refreshes_the_index(spark, tmp_path):
 
     fork(tmp_path / "logs")
     index = UsageIndex(spark, str(tmp_path / "index"))
-    stream_refresh(spark, index, [str(tmp_path / "logs")], str(tmp_path / "checkpoint")).awaitTermination(120)
-    assert index.canonical().count() == 1
+    start = lambda: stream_refresh(spark, index, [str(tmp_path / "logs")], str(tmp_path / "checkpoint")).awaitTermination(120)
+    start()
+    assert index.canonical().count() == 1 and index.events().count() == 2
+    write(tmp_path / "logs" / "c d.jsonl", meta("c"), tokens(usage(7, 0, 0, 1, 0, 8), at="2026-07-30T00:00:00Z"))
+    spans = []
+    plain = index._scan
+    index._scan = lambda s, ranges: (spans.append([os.path.basename(r[0]) for r in ranges]), plain(s, ranges))[1]
+    start()  # goes on from its checkpoint: the new file only
+    assert spans == [["c d.jsonl"]] and index.canonical().count() == 2
+    start()
+    assert len(spans) == 1
 
 
 def test_logs_are_written_exactly_once(spark, tmp_path):
