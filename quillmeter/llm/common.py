@@ -43,7 +43,7 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 #: Spark's own settings: remove a query's shuffle files when it has ended, not when the driver collects its garbage; and
 #: keep no longer texts of plans on the driver, which would hold plans' constants many times over.
-WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "20000"}
+WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "20000", "spark.sql.debug.maxToStringFields": "0"}
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:

@@ -139,8 +139,9 @@ def lang_shares(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.
 def gram_weights(counts: DataFrame, shares: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> tuple[Column, Column]:
     """Two arrays of ``buckets``: log ratios and trusted shares, as constants of a plan.
 
-    Their size does not depend on the input, so they pass through the driver. As constants they cost a row nothing; as
-    columns each row would carry them from one operator to the next.
+    Their size does not depend on the input, so they pass through the driver, as one row. As constants they cost a row
+    nothing; as columns each row would carry them from one operator to the next. Of each number twelve digits count, so
+    the order in which a shuffle adds does not show.
 
     Each language has the weight in the trusted shares that it has in the corpus, and is smoothed towards its own corpus
     shares; so languages with few or no trusted documents are not far from 0.
@@ -150,10 +151,11 @@ def gram_weights(counts: DataFrame, shares: DataFrame, buckets: int = BUCKETS, s
     cells = cells.groupBy("bucket").agg(F.sum(F.col("unit") * (F.col("trusted") + prior * F.col("corpus") / F.col("nc"))).alias("p"), F.sum("corpus").alias("c"))
     total = F.lit(float(cells.agg(F.sum("c")).first()[0] or 0))
     cells = cells.where(F.col("c") > 0).select("bucket", (F.log("p") - F.log(F.col("c") / total)).alias("ratio"), "p")
-    weights, trusted = ["0.0"] * buckets, ["0.0"] * buckets
-    for row in cells.collect():
-        weights[row.bucket], trusted[row.bucket] = f"{row.ratio:.12g}", f"{row.p:.12g}"
-    return tuple(F.split(F.lit(",".join(x)), ",").cast("array<double>") for x in (weights, trusted))
+    every = counts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(cells), "bucket", "left")
+    texts = [F.when(F.col(c).isNull(), "0.0").otherwise(F.format_string("%.11e", c)).alias(c) for c in ("ratio", "p")]
+    cells = F.array_sort(F.collect_list(F.struct("bucket", *texts)))
+    row = every.agg(cells.alias("r")).select(F.concat_ws(",", "r.ratio").alias("ratios"), F.concat_ws(",", "r.p").alias("shares")).first()
+    return tuple(F.split(F.lit(x), ",").cast("array<double>") for x in row)
 
 
 def _own_counts(grams: Column, starts: Column, shares: Column, unit: Column) -> Column:
@@ -182,6 +184,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     counted = save(gram_counts(docs, labels, buckets), "gram-counts")
     shares = lang_shares(counted, buckets)
     weights, trusted = gram_weights(counted, shares, buckets)
+    if threshold is not None:
+        discard(counted)
     words, text = F.col("__w"), F.col("__text")
     n = F.size(words)
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
@@ -226,6 +230,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     least = F.lit(threshold)
     if threshold is None:
         rows = save(rows, "quality-scores")
+        discard(counted)
         known = rows.where(F.col("__known") & ~F.col("base_failed")).agg(F.avg("llr").alias("mean"), F.coalesce(F.stddev_pop("llr"), F.lit(0.0)).alias("sd"))
         # Without trusted documents every score is 0, and all is kept.
         mean, sd = known.first()
