@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import at_most, discard, lookup, mix, pack, pack_sorted, save, shingle_sets, sized, slices, table, unpack, unpack_sorted
@@ -223,17 +223,20 @@ def agreeing(packed: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
 
 
 def region_members(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """``x, p, n, n_pivot``: every set that may have a link, with the pivots of its regions, both by the class's first id."""
+    """``x, p, n, n_pivot, members``: every set that may have a link, with the pivots of its regions, both by the class's first id.
+
+    ``members`` is about how many sets the pivot has, so nothing later needs to count and look that up.
+    """
     pairs = save(agreeing(signed.where(F.col("bucket").isNotNull())), "agreeing")
     alive = pairs.groupBy("x", "mark").agg(F.sum("cells").alias("total")).where(F.col("total") >= F.col("mark") % 128).select("x", "mark")
     members = save(pairs.join(alive, ["x", "mark"], "left_semi").where("x <> p").select("x", "p").distinct(), "slots")
     slots = signed.where(F.col("slot").isNotNull()).select("slot", "node").distinct()
     named = slots.join(classes.select("node", "rep", "n"), "node")
     weights = members.groupBy(F.col("p").alias("slot")).agg(F.count("*").alias("m"))
-    pivots = named.join(weights, "slot").select(F.col("slot").alias("p"), F.col("rep").alias("pivot"), F.col("n").alias("n_pivot"), "m")
+    pivots = named.join(weights, "slot").select(F.col("slot").alias("p"), F.col("rep").alias("pivot"), F.col("n").alias("n_pivot"), F.col("m").alias("members"), "m")
     both = lookup(members, save(pivots, "pivots"), "p", "m")
     both = both.join(named.select(F.col("slot").alias("x"), F.col("rep").alias("own"), "n"), "x")
-    out = save(both.where("own <> pivot").select(F.col("own").alias("x"), F.col("pivot").alias("p"), "n", "n_pivot").distinct(), "members")
+    out = save(both.where("own <> pivot").select(F.col("own").alias("x"), F.col("pivot").alias("p"), "n", "n_pivot", "members").distinct(), "members")
     discard(pairs, members)
     return out
 
@@ -245,10 +248,8 @@ def _with_texts(rows: DataFrame, key: str, docs: DataFrame) -> DataFrame:
 
 
 def _measure(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """``x, p, shared, nx, np`` for every pair of ids: exact set sizes and the size of the intersection."""
-    sizes = pairs.groupBy("p").agg(F.count("*").alias("m"))
-    chunked = lookup(pairs, sizes.select("p", F.col("m").alias("members"), "m"), "p", "m")
-    chunked = save(chunked.select("x", "p", F.pmod(F.xxhash64("x"), F.ceil(F.col("members") / CHUNK)).cast("int").alias("chunk")), "pivot-pairs")
+    """``x, p, shared, nx, np`` for every pair of ids (``x, p, members``): exact set sizes and the size of the intersection."""
+    chunked = pairs.select("x", "p", F.pmod(F.xxhash64("x"), F.ceil(F.col("members") / CHUNK)).cast("int").alias("chunk"))
     own = _with_texts(chunked.select("p", "chunk").distinct(), "p", docs).select("p", "chunk", F.lit(0).alias("kind"), F.col("p").alias("x"), "__text")
     members = _with_texts(chunked, "x", docs).select("p", "chunk", F.lit(1).alias("kind"), "x", "__text")
     rows = own.union(members).repartition("p", "chunk").sortWithinPartitions("p", "chunk", "kind", "x")
@@ -350,22 +351,30 @@ class _Region:
                 self.join(members[cell], depth + 1)
 
 
+def _fits(num: int, den: int) -> Column:
+    """Whether a member and its pivot are near enough in size to link."""
+    return F.least("n", "n_pivot") * den >= F.greatest("n", "n_pivot") * num
+
+
 def _region_links(star: DataFrame, members: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``x, y``: links among the members of pivots' regions that the pivots themselves do not settle."""
     eps = 1 - num / den
     union = F.col("nx") + F.col("np") - F.col("shared")
     known = star.groupBy("x", "p").agg(F.max_by(F.struct("shared", "nx", "np"), F.col("shared") / union).alias("s")).select("x", "p", "s.*")
     known = known.withColumn("d", 1 - F.col("shared") / union).withColumn("linked", den * F.col("shared") >= num * union)
-    rows = members.join(known.select("x", "p", "d", "linked"), ["x", "p"], "left")
+    measured = known.select("x", "p", F.col("nx").alias("n"), F.col("linked").alias("near"), F.col("d").alias("low"), F.col("d").alias("high"))
     bound = 1 - F.least("n", "n_pivot") / F.greatest("n", "n_pivot")
-    rows = save(rows.select("x", "p", "n", F.coalesce("linked", F.lit(False)).alias("near"), F.coalesce("d", bound).alias("low"), F.coalesce("d", F.lit(1.0)).alias("high")), "region-members")
-    open_ = rows.where(~F.col("near")).groupBy("p").agg(F.min("low").alias("nearest"), F.count("*").alias("m"))
+    bounded = members.where(~_fits(num, den)).select("x", "p", "n", F.lit(False).alias("near"), bound.alias("low"), F.lit(1.0).alias("high"))
+    rows = save(measured.union(bounded), "region-members")
+    # All that a region's members need to know of it, in one pass: the least distance of those out of the pivot's reach,
+    # whether there are two members left to meet, and whether they might be too many for a task.
+    regions = rows.groupBy("p").agg(F.min(F.when(~F.col("near"), F.col("low"))).alias("nearest"), F.count_if(~F.col("near")).alias("out"), F.max(F.when(F.col("near"), F.col("low"))).alias("reach"), (F.sum("n") > BLOCK).alias("many"), F.count("*").alias("m"))
+    boundary = F.col("nearest") - eps - 1e-9
+    regions = regions.where(F.col("nearest").isNotNull() & ((F.col("out") > 1) | (F.col("reach") >= boundary))).select("p", "nearest", "many", "m")
     # Only members out of reach of the pivot, and linked ones in the boundary.
-    left = lookup(rows, open_, "p", "m").where(F.col("nearest").isNotNull() & (~F.col("near") | (F.col("low") >= F.col("nearest") - eps - 1e-9))).drop("nearest")
-    left = save(left, "region-open")
+    left = lookup(rows, regions, "p", "m").where(F.col("nearest").isNotNull() & (~F.col("near") | (F.col("low") >= boundary))).drop("nearest")
     band = F.when(F.col("low") < F.col("high"), F.lit(-1)).otherwise(F.floor(F.col("low") * 2 / eps)).cast("int")
-    sizes = left.groupBy("p").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1").withColumn("many", F.col("total") > BLOCK)
-    banded = lookup(left, sizes.select("p", "many", "m"), "p", "m").where(F.col("many").isNotNull()).withColumn("band", F.when(F.col("many"), band).otherwise(F.lit(0)))
+    banded = save(left.withColumn("band", F.when(F.col("many"), band).otherwise(F.lit(0))), "region-open")
     parts = banded.where("many").groupBy("p", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
     blocks = parts.select("p", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     a = blocks.select(F.col("p").alias("p"), F.struct("band", "part").alias("a"))
@@ -414,11 +423,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     real = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = save(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes")
     members = region_members(signed, classes)
-    fits = F.least("n", "n_pivot") * den >= F.greatest("n", "n_pivot") * num
-    star = save(_measure(members.where(fits).select("x", "p"), docs, k), "star")
+    star = save(_measure(members.where(_fits(num, den)).select("x", "p", "members"), docs, k), "star")
     linked = star.where(den * F.col("shared") >= num * (F.col("nx") + F.col("np") - F.col("shared"))).select("x", F.col("p").alias("y"))
     found = components(linked.union(_region_links(star, members, docs, k, num, den))).select(F.col("node").alias("rep"), "component")
-    facts = classes.join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("c"), "copies")
+    facts = save(classes.join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("c"), "copies"), "class-components")
     # A doc_id with several texts belongs to several classes, which it connects.
     out = lookup(real, facts, "node", "copies").select("doc_id", "n", F.col("c"))
     rest = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("c"))
