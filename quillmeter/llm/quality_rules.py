@@ -125,7 +125,11 @@ def gram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> D
     rows = docs.select("doc_id", _lang(docs).alias("__lang"), F.coalesce("text", F.lit("")).alias("__text"))
     rows = rows.join(sized(_trusted(labels)), F.col("doc_id") == F.col("__good"), "left")
     rows = rows.select(F.col("__lang").alias("lang"), F.col("__good").isNotNull().cast("long").alias("t"), _words(F.col("__text")).alias("w"))
-    grams = rows.select("lang", "t", F.explode(F.concat(*_hashes(F.col("w")))).alias("h"))
+    # Words come out with the next one beside them, so that both hashes run in compiled code, not in a lambda.
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    rows = rows.select("lang", "t", F.explode(F.arrays_zip(F.col("w").alias("a"), after.alias("b"))).alias("z"))
+    both = F.array(F.xxhash64("z.a"), F.when(F.col("z.b").isNotNull(), F.xxhash64("z.a", "z.b")))
+    grams = rows.select("lang", "t", F.explode(both).alias("h")).where(F.col("h").isNotNull())
     return grams.select("lang", "t", _bucket(F.col("h"), buckets).alias("bucket")).groupBy("lang", "bucket").agg(F.sum("t").alias("trusted"), F.count("*").alias("corpus"))
 
 
@@ -188,7 +192,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
         discard(counted)
     words, text = F.col("__w"), F.col("__text")
     n = F.size(words)
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
     wanted = docs.columns if keep_columns is True else [*(keep_columns or []), "doc_id"]
     kept = [c for c in docs.columns if c in wanted and c not in made]
@@ -216,8 +220,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     score = F.when(n_grams == 0, F.lit(0.0)).otherwise(sums / n_grams)
     counts = F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         _repeated(words, F.col("__h"), F.col("__s"), F.col("__pairs")).alias("n_repeat_words"),
         score.alias("llr"),

@@ -2,9 +2,10 @@
 
 import random
 
-from helpers import components, documents, prose
+from helpers import base_counts, components, documents, prose
+from pyspark.sql import functions as F
 
-from quillmeter.llm import jaccard_join
+from quillmeter.llm import jaccard_join, quality_rules
 
 
 def left_outer_rows(spark, since):
@@ -53,3 +54,23 @@ def test_members_of_a_group_pass_few_left_joins(spark, monkeypatch):
         made = left_outer_rows(spark, before)
         # Each join makes a row a region member or a class; before, they made more than ten together.
         assert counted[-1] > 3 * n and made <= 3 * (counted[-1] + n)
+
+
+def test_grams_are_hashed_outside_lambdas(spark):
+    r = random.Random(32)
+    texts = ["", None, " \t ", "one", "a b", prose(r, 60), "a  b\ta\x0bb a b"]
+    docs, labels = documents(spark, texts), spark.createDataFrame([(4, 1), (6, 1)], "doc_id long, quality int")
+    got = quality_rules.gram_counts(docs, labels)
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    words = documents(spark, texts).select("doc_id", quality_rules._words(F.coalesce("text", F.lit(""))).alias("w"))
+    one, two = quality_rules._hashes(F.col("w"))
+    want = words.select("doc_id", F.explode(F.concat(one, two)).alias("h")).groupBy((F.col("h") % 65536 + 65536) % 65536).agg(F.sum(F.col("doc_id").isin(4, 6).cast("int")), F.count("*"))
+    assert {(x.bucket, x.trusted, x.corpus) for x in got.collect()} == {tuple(x) for x in want.collect()}
+
+
+def test_counts_of_characters_take_no_walk_by_character(spark):
+    texts = ["", None, " \n\t\n \n", "# one\n#|two$\n# one\n\x0b\n\x0b", "é ü 𝄞x <b>&\r\n<b>&\r\n", "%*%\x1c a b"]
+    judged = quality_rules.quality_rules(documents(spark, texts), spark.createDataFrame([], "doc_id long, quality int"))
+    assert "translate(" not in judged._jdf.queryExecution().analyzed().toString()
+    got = {x.doc_id: (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in judged.collect()}
+    assert got == {i: base_counts(t) for i, t in enumerate(texts)}
