@@ -34,8 +34,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _words(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
 
 
 def _neighbours(left: Column, right: Column, skip: int, body) -> Column:
@@ -130,7 +129,8 @@ def gram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> D
     rows = rows.select("lang", "t", F.explode(F.arrays_zip(F.col("w").alias("a"), after.alias("b"))).alias("z"))
     both = F.array(F.xxhash64("z.a"), F.when(F.col("z.b").isNotNull(), F.xxhash64("z.a", "z.b")))
     grams = rows.select("lang", "t", F.explode(both).alias("h")).where(F.col("h").isNotNull())
-    return grams.select("lang", "t", _bucket(F.col("h"), buckets).alias("bucket")).groupBy("lang", "bucket").agg(F.sum("t").alias("trusted"), F.count("*").alias("corpus"))
+    cells = grams.select("lang", "t", _bucket(F.col("h"), buckets).alias("bucket")).groupBy("bucket", "lang").agg(F.sum("t").alias("trusted"), F.count("*").alias("corpus"))
+    return cells.select("lang", "bucket", "trusted", "corpus")
 
 
 def lang_shares(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
@@ -191,8 +191,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
     if threshold is not None:
         discard(counted)
     words, text = F.col("__w"), F.col("__text")
-    n = F.size(words)
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
     wanted = docs.columns if keep_columns is True else [*(keep_columns or []), "doc_id"]
     kept = [c for c in docs.columns if c in wanted and c not in made]
@@ -202,27 +201,35 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
         rows = rows.join(sized(shares.select(F.col("lang").alias("__l"), F.col("unit").alias("__unit"))), F.col("__lang") == F.col("__l"), "left")
         unit = F.when(F.col("__good").isNotNull(), F.col("__unit"))
     rows = rows.select(*kept, F.coalesce("text", F.lit("")).alias("__text"), unit.alias("__own"))
-    rows = rows.withColumn("__w", _words(text))
+    rows = rows.withColumn("__w", _words(text)).withColumn("__l", lines)
+    # Each step below copies the columns it hands on, so texts, lines and arrays end where they are last read.
     one, two = _hashes(words)
-    rows = rows.withColumn("__l", lines).withColumn("__one", one).withColumn("__two", two)
-    rows = rows.withColumn("__h", _neighbours(F.col("__two"), F.col("__one"), 2, lambda a, b: F.xxhash64(a, b)))
+    plain = F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+    )
+    rows = rows.select(*kept, "__own", "__w", plain.alias("__plain"), one.alias("__one"), two.alias("__two"))
+    # Only tells windows apart that ``_repeated`` then compares, so the cheapest mix of both hashes will do.
+    triples = _neighbours(F.col("__two"), F.col("__one"), 2, lambda a, b: a.bitwiseXOR(b))
+    rows = rows.select(*kept, "__own", "__w", "__plain", triples.alias("__h"), F.concat("__one", "__two").alias("__grams"))
     # Sorted here, in a projection's compiled code, arrays of longs and ints sort as such.
     trusting = threshold is None
     rows = rows.withColumn("__s", _windows(F.col("__h")))
-    rows = rows.withColumn("__pairs", _equal_pairs(F.col("__s")))
     if trusting:
-        rows = rows.withColumn("__g", F.when(F.col("__own").isNotNull(), F.sort_array(F.transform(F.concat("__one", "__two"), lambda h: _bucket(h, buckets)))))
+        rows = rows.withColumn("__g", F.when(F.col("__own").isNotNull(), F.sort_array(F.transform("__grams", lambda h: _bucket(h, buckets)))))
+    # Words are compared only where hashes repeat, or where there are too many to pack.
+    rows = rows.withColumn("__w", F.when(F.col("__s").isNotNull() | (F.size("__h") > _PLACE), words)).withColumn("__pairs", _equal_pairs(F.col("__s")))
+    if trusting:
         rows = rows.withColumn("__starts", F.filter(_upto(F.size("__g")), lambda i: (i == 0) | (F.get("__g", i) != F.get("__g", i - 1))))
-    n_grams = F.size("__one") + F.size("__two")
-    sums = F.aggregate(F.concat("__one", "__two"), F.lit(0.0), lambda acc, h: acc + F.get(weights, _bucket(h, buckets)))
+    n_grams = F.size("__grams")
+    sums = F.aggregate("__grams", F.lit(0.0), lambda acc, h: acc + F.get(weights, _bucket(h, buckets)))
     if trusting:
         sums = sums + F.when(F.col("__own").isNull(), F.lit(0.0)).otherwise(_own_counts(F.col("__g"), F.col("__starts"), trusted, F.col("__own")))
     score = F.when(n_grams == 0, F.lit(0.0)).otherwise(sums / n_grams)
     counts = F.struct(
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        *[F.col(f"__plain.{c}").alias(c) for c in made[:4]],
         _repeated(words, F.col("__h"), F.col("__s"), F.col("__pairs")).alias("n_repeat_words"),
         score.alias("llr"),
     )

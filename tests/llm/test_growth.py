@@ -74,3 +74,21 @@ def test_counts_of_characters_take_no_walk_by_character(spark):
     assert "translate(" not in judged._jdf.queryExecution().analyzed().toString()
     got = {x.doc_id: (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in judged.collect()}
     assert got == {i: base_counts(t) for i, t in enumerate(texts)}
+
+
+def test_texts_and_lines_are_handed_on_by_few_steps(spark):
+    r = random.Random(33)
+    again = prose(r, 9)
+    texts = [" \n" + prose(r, 60) + "\x0b\t", f"{again}\n\n {again}\r\n \n{again}", "\n", "a b c\td a b c", None, "x y z x y", "a  b\x0cc a\nb c "]
+    judged = quality_rules.quality_rules(documents(spark, texts), spark.createDataFrame([], "doc_id long, quality int"))
+    node, carried = judged._jdf.queryExecution().optimizedPlan(), {"__text": 0, "__l": 0}
+    while True:
+        names = {node.output().apply(i).name() for i in range(node.output().size())}
+        carried = {c: n + (c in names) for c, n in carried.items()}
+        if node.children().isEmpty():
+            break
+        node = node.children().head()
+    # Before, each step copied whole texts, and lines with them, six and five times.
+    assert 0 < carried["__text"] <= 2 and 0 < carried["__l"] <= 1
+    got = {x.doc_id: (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in judged.collect()}
+    assert got == {i: base_counts(t) for i, t in enumerate(texts)}
