@@ -121,16 +121,19 @@ def _lang(docs: DataFrame) -> Column:
 
 def gram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``lang, bucket, trusted, corpus``: n-gram counts of the trusted and of all documents, over the whole tables."""
-    rows = docs.select("doc_id", _lang(docs).alias("__lang"), F.coalesce("text", F.lit("")).alias("__text"))
+    # Languages go by number meanwhile: the hash table of the counts compares numbers at less cost than strings.
+    langs = docs.select(_lang(docs).alias("lang")).distinct().select("lang", F.monotonically_increasing_id().alias("code"))
+    langs = sized(save(langs, "languages"))
+    rows = docs.select("doc_id", _lang(docs).alias("lang"), F.coalesce("text", F.lit("")).alias("__text")).join(langs, "lang")
     rows = rows.join(sized(_trusted(labels)), F.col("doc_id") == F.col("__good"), "left")
-    rows = rows.select(F.col("__lang").alias("lang"), F.col("__good").isNotNull().cast("long").alias("t"), _words(F.col("__text")).alias("w"))
+    rows = rows.select("code", F.col("__good").isNotNull().cast("long").alias("t"), _words(F.col("__text")).alias("w"))
     # Words come out with the next one beside them, so that both hashes run in compiled code, not in a lambda.
     after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
-    rows = rows.select("lang", "t", F.explode(F.arrays_zip(F.col("w").alias("a"), after.alias("b"))).alias("z"))
+    rows = rows.select("code", "t", F.explode(F.arrays_zip(F.col("w").alias("a"), after.alias("b"))).alias("z"))
     both = F.array(F.xxhash64("z.a"), F.when(F.col("z.b").isNotNull(), F.xxhash64("z.a", "z.b")))
-    grams = rows.select("lang", "t", F.explode(both).alias("h")).where(F.col("h").isNotNull())
-    cells = grams.select("lang", "t", _bucket(F.col("h"), buckets).alias("bucket")).groupBy("bucket", "lang").agg(F.sum("t").alias("trusted"), F.count("*").alias("corpus"))
-    return cells.select("lang", "bucket", "trusted", "corpus")
+    grams = rows.select("code", "t", F.explode(both).alias("h")).where(F.col("h").isNotNull())
+    cells = grams.select("code", "t", _bucket(F.col("h"), buckets).alias("bucket")).groupBy("bucket", "code").agg(F.sum("t").alias("trusted"), F.count("*").alias("corpus"))
+    return cells.join(langs, "code").select("lang", "bucket", "trusted", "corpus")
 
 
 def lang_shares(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:

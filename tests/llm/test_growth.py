@@ -92,3 +92,19 @@ def test_texts_and_lines_are_handed_on_by_few_steps(spark):
     assert 0 < carried["__text"] <= 2 and 0 < carried["__l"] <= 1
     got = {x.doc_id: (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in judged.collect()}
     assert got == {i: base_counts(t) for i, t in enumerate(texts)}
+
+
+def test_grams_are_counted_by_numbers(spark):
+    rows = [(0, "a b", "en"), (1, "a b a", "es"), (2, "a b", None), (3, "b a", ""), (4, None, "en"), (5, "a", "nolabel"), (6, "a b", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_rules.gram_counts(docs, spark.createDataFrame([(1, 1), (6, 1)], "doc_id long, quality int"))
+    plans, types = [got._jdf.queryExecution().optimizedPlan()], set()
+    for plan in plans:
+        plans.extend(plan.children().apply(i) for i in range(plan.children().size()))
+        if plan.nodeName() == "Aggregate":
+            types |= {plan.groupingExpressions().apply(i).dataType().simpleString() for i in range(plan.groupingExpressions().size())}
+    # Keys were a language's text and a number before.
+    assert types and types <= {"int", "bigint"}
+    sums = {x.lang: (x.trusted, x.corpus) for x in got.groupBy("lang").agg(F.sum("trusted").alias("trusted"), F.sum("corpus").alias("corpus")).collect()}
+    assert sums == {"en": (3, 6), "es": (5, 5), "": (0, 6), "nolabel": (0, 1)}
+    assert got.count() == got.select("lang", "bucket").distinct().count() and got.columns == ["lang", "bucket", "trusted", "corpus"]
