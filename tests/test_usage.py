@@ -19,7 +19,8 @@ from quillmeter.server import query_of, serve
 from quillmeter.service import QueryService
 from quillmeter.sinks import to_csv, to_text
 from quillmeter.sources.logs import place, write_logs
-from quillmeter.sources.ranges import LINES, Range, range_lines, read_lines
+from quillmeter.sources.parse import STATE, carried_in, events_of, first_of_repeats, records
+from quillmeter.sources.ranges import LINES, Range, dealt, range_lines, read_lines
 from quillmeter.streaming import incremental
 from quillmeter.streaming.incremental import Aborted, Conflict, UsageIndex
 
@@ -356,3 +357,36 @@ def test_a_change_elsewhere_leaves_answers(spark, tmp_path):
     index.refresh(roots)
     assert service.query(UsageQuery(roots=(roots[0],), group="model")) is one
     assert service.query(UsageQuery(roots=(roots[1],), group="model"))["totals"]["requests"] == other["totals"]["requests"] + 1
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    spans = []
+    for f in range(200):
+        path = write(tmp_path / f"f{f}.jsonl", meta(f"s{f}"), tokens(usage(f, 0, 0, 1, 0, f + 1)))
+        spans.append((path, 0, os.path.getsize(path), None))
+    rows = read_lines(spark, spans)
+    assert rows.rdd.getNumPartitions() <= 5 * spark.sparkContext.defaultParallelism
+    assert rows.where("status IS NULL").groupBy("file_path").count().where("count = 2").count() == rows.where("status IS NOT NULL").count() == 200
+    large, small = [Range("l", 0, None, 300 << 20)] * 2, [Range("s", 0, None, 10)] * 5
+    assert dealt([*small, *large, *small], 2) == [small, large[:1], large[1:], small] and dealt(small, 9) == [[x] for x in small]
+
+
+def test_failures_are_held_against_the_index_once(spark, tmp_path, monkeypatch):
+    """Some plain logs give way to damaged compressed ones: work on names grows with the files, not with failures by files."""
+    n, asked, plain = 30, [], incremental.identity
+    for f in range(n):
+        write(tmp_path / "logs" / f"f{f}.jsonl", meta(f"s{f}"), tokens(usage(f, 0, 0, 1, 0, f + 1), at="2026-07-30T00:00:00Z"))
+    index = UsageIndex(spark, str(tmp_path / "index"))
+    index.refresh([str(tmp_path / "logs")])
+    for f in range(n // 2):
+        os.rename(tmp_path / "logs" / f"f{f}.jsonl", tmp_path / "logs" / f"f{f}.jsonl.zst")
+    monkeypatch.setattr(incremental, "identity", lambda p: (asked.append(p), plain(p))[1])
+    index.refresh([str(tmp_path / "logs")])
+    assert [f["usingPreviousIndex"] for f in index.status()["failures"]] == [True] * (n // 2) and index.events().count() == n
+    assert len(asked) <= 4 * n
+
+
+def test_no_frame_looks_ahead_from_every_row(spark):
+    rows = records(spark.createDataFrame([], LINES))
+    carried = spark.createDataFrame([], carried_in(spark.createDataFrame([], STATE)).schema)
+    assert "unboundedfollowing" not in events_of(first_of_repeats(rows), carried)._jdf.queryExecution().analyzed().toString().lower()
