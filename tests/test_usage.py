@@ -390,3 +390,32 @@ def test_no_frame_looks_ahead_from_every_row(spark):
     rows = records(spark.createDataFrame([], LINES))
     carried = spark.createDataFrame([], carried_in(spark.createDataFrame([], STATE)).schema)
     assert "unboundedfollowing" not in events_of(first_of_repeats(rows), carried)._jdf.queryExecution().analyzed().toString().lower()
+
+
+class CountedPath(str):
+    """A path that counts how often it is compared."""
+
+    compared = 0
+    __hash__ = str.__hash__
+
+    def __eq__(self, other):
+        CountedPath.compared += 1
+        return str.__eq__(self, other)
+
+
+def test_grown_files_are_looked_up(spark, tmp_path):
+    """Many files grow and some bring context that they lacked: paths are compared in proportion to the files."""
+    n = 40
+    for f in range(n):
+        write(tmp_path / "logs" / f"f{f:02d}.jsonl", tokens(usage(f + 1, 0, 0, 1, 0, f + 2), at="2026-07-30T00:00:00Z"))
+    index = UsageIndex(spark, str(tmp_path / "index"))
+    index.refresh([str(tmp_path / "logs")])
+    for f in range(n):
+        with open(tmp_path / "logs" / f"f{f:02d}.jsonl", "a") as out:
+            out.write(json.dumps(context("late") if f % 2 else tokens(usage(900 + f, 0, 0, 1, 0, 901 + f), at="2026-07-30T00:01:00Z")) + "\n")
+    stage, reopened = index._stage, index._reopened
+    index._stage = lambda *a: {CountedPath(p): s for p, s in stage(*a).items()}
+    index._reopened = lambda *a: [CountedPath(p) for p in reopened(*a)]
+    index.refresh([str(tmp_path / "logs")])
+    assert index.events().count() == n + n // 2 and index.events().where("model = 'late'").count() == n // 2
+    assert CountedPath.compared <= 12 * n
