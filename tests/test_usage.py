@@ -419,3 +419,17 @@ def test_grown_files_are_looked_up(spark, tmp_path):
     index.refresh([str(tmp_path / "logs")])
     assert index.events().count() == n + n // 2 and index.events().where("model = 'late'").count() == n // 2
     assert CountedPath.compared <= 12 * n
+
+
+def test_logs_are_put_in_place_by_all_cores(spark, tmp_path):
+    rows = spark.createDataFrame([(f"d/{i}.jsonl", 0, "x") for i in range(40)], "name string, line_no long, line string")
+    sc = spark.sparkContext
+    sc.setJobGroup("placing", "")
+    try:
+        assert write_logs(rows, str(tmp_path / "logs")) == 40 == len(os.listdir(tmp_path / "logs" / "d"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    last = max(tracker.getJobIdsForGroup("placing"))
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("placing") if j >= last - 1 for i in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= sc.defaultParallelism
