@@ -42,3 +42,11 @@ def test_filter_stays_above_the_window_and_prices_are_broadcast(spark):
 
     plan = queries._costed(spark, DATA, UsageQuery(group="model", from_ms=1))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan and plan.index("Filter") < plan.index("Window")
+
+
+def test_equal_events_of_two_users_count_twice(spark, duck, tmp_path):
+    """A table repeated with shifted keys: the same times and counters in logs of other users."""
+    duck.execute(f"COPY (SELECT event_id + r * 1000 AS event_id, ts, user_id + r * 15 AS user_id, event_type, value, props FROM events, range(2) t(r)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    rows = queries.QUERIES["maintained_usage"](spark, str(tmp_path))
+    sql = duck.execute(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet') SELECT {', '.join(rows.columns)} FROM ({queries.SQL['maintained_usage']})").fetchall()
+    assert sorted(map(tuple, rows.collect())) == sorted(sql)
